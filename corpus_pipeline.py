@@ -1,5 +1,59 @@
-"""A corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token files."""
-STAGES = []
+"""A corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token files.
+
+Each stage takes the session, the documents that the stage before kept and the folder of
+the tables; its result is written as Parquet and read again for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from tessera.llm import decontaminate, mixing, quality, simhash, tokens
+from tessera.llm.common import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality policy."""
+    return quality.ledger(docs).where(quality.verdict("base") & quality.verdict("v1")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of two benchmark items or more."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mix, as often as it takes them."""
+    return mixing.mixed(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix: where each document starts, its tokens and their checksum."""
+    return tokens.op2_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source mix", source_mix),
+    ("token files", token_files),
+]
+
+#: SimHash and tokenization have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{i + 1}")
+    return docs

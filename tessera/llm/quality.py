@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs", "n_stutters")
 
 #: Bit of each rule in the ledger; a rule keeps its bit for good.
 RULES: dict[str, int] = {
@@ -30,6 +30,7 @@ RULES: dict[str, int] = {
     "word_length": 4,
     "capitals": 5,
     "exclamations": 6,
+    "stutters": 7,
 }
 BASE = ("too_short", "repeated_windows")
 
@@ -55,10 +56,11 @@ def _predicates(m: Column) -> dict[str, Column]:
         "too_short": words < 20,
         "repeated_windows": 100 * m["n_repeat_words"] > 30 * words,
         "symbols": 10 * m["n_symbols"] > words,
-        "duplicate_lines": 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+        "duplicate_lines": 2 * m["n_dup_lines"] > m["n_lines"],
         "word_length": (m["word_chars"] < 2 * words) | (m["word_chars"] > 20 * words),
         "capitals": 2 * m["n_upper"] > m["n_letters"],
         "exclamations": 10 * m["n_bangs"] > 3 * words,
+        "stutters": 2 * m["n_stutters"] > words,
     }
 
 
@@ -106,6 +108,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         upper,
         upper + int(counts[97:123].sum()),
         int(counts[ord("!")]),
+        int((ids[1:] == ids[:-1]).sum()),
     )
 
 
