@@ -11,7 +11,7 @@ import os
 import re
 import zlib
 from array import array
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +23,77 @@ from .common import scratch_path, text_key
 
 END_ID = 2
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20),
 }
-#: Encoded units that a Python worker remembers at most.
+#: Encoded units that a Python worker remembers, in each of two generations.
 MEMO = 300_000
 
 # A single space between two non-spaces starts a token of its own, whatever surrounds it.
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_PUNCTUATION = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+# Marks of units: rest of a word from its comma or full stop on, line break, word at the start of a line.
+_STOP, _BREAK, _FIRST = "\x01", "\x02", "\x03"
+_CLASH = re.compile(r"[,.](?<![^\W_][,.])")
+
+
+def units(text: str) -> list[str]:
+    """A text cut where no token can lie across: at single spaces between non-spaces, which all units but the first have lost.
+
+    Where that is safe, commas and full stops after letters and digits, and single line breaks, start units too.
+    """
+    if _STOP in text or _BREAK in text or _FIRST in text:
+        return [text]
+    if any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES):
+        return _UNIT.split(text)
+    if not _CLASH.search(text):
+        finer = text.replace(",", f" {_STOP},").replace(".", f" {_STOP}.")
+        if not ("\n\n" in text or text[:1] == "\n" or text[-1:] == "\n"):
+            finer = finer.replace("\n", f" {_BREAK} {_FIRST}")
+        cut = finer.split(" ")
+        if "" not in cut:
+            return cut
+    cut = text.split(" ")
+    return _UNIT.split(text) if "" in cut else cut
+
+
+class _Memo(dict):
+    """Ids by unit; what is missing comes from the generation before, or else is made."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        self.make, self.older = make, older
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.make(unit)
+        self[unit] = ids
+        return ids
 
 
 class Encoder:
-    """Encodes texts with a ``tokenizers`` file, and remembers the ids of space-separated units.
+    """Encodes texts with a byte-level ``tokenizers`` file, and remembers the ids of what lies between spaces.
 
     Byte-level pre-tokenization never joins text across a single space between two
-    non-spaces, so the ids of a text are those of its units, each with its leading space.
+    non-spaces, nor from letters to punctuation, nor over the ends of a line break between non-spaces, so the ids
+    of a text are those of its :func:`units`.  A unit of letters alone is one word to the model.
     """
 
     def __init__(self, file: str, end_id: int = END_ID):
@@ -51,23 +102,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize = self.tokenizer.model.tokenize
         self.end = array("I", [end_id]).tobytes()
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo = _Memo(self._unit, {})
+        self.line_break = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, text: str, space: str) -> bytes:
+        """The ids of a text after ``space``, which is a space or nothing."""
+        if not text.isalpha():
+            core = text.rstrip(_PUNCTUATION)
+            if len(core) == len(text) or not core.isalpha():
+                return self._whole(space + text)
+            return self._word(core, space) + self._whole(text[len(core) :])
+        letters = text if text.isascii() else "".join(map(_LETTERS.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.tokenize(f"\u0120{letters}" if space else letters)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        mark = unit[0]
+        if mark > _FIRST:
+            return self._word(unit, " ")
+        if mark == _BREAK:
+            return self.line_break
+        return self._whole(unit[1:]) if mark == _STOP else self._word(unit[1:], "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        split = [_UNIT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+        split = [units(t) for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        heads = self._ids([u[0] for u in split])
-        rest = [u[1:] for u in split]
-        new = list(set(chain.from_iterable(rest)).difference(self.memo))
-        self.memo.update(zip(new, self._ids([" " + u for u in new]), strict=True))
-        known = self.memo.__getitem__
-        return [h + b"".join(map(known, r)) + self.end for h, r in zip(heads, rest, strict=True)]
+            self.memo.older = {}
+            self.memo = _Memo(self._unit, self.memo)
+        heads, get = [self._whole(u.pop(0)) for u in split], self.memo.__getitem__
+        return [h + b"".join(map(get, u)) + self.end for h, u in zip(heads, split, strict=True)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -83,7 +151,7 @@ def encoder(file: str, end_id: int) -> Encoder:
 def ids_column(text: Column, file: str, end_id: int = END_ID) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(batch: pa.Array) -> pa.Array:
-        out, step = [], 256
+        out, step = [], 512
         for at in range(0, len(batch), step):
             out += encoder(file, end_id).encode([x or "" for x in batch.slice(at, step).to_pylist()])
         ends = np.zeros(len(out) + 1, np.int32)
