@@ -61,11 +61,12 @@ def units(text: str) -> list[str]:
     """
     if _STOP in text or _BREAK in text or _FIRST in text:
         return [text]
-    if any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES):
+    spaces = [c for c in _SPACES if c in text]
+    if any(f" {c}" in text or f"{c} " in text for c in spaces):
         return _UNIT.split(text)
     if not _CLASH.search(text):
         finer = text.replace(",", f" {_STOP},").replace(".", f" {_STOP}.")
-        if not ("\n\n" in text or text[:1] == "\n" or text[-1:] == "\n"):
+        if spaces == ["\n"] and not ("\n\n" in text or text[:1] == "\n" or text[-1:] == "\n"):
             finer = finer.replace("\n", f" {_BREAK} {_FIRST}")
         cut = finer.split(" ")
         if "" not in cut:
