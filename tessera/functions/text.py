@@ -1,0 +1,332 @@
+"""Chunking, token estimates, and other functions of single texts."""
+
+from __future__ import annotations
+
+import json
+import re
+from datetime import UTC, datetime, timedelta
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+CHUNK_LINES = 50
+
+
+def token_estimate(text: Column, code: bool = False) -> Column:
+    """Characters over four for code and five for prose, rounded up."""
+    return F.ceil(F.length(F.coalesce(text, F.lit(""))) / (4 if code else 5))
+
+
+def fixed_chunks(files: DataFrame, key: str, text: str, lines: int = CHUNK_LINES) -> DataFrame:
+    """``key, line_start, line_end, content`` of every ``lines`` lines."""
+    ls = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    starts = F.sequence(F.lit(0), F.size("ls") - 1, F.lit(lines))
+    out = files.select(key, ls.alias("ls")).select(key, "ls", F.explode(starts).alias("s"))
+    return out.select(
+        key, (F.col("s") + 1).cast("long").alias("line_start"), F.least(F.col("s") + lines, F.size("ls")).cast("long").alias("line_end"), F.array_join(F.slice("ls", F.col("s") + 1, lines), "\n").alias("content")
+    )
+
+
+def line_dedup(files: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, content`` without lines that an earlier one equals but for case and outer spaces; blank lines stay."""
+    rows = files.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
+    norm = F.lower(F.trim("line"))
+    first = F.row_number().over(Window.partitionBy(key, "norm").orderBy("pos")) == 1
+    kept = rows.withColumn("norm", norm).withColumn("first", first).where((F.col("norm") == "") | F.col("first"))
+    return kept.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("content"))
+
+
+def basename(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(basename(path), r"\.([A-Za-z0-9]+)$", 1))
+
+
+def path_prefix(path: Column, segments: int = 2) -> Column:
+    return F.array_join(F.slice(F.split(path, "/"), 1, segments), "/")
+
+
+def markdown_sections(text: str | None) -> list[tuple[int, int, str, str]]:
+    """``line_start, line_end, breadcrumb, content`` by heading; headings in fenced blocks are text."""
+    lines = (text or "").split("\n")
+    out, trail, start, fence = [], [], 0, None
+
+    def close(end: int) -> None:
+        body = "\n".join(lines[start:end])
+        if body.strip():
+            out.append((start + 1, end, " > ".join(t for _, t in trail), body))
+
+    for i, line in enumerate(lines):
+        mark = re.match(r"\s*(```+|~~~+)", line)
+        if mark:
+            fence = None if fence and mark[1].startswith(fence) else fence or mark[1]
+        head = None if fence or mark else re.match(r"(#{1,6})\s+(.*)", line)
+        if head:
+            close(i)
+            trail = [(n, t) for n, t in trail if n < len(head[1])] + [(len(head[1]), head[2].strip())]
+            start = i
+    close(len(lines))
+    return out
+
+
+def json_paths(text: str | None) -> list[tuple[str, str]]:
+    """``path, value`` of every leaf; nothing for what is no JSON."""
+    try:
+        root = json.loads(text or "")
+    except ValueError:
+        return []
+    out, stack = [], [("", root)]
+    while stack:
+        at, v = stack.pop()
+        if isinstance(v, dict) and v:
+            stack += [(f"{at}.{k}" if at else k, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list) and v:
+            stack += [(f"{at}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
+        else:
+            out.append((at, v if isinstance(v, str) else json.dumps(v)))
+    return out
+
+
+class _Markdown(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.links, self.lists = [], 0, [], []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.hidden += 1
+        elif re.fullmatch("h[1-6]", tag):
+            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
+        elif tag in ("p", "div", "section", "article", "table", "blockquote", "pre"):
+            self.out.append("\n\n")
+        elif tag in ("br", "tr"):
+            self.out.append("\n")
+        elif tag in ("ul", "ol"):
+            self.lists.append([tag, 0])
+        elif tag == "li":
+            if self.lists:
+                self.lists[-1][1] += 1
+            self.out.append("\n" + (f"{self.lists[-1][1]}. " if self.lists and self.lists[-1][0] == "ol" else "- "))
+        elif tag in ("b", "strong"):
+            self.out.append("**")
+        elif tag in ("i", "em"):
+            self.out.append("*")
+        elif tag == "code":
+            self.out.append("`")
+        elif tag == "a":
+            self.links.append(dict(attrs).get("href") or "")
+            self.out.append("[")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.hidden = max(0, self.hidden - 1)
+        elif tag in ("b", "strong"):
+            self.out.append("**")
+        elif tag in ("i", "em"):
+            self.out.append("*")
+        elif tag == "code":
+            self.out.append("`")
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+        elif tag == "a" and self.links:
+            self.out.append(f"]({self.links.pop()})")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.out.append(re.sub(r"\s+", " ", data))
+
+
+def html_to_markdown(html: str | None) -> str:
+    parser = _Markdown()
+    parser.feed(html or "")
+    parser.close()
+    lines = [x.strip() for x in "".join(parser.out).split("\n")]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+
+
+_BOUNDARY = re.compile(r"^(?:export\s+|default\s+|public\s+|private\s+|static\s+|async\s+)*(?:function|class|interface|enum|type|def|func|fn|impl|struct|trait|module|namespace)\b")
+
+
+def code_chunks(text: str | None, overlap: int = 6, most: int = 120) -> list[tuple[int, int, str]]:
+    """``line_start, line_end, content``: cut before declarations at the left margin, with the lines before each as overlap."""
+    lines = (text or "").split("\n")
+    cuts = [0, *[i for i, x in enumerate(lines) if i and _BOUNDARY.match(x)], len(lines)]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for s in range(a, b, most):
+            e = min(b, s + most)
+            lo = max(0, s - overlap) if s else 0
+            if "".join(lines[s:e]).strip():
+                out.append((lo + 1, e, "\n".join(lines[lo:e])))
+    return out
+
+
+def chunk_of(path: str, text: str | None) -> list[tuple[int, int, str, str]]:
+    """``line_start, line_end, label, content`` by the kind of file."""
+    ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
+    if ext in ("md", "mdx"):
+        return markdown_sections(text)
+    if ext == "json":
+        try:
+            root = json.loads(text or "")
+        except ValueError:
+            root = None
+        if isinstance(root, dict) and len(root) >= 5:
+            return [(1, 1, k, json.dumps({k: v}, ensure_ascii=False)) for k, v in root.items()]
+    if ext in ("yaml", "yml"):
+        lines = (text or "").split("\n")
+        cuts = [i for i, x in enumerate(lines) if x.strip() == "---" or re.match(r"[\w\"'-]+\s*:", x)]
+        edges = [0, *[c for c in cuts if c], len(lines)]
+        return [(a + 1, b, lines[a].split(":")[0].strip(), "\n".join(lines[a:b])) for a, b in zip(edges, edges[1:], strict=False) if "".join(lines[a:b]).strip()]
+    if ext in ("ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "c", "cpp", "cs", "rb", "kt", "swift", "dart", "scala", "php"):
+        return [(a, b, "", c) for a, b, c in code_chunks(text)]
+    lines = (text or "").split("\n")
+    return [(a + 1, min(len(lines), a + CHUNK_LINES), "", "\n".join(lines[a : a + CHUNK_LINES])) for a in range(0, len(lines), CHUNK_LINES)]
+
+
+_CHUNKS = T.ArrayType(T.StructType([T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("label", T.StringType()), T.StructField("content", T.StringType())]))
+
+
+@F.arrow_udf(_CHUNKS)
+def chunks_column(path: pa.Array, text: pa.Array) -> pa.Array:
+    names = ("line_start", "line_end", "label", "content")
+    rows = [[dict(zip(names, c, strict=True)) for c in chunk_of(p.as_py() or "", t.as_py())] for p, t in zip(path, text, strict=True)]
+    kind = pa.list_(pa.struct([("line_start", pa.int64()), ("line_end", pa.int64()), ("label", pa.string()), ("content", pa.string())]))
+    return pa.array(rows, kind)
+
+
+def smart_chunks(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
+    """``key, line_start, line_end, label, content``: chunks by the kind of file that the path tells."""
+    return files.select(key, F.explode(chunks_column(path, text)).alias("c")).select(key, "c.*")
+
+
+@F.arrow_udf(T.StringType())
+def markdown_column(html: pa.Array) -> pa.Array:
+    return pa.array([html_to_markdown(x.as_py()) for x in html], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
+def json_paths_column(text: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
+    return pa.array([[{"path": p, "value": v} for p, v in json_paths(x.as_py())] for x in text], kind)
+
+
+def fnv1a(text: str | None) -> int:
+    h = 0x811C9DC5
+    for b in (text or "").encode():
+        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+    return h
+
+
+@F.arrow_udf(T.LongType())
+def fnv1a_column(text: pa.Array) -> pa.Array:
+    return pa.array([fnv1a(x.as_py()) for x in text], pa.int64())
+
+
+def _field(spec: str, low: int, high: int) -> set[int]:
+    out: set[int] = set()
+    for part in spec.split(","):
+        body, _, step = part.partition("/")
+        a, dash, b = body.partition("-")
+        first, last = (low, high) if body == "*" else (int(a), int(b) if dash else (high if step else int(a)))
+        out |= set(range(first, last + 1, int(step or 1)))
+    if not out or min(out) < low or max(out) > high:
+        raise ValueError(f"{spec} is out of range")
+    return out
+
+
+def next_run(cron: str, after: datetime) -> datetime:
+    """The next minute, in UTC, that a five-field schedule names; day of month and of week must both fit."""
+    minute, hour, day, month, weekday = (_field(s, a, b) for s, (a, b) in zip(cron.split(), ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7)), strict=True))
+    days = {d % 7 for d in weekday}
+    t = after.astimezone(UTC).replace(second=0, microsecond=0) + timedelta(minutes=1)
+    for _ in range(366 * 5):
+        if t.month in month and t.day in day and t.isoweekday() % 7 in days:
+            for h in sorted(h for h in hour if h >= t.hour):
+                for m in sorted(minute):
+                    if h > t.hour or m >= t.minute:
+                        return t.replace(hour=h, minute=m)
+        t = t.replace(hour=0, minute=0) + timedelta(days=1)
+    raise ValueError(f"{cron} never runs")
+
+
+# What votes for a language.
+LANGUAGES = {
+    "typescript": (r"\binterface\s+\w+", r":\s*(string|number|boolean)\b", r"\bimport\s+.*\s+from\s+"), "python": (r"\bdef\s+\w+\(", r"\bself\b", r"^\s*import\s+\w+"),
+    "go": (r"\bfunc\s+\w+\(", r"\bpackage\s+\w+", r":="), "rust": (r"\bfn\s+\w+", r"\blet\s+mut\b", r"\bimpl\b"), "java": (r"\bpublic\s+(class|static)\b", r"\bprivate\s+\w+", r"\bSystem\.out\b"), "sql": (r"(?i)\bselect\b.*\bfrom\b", r"(?i)\bcreate\s+table\b", r"(?i)\binsert\s+into\b"),
+}
+
+
+def language(text: Column) -> Column:
+    """The language with the most of its patterns in the text, ties to the first; ``unknown`` without any."""
+    votes = {n: sum((text.rlike(p).cast("int") for p in ps[1:]), text.rlike(ps[0]).cast("int")) for n, ps in LANGUAGES.items()}
+    top = F.greatest(*votes.values())
+    out = F.lit("unknown")
+    for n, v in reversed(votes.items()):
+        out = F.when((v == top) & (top > 0), n).otherwise(out)
+    return out
+
+
+# Categories of observations, in the order in which they are tried.
+CATEGORIES = (
+    ("error", r"(?i)\b(error|exception|failed|traceback|panic)\b"), ("test", r"(?i)\b(tests?|spec|assert|coverage)\b"), ("fix", r"(?i)\b(fix|fixed|bug|patch|hotfix)\b"), ("refactor", r"(?i)\b(refactor|rename|cleanup|extract)\b"),
+    ("decision", r"(?i)\b(decided?|decision|chose|trade-?off|rationale)\b"), ("build", r"(?i)\b(build|compile|bundle|lint)\b"), ("deploy", r"(?i)\b(deploy|release|rollback|ship)\b"), ("dependency", r"(?i)\b(install|upgrade|dependency|package)\b"),
+    ("database", r"(?i)\b(migration|schema|query|sql|index)\b"), ("security", r"(?i)\b(auth|token|secret|permission|vulnerab\w+)\b"), ("performance", r"(?i)\b(slow|latency|performance|optimi[sz]e|cache)\b"), ("docs", r"(?i)\b(readme|docs?|documentation|comment)\b"),
+    ("config", r"(?i)\b(config|setting|env|flag)\b"), ("git", r"(?i)\b(commit|branch|merge|rebase|pull request)\b"), ("question", r"\?\s*$"),
+)
+
+
+def category(text: Column) -> Column:
+    out = F.lit("general")
+    for n, p in reversed(CATEGORIES):
+        out = F.when(text.rlike(p), n).otherwise(out)
+    return out
+
+
+def call_kind(name: Column, literal: Column) -> Column:
+    """What a call is, from its name and first literal."""
+    return (
+        F.when(name.rlike(r"(?i)\.(emit|publish|dispatch)$"), "emit").when(name.rlike(r"(?i)\.(on|once|subscribe|addListener)$"), "listen")
+        .when(name.rlike(r"(?i)(^|\.)(fetch|axios|request)$|\.(get|post|put|patch|delete)$") & F.coalesce(literal, F.lit("")).rlike(r"^(https?:)?/"), "http_call").otherwise("call")
+    )
+
+
+def line_diff(reads: DataFrame, ref_cost: int = 8) -> DataFrame:
+    """Each read of a file in a session against the one before: ``state`` (new, unchanged, changed), lines that differ by position, and tokens saved by a reference.
+
+    Reads ``session, key, seq, content``.
+    """
+    before = F.lag("content").over(Window.partitionBy("session", "key").orderBy("seq"))
+    rows = reads.withColumn("before", before)
+    a, b = F.split(F.coalesce("before", F.lit("")), "\n", -1), F.split(F.coalesce("content", F.lit("")), "\n", -1)
+    differ = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
+    state = F.when(F.col("before").isNull(), "new").when(F.col("before") == F.col("content"), "unchanged").otherwise("changed")
+    saved = F.when(state == "unchanged", F.greatest(F.lit(0).cast("long"), token_estimate(F.col("content"), True) - ref_cost)).otherwise(0)
+    return rows.select("session", "key", "seq", state.alias("state"), F.when(state == "new", 0).otherwise(differ).cast("long").alias("lines"), saved.cast("long").alias("saved"))
+
+
+def signature_hash(text: Column) -> Column:
+    """SHA-256 of a signature with its white space collapsed."""
+    return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 256)
+
+
+def topics(path: Column) -> Column:
+    """Words of a path and its camel-case parts, at least three letters, each once in order, without common ones."""
+    stop = "src lib test tests spec index main ts tsx js jsx py rs go java dart".split()
+    parts = F.split(F.regexp_replace(path, r"(?=[A-Z])|[^A-Za-z0-9]+", " "), " +")
+    return F.array_distinct(F.filter(F.transform(parts, lambda w: F.lower(w)), lambda w: (F.length(w) >= 3) & ~w.isin(stop)))
+
+
+def compressed_code(text: str | None) -> str:
+    """The declarations of a source text, without bodies."""
+    return "\n".join(x.rstrip().removesuffix("{").rstrip() for x in (text or "").split("\n") if re.match(r"\s*(import|from|export|class|interface|enum|type|def|func|fn|function|struct|impl|trait|async def|public|private|protected)\b", x))
+
+
+@F.arrow_udf(T.StringType())
+def compressed_column(text: pa.Array) -> pa.Array:
+    return pa.array([compressed_code(x.as_py()) for x in text], pa.string())

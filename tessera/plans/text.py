@@ -1,0 +1,94 @@
+"""Queries on single texts: chunks, estimates, hashes and classes."""
+
+from __future__ import annotations
+
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import text
+from tessera.plans.registry import Tables, query
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), s AS (SELECT doc_id, ls, unnest(range(0, len(ls), 50)) AS s FROM l)
+    SELECT doc_id, s + 1 AS line_start, least(s + 50, len(ls)) AS line_end, array_to_string(ls[s + 1 : s + 50], chr(10)) AS content FROM s"""
+)
+def fixed_chunks(t: Tables) -> DataFrame:
+    return text.fixed_chunks(t.documents, "doc_id", "text")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    n AS (SELECT *, lower(trim(line)) AS norm, row_number() OVER (PARTITION BY doc_id, lower(trim(line)) ORDER BY pos) AS k FROM l)
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS content FROM n WHERE norm = '' OR k = 1 GROUP BY doc_id"""
+)
+def line_dedup(t: Tables) -> DataFrame:
+    return text.line_dedup(t.documents, "doc_id", "text")
+
+
+@query("SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 5) AS BIGINT) AS prose, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS code FROM documents")
+def token_estimate(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.token_estimate(F.col("text")).alias("prose"), text.token_estimate(F.col("text"), True).alias("code"))
+
+
+@query("SELECT page_id, list_last(string_split(url, '/')) AS base, array_to_string(string_split(url, '/')[1:3], '/') AS prefix FROM pages")
+def path_parts(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", text.basename(F.col("url")).alias("base"), text.path_prefix(F.col("url"), 3).alias("prefix"))
+
+
+@query()
+def markdown_chunks(t: Tables) -> DataFrame:
+    md = t.pages.select("page_id", F.lit("page.md").alias("path"), text.markdown_column("html").alias("md"))
+    return text.smart_chunks(md, "page_id", "path", "md")
+
+
+@query()
+def html_to_markdown(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", text.markdown_column("html").alias("markdown"))
+
+
+@query("SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_keypaths(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.explode(text.json_paths_column("props")).alias("p")).select("event_id", "p.path", "p.value")
+
+
+@query()
+def fnv1a_hash(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", text.fnv1a_column("p_name").alias("hash"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS hash FROM documents")
+def signature_hash(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.signature_hash(F.col("text")).alias("hash"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b(error|exception|failed|traceback|panic)\\b') THEN 'error' WHEN regexp_matches(text, '(?i)\\b(tests?|spec|assert|coverage)\\b') THEN 'test'
+      WHEN regexp_matches(text, '(?i)\\b(fix|fixed|bug|patch|hotfix)\\b') THEN 'fix' WHEN regexp_matches(text, '(?i)\\b(refactor|rename|cleanup|extract)\\b') THEN 'refactor' WHEN regexp_matches(text, '\\?\\s*$') THEN 'question' ELSE 'general' END AS category FROM conversations"""
+)
+def observation_category(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", text.category(F.col("text")).alias("category"))
+
+
+@query(
+    """WITH r AS (SELECT user_id AS session, event_type AS key, event_id AS seq, props AS content, lag(props) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events)
+    SELECT session, key, seq, CASE WHEN before IS NULL THEN 'new' WHEN before = content THEN 'unchanged' ELSE 'changed' END AS state, CASE WHEN before IS NULL OR before = content THEN 0 ELSE 1 END AS lines,
+      CASE WHEN before = content THEN greatest(0, CAST(ceil(length(content) / 4) AS BIGINT) - 8) ELSE 0 END AS saved FROM r"""
+)
+def line_diff(t: Tables) -> DataFrame:
+    return text.line_diff(t.events.select(F.col("user_id").alias("session"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.col("props").alias("content")))
+
+
+@query("SELECT doc_id, 'unknown' AS language FROM documents WHERE NOT regexp_matches(text, '(?i)select|create|insert|:=|fn |func|package|impl|def|self|import|interface|public|private|: *(string|number|boolean)|let')")
+def language_votes(t: Tables) -> DataFrame:
+    plain = ~F.col("text").rlike("(?i)select|create|insert|:=|fn |func|package|impl|def|self|import|interface|public|private|: *(string|number|boolean)|let")
+    return t.documents.where(plain).select("doc_id", text.language(F.col("text")).alias("language"))
+
+
+@query("SELECT TIMESTAMP '2024-02-29 06:30:00' AS at, '30 6 29 2 *' AS cron UNION ALL SELECT TIMESTAMP '2024-01-01 00:05:00', '*/5 * * * *' UNION ALL SELECT TIMESTAMP '2024-09-13 12:00:00', '0 12 13 * 5'")
+def next_runs(t: Tables) -> DataFrame:
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    rows = [(text.next_run(c, start).replace(tzinfo=None), c) for c in ("30 6 29 2 *", "*/5 * * * *", "0 12 13 * 5")]
+    return t.spark.createDataFrame(rows, "at timestamp_ntz, cron string")

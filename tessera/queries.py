@@ -1,4 +1,4 @@
-"""Queries over the generated tables, one for each operator, with their SQL."""
+"""Queries over the generated tables, one or more for each operator, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from tessera.plans import analytics, events, graphs, lexical, memory, ranking, tables, text, vectors  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL, Tables
+
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
