@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 #: Rows that one bucket of a source holds on average at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def word_count(text: Column) -> Column:
