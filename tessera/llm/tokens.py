@@ -11,13 +11,12 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import scratch_path, text_key
 
@@ -31,7 +30,7 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(32 << 20),
 }
 #: Encoded units that a Python worker remembers, in each of two generations.
-MEMO = 300_000
+MEMO = 400_000
 
 # A single space between two non-spaces starts a token of its own, whatever surrounds it.
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
@@ -103,6 +102,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.little = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.tokenize = self.tokenizer.model.tokenize
         self.end = array("I", [end_id]).tobytes()
         self.memo = _Memo(self._unit, {})
@@ -119,7 +119,7 @@ class Encoder:
                 return self._whole(space + text)
             return self._word(core, space) + self._whole(text[len(core) :])
         letters = text if text.isascii() else "".join(map(_LETTERS.__getitem__, text.encode()))
-        return array("I", [t.id for t in self.tokenize(f"\u0120{letters}" if space else letters)]).tobytes()
+        return b"".join([self.little[t.id] for t in self.tokenize(f"\u0120{letters}" if space else letters)])
 
     def _unit(self, unit: str) -> bytes:
         mark = unit[0]
@@ -149,31 +149,27 @@ def encoder(file: str, end_id: int) -> Encoder:
     return _encoders[file, end_id]
 
 
-def ids_column(text: Column, file: str, end_id: int = END_ID) -> Column:
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def run(batch: pa.Array) -> pa.Array:
-        out, step = [], 512
-        for at in range(0, len(batch), step):
-            out += encoder(file, end_id).encode([x or "" for x in batch.slice(at, step).to_pylist()])
-        ends = np.zeros(len(out) + 1, np.int32)
-        np.cumsum([len(x) // 4 for x in out], out=ends[1:])
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
-
-    return run(text)
-
-
 def write_tokens(docs: DataFrame, path: str, file: str, end_id: int = END_ID) -> None:
-    """Write ``shard, doc_id, n_tokens, ids`` in ascending order of doc_id, nulls first.
+    """Write ``shard, doc_id, k, n_tokens, ids`` in ascending order of doc_id, nulls first.
 
     ``shard`` numbers the files by their range.  Rows with one doc_id follow in the order
-    of a hash of their texts; null texts are empty.
+    of ``k``, a hash of their texts; null texts are empty.
     """
-    rows = docs.select("doc_id", "text", text_key().alias("k"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.slice(at, 1024)
+                out = encoder(file, end_id).encode([x or "" for x in b.column("text").to_pylist()])
+                sizes = np.array([len(x) // 4 for x in out], np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
+                yield pa.record_batch([b.column("doc_id"), b.column("k"), pa.array(sizes), ids], ["doc_id", "k", "n_tokens", "ids"])
+
+    rows = docs.select("doc_id", text_key().alias("k"), "text")
     ordered = rows.repartitionByRange("doc_id", "k").sortWithinPartitions("doc_id", "k")
-    encoded = ordered.select("doc_id", "k", ids_column(F.col("text"), file, end_id).alias("ids"))
-    encoded.select(
-        F.spark_partition_id().alias("shard"), "doc_id", "k", F.size("ids").cast("long").alias("n_tokens"), "ids"
-    ).write.options(**ORC_OPTIONS).orc(path)
+    encoded = ordered.mapInArrow(encode, "doc_id long, k long, n_tokens long, ids array<int>")
+    encoded.select(F.spark_partition_id().alias("shard"), "*").write.options(**ORC_OPTIONS).orc(path)
 
 
 SCHEMA = "shard int, doc_id long, k long, n_tokens long, ids array<int>"
@@ -188,12 +184,14 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return read_tokens(spark, path).where(F.col("doc_id").isin(doc_ids))
 
 
-@F.arrow_udf(T.LongType())
-def crc32(ids: pa.Array) -> pa.Array:
-    """Unsigned CRC-32 of each list as little-endian 32-bit integers."""
-    values = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
-    ends = ids.offsets.to_numpy() * 4
-    return pa.array([zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and unsigned CRC-32s of lists of ids as little-endian 32-bit integers."""
+    for b in batches:
+        ids = b.column("ids")
+        values = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+        ends = ids.offsets.to_numpy().astype(np.int64) * 4
+        crcs = [zlib.crc32(values[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.record_batch([b.column("shard"), b.column("doc_id"), b.column("k"), pa.array(np.diff(ends) // 4), pa.array(crcs, pa.int64())], ["shard", "doc_id", "k", "n_tokens", "ids_crc32"])
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +204,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select(
         F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
-    rows = files.select("shard", "doc_id", "k", F.size("ids").cast("long").alias("n_tokens"), crc32("ids").alias("ids_crc32"))
+    rows = files.select("shard", "doc_id", "k", "ids").mapInArrow(_digest, "shard int, doc_id long, k long, n_tokens long, ids_crc32 long")
     ahead = Window.partitionBy("shard").orderBy("doc_id", "k").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
