@@ -171,3 +171,17 @@ def op4_quality(docs: DataFrame, policy: Policy | str = "v1") -> DataFrame:
         ledger(docs.select("doc_id", "text"))
         .select("doc_id", "measures.*", "fail_bits", (~verdict(base)).alias("base_failed"), (verdict(base) & verdict(policy)).alias("kept"))
     )
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, unnest(range(len(ws) - 7)) AS i, unnest(list_transform(range(len(ws) - 7), lambda k: array_to_string(ws[k + 1 : k + 8], ' '))) AS win FROM w WHERE len(ws) >= 8),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM i) WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, ws, text FROM w),
+m AS (SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_upper,
+  CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS BIGINT) AS n_letters, CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS n_bangs, CAST(len(list_filter(range(1, len(ws)), lambda k: ws[k] = ws[k + 1])) AS BIGINT) AS n_stutters FROM l LEFT JOIN r ON r.doc_id = l.doc_id),
+b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
+  + 32 * (2 * n_upper > n_letters)::INT + 64 * (10 * n_bangs > 3 * n_words)::INT + 128 * (2 * n_stutters > n_words)::INT AS BIGINT) AS fail_bits FROM m)
+SELECT *, fail_bits & 3 > 0 AS base_failed, fail_bits = 0 AS kept FROM b
+"""

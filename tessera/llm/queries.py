@@ -35,4 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op7_chat": chat.OP7_SQL, "op10_lines": line_dedup.OP10_SQL}
+    return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
+        "op3_warc": warc.OP3_SQL,
+        "op4_quality": quality.OP4_SQL,
+        "op7_chat": chat.OP7_SQL,
+        "op10_lines": line_dedup.OP10_SQL,
+    }

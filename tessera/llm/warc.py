@@ -223,3 +223,13 @@ def op3_warc(pages: DataFrame) -> DataFrame:
     out = responses.unionByName(revisits.select("page_id", "kind", "refers_to", "digest", F.col("_b").alias("bytes"), F.col("_s").alias("sha1")))
     return out.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, sha1(html) AS hex FROM p), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+g AS (SELECT page_id, html, list_transform(range(8), lambda i: CAST('0x' || hex[i * 5 + 1 : i * 5 + 5] AS BIGINT)) AS v FROM d)
+SELECT page_id, strlen(g.html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[j // 4 + 1] >> CAST(15 - j % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g JOIN f ON g.html = f.html
+"""
