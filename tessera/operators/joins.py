@@ -114,9 +114,12 @@ def active_only(rows: DataFrame, active: DataFrame) -> DataFrame:
 
 def invalidated(cache: DataFrame, changed: list[str]) -> DataFrame:
     """Cached searches none of whose results are in a changed file."""
+    def within(part: str) -> Column:
+        return F.exists("files", lambda f: F.contains(f, F.lit(part)))
+
     hit = F.lit(False)
     for c in changed:
-        hit = hit | F.exists("files", lambda f, c=c: F.contains(f, F.lit(c)))
+        hit = hit | within(c)
     return cache.where(~hit)
 
 
