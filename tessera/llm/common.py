@@ -75,3 +75,11 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores before them until no column of ``df`` has them, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

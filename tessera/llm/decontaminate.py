@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, stored, text_key
+from .common import ascii_lower, bounded, fresh, stored, text_key
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -77,9 +77,9 @@ def _intersect(need: DataFrame, postings: DataFrame) -> DataFrame:
 
 def phrase_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """``wid, len, doc_id, k, start`` of every occurrence of a window, each once."""
-    counts = postings.where(F.col("term") > 0).groupBy("term").agg(F.count("*").alias("n"))
+    counts = stored(postings.where(F.col("term") > 0).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
     ranked = stored(
-        terms.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        terms.join(bounded(counts, BROADCAST_ROWS), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("n", "off")))
         .withColumn("rarest", F.min("n").over(Window.partitionBy("wid"))).where("rarest > 0"),
         "ranked-terms",
@@ -159,10 +159,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_ite
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns as they are."""
-    bad = contamination(docs, items, size, min_items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).distinct()
-    rows = docs.withColumn("_text", text_key())
-    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_d"]) & (rows["_text"] == bad["_k"]), "left_anti").drop("_text")
+    """The rows of ``docs`` that are not contaminated; columns of any name pass through."""
+    id_, key, own = fresh(docs, "_id", "_key", "_own")
+    bad = contamination(docs, items, size, min_items).where("contaminated").select(F.col("doc_id").alias(id_), F.col("k").alias(key)).distinct()
+    rows = docs.withColumn(own, text_key())
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left_anti").drop(own)
 
 
 def op1_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

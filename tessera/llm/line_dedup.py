@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, stored, text_key
+from .common import BLANKS, ascii_lower, fresh, stored, text_key
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -96,14 +96,14 @@ def deduplicated(docs: DataFrame, **limits) -> DataFrame:
     are treated alike.  With null ids the largest non-null id keeps a line, and if all are null
     every one of them does.  Columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
-    maps = keep_bitmaps(docs, **limits).select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("n_dropped").alias("_n"), F.col("bitmap").alias("_b"))
-    rows = docs.withColumn("_text", text_key())
-    out = rows.join(maps, rows["doc_id"].eqNullSafe(maps["_d"]) & (rows["_text"] == maps["_k"]), "left")
+    id_, key, own, lost, bitmap = fresh(docs, "_id", "_key", "_own", "_lost", "_bitmap")
+    maps = keep_bitmaps(docs, **limits).select(F.col("doc_id").alias(id_), F.col("k").alias(key), F.col("n_dropped").alias(lost), F.col("bitmap").alias(bitmap))
+    out = docs.withColumn(own, text_key()).join(maps, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
     lines = split_lines(F.col("text"))
     return (
-        out.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce("_n", F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_b").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines(lines, F.col("_b")), "\n")))
-        .drop("_text", "_d", "_k", "_n", "_b")
+        out.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(lost, F.lit(0)).cast("long"))
+        .withColumn("text", F.when(F.col(bitmap).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines(lines, F.col(bitmap)), "\n")))
+        .drop(id_, key, own, lost, bitmap)
     )
 
 

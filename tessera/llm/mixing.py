@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_key
+from .common import fresh, stored, text_key
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -142,14 +142,15 @@ def mix(docs: DataFrame, **shares) -> DataFrame:
 
 def mixed(docs: DataFrame, **shares) -> DataFrame:
     """The mix itself: the rows of ``docs`` that are taken, as often as they are taken,
-    range-sorted by virtual finish time."""
+    range-sorted by virtual finish time.  Columns of any name pass through."""
+    id_, key, own, first, again, times, nth, at = fresh(docs, "_id", "_key", "_own", "_first", "_again", "_times", "_nth", "_at")
     picked = mix(docs, **shares).where(F.col("taken") > 0).select(
-        F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "first", (F.col("source_size") / F.col("target")).alias("again"), (F.col("taken") / F.col("size")).cast("int").alias("times")
-    ).dropDuplicates(["_d", "_k"])
-    rows = docs.withColumn("_text", text_key())
-    out = rows.join(picked, rows["doc_id"].eqNullSafe(picked["_d"]) & (rows["_text"] == picked["_k"]))
-    out = out.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumn("_at", F.col("first") + F.col("_pass") * F.col("again"))
-    return out.repartitionByRange("_at").sortWithinPartitions("_at").select(*[docs[c] for c in docs.columns])
+        F.col("doc_id").alias(id_), F.col("k").alias(key), F.col("first").alias(first), (F.col("source_size") / F.col("target")).alias(again),
+        (F.col("taken") / F.col("size")).cast("int").alias(times),
+    ).dropDuplicates([id_, key])
+    out = docs.withColumn(own, text_key()).join(picked, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)))
+    out = out.withColumn(nth, F.explode(F.sequence(F.lit(0), F.col(times) - 1))).withColumn(at, F.col(first) + F.col(nth) * F.col(again))
+    return out.repartitionByRange(at).sortWithinPartitions(at).drop(id_, key, own, first, again, times, nth, at)
 
 
 def op5_mix(docs: DataFrame) -> DataFrame:

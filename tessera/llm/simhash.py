@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, stored, text_key
+from .common import LOWER, UPPER, fresh, stored, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -236,11 +236,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document of each group alone; of repeated rows, one."""
-    best = classes(docs).select(F.col("best.doc_id").alias("_d"), F.col("best.k").alias("_k")).distinct()
-    rows = docs.withColumn("_text", text_key())
-    found = rows.join(best, rows["doc_id"].eqNullSafe(best["_d"]) & (rows["_text"] == best["_k"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """``docs`` with the first document of each group alone; of repeated rows, one.  Columns of any name pass through."""
+    id_, key, own = fresh(docs, "_id", "_key", "_own")
+    best = classes(docs).select(F.col("best.doc_id").alias(id_), F.col("best.k").alias(key)).distinct()
+    found = docs.withColumn(own, text_key()).join(best, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:

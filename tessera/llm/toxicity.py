@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import fresh, stored
 
 #: Labelled documents that are fitted on, the first by a hash of their ids.
 MAX_LABELLED = 20_000
@@ -186,8 +186,9 @@ def graded(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
     """
     if model is None:
         return docs.withColumns({"severity": F.lit(0.0), "p_toxic": F.lit(0.0), "grade": F.lit(0).cast("long"), "toxic": F.lit(False)})
-    out = docs.withColumn("_g", grades_column(F.col("text"), model))
-    return out.withColumns({n: F.col(f"_g.{n}") for n in _GRADES.names}).withColumn("toxic", F.col("p_toxic") >= threshold).drop("_g")
+    (g,) = fresh(docs, "_grades")
+    out = docs.withColumn(g, grades_column(F.col("text"), model))
+    return out.withColumns({n: F.col(f"{g}.{n}") for n in _GRADES.names}).withColumn("toxic", F.col("p_toxic") >= threshold).drop(g)
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

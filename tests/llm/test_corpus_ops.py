@@ -17,7 +17,7 @@ from tessera.llm import chat, decontaminate, line_dedup, mixing, quality, secret
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 BLANK = r"[\x20\x09-\x0D]"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, _text string, n_words long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, _ID string, n_words long"
 
 
 def low(s):
@@ -378,3 +378,9 @@ def test_ordinal_gradient():
     rows, cols = np.nonzero(x)
     w, theta = toxicity.fit_ordinal(rows, cols, y, 6)
     assert np.abs(w - true).max() < 0.8 and theta[0] < theta[1] and abs(theta[1] - theta[0] - 2) < 0.7
+
+
+def test_clashing_columns_pass_through(docs, items):
+    for out in (mixing.mixed(docs), simhash.one_of_each(docs), decontaminate.decontaminated(docs, items), line_dedup.deduplicated(docs).drop("n_lines", "n_dropped"), secrets.redacted(docs)):
+        assert out.columns == docs.columns
+        assert {(r["k"], r["_ID"]) for r in out.collect()} == {("x", "y")}
