@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(32 << 20),
 }
 #: Encoded units that a Python worker remembers, in each of two generations.
-MEMO = 250_000
+MEMO = 220_000
+#: Documents that are encoded together.
+BATCH = 4096
 
 # A single space between two non-spaces starts a token of its own, whatever surrounds it.
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
@@ -48,30 +51,27 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-# Marks of units: rest of a word from its comma or full stop on, line break, word at the start of a line.
-_STOP, _BREAK, _FIRST = "\x01", "\x02", "\x03"
+# Marks of units: rest of a word from its comma or full stop on, line break, word at the start of a line,
+# start of a text, end of a text, and a whole text; and what separates units.
+_STOP, _BREAK, _FIRST, _HEAD, _END, _WHOLE, _NEXT = map(chr, range(1, 8))
+_MARKS = (_STOP, _BREAK, _FIRST, _HEAD, _END, _WHOLE, _NEXT)
 _CLASH = re.compile(r"[,.](?<![^\W_][,.])")
 
 
-def units(text: str) -> list[str]:
-    """A text cut where no token can lie across: at single spaces between non-spaces, which all units but the first have lost.
+def units(text: str) -> str:
+    """A text with ``_NEXT`` where no token can lie across: for single spaces between non-spaces, which all units but the first lose.
 
     Where that is safe, commas and full stops after letters and digits, and single line breaks, start units too.
     """
-    if _STOP in text or _BREAK in text or _FIRST in text:
-        return [text]
     spaces = [c for c in _SPACES if c in text]
-    if any(f" {c}" in text or f"{c} " in text for c in spaces):
-        return _UNIT.split(text)
+    if text[:1] == " " or text[-1:] == " " or "  " in text or any(f" {c}" in text or f"{c} " in text for c in spaces):
+        return _NEXT.join(_UNIT.split(text))
+    text = text.replace(" ", _NEXT)
     if not _CLASH.search(text):
-        finer = text.replace(",", f" {_STOP},").replace(".", f" {_STOP}.")
+        text = text.replace(",", f"{_NEXT}{_STOP},").replace(".", f"{_NEXT}{_STOP}.")
         if spaces == ["\n"] and not ("\n\n" in text or text[:1] == "\n" or text[-1:] == "\n"):
-            finer = finer.replace("\n", f" {_BREAK} {_FIRST}")
-        cut = finer.split(" ")
-        if "" not in cut:
-            return cut
-    cut = text.split(" ")
-    return _UNIT.split(text) if "" in cut else cut
+            text = text.replace("\n", f"{_NEXT}{_BREAK}{_NEXT}{_FIRST}")
+    return text
 
 
 class _Memo(dict):
@@ -122,21 +122,44 @@ class Encoder:
         return b"".join([self.little[t.id] for t in self.tokenize(f"\u0120{letters}" if space else letters)])
 
     def _unit(self, unit: str) -> bytes:
-        mark = unit[0]
-        if mark > _FIRST:
+        mark = unit[:1]
+        if mark > _WHOLE or not mark:
             return self._word(unit, " ")
         if mark == _BREAK:
             return self.line_break
-        return self._whole(unit[1:]) if mark == _STOP else self._word(unit[1:], "")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, with the end id."""
-        split = [units(t) for t in texts]
+        if mark == _END:
+            return self.end
+        return self._word(unit[1:], "") if mark == _FIRST else self._whole(unit[1:])
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text, with the end id.
+
+        Units are told apart and put together again in columns; Python sees each different unit of the texts once.
+        """
+        odd: dict[str, bytes] = {}
+        rows = []
+        for n, text in enumerate(texts):
+            if any(m in text for m in _MARKS):  # such a text is one unit, named by its place
+                odd[f"{_WHOLE}{n}"] = self._whole(text)
+                rows.append(f"{_WHOLE}{n}{_NEXT}{_END}")
+            else:
+                rows.append(f"{_HEAD}{units(text)}{_NEXT}{_END}")
+        lists = pc.split_pattern(pa.array(rows, pa.string()), _NEXT)
+        coded = lists.flatten().dictionary_encode()
         if len(self.memo) > MEMO:
             self.memo.older = {}
             self.memo = _Memo(self._unit, self.memo)
-        heads, get = [self._whole(u.pop(0)) for u in split], self.memo.__getitem__
-        return [h + b"".join(map(get, u)) + self.end for h, u in zip(heads, split, strict=True)]
+        different, memo = coded.dictionary.to_pylist(), self.memo
+        ids = [odd[u] if u[:1] == _WHOLE else memo[u] for u in different] if odd else list(map(memo.__getitem__, different))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = _lists(sizes, b"".join(ids))
+        each = np.add.reduceat(sizes[coded.indices.to_numpy()], lists.offsets.to_numpy()[:-1]) if len(texts) else np.empty(0, np.int64)
+        return _lists(each, table.take(coded.indices).flatten())
+
+
+def _lists(sizes: np.ndarray, values: bytes | pa.Array) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(values, np.int32)) if isinstance(values, bytes) else values)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -158,13 +181,10 @@ def write_tokens(docs: DataFrame, path: str, file: str, end_id: int = END_ID) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                b = whole.slice(at, 1024)
-                out = encoder(file, end_id).encode([x or "" for x in b.column("text").to_pylist()])
-                sizes = np.array([len(x) // 4 for x in out], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
-                yield pa.record_batch([b.column("doc_id"), b.column("k"), pa.array(sizes), ids], ["doc_id", "k", "n_tokens", "ids"])
+            for at in range(0, len(whole), BATCH):
+                b = whole.slice(at, BATCH)
+                ids = encoder(file, end_id).encode([x or "" for x in b.column("text").to_pylist()])
+                yield pa.record_batch([b.column("doc_id"), b.column("k"), ids.value_lengths().cast(pa.int64()), ids], ["doc_id", "k", "n_tokens", "ids"])
 
     rows = docs.select("doc_id", text_key().alias("k"), "text")
     ordered = rows.repartitionByRange("doc_id", "k").sortWithinPartitions("doc_id", "k")
