@@ -79,7 +79,7 @@ def upserted(table: DataFrame, changes: DataFrame, id_: str) -> DataFrame:
 def merged_edges(edges: DataFrame) -> DataFrame:
     """One edge for each ends and type: the largest weight, and the last evidence that is not null; loops go."""
     return edges.where("from_id <> to_id").groupBy("from_id", "to_id", "edge_type").agg(
-        F.max("weight").alias("weight"), F.max_by("evidence", F.when(F.col("evidence").isNotNull(), F.col("seq"))).alias("evidence")
+        F.max("weight").alias("weight"), F.max(F.when(F.col("evidence").isNotNull(), F.struct("seq", "evidence")))["evidence"].alias("evidence")
     )
 
 

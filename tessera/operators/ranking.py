@@ -99,7 +99,7 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 
 def explained(hits: DataFrame) -> DataFrame:
     """Hits with a sentence on how their score came about."""
-    pct = lambda c: F.format_string("%.1f%%", 100 * F.coalesce(c, F.lit(0.0)))
+    pct = lambda c: F.concat(F.round(100 * F.coalesce(c, F.lit(0.0)), 1).cast("string"), F.lit("%"))
     return hits.withColumn("explanation", F.concat(F.lit("score "), pct(F.col("score")), F.lit(": vector "), pct(F.col("vector_score")), F.lit(", keyword "), pct(F.col("keyword_score"))))
 
 

@@ -13,6 +13,8 @@ from tessera.functions import vectors as V
 
 #: Query vectors that are shipped to every task at most.
 MAX_QUERIES = 10_000
+#: Rows of a block that are compared in one task, with as many others.
+TILE = 4096
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
@@ -64,16 +66,33 @@ def two_phase(query: Column, corpus: DataFrame, k: int, size: int, item_id: str
     return near.select(item_id, "distance", F.round(V.clamp01(V.cosine(F.col(vector), query)), 6).alias("score")).orderBy(F.col("score").desc(), item_id).limit(k)
 
 
-def similar_pairs(items: DataFrame, block: str, threshold: float, item_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``a < b`` of one block whose cosine is at least ``threshold``.
+def similar_pairs(items: DataFrame, block: str, threshold: float, item_id: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """``a < b`` of one block whose cosine is at least ``threshold``, with ``score``.
 
-    The join is on the block, so a block's pairs are compared in full: use a block that bounds its size.
+    A block of more than ``TILE`` rows is dealt into tiles and every two tiles meet in one task, where a
+    matrix product compares them; only the pairs that qualify leave it.  So no task holds more than two tiles, however
+    large a block is.  Null and zero vectors, and null ids or blocks, are in no pair.
     """
-    unit = items.select(F.col(item_id), F.col(block), F.transform(V.as_double(F.col(vector)), lambda x: x).alias("v")).withColumn("n", V.norm(F.col("v")))
-    a, b = unit.alias("a"), unit.alias("b")
-    score = V.dot(F.col("a.v"), F.col("b.v")) / (F.col("a.n") * F.col("b.n"))
-    pairs = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col(f"a.{item_id}") < F.col(f"b.{item_id}")))
-    return pairs.select(F.col(f"a.{block}"), F.col(f"a.{item_id}").alias("a"), F.col(f"b.{item_id}").alias("b"), F.round(score, 6).alias("score")).where(F.col("score") >= threshold)
+    kind = dict(items.dtypes)[block]
+    rows = items.select(F.col(block).alias("block"), F.col(item_id).cast("long").alias("id"), F.col(vector).alias("v")).where("block is not null and id is not null")
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    dealt = rows.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda j: F.struct(F.least(F.col("tile"), j).alias("lo"), F.greatest(F.col("tile"), j).alias("hi")))
+    placed = dealt.select("block", "id", "v", "tile", F.explode(meets).alias("m")).select("block", "id", "v", "tile", "m.lo", "m.hi")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, tile = table["id"].to_numpy(), table["tile"].to_numpy()
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        size = max(table["v"].combine_chunks().value_lengths().fill_null(0).to_pylist(), default=0)
+        unit = matrix(table["v"], size)
+        left, right = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+        score = np.round(unit[left] @ unit[right].T, digits)
+        x, y = np.nonzero((score >= threshold) & (ids[left][:, None] < ids[right][None, :] if lo == hi else ids[left][:, None] != ids[right][None, :]))
+        p, q = ids[left][x], ids[right][y]
+        named = pa.repeat(table["block"][0], len(x))
+        return pa.table({block: named, "a": np.minimum(p, q), "b": np.maximum(p, q), "score": score[x, y]})
+
+    return placed.groupBy("block", "lo", "hi").applyInArrow(compare, f"{block} {kind}, a long, b long, score double")
 
 
 def weighted_hybrid(streams: list[tuple[DataFrame, float]], item_id: str = "id") -> DataFrame:

@@ -16,12 +16,12 @@ class Tables:
     """The Parquet tables of a folder, as attributes."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

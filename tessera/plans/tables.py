@@ -121,7 +121,7 @@ def latest_wins(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT l_suppkey % 40 AS from_id, l_partkey % 40 AS to_id, l_returnflag AS edge_type, max(l_quantity) AS weight, arg_max(CASE WHEN l_tax > 0.02 THEN l_linestatus END, CASE WHEN l_tax > 0.02 THEN l_orderkey * 10 + l_linenumber END) AS evidence
+    """SELECT l_suppkey % 40 AS from_id, l_partkey % 40 AS to_id, l_returnflag AS edge_type, max(l_quantity) AS weight, max(CASE WHEN l_tax > 0.02 THEN {'s': l_orderkey * 10 + l_linenumber, 'e': l_linestatus} END).e AS evidence
     FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 GROUP BY ALL"""
 )
 def edge_upsert_merge(t: Tables) -> DataFrame:

@@ -8,15 +8,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
-def event_stream(spark, folder: str, schema, files_per_trigger: int = 10) -> DataFrame:
-    """A bounded-rate stream of Parquet files, with ``ts`` as TIMESTAMP."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 10) -> DataFrame:
+    """A bounded-rate stream of Parquet files, with ``ts`` as TIMESTAMP; ``path`` is a folder, or one file in a folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        path, _, name = path.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def ttl_dedup(events: DataFrame, key: str, ttl_seconds: int = 60, late: str = "10 minutes") -> DataFrame:

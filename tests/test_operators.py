@@ -45,6 +45,22 @@ def test_knn_edges(spark):
     assert {r.vec_id: r.c for r in c.collect()}[2] == 0.0
 
 
+def test_similar_pairs_in_tiles(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, i % 2 if i else None, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(120)]
+    items = spark.createDataFrame(rows, "vec_id long, g long, embedding array<float>")
+    want = set()
+    for i, g, u in rows:
+        for j, h, v in rows:
+            nu, nv = sum(x * x for x in u) ** 0.5, sum(x * x for x in v) ** 0.5
+            if i < j and g == h and g is not None and nu and nv and sum(x * y for x, y in zip(u, v, strict=True)) / nu / nv >= 0.99:
+                want.add((g, i, j))
+    for tile in (4096, 16):
+        monkeypatch.setattr(vector, "TILE", tile)
+        got = [(r.g, r.a, r.b) for r in vector.similar_pairs(items, "g", 0.99).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def digraph(rng, n, m):
     return [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
 
