@@ -72,7 +72,7 @@ def duplicate_keep_rule(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PAIRS}, x AS (SELECT a, b, score, CASE WHEN a % 2 = 0 THEN 'code' ELSE 'decision' END AS old_type, CASE WHEN b % 2 = 0 THEN 'code' ELSE 'decision' END AS new_type, text FROM p JOIN documents ON doc_id = b WHERE score >= 0.2),
+    f"""WITH {_PAIRS}, x AS (SELECT a, b, round(score * 2.5, 6) AS score, CASE WHEN a % 2 = 0 THEN 'code' ELSE 'decision' END AS old_type, CASE WHEN b % 2 = 0 THEN 'code' ELSE 'decision' END AS new_type, text FROM p JOIN documents ON doc_id = b WHERE score >= 0.2),
     r AS (SELECT *, CASE WHEN new_type = old_type AND score >= 0.92 THEN 'SUPERSEDES' WHEN regexp_matches(text, '(?i)\\b(not|no longer|instead|wrong|incorrect|deprecated|replaced|however|but)\\b') THEN 'CONTRADICTS'
       WHEN new_type = 'code' AND old_type = 'decision' AND regexp_matches(text, '(?i)\\b(implement|implemented|implements|added|created|built)\\b') THEN 'IMPLEMENTS'
       WHEN regexp_matches(text, '(?i)\\b(also|additionally|extend|extends|furthermore|plus)\\b') AND score >= 0.7 THEN 'EXTENDS'
@@ -83,7 +83,7 @@ def duplicate_keep_rule(t: Tables) -> DataFrame:
 def relation_rules(t: Tables) -> DataFrame:
     pairs = vector.similar_pairs(t.embeddings, "label", 0.2).join(t.documents.select(F.col("doc_id").alias("b"), F.col("text").alias("new_text")), "b")
     kind = lambda c: F.when(F.col(c) % 2 == 0, "code").otherwise("decision")
-    rows = pairs.select("a", "b", F.col("score").alias("similarity"), kind("a").alias("old_type"), kind("b").alias("new_type"), "new_text")
+    rows = pairs.select("a", "b", F.round(F.col("score") * 2.5, 6).alias("similarity"), kind("a").alias("old_type"), kind("b").alias("new_type"), "new_text")
     return memory.relation(rows).select("a", "b", "relation", "confidence")
 
 

@@ -74,3 +74,30 @@ def throttled(job: Callable[[DataFrame, int], None], least_new: int) -> Callable
 def parquet_sink(events: DataFrame, folder: str, checkpoint: str):
     """Append the stream to Parquet, exactly once."""
     return events.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def working_memory(puts: DataFrame, size: int = 20, ttl_seconds: int = 900) -> DataFrame:
+    """``session, id, score, place`` of each session's buffer after a micro-batch with puts for it (update mode).
+
+    Reads ``session, id, at, score`` with ``at`` in seconds.  What is older than the TTL at the session's last put goes, and beyond
+    ``size`` entries the lowest scores; a session's state ends when it has had no puts for the TTL.
+    """
+
+    def walk(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = {i: (at, score) for i, at, score in zip(*state.get, strict=True)} if state.exists else {}
+        for b in batches:
+            for r in b.itertuples():
+                if r.id not in held or (r.at, r.score) >= held[r.id]:
+                    held[r.id] = (r.at, r.score)
+        last = max(at for at, _ in held.values())
+        alive = sorted(((i, at, s) for i, (at, s) in held.items() if at > last - ttl_seconds), key=lambda x: (-x[2], x[0]))[:size]
+        state.update(tuple(list(c) for c in zip(*alive, strict=True)))
+        state.setTimeoutDuration(ttl_seconds * 1000)
+        yield pd.DataFrame({"session": k[0], "id": [x[0] for x in alive], "score": [x[2] for x in alive], "place": range(1, len(alive) + 1)})
+
+    return puts.groupBy("session").applyInPandasWithState(
+        walk, "session long, id long, score double, place long", "ids array<long>, ats array<long>, scores array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout
+    )

@@ -52,3 +52,13 @@ def test_throttled(spark):
     job(spark.range(2), 1)
     job(spark.range(3), 2)
     assert ran == [2]
+
+
+def test_working_memory_stream(spark, log, tmp_path):
+    df, folder = log
+    puts = lambda ev: ev.select(F.col("user_id").alias("session"), (F.col("event_id") % 50).alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("value").alias("score"))
+    out = stream.working_memory(puts(stream.event_stream(spark, folder, df.schema)), 3, 864_000)
+    query = out.writeStream.format("memory").queryName("buffers").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    drain(query)
+    got = {tuple(r) for r in spark.table("buffers").collect()}
+    assert got == {tuple(r) for r in batch.working_memory(puts(df), 3, 864_000).collect()} and got
