@@ -39,12 +39,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs no more than a reread.
+    This cuts the lineage: a lost executor costs no more than a reread.  ``files`` bounds
+    their number, for tables that are known to be small.
     """
     path = scratch_path(df.sparkSession, label)
+    if files is not None:
+        df = df.coalesce(files)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

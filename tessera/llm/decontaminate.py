@@ -18,6 +18,8 @@ WINDOW = 8
 MIN_ITEMS = 2
 #: Test-side tables up to this many rows are broadcast.
 BROADCAST_ROWS = 500_000
+#: Files of a stored test-side table.
+FILES = 16
 SEPARATORS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Ends every document's tokens; no word has such a character.
@@ -39,7 +41,7 @@ def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame,
     """
     words = with_words(items.select("item_id", "text"), "text", "w").where(F.size("w") > 0)
     cut = words.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: F.slice("w", i + 1, size))).alias("ws"))
-    cut = stored(cut.distinct(), "windows")
+    cut = cut.distinct()
     ids = stored(cut.select("ws").distinct().withColumn("wid", F.row_number().over(Window.orderBy("ws"))), "window-ids")
     flat = ids.select("wid", F.size("ws").alias("len"), F.posexplode("ws").alias("off", "word"))
     lexicon = stored(flat.select("word").distinct().withColumn("term", F.row_number().over(Window.orderBy("word"))), "lexicon")
@@ -77,30 +79,25 @@ def _intersect(need: DataFrame, postings: DataFrame) -> DataFrame:
 
 def phrase_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """``wid, len, doc_id, k, start`` of every occurrence of a window, each once."""
-    counts = stored(postings.where(F.col("term") > 0).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
-    ranked = stored(
+    counts = stored(postings.where(F.col("term") > 0).groupBy("term").agg(F.count("*").alias("n")), "term-counts", FILES)
+    ranked = (
         terms.join(bounded(counts, BROADCAST_ROWS), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("n", "off")))
-        .withColumn("rarest", F.min("n").over(Window.partitionBy("wid"))).where("rarest > 0"),
-        "ranked-terms",
+        .withColumn("rarest", F.min("n").over(Window.partitionBy("wid"))).where("rarest > 0")
     )
+    ranked = stored(ranked.select("wid", "len", "off", "term", "rank"), "ranked-terms", FILES)
     first = bounded(ranked.where("rank = 1").select("wid", "term", "off"), BROADCAST_ROWS)
     start = (
         postings.join(first, "term").select("wid", "doc_id", "k", (F.col("pos") - F.col("off")).alias("start"))
         .where("start >= 0").distinct()
     )
-    second, rest = ranked.where("rank = 2"), ranked.where("rank > 2")
+    # windows of one or two words meet their rarest term again, so that all take the same way
+    second, rest = ranked.where("rank = least(2, len)"), ranked.where("rank > 2 or (len <= 2 and rank = 1)")
     seconds = bounded(second.select("term").distinct(), BROADCAST_ROWS)
+    two = _intersect(_at(start, second), postings.join(seconds, "term", "left_semi")).select("wid", "doc_id", "k", "start").distinct()
     lens = bounded(ranked.where("rank = 1").select("wid", "len"), BROADCAST_ROWS)
-    start = stored(start.join(lens, "wid"), "starts")
-    two = stored(
-        start.where("len = 1").unionByName(
-            _intersect(_at(start, second), postings.join(seconds, "term", "left_semi")).select("wid", "doc_id", "k", "start").distinct().join(lens, "wid")
-        ),
-        "pairs",
-    )
     all_of = _intersect(_at(two, rest), postings).groupBy("wid", "doc_id", "k", "start").agg(F.count_distinct("off").alias("n"))
-    return two.where("len <= 2").unionByName(all_of.join(lens, "wid").where(F.col("n") == F.col("len") - 2).drop("n"))
+    return all_of.join(lens, "wid").where(F.col("n") == F.greatest(F.lit(1), F.col("len") - 2)).drop("n")
 
 
 def proximity_matches(postings: DataFrame, terms: DataFrame, slack: int = 4) -> DataFrame:

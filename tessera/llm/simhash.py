@@ -30,6 +30,8 @@ BLOCKS = 4
 CHUNK = 1 << 18
 #: Runs above this get narrower keys.
 HEAVY = 1 << 14
+#: Edges in a file of a step of the components.
+EDGES = 200_000
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -206,7 +208,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low, large["a"] == low["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        # a step makes no more edges than it was given
+        edges = stored(small.unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges", -(-before[0] // EDGES))
         after = mark(edges)
         if after == before:
             break
