@@ -31,9 +31,9 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(32 << 20),
 }
 #: Encoded units that a Python worker remembers, in each of two generations.
-MEMO = 150_000
+MEMO = 200_000
 #: Documents that are encoded together.
-BATCH = 2048
+BATCH = 3072
 
 # A single space between two non-spaces starts a token of its own, whatever surrounds it.
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
