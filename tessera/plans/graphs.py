@@ -22,6 +22,11 @@ def flow(t: Tables) -> DataFrame:
     return t.lineitem.where("l_linenumber = 1 and l_orderkey % 97 = 0").select((F.col("l_suppkey") % 60).alias("src"), ((F.col("l_partkey") * 7) % 60).alias("dst")).distinct()
 
 
+def supply(t: Tables) -> DataFrame:
+    """Every line's supplier and part: real ids, suppliers from 0 on and parts below zero."""
+    return t.lineitem.select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct()
+
+
 def _pagerank_sql(rounds: int = 20) -> str:
     steps = "".join(
         f""", r{i + 1} AS (SELECT n.node, 0.15 / (SELECT count(*) FROM n) + 0.85 * coalesce(g.s, 0) AS rank FROM n LEFT JOIN
@@ -48,6 +53,12 @@ def connected_components(t: Tables) -> DataFrame:
     return graph.components(e)
 
 
+@query()
+def connected_components_all(t: Tables) -> DataFrame:
+    """Components of all lines; the recursive SQL of ``connected_components`` holds for its filter only."""
+    return graph.components(supply(t))
+
+
 @query(
     f"""WITH RECURSIVE {_FLOW}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
     SELECT a.src AS node, min(least(a.src, a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src"""
