@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from tessera.llm import decontaminate, mixing, quality, simhash, tokens
+from tessera.llm import decontaminate, mixing, near_copies, quality, tokens
 from tessera.llm.common import stored
 
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: four fifths of their five-word shingles or more are shared."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("token files", token_files),
 ]
 
-#: SimHash and tokenization have no SQL; tests hold the stages against brute force.
+#: Near copies and tokenization have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
