@@ -43,6 +43,8 @@ _DIGIT, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNO
 CLASSES = (
     CharClass("hex", frozenset(_DIGIT + "abcdefABCDEF"), 24, 3.2, (_DIGIT, "abcdefABCDEF")),
     CharClass("alnum", frozenset(_DIGIT + _LOW + _UP), 20, 3.7, (_DIGIT, _LOW, _UP)),
+    CharClass("lower", frozenset(_DIGIT + _LOW), 20, 3.7, (_DIGIT, _LOW)),
+    CharClass("upper", frozenset(_DIGIT + _UP), 20, 3.7, (_DIGIT, _UP)),
     CharClass("base64", frozenset(_DIGIT + _LOW + _UP + "+/_-="), 24, 4.0, (_DIGIT, _LOW, _UP)),
 )
 #: Candidates that match one of these whole are no secrets.
@@ -61,7 +63,7 @@ def dense_windows(text: str, width: int, bits: float) -> list[tuple[int, int]]:
         return []
     counts: dict[str, int] = {}
     weight = 0.0  # sum of c * log2(c) over the counts; the entropy is log2(width) - weight / width
-    gain = [0.0] + [c * log2(c) for c in range(1, width + 1)]
+    gain = [0.0] + [c * log2(c) for c in range(1, width + 2)]  # a character that comes in before one goes out
     most = (log2(width) - bits) * width + 1e-9
     spans: list[tuple[int, int]] = []
     for i, c in enumerate(text):
@@ -119,6 +121,21 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
+def _outside(spans: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of ``spans`` where none of ``covered`` lies; both in any order."""
+    out, covered = [], sorted(covered)
+    for a, b in spans:
+        for x, y in covered:
+            if y <= a or x >= b:
+                continue
+            if a < x:
+                out.append((a, x))
+            a = max(a, y)
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 def _join(spans: dict[str, list[tuple[int, int]]]) -> str:
     rank = {k: i for i, k in enumerate(KINDS)}
     rows = sorted((a, rank[k], k, b) for k, at in spans.items() for a, b in at)
@@ -129,8 +146,7 @@ def scan(text: str | None, allow: re.Pattern[str]) -> tuple[int, int, int, str,
     """``n_assign, n_access, n_hex``, the base spans' SHA-256 and all spans of one text."""
     text = text or ""
     base = base_spans(text)
-    covered = [s for at in base.values() for s in at]
-    extra = [(a, b) for a, b in _entropy_spans(text, allow) if not any(x < b and a < y for x, y in covered)]
+    extra = _outside(_entropy_spans(text, allow), [s for at in base.values() for s in at])
     digest = hashlib.sha256(_join(base).encode()).hexdigest()
     return len(base["assign"]), len(base["access"]), len(base["hex"]), digest, _join(base | {"entropy": extra})
 
@@ -154,8 +170,8 @@ def scan_column(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
 def secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``docs`` with a struct ``found``: ``n_assign, n_access, n_hex, base_sha256, spans``.
 
-    Spans are in code points, the end exclusive.  Entropy spans that overlap a fixed one
-    are left to it.  Rows are independent; null and empty texts have no spans.
+    Spans are in code points, the end exclusive.  What a fixed span covers of an entropy span
+    is left to it; the rest is given.  Rows are independent; null and empty texts have no spans.
     """
     return docs.withColumn("found", scan_column(F.col("text"), allow))
 
