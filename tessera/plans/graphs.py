@@ -113,12 +113,12 @@ def trace_chains(t: Tables) -> DataFrame:
 
 @query()
 def louvain(t: Tables) -> DataFrame:
-    return graph.communities(flow(t))
+    return graph.communities(supply(t))
 
 
 @query()
 def label_propagation(t: Tables) -> DataFrame:
-    return graph.label_propagation(flow(t))
+    return graph.label_propagation(supply(t))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Graph queries over all of lineitem, against plain Python."""
 
 from tessera import queries as core
+from tessera.operators import graph
 
 
 def lineitem(spark, folder, rows):
@@ -35,3 +36,26 @@ def test_components_of_the_table(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
     got = core.queries()["connected_components_all"](spark, sf).collect()
     assert {r.node: r.component for r in got} == united((s, -p) for s, p in lines)
+
+
+def spread(pairs, rounds=4):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    label = {x: x for x in near}
+    for _ in range(rounds):
+        votes = {x: [label[y] for y in near[x]] for x in near}
+        label = {x: min(set(v), key=lambda c: (-v.count(c), c)) for x, v in votes.items()}
+    return label
+
+
+def test_communities_of_all_lines(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 7 + 1, i * 5 % 23 + 100 * (i % 3) + 1, i * 7 % 11 + 100 * (i % 3)) for i in range(1, 97)]
+    folder, pairs = lineitem(spark, tmp_path, rows), {(s, -p) for _, _, p, s in rows}
+    labels = {r.node: r.community for r in core.queries()["label_propagation"](spark, folder).collect()}
+    assert labels == spread(pairs)
+    group, parts = {r.node: r.community for r in core.queries()["louvain"](spark, folder).collect()}, united(pairs)
+    assert set(group) == set(parts) and all(parts[c] == parts[x] for x, c in group.items())
+    monkeypatch.setattr(graph, "MAX_LOCAL_EDGES", 5)
+    assert {r.node: r.community for r in core.queries()["louvain"](spark, folder).collect()} == spread(pairs)
