@@ -1,11 +1,18 @@
-"""The shared folder, and cutting the lineage of iterative operators."""
+"""The shared folder, scratch tables in it, and cutting the lineage of iterative operators."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch paths of each application, in the order in which they were made.
+_scratch: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
@@ -15,15 +22,73 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder.  It goes with its :func:`scope`, with :func:`release`, or when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = []
+        atexit.register(_delete, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _scratch[app])
+    _scratch[app].append(path)
+    return path
+
+
+def _delete(jvm, conf, paths: list[str]) -> None:
+    """Delete ``paths`` and forget them."""
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application, once results have been read."""
+    _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _scratch.get(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scratch tables made inside go at the end, but for those that are passed to what this yields.
+
+    Whatever is read from afterwards has to be kept or stored.
+    """
+    app = spark.sparkContext.applicationId
+    start, kept = len(_scratch.get(app, [])), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.scratch)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _scratch.get(app, [])
+        gone = [p for p in made[start:] if p not in kept]
+        made[start:] = [p for p in made[start:] if p in kept]
+        _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), gone)
+
+
+def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs no more than a reread.  ``files`` bounds
+    their number, for tables that are known to be small.
+    """
+    path = scratch_path(df.sparkSession, label)
+    if files is not None:
+        df = df.coalesce(files)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` from a table in the shared folder; its plan runs once, where a checkpoint would run it twice."""
+    return stored(df, "cut")
