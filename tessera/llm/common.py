@@ -2,63 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import release, scope, scratch_path, stored
+
+__all__ = ["ascii_lower", "bounded", "fresh", "release", "scope", "scratch_path", "stored", "text_key"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 #: Separators of white-space words, ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 
-_scratch: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Where that is unset (local
-    tests) a temporary folder is made and set as the checkpoint folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; :func:`release` removes it."""
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no more than a reread.  ``files`` bounds
-    their number, for tables that are known to be small.
-    """
-    path = scratch_path(df.sparkSession, label)
-    if files is not None:
-        df = df.coalesce(files)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application, once results have been read."""
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it is counted to have at most ``rows`` rows.
 

@@ -1,33 +1,44 @@
-"""Near copies by the Jaccard similarity of word shingles, exact at its threshold.
-
-Two sets that are similar enough share one of the first shingles of either, in any
-order that all texts agree on.  Shingles that a sample of texts finds common come last, so few
-runs of equal first shingles are long; the sample decides about speed alone.  Each run links its
-texts to its first, which makes groups that hold every similar pair; within a
-group pairs are compared that share a first shingle, until their texts are linked.
+"""Near copies by the Jaccard similarity of word shingles: SimHash with a wide radius, and an exact check.
+
+Fingerprints of similar texts can differ in many bits, so keys of equal bits would lose pairs.  Two sets that are
+similar enough share one of the first shingles of either, in any order that all texts agree on; so runs of
+equal first shingles hold every pair.  Shingles that a sample of texts finds common come last, which
+keeps runs short; the sample decides about speed alone.  Within a run fingerprints are compared in bit slices, and
+edges between those within the radius make groups that hold every pair.  A group is cut into chunks of bounded size;
+each pair of chunks is compared in bit slices again, and what is within the radius by the shingles themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, fresh, stored, text_key
-from .simhash import components
+from .common import LOWER, UPPER, bounded, fresh, scope, stored, text_key
+from .simhash import components, forest
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 PART, WHOLE = 4, 5
 SEED = 42
+#: Sets of similarity 0.8 differ in 9.7 of 64 bits on average; the chance of more than this many is 1.4e-7 there, and less above.
+RADIUS = 26
 #: Texts that are sampled for common shingles, the count there that makes one common, and the most that are kept.
 SAMPLE, COMMON, MOST = 20_000, 3, 1 << 18
-#: Shingles in a batch.
-PACK = 1 << 16
+#: Runs above this are chained by size, without a comparison.
+HEAVY = 1 << 9
+#: Rows of runs that are compared in one go, unless one run is larger.
+ROWS = 1 << 16
+#: Shingles in a chunk of a group, and the least that a text counts for.
+CHUNK, LEAST = 1 << 20, 1 << 9
+#: Representatives up to this many are broadcast to the texts.
+BROADCAST_ROWS = 500_000
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +61,14 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles; 0 for an empty one."""
+    counts, step = np.zeros(64, np.int64), 1 << 16
+    for at in range(0, len(found), step):
+        counts += np.unpackbits(found[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0])
+
+
 def first_shingles(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """So many shingles that a similar set must hold one of them; ``common`` is sorted and its shingles come last."""
     n = len(found)
@@ -67,121 +86,183 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], firsts: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges between similar sets that join all that are linked, one fewer than they are."""
-    root, edges = np.arange(len(sets)), []
-    sizes = np.array([len(s) for s in sets], np.int64)
-    runs: dict[int, list[int]] = {}
-    for i, tokens in enumerate(firsts):
-        for t in tokens.tolist():
-            runs.setdefault(t, []).append(i)
-    held = {t: np.array(run, np.int32) for t, run in runs.items() if len(run) > 1}
-    del runs
-    for i, tokens in enumerate(firsts):
-        near = np.zeros(i, bool)  # those before i with which it shares a first shingle
-        for t in tokens.tolist():
-            if (run := held.get(t)) is not None:
-                near[run[: np.searchsorted(run, i)]] = True
-        at = np.flatnonzero(near)
-        at = at[WHOLE * np.minimum(sizes[at], sizes[i]) >= PART * np.maximum(sizes[at], sizes[i])]
-        for j in at.tolist():
-            if root[i] != root[j] and similar(sets[i], sets[j]):
-                root[root == root[i]] = root[j]
-                edges.append((j, i))
-    return edges
+def sizes_fit(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Where sets of these sizes, the second no smaller, can be similar."""
+    return WHOLE * small >= PART * large
 
 
-def _packed(rows: Iterator[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    """Batches ``s, k`` of sets and the key of each, of ``PACK`` rows or little more."""
-    held, keys, n = [], [], 0
+def _common(docs: DataFrame) -> Broadcast:
+    """Sorted shingles that a sample of the texts finds common, and their counts there."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample = docs.select("text", text_key().alias("own")).where(F.pmod(F.xxhash64("own"), F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["own"])
 
-    def out() -> pa.RecordBatch:
-        s, k = np.concatenate(held), np.repeat(np.array(keys, np.int64), [len(x) for x in held])
-        return pa.record_batch([pa.array(s.view(np.int64)), pa.array(k)], names=["s", "k"])
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def hashed(batch: pa.Array) -> pa.Array:
+        return pa.array([shingles(x.as_py()).view(np.int64) for x in batch], pa.list_(pa.int64()))
 
-    for s, k in rows:
-        held.append(s)
-        keys.append(k)
-        n += len(s)
-        if n >= PACK:
-            yield out()
-            held, keys, n = [], [], 0
-    if n:
-        yield out()
+    counted = sample.select(F.explode(hashed("text")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    top = counted.orderBy(F.desc("n"), "s").limit(MOST).toArrow()
+    common, counts = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(common)
+    return docs.sparkSession.sparkContext.broadcast((common[order], counts[order]))
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """``a, b``: edges that span each group of near copies.  ``texts`` has distinct ``k, text``."""
-    spark = texts.sparkSession
+_PRINT = T.StructType([T.StructField("sig", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("firsts", T.ArrayType(T.LongType()))])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _packed((shingles(x.as_py()), 0) for b in batches for x in b.column("text")):
-            yield b.select(["s"])
 
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counted = sample.select("text").mapInArrow(hashed, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    top = counted.orderBy(F.desc("n"), "s").limit(MOST).toArrow()
-    common, counts = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(common)
-    held = spark.sparkContext.broadcast((common[order], counts[order]))
+def prints(text: Column, common: Broadcast) -> Column:
+    """``sig, fp, n, firsts`` of a text: a hash of its set of shingles, its fingerprint, size and first shingles."""
+
+    @F.arrow_udf(_PRINT)
+    def run(batch: pa.Array) -> pa.Array:
+        sig, fp, n, firsts = [], [], [], []
+        for x in batch:
+            found = shingles(x.as_py())
+            sig.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            fp.append(fingerprint(found))
+            n.append(len(found))
+            firsts.append(first_shingles(found, *common.value).view(np.int64))
+        numbers = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (sig, fp, n)]
+        return pa.StructArray.from_arrays([*numbers, pa.array(firsts, pa.list_(pa.int64()))], _PRINT.names)
+
+    return run.asNondeterministic()(text)
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k.as_py(), x.as_py()) for b in batches for k, x in zip(b.column("k"), b.column("text"), strict=True))
-        yield from _packed((first_shingles(shingles(x), *held.value), k) for k, x in rows)
+def _edges(ids: np.ndarray, pairs: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
+    at = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], schema=_EDGES)
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head = None, None
-        for b in batches:
-            s, k = b.column("s").to_numpy(), b.column("k").to_numpy()
-            if not len(s):
+
+def run_edges(s: np.ndarray, fp: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of pairs that join, in each run of equal ``s``, the sets within the radius whose sizes fit.
+
+    Runs are sorted by size.  In a heavy one each set is joined to the next if their sizes fit, which joins at
+    least as much.
+    """
+    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    length = np.diff(np.concatenate([new, [len(s)]]))
+    each = np.repeat(length, length)
+    heavy = np.flatnonzero((each[:-1] > HEAVY) & (s[1:] == s[:-1]))
+    heavy = heavy[sizes_fit(n[heavy], n[heavy + 1])]
+    at = np.flatnonzero((each > 1) & (each <= HEAVY))
+    size = n[at]
+    found = forest(s[at], fp[at].view(np.uint64), RADIUS, lambda i, j: sizes_fit(size[i], size[j]))
+    return np.concatenate([np.column_stack([heavy, heavy + 1]), at[np.array(found, np.int64).reshape(-1, 2)]])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("s", "sig", "fp", "n")
+    held = [np.empty(0, np.int64)] * 4
+    for b in batches:
+        held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
+        s = held[0]
+        if len(s) >= ROWS:
+            cut = int(np.searchsorted(s, s[-1], "left"))  # the last run may go on
+            if cut:
+                yield _edges(held[1][:cut], run_edges(s[:cut], held[2][:cut], held[3][:cut]))
+                held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield _edges(held[1], run_edges(held[0], held[2], held[3]))
+
+
+#: Texts that each text of a group is compared with first.
+PIVOTS = 4
+
+
+def _around(prints: np.ndarray, check: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Edges to pivots, which are nearest to the majority of the bits of those that no pivot has reached."""
+    left, edges = np.arange(len(prints)), []
+    for _ in range(PIVOTS):
+        if len(left) < 3:
+            break
+        bits = np.unpackbits(prints[left].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        middle = bits.sum(axis=0) * 2 > len(left)
+        pivot = left[(bits != middle).sum(axis=1).argmin()]
+        reached = [i for i in left.tolist() if i != pivot and check(min(i, pivot), max(i, pivot))]
+        edges += [(min(i, pivot), max(i, pivot)) for i in reached]
+        left = np.setdiff1d(left, [pivot, *reached])
+    return edges
+
+
+def unit_edges(sig: list[int], sets: list[np.ndarray], side: list[int]) -> pa.RecordBatch:
+    """Edges between similar sets, sorted by size, of a pair of chunks; ``side`` tells the chunks apart, and is 0 throughout for one with itself."""
+    n, sides = np.array([len(x) for x in sets], np.int64), np.array(side, np.int8)
+    both = bool(sides.any())
+    fp = np.array([fingerprint(x) for x in sets], np.uint64)
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sizes_fit(n[i], n[j]) & ((sides[i] != sides[j]) | (not both))
+
+    def check(i: int, j: int) -> bool:
+        return bool(sizes_fit(n[i], n[j])) and similar(sets[i], sets[j])
+
+    found = _around(fp, check)
+    found += forest(np.zeros(len(n), np.int8), fp, RADIUS, may, check, found)
+    return _edges(np.array(sig, np.uint64).view(np.int64), found)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unit, sig, sets, side = None, [], [], []
+    for b in batches:
+        keys = zip(*(b.column(c).to_pylist() for c in ("root", "i", "j", "sig", "chunk")), strict=True)
+        for (root, i, j, k, chunk), x in zip(keys, b.column("text"), strict=True):
+            if (root, i, j) != unit:
+                if len(sig) > 1:
+                    yield unit_edges(sig, sets, side)
+                unit, sig, sets, side = (root, i, j), [], [], []
+            if sig and sig[-1] == k & (2**64 - 1):  # a repeated row
                 continue
-            new = np.concatenate([[last is None or s[0] != last], s[1:] != s[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            heads = np.where(at < 0, head if head is not None else 0, k[at])
-            last, head = s[-1], heads[-1]
-            far = heads != k
-            yield pa.record_batch([pa.array(heads[far]), pa.array(k[far])], names=["a", "b"])
-
-    runs = texts.mapInArrow(first, "s long, k long").repartition("s").sortWithinPartitions("s", "k")
-    groups = components(runs.mapInArrow(stars, "a long, b long"))
-    gathered = texts.join(groups, texts["k"] == groups["node"]).select("root", "k", "text").repartition("root").sortWithinPartitions("root", "k")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            found = np.array(forest(sets, [first_shingles(s, *held.value) for s in sets]), np.int64).reshape(-1, 2)
-            k = np.array(keys, np.int64)
-            return pa.record_batch([pa.array(k[found[:, 0]]), pa.array(k[found[:, 1]])], names=["a", "b"])
-
-        group, keys, sets = None, [], []
-        for b in batches:
-            for r, k, x in zip(b.column("root").to_pylist(), b.column("k").to_pylist(), b.column("text"), strict=True):
-                if r != group and keys:
-                    yield done(keys, sets)
-                    keys, sets = [], []
-                group = r
-                keys.append(k)
-                sets.append(shingles(x.as_py()))
-        if keys:
-            yield done(keys, sets)
-
-    return gathered.mapInArrow(compared, "a long, b long")
+            sig.append(k & (2**64 - 1))
+            sets.append(shingles(x.as_py()))
+            side.append(int(chunk != i))
+    if len(sig) > 1:
+        yield unit_edges(sig, sets, side)
+
+
+def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b``: edges between the ``sig`` of similar sets that span each group of near copies.
+
+    ``rows``: ``doc_id, own, sig, fp, n, firsts`` of each row of ``docs``.
+    """
+    nodes = rows.where("n > 0").dropDuplicates(["sig"])
+    runs = nodes.select(F.explode("firsts").alias("s"), "sig", "fp", "n").repartition("s").sortWithinPartitions("s", "n", "sig")
+    groups = components(runs.mapInArrow(_runs, "a long, b long"))
+    first = rows.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")).alias("first"), F.first("n").alias("n"))
+    members = groups.join(first, F.col("node") == F.col("sig")).select("root", "sig", "n", F.col("first.doc_id").alias("_d"), F.col("first.own").alias("_o"))
+    before = Window.partitionBy("root").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # each text counts where it ends, so that no chunk but that of a single text is over the bound
+    members = members.withColumn("chunk", F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(before) / CHUNK))
+    members = stored(members, "near-members")
+    spans = members.groupBy("root", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = spans.select(F.col("root").alias("_r"), F.col("chunk").alias("_c"), F.col("least").alias("_least"), F.col("most").alias("_most"))
+    # a chunk meets itself and the later ones with sizes that fit
+    meets = spans.join(other, (F.col("root") == F.col("_r")) & (F.col("chunk") <= F.col("_c")) & (WHOLE * F.col("most") >= PART * F.col("_least")))
+    units = meets.select("root", F.col("chunk").alias("i"), F.col("_c").alias("j"), F.explode(F.array_distinct(F.array("chunk", "_c"))).alias("chunk"))
+    sent = members.join(units, ["root", "chunk"]).select("root", "i", "j", "chunk", "sig", "n", "_d", "_o")
+    texts = docs.select("doc_id", "text", text_key().alias("own"))
+    ship = texts.join(bounded(sent, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("own") == F.col("_o")))
+    ship = ship.select("root", "i", "j", "chunk", "sig", "n", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "n", "sig")
+    return ship.mapInArrow(_compared, "a long, b long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the first document in order of id of each group of near copies, nulls last; of repeated rows, one.
 
-    Texts without words, null among them, are copies of each other.  Columns of any name pass through.
+    Texts without words, null among them, are copies of each other, and so are texts with equal sets of shingles.
+    An empty table gives an empty one.  Columns of any name pass through.
     """
     own, id_, key = fresh(docs, "_own", "_id", "_key")
-    blank = F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == ""
-    # one key for all texts without words; it is that of the empty text
-    node = F.when(blank, F.xxhash64(F.lit(""))).otherwise(text_key())
-    keyed = docs.select("doc_id", text_key().alias("own"), node.alias("k"), F.when(~blank, F.col("text")).alias("text"))
-    texts = stored(keyed.where("text is not null").dropDuplicates(["k"]).select("k", "text"), "texts")
-    group = stored(components(stored(links(texts), "links")), "near-groups")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")
-    best = keyed.drop("text").join(group, F.col("k") == F.col("node"), "left").groupBy(F.coalesce("root", "k").alias("root")).agg(F.min(order).alias("best"))
-    best = best.select(F.col("best.doc_id").alias(id_), F.col("best.own").alias(key))
+    light = docs.select("doc_id", "text")
+    with scope(docs.sparkSession) as keep:
+        common = _common(light)
+        printed = light.select("doc_id", text_key().alias("own"), prints(F.col("text"), common).alias("p"))
+        rows = stored(printed.select("doc_id", "own", "p.*"), "near-prints")
+        group = components(stored(links(light, rows), "near-links"))
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")
+        best = rows.join(group, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min(order).alias("best"))
+        best = keep(stored(best.select(F.col("best.doc_id").alias(id_), F.col("best.own").alias(key)), "near-best"))
     found = docs.withColumn(own, text_key()).join(best, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left_semi")
     return found.dropDuplicates(["doc_id", own]).drop(own)

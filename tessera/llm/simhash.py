@@ -10,7 +10,7 @@ adders, and words of lanes leave once all their lanes are over the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -78,14 +78,26 @@ def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
     return odd ^ c, (a & b) | (odd & c)
 
 
-def within_radius(table: np.ndarray, lag: int, same: np.ndarray) -> np.ndarray:
-    """Lanes ``i`` of ``same`` whose fingerprint and that of ``i + lag`` differ in two bits at most."""
+def _more_than(planes: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose vertical counter, lowest plane first, is above ``radius``."""
+    above, level = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+    for i in reversed(range(len(planes))):
+        if radius >> i & 1:
+            level = level & planes[i]
+        else:
+            above = above | (level & planes[i])
+            level = level & ~planes[i]
+    return above
+
+
+def within_radius(table: np.ndarray, lag: int, same: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Lanes ``i`` of ``same`` whose fingerprint and that of ``i + lag`` differ in ``radius`` bits at most."""
     words = table.shape[1] - 1
     alive = _lanes(same, words)
     at = np.flatnonzero(alive)
     alive = alive[at]
     skip, turn = np.uint64(lag % 64), np.uint64(64 - lag % 64)
-    ones = twos = over = np.zeros(len(at), np.uint64)
+    counter = [np.zeros(len(at), np.uint64) for _ in range(7)]
 
     def differing(bit: int) -> np.ndarray:
         row, far = table[bit], at + lag // 64
@@ -94,26 +106,42 @@ def within_radius(table: np.ndarray, lag: int, same: np.ndarray) -> np.ndarray:
             other = (other >> skip) | (row[np.minimum(far + 1, words)] << turn)
         return row[at] ^ other
 
-    for bit in range(0, 64, 4):
-        ones, low = _add(ones, differing(bit), differing(bit + 1))
-        ones, high = _add(ones, differing(bit + 2), differing(bit + 3))
-        twos, fours = _add(twos, low, high)
-        over = over | fours
-        if bit % 8 == 4:
-            close = alive & ~(over | (ones & twos))
+    for bit in range(0, 64, 8):
+        ones, twos, fours = counter[:3]
+        ones, a = _add(ones, differing(bit), differing(bit + 1))
+        ones, b = _add(ones, differing(bit + 2), differing(bit + 3))
+        twos, low = _add(twos, a, b)
+        ones, a = _add(ones, differing(bit + 4), differing(bit + 5))
+        ones, b = _add(ones, differing(bit + 6), differing(bit + 7))
+        twos, high = _add(twos, a, b)
+        fours, carry = _add(fours, low, high)
+        counter[:3] = ones, twos, fours
+        for i in range(3, 7):
+            counter[i], carry = counter[i] ^ carry, counter[i] & carry
+        if bit + 8 > radius:
+            close = alive & ~_more_than(counter, radius)
             some = close != 0
             if not some.all():  # blocks of lanes that are all over the radius go
-                at, alive, ones, twos, over = at[some], alive[some], ones[some], twos[some], over[some]
+                at, alive, close, counter = at[some], alive[some], close[some], [c[some] for c in counter]
             if not len(at):
                 return np.empty(0, np.int64)
-    close = alive & ~(over | (ones & twos))
     bits = np.unpackbits(close.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, lane = np.nonzero(bits)
     return at[row] * 64 + lane
 
 
-def forest(keys: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the fingerprints of each run of equal keys that are linked, one fewer than they are."""
+May = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Check = Callable[[int, int], bool]
+
+
+def forest(
+    keys: np.ndarray, prints: np.ndarray, radius: int = RADIUS, may: May | None = None, check: Check | None = None, known: Iterable[tuple[int, int]] = ()
+) -> list[tuple[int, int]]:
+    """Edges that join the fingerprints of each run of equal keys that are linked and that ``known`` edges do not join.
+
+    ``may`` tells which pairs of places to compare at all; with lags that grow it says no to all from some lag on.
+    ``check`` has the last word on a pair within the radius.
+    """
     table, root, edges = planes(prints), np.arange(len(prints)), []
 
     def find(i: int) -> int:
@@ -122,15 +150,20 @@ def forest(keys: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    lag = 1
+    for a, b in known:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    lag, everything = 1, np.arange(len(prints))
     while lag < len(keys):
         same = keys[lag:] == keys[:-lag]
+        if may is not None:
+            same &= may(everything[:-lag], everything[lag:])
         if not same.any():
             break
-        found = within_radius(table, lag, same)
+        found = within_radius(table, lag, same, radius)
         for a in found[root[found] != root[found + lag]].tolist():
             x, y = find(a), find(a + lag)
-            if x != y:
+            if x != y and (check is None or check(a, a + lag)):
                 root[max(x, y)] = min(x, y)
                 edges.append((a, a + lag))
         lag += 1
