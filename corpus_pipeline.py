@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontaminate, mixing, near_copies, quality, tokens
-from tessera.llm.common import stored
+from tessera.llm.common import scope, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written and read again."""
+    """The stages over ``documents``, each written and read again; what a stage wrote goes once the next has been written.
+
+    Rows with null ids or texts, repeated rows and empty tables pass through every stage as its operator states: null
+    and empty texts fail the quality rules, of repeated rows one stays, and an empty table gives an empty result.
+    Columns of any name are kept up to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i + 1}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scope(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{i + 1}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
