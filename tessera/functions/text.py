@@ -149,20 +149,65 @@ def html_to_markdown(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-_BOUNDARY = re.compile(r"^(?:export\s+|default\s+|public\s+|private\s+|static\s+|async\s+)*(?:function|class|interface|enum|type|def|func|fn|impl|struct|trait|module|namespace)\b")
+#: Kinds of files that are cut at declarations; Python is not, as braces tell depth.
+CODE_FILES = ("ts", "js", "tsx", "jsx", "vue", "dart", "php", "java", "go", "rs", "cpp", "c", "h", "hpp", "cs", "rb", "swift", "kt", "kts", "scala", "lua", "zig")
+_HOLDER = re.compile(r"(?:export\s+(?:default\s+)?)?(?:abstract\s+)?(?:class|interface|enum|namespace|trait|impl)\s+(\w+)")
+_TOP = re.compile(r"(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function|const|let|var|type|struct|fn|def|func)\s+(\w+)")
+_MEMBER = re.compile(r"(?:(?:public|private|protected|static|readonly|override|async|abstract|get|set)\s+)*(\w+)\s*[(<]")
+_NO_NAMES = {"if", "for", "while", "switch", "return", "throw", "catch", "do", "try", "else", "case", "with", "yield", "await"}
+_NO_BRACES = re.compile(r"""/\*.*?\*/|//.*$|'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`""")
+OVERLAP = 6
+
+
+def declarations(lines: list[str]) -> list[tuple[int, str]]:
+    """``line, name`` of declarations at the left margin and of the members of the containers there, by the depth of braces."""
+    out, open_, depth, comment = [], [], 0, False
+    for i, line in enumerate(lines):
+        bare = line.lstrip()
+        if comment:
+            comment = "*/" not in line
+            continue
+        if bare.startswith("/*") and "*/" not in bare:
+            comment = True
+            continue
+        if not bare or bare.startswith(("//", "*")):
+            continue
+        if depth == 0:
+            holder = _HOLDER.match(bare)
+            found = holder or _TOP.match(bare)
+            if found:
+                out.append((i, found[1]))
+            if holder:
+                open_.append((holder[1], 0))
+        elif open_ and depth == open_[-1][1] + 1:
+            member = _MEMBER.match(bare)
+            if member and member[1] not in _NO_NAMES:
+                out.append((i, f"{open_[-1][0]}.{member[1]}"))
+        code = _NO_BRACES.sub("", line)
+        depth += code.count("{") - code.count("}")
+        while open_ and depth <= open_[-1][1]:
+            open_.pop()
+    return out
 
 
-def code_chunks(text: str | None, overlap: int = 6, most: int = 120) -> list[tuple[int, int, str]]:
-    """``line_start, line_end, content``: cut before declarations at the left margin, with the lines before each as overlap."""
+def code_chunks(text: str | None, overlap: int = OVERLAP) -> list[tuple[int, int, str, str]]:
+    """``line_start, line_end, label, content``: cut before declarations and the comments above them; each goes on for some lines into the next's comments."""
     lines = (text or "").split("\n")
-    cuts = [0, *[i for i, x in enumerate(lines) if i and _BOUNDARY.match(x)], len(lines)]
-    out = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        for s in range(a, b, most):
-            e = min(b, s + most)
-            lo = max(0, s - overlap) if s else 0
-            if "".join(lines[s:e]).strip():
-                out.append((lo + 1, e, "\n".join(lines[lo:e])))
+    found = declarations(lines)
+    if not found:
+        return [(a + 1, min(len(lines), a + CHUNK_LINES), "", "\n".join(lines[a : a + CHUNK_LINES])) for a in range(0, len(lines), CHUNK_LINES)]
+    starts, floor = [], 0
+    for at, _ in found:
+        s = at
+        while s > floor and lines[s - 1].lstrip().startswith(("//", "/*", "*", "@", '"""')):
+            s -= 1
+        starts.append(s)
+        floor = at + 1
+    out = [(1, starts[0], "imports", "\n".join(lines[: starts[0]]))] if "".join(lines[: starts[0]]).strip() else []
+    for n, ((_, label), s) in enumerate(zip(found, starts, strict=True)):
+        end = len(lines) if n + 1 == len(found) else min(starts[n + 1] + overlap, found[n + 1][0])
+        if "".join(lines[s:end]).strip():
+            out.append((s + 1, end, label, "\n".join(lines[s:end])))
     return out
 
 
@@ -183,25 +228,31 @@ def chunk_of(path: str, text: str | None) -> list[tuple[int, int, str, str]]:
         cuts = [i for i, x in enumerate(lines) if x.strip() == "---" or re.match(r"[\w\"'-]+\s*:", x)]
         edges = [0, *[c for c in cuts if c], len(lines)]
         return [(a + 1, b, lines[a].split(":")[0].strip(), "\n".join(lines[a:b])) for a, b in zip(edges, edges[1:], strict=False) if "".join(lines[a:b]).strip()]
-    if ext in ("ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "c", "cpp", "cs", "rb", "kt", "swift", "dart", "scala", "php"):
-        return [(a, b, "", c) for a, b, c in code_chunks(text)]
+    if ext in CODE_FILES:
+        return code_chunks(text)
     lines = (text or "").split("\n")
     return [(a + 1, min(len(lines), a + CHUNK_LINES), "", "\n".join(lines[a : a + CHUNK_LINES])) for a in range(0, len(lines), CHUNK_LINES)]
 
 
+def finished_chunks(path: str, text: str | None) -> list[tuple[int, int, str, str]]:
+    code = path.rsplit(".", 1)[-1].lower() in CODE_FILES if "." in path else False
+    cut = bounded_chunks([c for c in chunk_of(path, text) if c[3].strip()], code, MOST_CHARS - HEADER)
+    return [(a, b, label, headed(path, label, body)) for a, b, label, body in cut]
+
+
 _CHUNKS = T.ArrayType(T.StructType([T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("label", T.StringType()), T.StructField("content", T.StringType())]))
 
 
 @F.arrow_udf(_CHUNKS)
 def chunks_column(path: pa.Array, text: pa.Array) -> pa.Array:
     names = ("line_start", "line_end", "label", "content")
-    rows = [[dict(zip(names, c, strict=True)) for c in chunk_of(p.as_py() or "", t.as_py())] for p, t in zip(path, text, strict=True)]
+    rows = [[dict(zip(names, c, strict=True)) for c in finished_chunks(p.as_py() or "", t.as_py())] for p, t in zip(path, text, strict=True)]
     kind = pa.list_(pa.struct([("line_start", pa.int64()), ("line_end", pa.int64()), ("label", pa.string()), ("content", pa.string())]))
     return pa.array(rows, kind)
 
 
 def smart_chunks(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """``key, line_start, line_end, label, content``: chunks by the kind of file that the path tells."""
+    """``key, line_start, line_end, label, content``: chunks by the kind of file that the path tells, within the bounds and below a header."""
     return files.select(key, F.explode(chunks_column(path, text)).alias("c")).select(key, "c.*")
 
 
@@ -216,16 +267,14 @@ def json_paths_column(text: pa.Array) -> pa.Array:
     return pa.array([[{"path": p, "value": v} for p, v in json_paths(x.as_py())] for x in text], kind)
 
 
-def fnv1a(text: str | None) -> int:
-    h = 0x811C9DC5
-    for b in (text or "").encode():
-        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-    return h
-
-
-@F.arrow_udf(T.LongType())
-def fnv1a_column(text: pa.Array) -> pa.Array:
-    return pa.array([fnv1a(x.as_py()) for x in text], pa.int64())
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's UTF-8 bytes, as a long; null as the empty text."""
+    hexed = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    places = F.when(F.length(hexed) > 0, F.sequence(F.lit(1), F.length(hexed) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(places, lambda i: F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("long"))
+    # the product of two 32-bit numbers, modulo 2 ** 32, from the prime's two parts
+    step = lambda h, b: ((h.bitwiseXOR(b) * 0x193) + F.shiftleft(h.bitwiseXOR(b).bitwiseAND(F.lit(0xFF)), 24)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), step)
 
 
 def _field(spec: str, low: int, high: int) -> set[int]:
@@ -255,44 +304,163 @@ def next_run(cron: str, after: datetime) -> datetime:
     raise ValueError(f"{cron} never runs")
 
 
-# What votes for a language.
-LANGUAGES = {
-    "typescript": (r"\binterface\s+\w+", r":\s*(string|number|boolean)\b", r"\bimport\s+.*\s+from\s+"), "python": (r"\bdef\s+\w+\(", r"\bself\b", r"^\s*import\s+\w+"),
-    "go": (r"\bfunc\s+\w+\(", r"\bpackage\s+\w+", r":="), "rust": (r"\bfn\s+\w+", r"\blet\s+mut\b", r"\bimpl\b"), "java": (r"\bpublic\s+(class|static)\b", r"\bprivate\s+\w+", r"\bSystem\.out\b"), "sql": (r"(?i)\bselect\b.*\bfrom\b", r"(?i)\bcreate\s+table\b", r"(?i)\binsert\s+into\b"),
-}
+@F.arrow_udf(T.TimestampType())
+def next_run_column(cron: pa.Array, after: pa.Array) -> pa.Array:
+    """:func:`next_run` of each row; null where an argument is null or the schedule is none."""
+
+    def one(spec: str | None, at: datetime | None) -> datetime | None:
+        try:
+            return None if spec is None or at is None else next_run(spec, at)
+        except ValueError:
+            return None
+
+    return pa.array([one(c.as_py(), a.as_py()) for c, a in zip(cron, after, strict=True)], pa.timestamp("us", "UTC"))
+
+
+# What tells a language.
+KOTLIN_FUN = r"\bfun\s+\w+\s*\("
+KOTLIN_VALUE = r"\b(?:val|var)\s+\w+\s*(?::\s*\w+[?*<>]*\s*)?(?:=)"
+KOTLIN_PACKAGE = r"(?m)^package\s+[\w.]+"
+KOTLIN_IMPORT = r"(?m)^import\s+[\w.]+\.\w+"
+KOTLIN_CLASS = r"\b(?:data\s+class|sealed\s+class|object\s+\w+|companion\s+object|expect\s+(?:class|fun)|actual\s+(?:class|fun))\b"
+DART_DIRECTIVE = r"(\blibrary\s+[a-zA-Z_][\w.]*\s*;|\bpart\s+of\s+[a-zA-Z_][\w.]*\s*;)"
+DART_TYPE = r"\b(class|enum|mixin|extension)\s+\w+"
+DART_MAIN = r"\bvoid\s+main\s*\("
+DART_PART = r"""\bpart\s+of\s+['"][^'"]+['"]\s*;"""
+DART_IMPORT = r"""\bimport\s+['"](dart:|package:)[^'"]+['"]\s*;"""
+DART_MIXIN = r"\bmixin\s+\w+"
 
 
 def language(text: Column) -> Column:
-    """The language with the most of its patterns in the text, ties to the first; ``unknown`` without any."""
-    votes = {n: sum((text.rlike(p).cast("int") for p in ps[1:]), text.rlike(ps[0]).cast("int")) for n, ps in LANGUAGES.items()}
-    top = F.greatest(*votes.values())
-    out = F.lit("unknown")
-    for n, v in reversed(votes.items()):
-        out = F.when((v == top) & (top > 0), n).otherwise(out)
+    """The language of a source text by the first rule that holds; ``unknown`` if none does."""
+    c = F.coalesce(text, F.lit(""))
+    has = lambda *parts: sum_and([F.contains(c, F.lit(x)) for x in parts])
+    kotlin = (c.rlike(KOTLIN_FUN) | c.rlike(KOTLIN_VALUE) | c.rlike(KOTLIN_CLASS)) & (c.rlike(KOTLIN_PACKAGE) | c.rlike(KOTLIN_IMPORT))
+    bare = c.rlike(KOTLIN_FUN) & ~has("import ") & ~has("from ")
+    dart = c.rlike(DART_MAIN) | c.rlike(DART_PART) | c.rlike(DART_IMPORT) | (c.rlike(DART_DIRECTIVE) & c.rlike(DART_TYPE)) | (c.rlike(DART_MIXIN) & c.rlike(DART_TYPE))
+    script = has("import ", "from ")
+    return (
+        F.when(kotlin | bare, "kotlin").when(dart, "dart").when(script & (has(": ") | has("interface ")), "typescript").when(script, "javascript")
+        .when(has("def ", ":"), "python").when(has("fn ", "->"), "rust").when(has("package ", "func "), "go").otherwise("unknown")
+    )
+
+
+def sum_and(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
     return out
 
 
-# Categories of observations, in the order in which they are tried.
-CATEGORIES = (
-    ("error", r"(?i)\b(error|exception|failed|traceback|panic)\b"), ("test", r"(?i)\b(tests?|spec|assert|coverage)\b"), ("fix", r"(?i)\b(fix|fixed|bug|patch|hotfix)\b"), ("refactor", r"(?i)\b(refactor|rename|cleanup|extract)\b"),
-    ("decision", r"(?i)\b(decided?|decision|chose|trade-?off|rationale)\b"), ("build", r"(?i)\b(build|compile|bundle|lint)\b"), ("deploy", r"(?i)\b(deploy|release|rollback|ship)\b"), ("dependency", r"(?i)\b(install|upgrade|dependency|package)\b"),
-    ("database", r"(?i)\b(migration|schema|query|sql|index)\b"), ("security", r"(?i)\b(auth|token|secret|permission|vulnerab\w+)\b"), ("performance", r"(?i)\b(slow|latency|performance|optimi[sz]e|cache)\b"), ("docs", r"(?i)\b(readme|docs?|documentation|comment)\b"),
-    ("config", r"(?i)\b(config|setting|env|flag)\b"), ("git", r"(?i)\b(commit|branch|merge|rebase|pull request)\b"), ("question", r"\?\s*$"),
+# Names that hosts give to tools, and the common names.
+TOOL_NAMES = {
+    "Read": "Read",
+    "Write": "Write",
+    "Edit": "Edit",
+    "MultiEdit": "MultiEdit",
+    "Glob": "Glob",
+    "Grep": "Grep",
+    "Bash": "Bash",
+    "Task": "Task",
+    "TodoWrite": "TodoWrite",
+    "WebFetch": "WebFetch",
+    "WebSearch": "WebSearch",
+    "run_shell_command": "Bash",
+    "shell": "Bash",
+    "write_file": "Write",
+    "edit_file": "Edit",
+    "list_files": "Glob",
+    "search_files": "Grep",
+    "grep": "Grep",
+    "glob": "Glob",
+    "search": "search",
+    "recall": "recall",
+    "store_memory": "store_memory",
+    "search_definitions": "search_definitions",
+    "get_references": "get_references",
+    "read_file": "Read",
+    "compact_snapshot": "compact_snapshot",
+}
+# What the calls of tools are, and what prompts that begin with or contain a phrase are, in order.
+TOOL_CATEGORIES = {
+    "Read": "files-read", "Write": "files-written", "Edit": "files-written", "MultiEdit": "files-written", "Glob": "file-search", "Grep": "file-search", "Bash": "tool-calls", "TodoWrite": "tasks", "Task": "tasks",
+    "WebFetch": "web-fetch", "WebSearch": "searches", "search": "searches", "search_definitions": "searches", "get_references": "searches", "recall": "searches", "store_memory": "memories-stored",
+    "compact_snapshot": "compaction-snapshots",
+}
+PROMPTS = (
+    ("goal", True, ("/goal", "goal:", "objective:")),
+    ("plan-changes", True, ("/plan",)),
+    ("decisions", False, ("let's go with", "decide on", "decision:", "we'll use", "chosen approach")),
+    ("constraints", False, ("must not", "constraint:", "don't touch", "never ", "avoid ")),
+    ("rejected-approaches", False, ("not that", "rejected", "don't do", "instead of")),
+    ("blocked-on", False, ("blocked on", "waiting on", "can't proceed", "stuck on")),
+    ("role", True, ("/persona", "act as", "you are a")),
 )
+RULE_FILES = ("claude.md", "agents.md", "cursorrules", ".clinerules", "rtk.md")
+RULE_PART = "claudemd"
+
+
+def tool_name(name: Column) -> Column:
+    """A tool's common name; unknown names stay, and a missing one is empty."""
+    known = F.create_map(*[F.lit(x) for pair in TOOL_NAMES.items() for x in pair])
+    return F.coalesce(F.element_at(known, F.coalesce(name, F.lit(""))), name, F.lit(""))
+
+
+def category(source: Column, payload: Column) -> Column:
+    """What an observation is, from its source and its payload, a JSON object: the first rule that holds, ``lifecycle-raw`` if none does."""
+    at = lambda *paths: F.coalesce(*[F.get_json_object(payload, f"$.{p}") for p in paths])
+    true = lambda c: F.coalesce(~c.isin("", "false", "0"), F.lit(False))  # noqa: E731  as scripts take values
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    any_ = lambda tests: sum_or(list(tests))
+    tool = tool_name(at("tool_name", "toolName"))
+    named = tool_name(at("tool_name"))
+    path = low(at("file_path", "path", "tool_input.file_path"))
+    rules = (named == "Read") & (any_(path.endswith(x) for x in RULE_FILES) | F.contains(path, F.lit(RULE_PART)))
+    out_ = low(at("stdout"))
+    error = (source == "post-tool-use") & (
+        (at("tool_response.is_error", "toolResponse.is_error") == "true") | true(at("tool_response.error", "toolResponse.error")) | F.contains(out_, F.lit("error:")) | F.contains(out_, F.lit("failed:"))
+    )
+    command = low(at("command"))
+    git = (command.startswith("git ") & any_(F.contains(command, F.lit(x)) for x in ("commit", "merge", "rebase", "checkout", "reset"))) | true(at("diff", "git_diff"))
+    typed = low(at("command", "tool_input.command"))
+    shell_git = (tool == "Bash") & (typed.startswith("git ") | F.contains(typed, F.lit(" git ")))
+    calls = F.element_at(F.create_map(*[F.lit(x) for pair in TOOL_CATEGORIES.items() for x in pair]), tool)
+    prompt = low(at("prompt", "message", "text"))
+    asked = F.lit("user-prompts")
+    for name, starts, phrases in reversed(PROMPTS):
+        asked = F.when(any_(prompt.startswith(x) if starts else F.contains(prompt, F.lit(x)) for x in phrases), name).otherwise(asked)
+    start = F.when(true(at("settings")) | true(at("model")), "session-settings").when(true(at("cwd")) | true(at("workingDirectory")), "cwd-changes").when(true(at("env")) | true(at("environment")), "env-changes").otherwise("session-settings")
+    known = F.coalesce
+    return (
+        F.when(known(rules, F.lit(False)), "rules").when(known(error, F.lit(False)), "errors").when(known(git, F.lit(False)), "git-changes").when(at("tool_name").isin("Skill", "skill"), "skills-invoked")
+        .when(shell_git, "git-changes").when(calls.isNotNull(), calls).when(tool.startswith("mcp__"), "mcp-calls")
+        .when(source == "user-prompt", asked).when(source == "session-start", start).when(source == "pre-compact", "compaction-snapshots").otherwise("lifecycle-raw")
+    )
 
 
-def category(text: Column) -> Column:
-    out = F.lit("general")
-    for n, p in reversed(CATEGORIES):
-        out = F.when(text.rlike(p), n).otherwise(out)
+def sum_or(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
     return out
 
 
-def call_kind(name: Column, literal: Column) -> Column:
-    """What a call is, from its name and first literal."""
+# Names of calls that listen, and of clients and their methods.
+LISTENS = ("on", "once", "addListener", "addEventListener", "off", "removeListener")
+HTTP_CLIENTS = ("axios", "http", "https", "got", "superagent", "request")
+HTTP_METHODS = ("get", "post", "put", "patch", "delete", "request", "head", "options")
+
+
+def call_kind(target: Column, literal: Column) -> Column:
+    """What a call is (``emit``, ``listen``, ``http_call`` or ``call``), from what is called and its first literal."""
+    bare = F.replace(F.regexp_replace(F.coalesce(target, F.lit("")), r"\s+", ""), F.lit("?."), F.lit("."))
+    parts = F.filter(F.split(bare, r"[.:/]", -1), lambda x: x != "")
+    name, root = F.coalesce(F.try_element_at(parts, F.lit(-1)), bare), F.when(F.size(parts) > 1, F.element_at(parts, 1))
+    text = F.regexp_replace(F.coalesce(literal, F.lit("")), "^[\"'`]|[\"'`]$", "")
+    client = (root.isin(*HTTP_CLIENTS) & name.isin(*HTTP_METHODS)) | ((root == "trpc") & name.isin("query", "mutate", "subscribe"))
     return (
-        F.when(name.rlike(r"(?i)\.(emit|publish|dispatch)$"), "emit").when(name.rlike(r"(?i)\.(on|once|subscribe|addListener)$"), "listen")
-        .when(name.rlike(r"(?i)(^|\.)(fetch|axios|request)$|\.(get|post|put|patch|delete)$") & F.coalesce(literal, F.lit("")).rlike(r"^(https?:)?/"), "http_call").otherwise("call")
+        F.when(name == "emit", "emit").when(name.isin(*LISTENS), "listen").when(name.isin("fetch", "graphql", "gql"), "http_call")
+        .when(client, "http_call").when(text.rlike(r"^(?:https?://|/api(?:/|$))"), "http_call").otherwise("call")
     )
 
 
@@ -315,13 +483,103 @@ def signature_hash(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 256)
 
 
-def topics(path: Column) -> Column:
-    """Words of a path and its camel-case parts, at least three letters, each once in order, without common ones."""
+def topics(path: Column, symbols: Column | None = None) -> Column:
+    """Words of a path's segments and of symbol names, cut before capitals; at least three letters, each once in order, without common ones."""
     stop = "src lib test tests spec index main ts tsx js jsx py rs go java dart".split()
-    parts = F.split(F.regexp_replace(path, r"(?=[A-Z])|[^A-Za-z0-9]+", " "), " +")
+    named = path if symbols is None else F.concat_ws(" ", path, F.array_join(symbols, " "))
+    parts = F.split(F.regexp_replace(named, r"(?=[A-Z])|[^A-Za-z0-9]+", " "), " +")
     return F.array_distinct(F.filter(F.transform(parts, lambda w: F.lower(w)), lambda w: (F.length(w) >= 3) & ~w.isin(stop)))
 
 
+# Kinds of symbols that a qualified name may carry.
+FQN_VERSION = "1.0.0"
+
+
+def canonical_signature(language: Column, dialect: Column, qualified: Column, kind: Column, arity: Column, types: Column, modifiers: Column) -> Column:
+    """A symbol's signature as JSON with its white space collapsed; modifiers in lower case, sorted, each once."""
+    tight = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+    fields = F.struct(
+        F.lit(FQN_VERSION).alias("version"), F.lower(tight(language)).alias("language"), F.lower(tight(dialect)).alias("dialect"), F.trim(qualified).alias("qualifiedName"), kind.alias("kind"), arity.alias("arity"),
+        F.transform(types, tight).alias("typeTokens"), F.array_sort(F.array_distinct(F.transform(modifiers, lambda m: F.lower(tight(m))))).alias("modifiers"),
+    )
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
+def fqn(file: Column, name: Column, qualified: Column, kind: Column, signature: Column, top_level: Column, unique: Column) -> Column:
+    """``file#name`` for a single top-level symbol, else ``file#qualified~kind~hash``."""
+    plain = top_level & unique & ~name.rlike(r"(?i)~[^~]+~[0-9a-f]+$")
+    return F.concat(file, F.lit("#"), F.when(plain, name).otherwise(F.concat(qualified, F.lit("~"), kind, F.lit("~"), F.sha2(signature, 256))))
+
+
+def fqn_parts(name: Column) -> Column:
+    """``file, qualified, kind, hash`` of a symbol's full name; kind and hash are null for a plain one, and all for what is no name."""
+    symbol = F.substring_index(name, "#", -1)
+    whole = symbol.rlike("^.*~[^~]+~[0-9a-f]{64}$")
+    part = lambda i: F.regexp_extract(symbol, "^(.*)~([^~]+)~([0-9a-f]{64})$", i)
+    ok = name.rlike("^[^#]+#[^#]+$")
+    return F.when(ok, F.struct(F.substring_index(name, "#", 1).alias("file"), F.when(whole, part(1)).otherwise(symbol).alias("qualified"), F.when(whole, part(2)).alias("kind"), F.when(whole, part(3)).alias("hash")))
+
+
+#: Lines of a chunk at most, of a code chunk at most, and fewer than which a chunk joins the one before; characters at most.
+MOST_LINES, MOST_CODE, LEAST_LINES, MOST_CHARS = 200, 100, 5, 7500
+#: Characters of a chunk that are left for its header.
+HEADER = 250
+
+
+def line_pieces(line: str, most: int) -> list[str]:
+    """A long line in pieces of ``most`` characters at most, cut after the last ``;``, ``,``, ``}`` or space of the last fifth, the first of these that is there."""
+    out = []
+    while len(line) > most:
+        low = int(most * 0.8)
+        cuts = [at for at in (line.rfind(c, low, most) for c in ";,} ") if at >= 0]
+        cut = cuts[0] + 1 if cuts else most
+        out.append(line[:cut])
+        line = line[cut:]
+    return [*out, line] if line else out
+
+
+def bounded_chunks(chunks: list[tuple[int, int, str, str]], code: bool = False, most_chars: int = MOST_CHARS) -> list[tuple[int, int, str, str]]:
+    """Chunks ``start, end, label, content`` within the bounds: large ones cut, at a blank line in their second half where there is one; small ones joined to the chunk before."""
+    most, out = MOST_CODE if code else MOST_LINES, []
+    for a, b, label, body in chunks:
+        lines = body.split("\n")
+        if len(lines) > most or len(body) > most_chars:
+            parts = []
+            at = 0
+            while at < len(lines):
+                if len(lines[at]) > most_chars:
+                    parts += [(a + at, a + at, x) for x in line_pieces(lines[at], most_chars)]
+                    at += 1
+                    continue
+                end, size = at, -1
+                while end < min(at + most, len(lines)) and (end == at or size + 1 + len(lines[end]) <= most_chars):
+                    size += 1 + len(lines[end])
+                    end += 1
+                if end < len(lines):
+                    half = at + max(1, (end - at) // 2)
+                    end = next((i for i in range(end, half, -1) if not lines[i].strip()), end)
+                if "".join(lines[at:end]).strip():
+                    parts.append((a + at, a + end - 1, "\n".join(lines[at:end])))
+                at = end
+            out += [(x, y, f"{label} (part {i})" if label else label, text) for i, (x, y, text) in enumerate(parts, 1)]
+            continue
+        if len(lines) < LEAST_LINES and out and not (label and code):
+            x, y, name, before = out[-1]
+            if before.count("\n") + 1 + len(lines) <= MOST_LINES and len(before) + 1 + len(body) <= most_chars:
+                out[-1] = (x, b, name, f"{before}\n{body}")
+                continue
+        out.append((a, b, label, body))
+    return out
+
+
+def headed(path: str, label: str, body: str) -> str:
+    """A chunk's content below the name of its file and of its section, which long chunks repeat."""
+    section = f"// Section: {label}\n" if label else ""
+    if label and body.count("\n") + 1 >= LEAST_LINES:
+        section += f"// {label}\n" * 2
+    return f"// File: {path}\n{section}{body}"
+
+
 def compressed_code(text: str | None) -> str:
     """The declarations of a source text, without bodies."""
     return "\n".join(x.rstrip().removesuffix("{").rstrip() for x in (text or "").split("\n") if re.match(r"\s*(import|from|export|class|interface|enum|type|def|func|fn|function|struct|impl|trait|async def|public|private|protected)\b", x))

@@ -19,6 +19,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(a), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def unit(a: Column) -> Column:
+    """The vector over its norm; a zero vector stays."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(as_double(a), lambda x: x / n)).otherwise(as_double(a))
+
+
 def clamp01(x: Column) -> Column:
     """NaN and null become 0."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))))

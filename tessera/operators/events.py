@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import jaccard, tokens
+
 #: Words that a signature drops.
 STOP_WORDS = (
-    "the a an is are was were be been being to of in on for and or how do i what why when where with this that "
-    "it my me please can you into from at as by if so"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "to", "of", "in", "on", "for", "and", "or", "how", "do", "i", "what", "why", "when", "where", "with", "this", "that",
+    "it", "my", "me", "please", "can", "you", "into", "from", "at", "as", "by", "if", "so",
+)
 MIN_QUERIES, MIN_FILES, MIN_FIXES = 3, 3, 2
 
 
@@ -81,15 +82,38 @@ def recent(events: DataFrame, key: str, n: int) -> DataFrame:
     return events.withColumn("nth", nth).where(F.col("nth") <= n)
 
 
-def snapshot(events: DataFrame, most: int = 200, per_section: int = 5, max_bytes: int = 2048) -> DataFrame:
-    """``user_id, snapshot``: each session's last events by type, a few of each, cut to a number of characters."""
-    last = recent(events, "user_id", most)
-    nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc()))
-    some = last.withColumn("k", nth).where(F.col("k") <= per_section)
-    lines = some.groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("k", F.concat(F.lit("- "), F.col("event_id").cast("string")).alias("line")))).alias("ls"))
-    section = F.concat(F.lit("## "), F.col("event_type"), F.lit("\n"), F.array_join("ls.line", "\n"))
-    whole = lines.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(section)), "\n").alias("snapshot"))
-    return whole.select("user_id", F.substring("snapshot", 1, max_bytes).alias("snapshot"))
+def snapshot(events: DataFrame, most: int = 200, per_section: int = 5, max_bytes: int = 2048, line: int = 120) -> DataFrame:
+    """``session, events, sections, snapshot``: a table of contents of each session's last ``most`` events ``session, id, ts, category, token``.
+
+    Sections are categories, the most active first and then by name, each with its count and the tokens of its newest events; sections are
+    dropped from the end until the text has ``max_bytes`` bytes at most, but for the first.
+    """
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("ts").desc(), F.col("id").desc()))
+    last = events.withColumn("n", nth("session")).where(F.col("n") <= most).withColumn("k", nth("session", "category"))
+    token = F.coalesce("token", F.concat(F.lit("["), F.col("id").cast("string"), F.lit("]")))
+    short = F.when(F.length(token) > line, F.concat(F.substring(token, 1, line), F.lit("…"))).otherwise(token)
+    found = last.groupBy("session", "category").agg(F.count("*").alias("count"), F.sort_array(F.collect_list(F.when(F.col("k") <= per_section, F.struct("k", short.alias("t"))))).alias("ts"))
+    tokens = F.filter(F.transform("ts", lambda x: x["t"]), lambda x: x != "")
+    body = F.concat(
+        F.lit("  <"), "category", F.lit(' count="'), F.col("count").cast("string"), F.lit('">\n    '), F.col("count").cast("string"), F.lit(" event(s)"),
+        F.array_join(F.transform(tokens, lambda x: F.concat(F.lit("\n      - "), escaped(x))), ""), F.lit("\n  </"), "category", F.lit(">"),
+    )
+    place = F.row_number().over(Window.partitionBy("session").orderBy(F.col("count").desc(), "category"))
+    rows = found.select("session", "count", "category", body.alias("body")).withColumn("place", place)
+    head = lambda n: F.concat(F.lit('<session_resume events="'), n.cast("string"), F.lit('" session_id="'), F.col("session").cast("string"), F.lit('">'))
+    foot = "</session_resume>"
+    total = F.sum("count").over(Window.partitionBy("session"))
+    upto = F.sum(F.octet_length("body") + 1).over(Window.partitionBy("session").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    fits = rows.withColumn("events", total).withColumn("size", upto + F.octet_length(head(F.col("events"))) + len(foot) + 1).where((F.col("size") <= max_bytes) | (F.col("place") == 1))
+    whole = fits.groupBy("session", "events").agg(F.sort_array(F.collect_list(F.struct("place", "body"))).alias("bs"))
+    return whole.select("session", "events", F.size("bs").alias("sections"), F.concat(head(F.col("events")), F.lit("\n"), F.array_join("bs.body", "\n"), F.lit(f"\n{foot}")).alias("snapshot"))
+
+
+def escaped(text: Column) -> Column:
+    """Text for XML."""
+    for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
+        text = F.replace(text, F.lit(char), F.lit(f"&{name};"))
+    return text
 
 
 def stale_runs(runs: DataFrame, now: Column, seconds: int) -> DataFrame:
@@ -103,6 +127,34 @@ def consolidation_due(state: DataFrame, least_new: int, least_seconds: int) -> D
     return state.where((F.col("new_events") >= least_new) & (F.col("idle_seconds") >= least_seconds))
 
 
+def sessions(log: DataFrame, ttl_seconds: int, history: int = 100) -> DataFrame:
+    """``session, run, created_at, expires_at, accesses, recent``: runs of a session, which every access keeps alive for another ``ttl_seconds``.
+
+    Reads ``session, id, at`` with ``at`` in seconds.  ``recent`` holds the ids accessed last in a run, newest first, at most
+    ``history``, with their numbers of accesses.
+    """
+    by = Window.partitionBy("session").orderBy("at", "id")
+    gap = F.col("at") - F.lag("at").over(by)
+    runs = log.withColumn("run", F.sum(F.when(gap.isNull() | (gap >= ttl_seconds), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ids = runs.groupBy("session", "run", "id").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    nth = F.row_number().over(Window.partitionBy("session", "run").orderBy(F.col("last").desc(), F.col("id").desc()))
+    kept = F.when(F.col("nth") <= history, F.struct("nth", "id", "n"))
+    whole = ids.withColumn("nth", nth).groupBy("session", "run").agg(F.min("first").alias("created_at"), F.max("last").alias("last"), F.sum("n").alias("accesses"), F.sort_array(F.collect_list(kept)).alias("k"))
+    return whole.select("session", "run", "created_at", (F.col("last") + ttl_seconds).alias("expires_at"), "accesses", F.transform("k", lambda x: F.struct(x["id"].alias("id"), x["n"].alias("n"))).alias("recent"))
+
+
+def buffer_hits(entries: DataFrame, queries: DataFrame, least: float = 0.4, boost: float = 1.3, ttl_seconds: int = 900) -> DataFrame:
+    """``session, query_id, id, score``: entries of a session's buffer that fit a query, with their first score boosted, at most 1.
+
+    ``entries(session, id, query, content, baseline, at)``; an entry without a query is matched by its content.  ``queries(session, query_id, query, at)``.
+    What was used ``ttl_seconds`` or longer before is gone.
+    """
+    asked = queries.select("session", "query_id", tokens(F.col("query")).alias("q"), F.col("at").alias("now"))
+    own = tokens(F.when(F.coalesce("query", F.lit("")) == "", F.col("content")).otherwise(F.col("query")))
+    met = entries.select("session", "id", own.alias("own"), "baseline", "at").join(asked, "session").where((F.col("now") - F.col("at") < ttl_seconds) & (F.col("at") <= F.col("now")))
+    return met.where(jaccard(F.col("q"), F.col("own")) >= least).select("session", "query_id", "id", F.round(F.least(F.lit(1.0), F.col("baseline") * boost), 6).alias("score"))
+
+
 def working_memory(hits: DataFrame, size: int = 20, ttl_seconds: int = 900) -> DataFrame:
     """Each session's buffer after its puts: what is younger than the TTL at the session's last put, and of that the ``size`` with the highest baselines.
 
@@ -113,7 +165,3 @@ def working_memory(hits: DataFrame, size: int = 20, ttl_seconds: int = 900) -> D
     alive = hits.withColumn("end", last).withColumn("n", newest).where(f"n = 1 and at > end - {ttl_seconds}")
     nth = F.row_number().over(Window.partitionBy("session").orderBy(F.col("score").desc(), "id"))
     return alive.withColumn("place", nth).where(F.col("place") <= size).select("session", "id", "score", "place")
-
-
-def to_frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns)

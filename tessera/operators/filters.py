@@ -7,11 +7,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PATTERNS = 32
-# Paths that must not be shown.
-SECRET_PATHS = (r"(^|/)\.env", r"secret", r"credential", r"id_rsa", r"\.pem$", r"\.key$")
-IGNORED = ("node_modules/**", ".git/**", "dist/**", "build/**", "coverage/**", "**/*.min.js", "**/*.lock")
+# Paths that must not be shown, and paths that are not captured.
+SECRET_PATHS = (r"(?i)\.env", r"(?i)\.key$", r"(?i)\.pem$", r"(?i)\.p12$", r"(?i)\.pfx$", r"(?i)^secrets?\.", r"(?i)\.keystore$", r"(?i)^id_rsa", r"(?i)\.asc$")
+IGNORED = (
+    "**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/coverage/**", ".env", ".env.*", "**/generated/**", "**/*.generated.*", "**/*.d.ts",
+    "**/__tests__/**", "**/tests/**", "**/*.test.ts", "**/*.test.tsx", "**/*.test.js", "**/*.test.jsx", "**/*.spec.ts", "**/*.spec.tsx", "**/*.spec.js", "**/*.spec.jsx",
+    "**/benchmarks/**", "**/fixtures/**", "**/*.wasm*", "**/*.min.*", "**/*.map", "**/lock.yaml", "**/pnpm-lock.yaml", "**/package-lock.json", "**/bun.lockb", "**/yarn.lock",
+)
 
 
 def all_of(tests: Sequence[Column]) -> Column:
@@ -56,27 +61,52 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+def checked_patterns(include: Sequence[str], exclude: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
+    """``(include, exclude, downgrades)``: a pattern in both lists is included, and reported; raises on too many or empty patterns."""
+    if len(include) + len(exclude) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns")
+    if not all((*include, *exclude)):
+        raise ValueError("a pattern is empty")
+    both = [g for g in exclude if g in include]
+    return list(include), [g for g in exclude if g not in include], both
+
+
 def globbed(path: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
-    """Paths that match a pattern of ``include`` and none of ``exclude``; rows without a path pass if all is included."""
-    check_patterns(include, exclude)
+    """Paths that match a pattern of ``include`` and none of ``exclude``, one in both lists counting as included; rows without a path pass if all is included."""
+    include, exclude, _ = checked_patterns(include, exclude)
     within = any_of([path.rlike(glob_regex(g)) for g in include]) if include else F.lit(True)
     out = within & ~any_of([path.rlike(glob_regex(g)) for g in exclude])
     return F.when(path.isNull(), F.lit(not include)).otherwise(out)
 
 
-def check_patterns(include: Sequence[str], exclude: Sequence[str]) -> list[str]:
-    """Raises on too many patterns; returns those in both lists, which count as included."""
-    if len(include) + len(exclude) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns")
-    return sorted(set(include) & set(exclude))
-
-
 def is_secret_path(path: Column) -> Column:
+    """Paths, relative to the project, that look like secrets."""
     return any_of([path.rlike(p) for p in SECRET_PATHS])
 
 
 def is_ignored(path: Column, extra: Sequence[str] = ()) -> Column:
-    return any_of([path.rlike(glob_regex(g)) for g in (*IGNORED, *extra)])
+    """Paths that are not captured: a pattern without a slash holds in any folder, as in ignore files."""
+    anywhere = [g if "/" in g else f"**/{g}" for g in (*IGNORED, *extra)]
+    return any_of([path.rlike(glob_regex(g)) for g in anywhere])
+
+
+def tagged(rows: DataFrame, tags: Sequence[str], every: bool = False) -> DataFrame:
+    """Rows whose array ``tags`` holds one of ``tags``, or with ``every`` all of them."""
+    tests = [F.array_contains("tags", x) for x in tags]
+    return rows.where(all_of(tests) if every else any_of(tests))
+
+
+def recent_by_tag(rows: DataFrame, tag: str, since: Column, limit: int, exclude: object | None = None, **scope: object) -> DataFrame:
+    """``id`` of rows with a tag from ``since`` on, newest first, without ``exclude`` and within the sessions or projects of ``scope``."""
+    out = tagged(rows, [tag]).where((F.col("created_at") >= since) & conjunction(**scope))
+    if exclude is not None:
+        out = out.where(F.col("id") != F.lit(exclude))
+    return out.orderBy(F.col("created_at").desc(), "id").select("id").limit(limit)
+
+
+def by_id(rows: DataFrame, id_: str, value: object) -> DataFrame:
+    """The row with an id; the filter reaches the scan."""
+    return rows.where(F.col(id_) == F.lit(value)).limit(1)
 
 
 def is_test_file(path: Column) -> Column:
@@ -105,12 +135,30 @@ def compression_candidates(memories: DataFrame, age_days: Column, limit: int = 5
 
 
 def projected(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Dotted fields of ``df``; those that are not there are left out."""
+    """Dotted fields of ``df``, mapped through arrays of structs; those that are not there are left out.
+
+    Each column is named by its dotted path.  A string column that holds JSON is read by path too.
+    """
     found = []
     for f in fields:
-        try:
-            df.select(f).schema  # noqa: B018
-            found.append(F.col(f).alias(f))
-        except Exception:  # noqa: BLE001  an unknown field is no error here
-            continue
+        head, _, rest = f.partition(".")
+        kind = {c.name: c.dataType for c in df.schema}.get(head)
+        col = None if kind is None else _field(F.col(f"`{head}`"), kind, rest.split(".") if rest else [])
+        if col is not None:
+            found.append(col.alias(f))
     return df.select(*found)
+
+
+def _field(col: Column, kind: T.DataType, path: list[str]) -> Column | None:
+    if not path:
+        return col
+    if isinstance(kind, T.ArrayType):
+        if _field(F.lit(None).cast(kind.elementType), kind.elementType, path) is None:
+            return None
+        return F.transform(col, lambda x: _field(x, kind.elementType, path))
+    if isinstance(kind, T.StructType):
+        inner = {c.name: c.dataType for c in kind}.get(path[0])
+        return None if inner is None else _field(col.getField(path[0]), inner, path[1:])
+    if isinstance(kind, T.StringType):
+        return F.get_json_object(col, "$." + ".".join(path))
+    return None

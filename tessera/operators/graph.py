@@ -6,17 +6,23 @@ state is a checkpointed table.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
-#: Edges that community detection takes to one place; larger graphs propagate labels.
-MAX_LOCAL_EDGES, MAX_LOCAL_NODES = 50_000, 8_000
+#: Rounds of an iteration between stored tables.
+CUT_ROUNDS = 5
+#: Levels of contraction, and rounds of moves in each.
+LEVELS, MOVES = 64, 8
+#: Modes of a trace and the kinds of edges that each follows.
+MODES = {
+    "calls": ("call",),
+    "data_flow": ("call", "data_flow"),
+    "cross_service": ("http_call", "emit", "listen", "data_flow"),
+    "all": ("call", "data_flow", "http_call", "emit", "listen", "import", "type_ref", "extend", "implement"),
+}
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -31,21 +37,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``node, rank`` over the largest rank.  Loops are left out, parallel edges count each, and what ends in a sink is lost.
 
-    Edges are summed up to weights once; each round joins them with the ranks by source and sums by target.
+    Edges are summed up to weights once; each round joins them with the ranks by source and sums by target.  Ranks are stored
+    every fifth round, where their movement is tested too, so that the rounds between are one plan.
     """
     e = edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
     out = e.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share")
     out, all_nodes = cut(out), cut(nodes(edges))
     n = all_nodes.count()
-    ranks = all_nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
+    ranks = cut(all_nodes.withColumn("rank", F.lit(1.0 / max(n, 1))))
+    for r in range(1, rounds + 1):
         got = out.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        new = ranks.join(got, F.col("node") == F.col("dst"), "left").select(
-            "node", F.col("rank").alias("old"), (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
-        )
+        new = all_nodes.join(got, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        if r % CUT_ROUNDS and r < rounds:
+            ranks = cut(new) if (r + 1) % CUT_ROUNDS == 0 else new
+            continue
         new = cut(new)
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        ranks = new.select("node", "rank")
+        moved = new.join(ranks.select(F.col("node").alias("_n"), F.col("rank").alias("old")), F.col("node") == F.col("_n")).agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0 if tolerance > 0 else 1.0
+        ranks = new
         if moved < tolerance:
             break
     top = ranks.agg(F.max("rank").alias("top"))
@@ -70,14 +78,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _reach(edges: DataFrame, start: DataFrame, within: DataFrame) -> DataFrame:
-    """Pairs ``node, colour`` reached from ``start(node, colour)`` along edges that stay in the colour."""
-    seen, front = cut(start), start
+    """Pairs ``node, colour`` reached from ``start(node, colour)`` along edges that stay in the colour; each hop adds a table."""
+    front = seen = cut(start)
+    hop = 0
     while True:
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "colour").join(within, ["node", "colour"], "left_semi")
         front = cut(step.distinct().join(seen, ["node", "colour"], "left_anti"))
-        if not front.limit(1).count():
+        if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front))
+        hop += 1
+        seen = seen.unionByName(front) if hop % CUT_ROUNDS else cut(seen.unionByName(front))
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -91,14 +101,15 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     kind = dict(e.dtypes)["src"]
     found = spark.createDataFrame([], f"node {kind}, component {kind}")
-    while e.limit(1).count():
-        while True:
+    n = e.count()
+    while n:
+        while n:
             inner = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            same = inner.count() == e.count()
+            left, n = n, inner.count()
             e = inner
-            if same:
+            if left == n:
                 break
-        if not e.limit(1).count():
+        if not n:
             break
         colours = cut(nodes(e).withColumn("colour", F.col("node")))
         while True:
@@ -115,6 +126,7 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         found = cut(found.unionByName(scc.join(sizes, "colour", "left_semi").select("node", F.col("colour").alias("component"))))
         gone = scc.select("node")
         e = cut(e.join(gone, F.col("src") == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti"))
+        n = e.count()
     alone = loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.unionByName(alone)
 
@@ -129,7 +141,7 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None
         if most is not None:
             step = step.orderBy("node").limit(most)
         front = cut(step)
-        if not front.limit(1).count():
+        if front.isEmpty():
             break
         seen = cut(seen.unionByName(front))
     return seen
@@ -158,16 +170,20 @@ def weighted_paths(edges: DataFrame, start: Column, depth: int = 3, limit: int =
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("weight", 6).alias("weight")).orderBy(F.col("weight").desc(), "path").limit(limit)
 
 
-def shortest_path(edges: DataFrame, a: object, b: object, depth: int = 5) -> list | None:
-    """A shortest path between two nodes, whatever the direction, by parents: the smallest parent of each."""
-    e = cut(both_ways(edges.select("src", "dst")).distinct())
+def shortest_path(edges: DataFrame, a: object, b: object, depth: int = 5, per_node: int = 30) -> list | None:
+    """A shortest path between two nodes, whatever the direction, by parents: the smallest parent of each.
+
+    Of each node its first ``per_node`` neighbours are followed.
+    """
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    e = cut(both_ways(edges.select("src", "dst")).where("src <> dst").distinct().withColumn("n", nth).where(F.col("n") <= per_node).drop("n"))
     seen = cut(e.sparkSession.createDataFrame([(a, None)], f"node {dict(e.dtypes)['src']}, parent {dict(e.dtypes)['src']}").withColumn("hop", F.lit(0)))
     front = seen
     if a == b:
         return [a]
     for h in range(1, depth + 1):
         front = cut(front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("next")).agg(F.min("node").alias("parent")).withColumnRenamed("next", "node").join(seen, "node", "left_anti").withColumn("hop", F.lit(h)))
-        if not front.limit(1).count():
+        if front.isEmpty():
             return None
         seen = cut(seen.unionByName(front))
         if front.where(F.col("node") == F.lit(b)).limit(1).count():
@@ -178,11 +194,40 @@ def shortest_path(edges: DataFrame, a: object, b: object, depth: int = 5) -> lis
     return None
 
 
-def chains(edges: DataFrame, start: DataFrame, depth: int = 6, limit: int = 50) -> DataFrame:
+def traced(edges: DataFrame, seeds: DataFrame, mode: str = "calls", direction: str = "outbound", depth: int = 3, most: int = 2000, tests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of a walk along typed ``edges(src, dst, kind)`` from ``seeds(node)``, outbound, inbound or both.
+
+    Nodes are ``node, hop`` and at most ``most``, nearest first and then by name; the edges are those that lead from one that was expanded, at less than
+    ``depth``, to one that is kept.  ``tests(node)`` are test files' nodes, which are left out unless they are seeds.
+    """
+    depth = max(0, min(6, depth))
+    typed = edges.where(F.col("kind").isin(*MODES[mode])).select("src", "dst", "kind").distinct()
+    if tests is not None:
+        hidden = tests.select(F.col("node").alias("dst")).join(seeds.select(F.col("node").alias("dst")), "dst", "left_anti")
+        typed = typed.join(hidden, "dst", "left_anti").join(hidden.withColumnRenamed("dst", "src"), "src", "left_anti")
+    typed = cut(typed.select("src", "dst", "kind"))
+    ways = {"outbound": [typed], "inbound": [typed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")]}
+    ways["both"] = ways["outbound"] + ways["inbound"]
+    found = [cut(hops(w, seeds, depth)) for w in ways[direction]]
+    seen = found[0]
+    for f in found[1:]:
+        seen = seen.unionByName(f)
+    kept = cut(seen.groupBy("node").agg(F.min("hop").alias("hop")).orderBy("hop", "node").limit(most))
+    walked = []
+    for way, f in zip(ways[direction], found, strict=True):
+        ahead = way.join(f.where(F.col("hop") < depth).select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi").join(kept.select(F.col("node").alias("src")), "src", "left_semi")
+        walked.append(ahead.select("src", "dst", "kind") if way is typed else ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
+    out = walked[0]
+    for w in walked[1:]:
+        out = out.unionByName(w)
+    return kept, cut(out.distinct())
+
+
+def chains(edges: DataFrame, start: DataFrame, depth: int = 64, limit: int = 50) -> DataFrame:
     """``chain``: paths from ``start(node)`` that end at a leaf, at ``depth``, or where they meet themselves, which is marked."""
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
     out = e.select("src").distinct()
-    paths = start.select(F.array("node").alias("path"))
+    paths = cut(start.join(e, F.col("node") == F.col("src"), "left_semi").select(F.array("node").alias("path")))
     done = paths.where("false").select("path", F.lit(False).alias("cycle"))
     for _ in range(depth):
         ahead = paths.join(e, F.element_at("path", -1) == F.col("src"))
@@ -190,94 +235,143 @@ def chains(edges: DataFrame, start: DataFrame, depth: int = 6, limit: int = 50)
         cycle = F.array_contains("path", F.col("dst"))
         done = done.unionByName(leaf.select("path", F.lit(False).alias("cycle"))).unionByName(ahead.where(cycle).select(F.array_append("path", F.col("dst")).alias("path"), F.lit(True).alias("cycle")))
         paths = cut(ahead.where(~cycle).select(F.array_append("path", F.col("dst")).alias("path")))
+        if paths.isEmpty():
+            break
     done = done.unionByName(paths.select("path", F.lit(False).alias("cycle")))
-    text = F.array_join(F.transform("path", lambda x: x.cast("string")), " > ")
-    return done.select(F.when(F.col("cycle"), F.concat(text, F.lit(" ↺"))).otherwise(text).alias("chain")).orderBy("chain").limit(limit)
+    text = F.array_join(F.transform("path", lambda x: x.cast("string")), " → ")
+    return done.select(F.when(F.col("cycle"), F.concat(text, F.lit("↺"))).otherwise(text).alias("chain")).orderBy("chain").limit(limit)
 
 
-def related(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3, per_node: int = 20) -> DataFrame:
-    """``node, hop`` near the seeds, along the ``per_node`` heaviest edges of each node that weigh at least ``least``."""
-    both = both_ways(edges.where(F.col("weight") >= least).select("src", "dst", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+def related(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3, per_node: int = 20, limit: int = 20, kinds: list[str] | None = None) -> DataFrame:
+    """``node, hop, weight`` near the seeds, whatever the direction: along the ``per_node`` heaviest edges of each node that weigh
+    at least ``least``; the first ``limit``, near ones first, then heavy ones.  ``kinds`` keeps edges of these kinds alone."""
+    some = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
+    both = both_ways(some.where(F.col("weight") >= least).select("src", "dst", "weight")).where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     nth = F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))
-    return hops(both.withColumn("n", nth).where(F.col("n") <= per_node), seeds, depth)
-
-
-def louvain_local(edges: Iterable[tuple[object, object, float]], passes: int = 64) -> dict[object, object]:
-    """Communities of a small undirected graph by greedy modularity moves and contraction; named by their smallest node."""
-    weights: dict[object, dict[object, float]] = {}
-    for a, b, w in edges:
-        weights.setdefault(a, {})[b] = weights.get(a, {}).get(b, 0.0) + w
-        if a != b:
-            weights.setdefault(b, {})[a] = weights.get(b, {}).get(a, 0.0) + w
-    member = {n: n for n in weights}
-    graph = weights
-    for _ in range(passes):
-        degree = {n: sum(ws.values()) + ws.get(n, 0.0) for n, ws in graph.items()}
-        total = sum(degree.values()) or 1.0
-        home = {n: n for n in graph}
-        mass = dict(degree)
-        moved, improved = True, False
-        while moved:
-            moved = False
-            for n in sorted(graph):
-                mine = home[n]
-                mass[mine] -= degree[n]
-                links: dict[object, float] = {mine: 0.0}
-                for m, w in graph[n].items():
-                    if m != n:
-                        links[home[m]] = links.get(home[m], 0.0) + w
-                best = max(sorted(links), key=lambda c: links[c] - mass[c] * degree[n] / total)
-                if links[best] - mass[best] * degree[n] / total <= links[mine] - mass[mine] * degree[n] / total + 1e-12:
-                    best = mine
-                home[n] = best
-                mass[best] += degree[n]
-                if best != mine:
-                    moved = improved = True
-        if not improved:
+    e = cut(both.withColumn("n", nth).where(F.col("n") <= per_node).select("src", "dst", "weight"))
+    front = cut(seeds.select("node").distinct())
+    seen, found = front, front.where("false").select("node", F.lit(0).alias("hop"), F.lit(0.0).alias("weight"))
+    for h in range(1, depth + 1):
+        step = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("next")).agg(F.max("weight").cast("double").alias("weight"))
+        step = cut(step.join(seen, F.col("next") == F.col("node"), "left_anti").select(F.col("next").alias("node"), F.lit(h).alias("hop"), "weight"))
+        if step.isEmpty():
             break
-        member = {n: home[c] for n, c in member.items()}
-        merged: dict[object, dict[object, float]] = {}
-        for a, ws in graph.items():
-            for b, w in ws.items():
-                if a <= b:
-                    x, y = home[a], home[b]
-                    merged.setdefault(x, {})[y] = merged.get(x, {}).get(y, 0.0) + w
-                    if x != y:
-                        merged.setdefault(y, {})[x] = merged.get(y, {}).get(x, 0.0) + w
-        graph = merged
-    smallest: dict[object, object] = {}
-    for n, c in member.items():
-        smallest[c] = min(smallest.get(c, n), n)
-    return {n: smallest[c] for n, c in member.items()}
-
-
-def communities(edges: DataFrame) -> DataFrame:
-    """``node, community``.  Up to ``MAX_LOCAL_EDGES`` weighted edges are clustered in one place; beyond, by labels
-    that spread within components for four rounds."""
-    e = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
-    kind = dict(e.dtypes)["a"]
-    if e.limit(MAX_LOCAL_EDGES + 1).count() <= MAX_LOCAL_EDGES and nodes(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))).count() <= MAX_LOCAL_NODES:
-
-        def local(group: pd.DataFrame) -> pd.DataFrame:
-            found = louvain_local(group[["a", "b", "w"]].itertuples(index=False))
-            return pd.DataFrame(sorted(found.items()), columns=["node", "community"])
-
-        return e.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(local, f"node {kind}, community {kind}")
-    return label_propagation(e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-
-def label_propagation(edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """Labels that spread to the commonest among a node's neighbours, ties to the smallest, starting at components' nodes."""
-    both = cut(both_ways(edges.select("src", "dst")).distinct())
-    labels = cut(nodes(edges).withColumn("label", F.col("node")))
+        front = step.select("node")
+        seen, found = seen.unionByName(front), found.unionByName(step)
+    return found.orderBy("hop", F.col("weight").desc(), "node").limit(limit)
+
+
+def decision_chain(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+    """:func:`related` along the edges that tell what a memory comes from."""
+    return related(edges, seeds, depth, kinds=["DERIVED_FROM", "CAUSES", "SUPPORTS"])
+
+
+def contradictions(edges: DataFrame, texts: DataFrame, then: list[Column], limit: int = 20) -> DataFrame:
+    """``first, second, weight``: texts at both ends of the heaviest contradictions, ties in the order of ``then``; pairs without a text are left out."""
+    top = edges.where(F.col("kind") == "CONTRADICTS").orderBy(F.col("weight").desc(), *then).limit(limit)
+    one, two = texts.select(F.col("id").alias("src"), F.col("content").alias("first")), texts.select(F.col("id").alias("dst"), F.col("content").alias("second"))
+    return top.join(one, "src").join(two, "dst").select("first", "second", "weight")
+
+
+def neighbourhood_summary(edges: DataFrame, node: object, texts: DataFrame, least: float = 0.3, limit: int = 10, most: int = 120) -> DataFrame:
+    """One row with ``summary``: a line for each of the heaviest neighbours, with the edge's direction and kind and the start of its text."""
+    some = edges.where((F.col("weight") >= least) & ((F.col("src") == node) | (F.col("dst") == node)) & (F.col("src") != F.col("dst")))
+    out = F.col("src") == node
+    near = some.select(F.when(out, F.col("dst")).otherwise(F.col("src")).alias("other"), F.when(out, "→").otherwise("←").alias("arrow"), "kind", "weight")
+    nth = F.row_number().over(Window.partitionBy("other").orderBy(F.col("weight").desc(), "arrow", "kind"))
+    first = near.withColumn("n", nth).where("n = 1").orderBy(F.col("weight").desc(), "other").limit(limit)
+    text = F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit("..."))).otherwise(F.col("content"))
+    line = F.concat(F.lit("  "), "arrow", F.lit(" ["), F.lower(F.regexp_replace("kind", "_", " ")), F.lit("] ("), "type", F.lit(") "), text)
+    rows = first.join(texts, F.col("other") == F.col("id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "other", line.alias("line")))).alias("lines"))
+    return rows.select(F.when(F.size("lines") == 0, "").otherwise(F.concat_ws("\n", F.lit("Related memories:"), F.array_join(F.col("lines.line"), "\n"))).alias("summary"))
+
+
+def _moved(adj: DataFrame, size: DataFrame, rounds: int) -> DataFrame:
+    """``node, c``: communities by rounds of moves to the neighbouring one with the largest gain of modularity.
+
+    ``adj(src, dst, w)`` goes both ways without loops and ``size(node, k)`` holds weighted degrees.  Half of the nodes, by a hash,
+    may move in a round, so that neighbours don't swap places.
+    """
+    total = size.agg(F.sum("k").alias("total"))
+    state = cut(size.select("node", "k", F.col("node").alias("c")))
+    still = 0
+    for r in range(rounds):
+        at = state.select(F.col("node").alias("dst"), "c")
+        into = adj.join(at, "dst").groupBy("src", "c").agg(F.sum("w").alias("links"))
+        mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
+        mine = state.select("node", "k", F.col("c").alias("own"))
+        tried = into.join(mine, F.col("src") == F.col("node")).select("node", "k", "own", "c", "links")
+        tried = tried.unionByName(mine.select("node", "k", "own", F.col("own").alias("c"), F.lit(0.0).alias("links"))).groupBy("node", "k", "own", "c").agg(F.sum("links").alias("links"))
+        gain = F.col("links") - (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / F.col("total")
+        scored = tried.join(mass, "c").crossJoin(total).withColumn("gain", gain)  # the total is one row
+        best = scored.groupBy("node", "k", "own").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        go = (-F.col("best.g") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2)
+        state = cut(best.select("node", "k", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), go.alias("moved")))
+        still = 0 if not state.where("moved").isEmpty() else still + 1
+        state = state.drop("moved")
+        if still == 2:  # neither half has moved
+            break
+    return state.select("node", "c")
+
+
+def communities(edges: DataFrame, levels: int = LEVELS, rounds: int = MOVES) -> DataFrame:
+    """``node, community`` by rounds of greedy modularity moves and contraction, at any size; then each community
+    is cut into its connected parts, which are named by their smallest node.
+
+    A level counts only if it makes modularity larger.
+    """
+    simple = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+    graph = base = cut(simple)
+    member = cut(nodes(base.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("c", F.col("node")))
+    before = None
+    for _ in range(levels):
+        adj = cut(graph.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(graph.where("a <> b").select("b", "a", "w").toDF("src", "dst", "w")))
+        size = cut(graph.select(F.col("a").alias("node"), "w").unionByName(graph.select(F.col("b").alias("node"), "w")).groupBy("node").agg(F.sum("w").alias("k")))
+        if before is None:
+            before = _weighted_modularity(graph, size.select("node", F.col("node").alias("c")))
+        home = _moved(adj, size, rounds)
+        after = _weighted_modularity(graph, home)
+        if after <= before + 1e-9:
+            break
+        before = after
+        to = home.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
+        member = cut(member.join(to, F.col("c") == F.col("_n")).select("node", F.col("_c").alias("c")))
+        joined = graph.join(to, F.col("a") == F.col("_n")).select(F.col("_c").alias("a"), "b", "w").join(to, F.col("b") == F.col("_n")).select("a", F.col("_c").alias("b"), "w")
+        graph = cut(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
+    x, y = member.select(F.col("node").alias("a"), F.col("c").alias("ca")), member.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+    inner = base.join(x, "a").join(y, "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = components(inner)
+    alone = member.join(parts, "node", "left_anti").select("node", F.col("node").alias("community"))
+    return parts.select("node", F.col("component").alias("community")).unionByName(alone)
+
+
+def _weighted_modularity(graph: DataFrame, home: DataFrame) -> float:
+    """Modularity of ``graph(a, b, w)``, loops included, under ``home(node, c)``."""
+    x, y = home.select(F.col("node").alias("a"), F.col("c").alias("ca")), home.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+    ends = graph.join(x, "a").join(y, "b").select("ca", "cb", "w")
+    inside, all_ = ends.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w"))), F.sum("w")).first()
+    mass = ends.select(F.col("ca").alias("c"), "w").unionByName(ends.select(F.col("cb").alias("c"), "w")).groupBy("c").agg(F.sum("w").alias("k"))
+    squares = mass.agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+    return 0.0 if not all_ else (inside or 0.0) / all_ - squares / (4 * all_ * all_)
+
+
+def label_propagation(edges: DataFrame, labels: DataFrame | None = None, rounds: int = 4) -> DataFrame:
+    """``node, community``: labels, at first each node's own or ``labels(node, label)``, that spread to the heaviest among a node's neighbours, ties to the smallest."""
+    both = cut(both_ways(edges.where("src <> dst").select("src", "dst")).groupBy("src", "dst").agg(F.count("*").alias("w")))
+    labels = cut(nodes(edges).withColumn("label", F.col("node")) if labels is None else labels.select("node", "label"))
     for _ in range(rounds):
-        votes = both.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.count("*").alias("n"))
-        won = votes.groupBy("src").agg(F.max(F.struct("n", F.struct((-F.col("label")).alias("neg"), "label"))).alias("m")) if dict(labels.dtypes)["label"] in ("bigint", "int") else votes.groupBy("src").agg(F.max_by(F.struct("label"), "n").alias("m"))
-        pick = F.col("m.col2.label") if "col2" in won.select("m.*").columns else F.col("m.label")
-        labels = cut(labels.join(won.select("src", pick.alias("new")), F.col("node") == F.col("src"), "left").select("node", F.coalesce("new", "label").alias("label")))
+        votes = both.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("w").alias("n"))
+        won = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m"))
+        labels = cut(labels.join(won.select("src", F.col("m.label").alias("new")), F.col("node") == F.col("src"), "left").select("node", F.coalesce("new", "label").alias("label")))
     return labels.withColumnRenamed("label", "community")
 
 
+def fallback_communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """``node, community``: components, and labels that spread from there, which stay within them."""
+    parts = components(edges).withColumnRenamed("component", "label")
+    return label_propagation(edges, parts, rounds)
+
+
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """One row with ``modularity``, and ``modularity_half``: the same sums over twice the total degree, as some tools report it."""
     e = edges.where("src <> dst").select("src", "dst")

@@ -107,6 +107,91 @@ def generation_cleanup(rows: DataFrame, active: DataFrame, kept: DataFrame) -> D
     return rows.join(active, ["project_id", "generation_id"], "left_anti").join(kept, ["project_id", "generation_id"], "left_anti")
 
 
+GENERATION = ("project_id", "generation_id")
+
+
+def copied_forward(rows: DataFrame, source: DataFrame, target: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of ``files(project_id, path)`` in each project's ``source`` generation, as rows of its ``target`` generation."""
+    old = rows.join(source.select(*GENERATION), list(GENERATION), "left_semi").join(files.select("project_id", "path").distinct(), ["project_id", "path"], "left_semi")
+    new = target.select("project_id", F.col("generation_id").alias("_g"))
+    return old.join(new, "project_id").withColumn("generation_id", F.col("_g")).select(*rows.columns)
+
+
+def written(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """``rows`` with those of ``changed`` in place of all rows of the same project, generation and path."""
+    key = [*GENERATION, "path"]
+    return rows.join(changed.select(*key).distinct(), key, "left_anti").unionByName(changed)
+
+
+def marked_stale(files: DataFrame, failed: DataFrame, good: DataFrame) -> DataFrame:
+    """``files`` with ``is_stale`` and ``last_good``: those of ``failed(project_id, path)`` keep the project's last good generation, ``good``."""
+    bad = failed.select("project_id", "path", F.lit(True).alias("_bad")).distinct()
+    at = good.select("project_id", F.col("generation_id").alias("_good"))
+    out = files.join(bad, ["project_id", "path"], "left").join(at, "project_id", "left")
+    stale = F.coalesce("_bad", F.lit(False))
+    return out.withColumn("is_stale", stale).withColumn("last_good", F.when(stale, F.col("_good")).otherwise(F.col("generation_id"))).drop("_bad", "_good")
+
+
+def activated(pointers: DataFrame, generations: DataFrame) -> DataFrame:
+    """``project_id, generation_id``: each project's pointer moved to its newest complete generation that was built on the one it points to.
+
+    ``generations(project_id, generation_id, status, expected)``; a generation whose ``expected`` is no longer active is lost.
+    """
+    now = pointers.select("project_id", F.col("generation_id").alias("_now"))
+    ready = generations.join(now, "project_id").where((F.col("status") == "complete") & F.col("expected").eqNullSafe(F.col("_now")))
+    best = ready.groupBy("project_id").agg(F.max("generation_id").alias("_new"))
+    return pointers.join(best, "project_id", "left").select("project_id", F.coalesce("_new", "generation_id").alias("generation_id"))
+
+
+def orphans(tables: list[DataFrame], generations: DataFrame) -> DataFrame:
+    """``project_id, generation_id`` of rows of any table whose generation is not known."""
+    rows = tables[0].select(*GENERATION)
+    for t in tables[1:]:
+        rows = rows.unionByName(t.select(*GENERATION))
+    known = generations.select(*GENERATION, F.lit(1).alias("_known"))
+    return rows.distinct().join(known, list(GENERATION), "left").where("_known is null").select(*GENERATION)
+
+
+def appended(log: DataFrame, more: DataFrame) -> DataFrame:
+    """A log with more entries; actors that are not named are unknown."""
+    return log.unionByName(more.withColumn("actor", F.coalesce("actor", F.lit("unknown"))))
+
+
+def logged(log: DataFrame, project: object, limit: int = 100) -> DataFrame:
+    """A project's newest entries."""
+    return log.where(F.col("project_id") == F.lit(project)).orderBy(F.col("at").desc(), F.col("id").desc()).limit(limit)
+
+
+def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Proposals with the first decision (approved or rejected) on each that is pending; others stay as they are.  ``decisions(id, status, at)``."""
+    first = decisions.where(F.col("status").isin("approved", "rejected")).groupBy(F.col("id").alias("_i")).agg(F.min(F.struct("at", "status")).alias("d"))
+    out = proposals.join(first, F.col("id") == F.col("_i"), "left")
+    due = (F.col("status") == "pending") & F.col("d").isNotNull()
+    return out.withColumn("decided_at", F.when(due, F.col("d.at")).otherwise(F.col("decided_at"))).withColumn("status", F.when(due, F.col("d.status")).otherwise(F.col("status"))).drop("_i", "d")
+
+
+def pending(proposals: DataFrame, project: object) -> DataFrame:
+    """A project's open proposals, newest first."""
+    return proposals.where((F.col("status") == "pending") & (F.col("project_id") == F.lit(project))).orderBy(F.col("created_at").desc(), F.col("id").desc())
+
+
+def handed_over(handoffs: DataFrame, accepts: DataFrame, now: Column) -> DataFrame:
+    """Open handoffs accepted by their target, or by anyone where they name none; those that are past their time have expired.  ``accepts(id, agent)``."""
+    own = handoffs.join(accepts.select(F.col("id").alias("_i"), "agent"), F.col("id") == F.col("_i"), "left")
+    fit = F.col("agent").isNotNull() & (F.col("target").isNull() | (F.col("target") == F.col("agent")))
+    best = own.withColumn("_by", F.when(fit, F.col("agent"))).groupBy(*handoffs.columns).agg(F.min("_by").alias("_by"))
+    status = F.when(F.col("status") != "open", F.col("status")).when(F.col("expires_at") <= now, "expired").when(F.col("_by").isNotNull(), "accepted").otherwise("open")
+    return best.select(*[c for c in handoffs.columns if c != "status"], status.alias("status"), F.when(status == "accepted", F.col("_by")).alias("accepted_by"))
+
+
+def cache_stats(cache: DataFrame, log: DataFrame) -> DataFrame:
+    """One row ``entries, bytes, hit_rate, avg_dimensions`` of a cache ``key, size`` in bytes of 4-byte floats, and of the keys asked for."""
+    kept = cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    asked = log.select("key").join(cache.select("key", F.lit(1).alias("hit")).dropDuplicates(["key"]), "key", "left").agg(F.count("*").alias("asked"), F.count("hit").alias("hits"))
+    rate = F.when(F.col("asked") > 0, F.col("hits") / F.col("asked")).otherwise(0.0)
+    return kept.crossJoin(asked).select("entries", "bytes", F.round(rate, 6).alias("hit_rate"), F.when(F.col("entries") > 0, F.col("bytes") / F.col("entries") / 4).otherwise(0.0).alias("avg_dimensions"))  # both are one row
+
+
 def active_only(rows: DataFrame, active: DataFrame) -> DataFrame:
     """Rows of each project's active generation."""
     return rows.join(active.select("project_id", "generation_id"), ["project_id", "generation_id"], "left_semi")
@@ -123,6 +208,11 @@ def invalidated(cache: DataFrame, changed: list[str]) -> DataFrame:
     return cache.where(~hit)
 
 
+def alive(cache: DataFrame, since: Column) -> DataFrame:
+    """Entries that were used after ``since``: what a time to live leaves."""
+    return cache.where(F.col("last_accessed") > since)
+
+
 def evicted(cache: DataFrame, most: int) -> DataFrame:
     """The ``most`` entries that were used last."""
     return cache.orderBy(F.col("last_accessed").desc(), "key").limit(most)

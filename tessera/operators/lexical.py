@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 
 # Words that a keyword query drops.
 STOP_WORDS = (
-    "the and for are but not you all can had her was one our out has his how its may new now old see way who did get got let "
-    "say she too use will with this that from they been have many some them than each make like just over such take into year "
-    "your good could would about which their there other after should through also more most only very when what then these "
-    "those being does done both same still while where here were much"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "his", "how", "its", "may", "new", "now", "old", "see", "way", "who", "did", "get", "got", "let",
+    "say", "she", "too", "use", "will", "with", "this", "that", "from", "they", "been", "have", "many", "some", "them", "than", "each", "make", "like", "just", "over", "such", "take", "into", "year",
+    "your", "good", "could", "would", "about", "which", "their", "there", "other", "after", "should", "through", "also", "more", "most", "only", "very", "when", "what", "then", "these",
+    "those", "being", "does", "done", "both", "same", "still", "while", "where", "here", "were", "much",
+)
+# Words that a search in long outputs drops, and the size from which it searches.
+INTENT_STOP_WORDS = (
+    "the", "a", "an", "and", "or", "but", "if", "then", "else", "for", "of",
+    "to", "in", "on", "at", "by", "with", "from", "is", "are", "was", "were",
+    "be", "been", "being", "this", "that", "these", "those", "it", "its",
+    "as", "at", "use", "using", "used", "into", "not", "no", "yes", "true",
+    "false", "null", "none", "undefined", "function", "return", "var", "let",
+    "const", "import", "export", "class", "def", "func", "fn",
+)
+INTENT_BYTES = 5_000
 
 
 def split_camel(text: Column) -> Column:
@@ -55,8 +65,37 @@ def phrase_query(text: str, expansions: list[str]) -> str:
     return " OR ".join(f'"{p}"' for p in parts if p)
 
 
+def postings(docs: DataFrame, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
+    """``word, doc_id, n``: a keyword index.  Written sorted by ``word``, a search reads the row groups of its prefixes alone."""
+    ws = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(content), F.lit(""))), F.lit("([a-z0-9_]+)"), 1)).alias("word"))
+    return ws.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
+
+
+def write_postings(docs: DataFrame, path: str) -> None:
+    postings(docs).repartitionByRange("word").sortWithinPartitions("word", "doc_id").write.parquet(path)
+
+
+def index_search(index: DataFrame, text: str, limit: int, docs: DataFrame | None = None, **filters: object) -> DataFrame:
+    """``doc_id, score``: documents with words that begin with a term, by an index ``word, doc_id, n``; ``filters`` are values of columns of ``docs``.
+
+    Each word that matches is a cover of an OR query by itself and counts a tenth; the score is doubled, at most 1.
+    """
+    terms = query_terms(text)
+    if not terms:
+        return index.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    hit = sum_or([F.col("word").startswith(t) for t in terms])
+    found = index.where(hit).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    if docs is not None:
+        kept = docs
+        for column, value in filters.items():
+            if value is not None:
+                kept = kept.where(F.col(column) == F.lit(value))
+        found = found.join(kept.select("doc_id"), "doc_id", "left_semi")
+    return found.select("doc_id", F.round(F.least(F.lit(1.0), 2 * 0.1 * F.col("n")), 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(limit)
+
+
 def prefix_search(docs: DataFrame, text: str, limit: int, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
-    """Documents with words that begin with a term: a tenth for each such word, doubled, at most 1."""
+    """:func:`index_search` without an index: one pass over the texts."""
     terms = query_terms(text)
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score")).limit(0)
@@ -65,13 +104,22 @@ def prefix_search(docs: DataFrame, text: str, limit: int, doc_id: str = "doc_id"
     return hits.orderBy(F.col("score").desc(), doc_id).limit(limit)
 
 
-def term_coverage(docs: DataFrame, text: str, limit: int, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
-    """The share of the query's terms that a document contains, literally and in any case."""
+def term_coverage(docs: DataFrame, text: str, limit: int, doc_id: str = "doc_id", content: str = "text", wild: bool = True) -> DataFrame:
+    """The share of the query's terms that a document contains, in any case.
+
+    ``_`` and ``%`` of a term are wild, as they are in ``ILIKE``, unless ``wild`` is off.
+    """
     terms = sanitized(text)
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score")).limit(0)
     low = F.lower(F.coalesce(F.col(content), F.lit("")))
-    matched = sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms[1:]), F.contains(low, F.lit(terms[0].lower())).cast("int"))
+
+    def has(term: str) -> Column:
+        if wild and re.search("[_%]", term):
+            return low.like("%" + term.lower() + "%")
+        return F.contains(low, F.lit(term.lower()))
+
+    matched = sum((has(t).cast("int") for t in terms[1:]), has(terms[0]).cast("int"))
     hits = docs.select(doc_id, F.round(matched / float(len(terms)), 6).alias("score")).where("score > 0")
     return hits.orderBy(F.col("score").desc(), doc_id).limit(limit)
 
@@ -88,7 +136,7 @@ def corrections(terms: DataFrame, known: DataFrame) -> DataFrame:
     asked = terms.select("term", F.length("term").alias("n")).distinct().withColumn("most", max_edits(F.col("n")))
     lengths = asked.withColumn("len", F.explode(F.sequence(F.col("n") - F.col("most"), F.col("n") + F.col("most"))))
     near = (
-        known.select("word", F.length("word").alias("len")).join(F.broadcast(lengths), "len")
+        known.select("word", F.length("word").alias("len")).join(lengths, "len")
         .withColumn("distance", F.levenshtein("term", "word")).where("distance <= most")
         .groupBy("term").agg(F.min(F.struct("distance", "word")).alias("best"))
     )
@@ -97,6 +145,14 @@ def corrections(terms: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("term", F.when(~exact, F.col("best.word")).alias("word"), F.when(~exact, F.col("best.distance").cast("long")).alias("distance"))
 
 
+def corrected_queries(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """``query, corrected``: queries of one word in its nearest known form; others, and those without a near word, as they are."""
+    ws = queries.select("query", F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda w: w != "").alias("ws"))
+    single = ws.where((F.size("ws") == 1) & (F.length(F.element_at("ws", 1)) >= 3)).select("query", F.element_at("ws", 1).alias("term"))
+    fixed = single.join(corrections(single.select("term"), known).where("word is not null"), "term").select("query", F.col("word").alias("_w"))
+    return queries.select("query").join(fixed.distinct(), "query", "left").select("query", F.coalesce("_w", "query").alias("corrected"))
+
+
 def min_span(positions: list[list[int]]) -> float:
     """The smallest window that has a position of every list."""
     if len(positions) < 2 or not all(positions):
@@ -167,16 +223,49 @@ def proximity_rerank(hits: DataFrame, schema: str = "query_id long, id long, sco
     return hits.groupBy("query_id").applyInPandas(rerank, schema)
 
 
-def intent_search(chunks: DataFrame, terms: list[str], limit: int = 5) -> DataFrame:
-    """``chunk_id, score``: frequency of each term over that of the chunk's commonest word, and a half for each term in the label."""
-    ws = chunks.select("chunk_id", F.explode(words(F.col("text"), 1)).alias("word")).groupBy("chunk_id", "word").agg(F.count("*").alias("n"))
-    low = [t.lower() for t in terms]
-    top = ws.groupBy("chunk_id").agg(F.max("n").alias("most"), *[F.coalesce(F.max(F.when(F.col("word") == t, F.col("n"))), F.lit(0)).alias(f"t{i}") for i, t in enumerate(low)])
-    score = sum((F.col(f"t{i}") / F.col("most") for i in range(1, len(low))), F.col("t0") / F.col("most"))
-    label = F.lower(F.coalesce("label", F.lit("")))
-    extra = sum((F.contains(label, F.lit(t)).cast("int") for t in low[1:]), F.contains(label, F.lit(low[0])).cast("int"))
-    joined = top.join(chunks.select("chunk_id", "label"), "chunk_id").select("chunk_id", F.round(score + 0.5 * extra, 6).alias("score")).where("score > 0")
-    return joined.orderBy(F.col("score").desc(), "chunk_id").limit(limit)
+def intent_tokens(text: Column) -> Column:
+    """Lower-case words of three characters or more, without common ones, as often as they are there."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]{3,})"), 1), lambda w: ~w.isin(*INTENT_STOP_WORDS))
+
+
+def intent_search(outputs: DataFrame, intent: str, limit: int = 5, least_bytes: int = INTENT_BYTES, lines: int = 50) -> DataFrame:
+    """``id, line_start, line_end, label, preview, score``: of each long output ``id, text`` the sections that fit an intent best.
+
+    Sections are of ``lines`` lines.  A term scores its frequency over that of the section's commonest word, and a half if
+    a section's label has it.  Outputs below ``least_bytes`` are not searched.
+    """
+    long = outputs.where(F.octet_length("text") >= least_bytes)
+    ls = F.split("text", "\n", -1)
+    cut = long.select("id", ls.alias("ls")).select("id", "ls", F.explode(F.sequence(F.lit(0), F.size("ls") - 1, F.lit(lines))).alias("s"))
+    part = F.slice("ls", F.col("s") + 1, lines)
+    sections = cut.select(
+        "id", (F.col("s") + 1).cast("long").alias("line_start"), F.least(F.col("s") + lines, F.size("ls")).cast("long").alias("line_end"), F.array_join(part, "\n").alias("content"), first_line(part).alias("preview")
+    ).where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
+    label = F.concat(F.lit("lines "), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))
+    sections = sections.withColumn("label", label)
+    return ranked_sections(sections, intent, limit)
+
+
+def ranked_sections(sections: DataFrame, intent: str, limit: int = 5) -> DataFrame:
+    """The ``limit`` best ``sections(id, line_start, line_end, label, content, preview)`` of each output for an intent."""
+    low = [w for w in re.findall("[a-z0-9_]{3,}", intent.lower()) if w not in INTENT_STOP_WORDS]
+    key = ["id", "line_start"]
+    ws = sections.select(*key, F.explode(intent_tokens(F.col("content"))).alias("w")).groupBy(*key, "w").agg(F.count("*").alias("n"))
+    used = ws.groupBy(*key).agg(F.max("n").alias("most"), *[F.max(F.when(F.col("w") == t, F.col("n"))).alias(f"t{i}") for i, t in enumerate(low)])
+    score = F.lit(0.0)
+    for i, t in enumerate(low):
+        score = score + F.coalesce(F.col(f"t{i}") / F.col("most"), F.lit(0.0)) + F.when(F.array_contains(intent_tokens(F.col("label")), t), 0.5).otherwise(0.0)
+    scored = sections.drop("content").join(used, key, "left").withColumn("score", F.round(score, 6))
+    if low:
+        scored = scored.where("score > 0")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "line_start"))
+    return scored.withColumn("nth", nth).where(F.col("nth") <= limit).select("id", "line_start", "line_end", "label", F.substring("preview", 1, 120).alias("preview"), "score")
+
+
+def first_line(lines: Column) -> Column:
+    """The first line with text that is no header of a chunk, or else the first line."""
+    real = F.filter(lines, lambda x: (F.ltrim(x) != "") & ~F.ltrim(x).rlike("^// (File|Section):"))
+    return F.coalesce(F.try_element_at(real, F.lit(1)), F.element_at(lines, 1))
 
 
 def distinctive_terms(chunks: DataFrame, limit: int = 10) -> DataFrame:
@@ -195,9 +284,3 @@ def sum_or(tests: list[Column]) -> Column:
     for t in tests[1:]:
         out = out | t
     return out
-
-
-def ranked(df: DataFrame, by: str, id_: str, per: str | None = None) -> DataFrame:
-    """``df`` with ``rank`` from 1 on by descending ``by``, ties to the smaller id."""
-    w = Window.partitionBy(per) if per else Window.partitionBy(F.lit(0))
-    return df.withColumn("rank", F.row_number().over(w.orderBy(F.col(by).desc(), id_)))

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import clamp01
+from tessera.functions.vectors import clamp01, cosine
+from tessera.session import cut
 
 SALIENCE_RATE, ACCESS_WEIGHT, ACCESS_RATE, COLD = 0.02, 0.6, 0.04, 0.2
+PERSISTENT, PROJECT, USER, SESSION = 0, 1, 2, 3
 TYPE_BOOST = {"decision": 1.0, "pattern": 0.9, "critical": 0.85, "code": 0.8}
 
 
@@ -44,11 +44,11 @@ def cold(memories: DataFrame, now: Column, min_days: int = 45, uses: int = 2) ->
     return memories.where(old & ~F.coalesce("pinned", F.lit(False)) & (decay(now) < COLD) & (F.coalesce("access_count", F.lit(0)) < uses))
 
 
-def promoted(memories: DataFrame, uses: int = 3, step: float = 0.08) -> DataFrame:
-    """Session memories (level 1) with enough uses, raised to the user's level with more importance."""
-    return memories.where((F.col("level") == 1) & (F.col("access_count") >= uses)).select(
-        "id", F.lit(2).cast("long").alias("level"), F.round(F.least(F.lit(1.0), F.col("importance") + step), 6).alias("importance")
-    )
+def promoted(memories: DataFrame, now: Column, uses: int = 3, step: float = 0.08, least: float = 0.7, limit: int = 120) -> DataFrame:
+    """Session memories that matter, are used, older than a day and not deleted, raised to the user's level with more importance; the oldest ``limit``."""
+    kinds = F.col("type").isin("conversation", "decision", "pattern")
+    due = (F.col("level") == SESSION) & kinds & (days_since(now, F.col("created_at")) > 1) & (F.col("importance") >= least) & (F.col("access_count") >= uses) & F.col("deleted_at").isNull()
+    return memories.where(due).orderBy("created_at", "id").limit(limit).select("id", F.lit(USER).cast("long").alias("level"), F.round(F.least(F.lit(1.0), F.col("importance") + step), 6).alias("importance"))
 
 
 def type_boost(kind: Column) -> Column:
@@ -65,30 +65,57 @@ def ranked(memories: DataFrame, similarity: Column, now: Column, limit: int) ->
     return memories.select("id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "id").limit(limit)
 
 
-def level(importance: Column, scope: Column) -> Column:
-    """Levels: persistent for what matters most, then by scope."""
-    return F.when(importance >= 0.9, 0).when(scope == "session", 1).when(scope == "user", 2).when(scope == "project", 3).otherwise(4)
+def level(kind: Column, user: Column, session: Column, project: Column, agent: Column) -> Column:
+    """Levels: what an agent decides of its own kind first, then the narrowest scope that is named, then the type."""
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    return (
+        F.when((agent == "orchestrator") & kind.isin("decision", "critical"), PERSISTENT)
+        .when((agent == "architect") & kind.isin("pattern", "code", "critical"), PROJECT)
+        .when((agent == "optimizer") & (kind == "critical"), USER)
+        .when(has(project), PROJECT).when(has(user) & ~has(session), USER).when(has(session), SESSION)
+        .when(kind == "critical", USER).when(kind.isin("code", "pattern"), PROJECT).when(kind == "decision", PERSISTENT).otherwise(SESSION)
+    )
+
+
+def salience(memories: DataFrame, verdicts: DataFrame | None = None, neutral: float = 0.5) -> DataFrame:
+    """Memories with a judge's ``salience``, within 0 and 1; neutral where there is no verdict.  ``verdicts(id, salience)``."""
+    if verdicts is None:
+        return memories.withColumn("salience", F.lit(neutral))
+    own = verdicts.groupBy(F.col("id").alias("_i")).agg(F.max("salience").alias("_s"))
+    return memories.join(own, F.col("id") == F.col("_i"), "left").withColumn("salience", F.when(F.col("_s").isNull() | F.isnan("_s"), neutral).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s"))))).drop("_i", "_s")
 
 
 def keep_rule(pairs: DataFrame, memories: DataFrame) -> DataFrame:
-    """``keep_id, remove_id, score``: of each pair ``a, b, score`` in order, the less important goes, or else the less used;
-    a memory that is gone takes no further part.  A block's pairs are one group."""
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        for r in group.sort_values(["a", "b"]).itertuples():
-            if r.a in gone or r.b in gone:
-                continue
-            first = r.ia > r.ib if r.ia != r.ib else r.ca >= r.cb
-            keep, drop = (r.a, r.b) if first else (r.b, r.a)
-            gone.add(drop)
-            out.append((r.block, keep, drop, r.score))
-        return pd.DataFrame(out, columns=["block", "keep_id", "remove_id", "score"])
+    """``block, keep_id, remove_id, score``: of each pair ``block, a, b, score`` in order of ``a`` and ``b``, the less important goes, or else the less used;
+    a memory that is gone takes no further part.
 
+    A pair is decided once it comes first among the pairs left of both its memories, so that each round decides many
+    and the outcome is that of one walk in order; no block is gathered.
+    """
     m = memories.select("id", "importance", F.col("access_count").cast("long").alias("uses"))
     left = m.select(F.col("id").alias("a"), F.col("importance").alias("ia"), F.col("uses").alias("ca"))
     right = m.select(F.col("id").alias("b"), F.col("importance").alias("ib"), F.col("uses").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").groupBy("block").applyInPandas(walk, "block long, keep_id long, remove_id long, score double")
+    first = F.when(F.col("ia") != F.col("ib"), F.col("ia") > F.col("ib")).otherwise(F.col("ca") >= F.col("cb"))
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    open_ = cut(pairs.join(left, "a").join(right, "b").select("block", "a", "b", "score", pick("a", "b").alias("keep_id"), pick("b", "a").alias("remove_id")))
+    done = open_.where("false").select("block", "keep_id", "remove_id", "score")
+    while not open_.isEmpty():
+        ends = open_.select("block", F.explode(F.array("a", "b")).alias("id"), F.struct("a", "b").alias("p")).groupBy("block", "id").agg(F.min("p").alias("p"))
+        ready = ends.groupBy("block", "p").agg(F.count("*").alias("n")).where("n = 2").select("block", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+        now = cut(open_.join(ready, ["block", "a", "b"], "left_semi"))
+        done = done.unionByName(now.select("block", "keep_id", "remove_id", "score"))
+        gone = now.select("block", F.col("remove_id").alias("g"))
+        rest = open_.join(now, ["block", "a", "b"], "left_anti").join(gone.withColumnRenamed("g", "a"), ["block", "a"], "left_anti").join(gone.withColumnRenamed("g", "b"), ["block", "b"], "left_anti")
+        open_ = cut(rest.select("block", "a", "b", "score", "keep_id", "remove_id"))
+    return done
+
+
+def merged(memories: DataFrame, merges: DataFrame) -> DataFrame:
+    """``id, importance, access_count`` after merging: the kept ones with the largest importance and all uses; the removed ones are gone."""
+    m = merges.select(F.col("remove_id").alias("_r"), F.col("keep_id").alias("_k"))
+    at = memories.join(m, F.col("id") == F.col("_r"), "left").select(F.coalesce("_k", "id").alias("to"), F.col("_r").isNull().alias("stays"), "importance", "access_count")
+    whole = at.groupBy("to").agg(F.max("importance").alias("importance"), F.sum("access_count").alias("access_count"), F.max("stays").alias("stays"))
+    return whole.where("stays").select(F.col("to").alias("id"), "importance", "access_count")
 
 
 def merge_map(edges: DataFrame, merges: DataFrame) -> DataFrame:
@@ -99,32 +126,30 @@ def merge_map(edges: DataFrame, merges: DataFrame) -> DataFrame:
     return out.where("from_id <> to_id").groupBy("from_id", "to_id", "edge_type").agg(F.max("weight").alias("weight"))
 
 
-def consolidation_window(memories: DataFrame, threshold: float = 0.65, most: int = 8, schema: str = "project long, id long, place long") -> DataFrame:
-    """Per project, the largest group found greedily around a seed, newest seeds first, of memories that are all
-    pairwise similar.  Reads ``project, id, embedding, created_at``; a project's memories are one group."""
-
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["created_at", "id"], ascending=[False, True]).reset_index(drop=True)
-        v = np.stack(group["embedding"].map(np.asarray)).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        best: list[int] = []
-        for s in range(len(group)):
-            near = v[s + 1 :] @ v[s] >= threshold
-            chosen = [s]
-            for j in np.flatnonzero(near) + s + 1:
-                if len(chosen) == most:
-                    break
-                if (v[chosen] @ v[j] >= threshold).all():
-                    chosen.append(int(j))
-            if len(chosen) > len(best):
-                best = chosen
-            if len(best) == most:
-                break
-        if len(best) < 2:
-            best = []
-        return pd.DataFrame({"project": group["project"].iloc[best], "id": group["id"].iloc[best], "place": range(len(best))})
-
-    return memories.groupBy("project").applyInPandas(find, schema)
+def consolidation_window(memories: DataFrame, threshold: float = 0.65, most: int = 8) -> DataFrame:
+    """``project, id, place``: of each project, its newest memory with a vector, and newer ones first those that are similar to all taken so far.
+
+    Reads ``project, id, embedding, created_at``.  Each round takes one memory a project and keeps those similar to it, so
+    no project is gathered; null projects are one.  A window has two memories at least.
+    """
+    order = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), F.col("id").alias("i"))
+    rest = cut(memories.where(F.size("embedding") > 0).select(F.coalesce(F.col("project").cast("string"), F.lit("")).alias("p"), "project", "id", "embedding", order.alias("o")))
+    chosen = rest.where("false").select("p", "project", "id", F.lit(0).alias("place"))
+    for place in range(most):
+        top = cut(rest.groupBy("p").agg(F.min_by(F.struct("project", "id", "embedding", "o"), "o").alias("t")).select("p", "t.*"))
+        if top.isEmpty():
+            break
+        chosen = chosen.unionByName(top.select("p", "project", "id", F.lit(place).alias("place")))
+        taken = top.select(F.col("p").alias("_p"), F.col("embedding").alias("_v"), F.col("o").alias("_o"))
+        rest = cut(rest.join(taken, F.col("p") == F.col("_p")).where((F.col("o") > F.col("_o")) & (cosine(F.col("embedding"), F.col("_v")) >= threshold)).select(*rest.columns))
+    sizes = chosen.groupBy(F.col("p").alias("_p")).agg(F.count("*").alias("n")).where("n > 1")
+    return chosen.join(sizes, F.col("p") == F.col("_p"), "left_semi").select("project", "id", F.col("place").cast("long").alias("place"))
+
+
+def largest_window(windows: DataFrame) -> DataFrame:
+    """The largest of the projects' windows, ties to the first project."""
+    best = windows.groupBy("project").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "project").limit(1).select(F.col("project").alias("_p"))
+    return windows.join(F.broadcast(best), F.col("project").eqNullSafe(F.col("_p")), "left_semi")  # one row
 
 
 def clusters(memories: DataFrame, seed: int = 42) -> DataFrame:
@@ -140,27 +165,51 @@ def clusters(memories: DataFrame, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=20).fit(rows).transform(rows).select("id", F.col("prediction").alias("cluster"))
 
 
-# What tells that a memory speaks against an earlier one, carries a decision out, or goes on from one.
-CONTRADICTS = r"(?i)\b(not|no longer|instead|wrong|incorrect|deprecated|replaced|however|but)\b"
-IMPLEMENTS = r"(?i)\b(implement|implemented|implements|added|created|built)\b"
-EXTENDS = r"(?i)\b(also|additionally|extend|extends|furthermore|plus)\b"
+def cluster_labels(members: DataFrame, terms: int = 3) -> DataFrame:
+    """``cluster, label``: the words that most texts of a cluster have, ties by word.  ``members(id, cluster, text)``."""
+    ws = members.select("id", "cluster", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9_]{4,})"), 1))).alias("word"))
+    counted = ws.groupBy("cluster", "word").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("df").desc(), "word"))
+    top = counted.withColumn("n", nth).where(F.col("n") <= terms).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("ws"))
+    return top.select("cluster", F.array_join("ws.word", " / ").alias("label"))
+
+
+# What tells that a memory speaks against an earlier one, settles it, goes on from it, or bears it out.
+CONTRADICTS = (
+    "instead of", "no longer", "don't use", "deprecated", "replaced by", "wrong approach", "should not", "avoid", "changed from", "was incorrect",
+    "não usar", "substituir", "evitar", "incorreto",
+)
+RESOLVES = ("fixed", "resolved", "solved", "workaround", "fix for", "solution", "corrected", "patched", "resolvido", "corrigido", "solução")
+DERIVES = ("based on", "derived from", "building on", "extending", "following up", "as discussed", "per decision", "baseado em", "derivado de", "conforme")
+SUPPORTS = ("confirms", "supports", "validates", "consistent with", "aligns with", "evidence for", "proves", "confirma", "valida", "consistente")
+
+
+def _says(text: Column, signals: tuple[str, ...]) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.contains(low, F.lit(signals[0]))
+    for x in signals[1:]:
+        out = out | F.contains(low, F.lit(x))
+    return out
 
 
 def relation(pairs: DataFrame) -> DataFrame:
-    """``relation, confidence`` for pairs of a newer and an older memory: the first rule that holds.
+    """``relation, confidence`` for pairs of a newer and an older memory: the first rule that holds; pairs without a relation go.
 
-    Reads ``similarity, new_type, old_type, new_text``.
+    Reads ``similarity, new_type, old_type, new_text, newer`` (whether the new one was made later) and ``shared_tags``.
     """
-    s, same = F.col("similarity"), F.col("new_type") == F.col("old_type")
+    s, new, old, text = F.col("similarity"), F.col("new_type"), F.col("old_type"), F.col("new_text")
+    same = new == old
     rules = [
-        ("SUPERSEDES", same & (s >= 0.92), F.least(F.lit(0.95), s)),
-        ("CONTRADICTS", F.col("new_text").rlike(CONTRADICTS) & (s >= 0.5), 0.7 + s * 0.2),
-        ("IMPLEMENTS", (F.col("new_type") == "code") & (F.col("old_type") == "decision") & F.col("new_text").rlike(IMPLEMENTS), 0.65 + s * 0.25),
-        ("EXTENDS", F.col("new_text").rlike(EXTENDS) & (s >= 0.7), 0.55 + s * 0.3),
-        ("SUPPORTS", same & (s >= 0.8), 0.5 + s * 0.3),
+        ("SUPERSEDES", same & (s >= 0.92) & F.col("newer"), F.least(F.lit(0.95), s)),
+        ("CONTRADICTS", _says(text, CONTRADICTS) & ((s >= 0.5) | F.col("shared_tags")), 0.7 + s * 0.2),
+        ("RESOLVES", _says(text, RESOLVES) & old.isin("decision", "pattern"), 0.65 + s * 0.25),
+        ("DERIVED_FROM", _says(text, DERIVES), 0.6 + s * 0.3),
+        ("DERIVED_FROM", (((new == "code") & (old == "decision")) | ((new == "pattern") & (old == "code"))) & (s >= 0.7), 0.55 + s * 0.3),
+        ("SUPPORTS", _says(text, SUPPORTS), 0.6 + s * 0.3),
+        ("SUPPORTS", same & (s >= 0.8) & new.isin("pattern", "decision"), 0.5 + s * 0.3),
         ("RELATES_TO", s >= 0.75, s * 0.8),
     ]
     name, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
     for rule, test, confidence in reversed(rules):
         name, sure = F.when(test, rule).otherwise(name), F.when(test, confidence).otherwise(sure)
-    return pairs.withColumn("relation", name).withColumn("confidence", F.round(sure, 6)).where("relation is not null")
+    return pairs.withColumn("relation", name).withColumn("confidence", sure).where("relation is not null")

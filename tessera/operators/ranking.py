@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import clamp01
+from tessera.functions.vectors import clamp01, cosine
 
 RRF_K = 60
 VECTOR_WEIGHT = 0.3
@@ -98,9 +98,37 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 
 
 def explained(hits: DataFrame) -> DataFrame:
-    """Hits with a sentence on how their score came about."""
-    pct = lambda c: F.concat(F.round(100 * F.coalesce(c, F.lit(0.0)), 1).cast("string"), F.lit("%"))
-    return hits.withColumn("explanation", F.concat(F.lit("score "), pct(F.col("score")), F.lit(": vector "), pct(F.col("vector_score")), F.lit(", keyword "), pct(F.col("keyword_score"))))
+    """Hits with ``explanation``, a struct of scores and ranks from 1 on and a ``breakdown`` that says how the score came about.
+
+    Reads ``score, rrf, vector_score, keyword_score, vector_rank, keyword_rank, combined_rank``, ranks counted from 1.
+    """
+    pct = lambda c: F.format_string("%.1f%%", 100 * c)
+    part = lambda name, score, rank: F.when(F.col(score).isNotNull() & F.col(rank).isNotNull(), F.concat(F.lit(f"{name}: "), pct(F.col(score)), F.lit(" (rank #"), F.col(rank).cast("string"), F.lit(")")))
+    parts = F.array_compact(F.array(part("Vector", "vector_score", "vector_rank"), part("Keyword", "keyword_score", "keyword_rank")))
+    text = F.concat(F.array_join(parts, " + "), F.lit(" → RRF: "), F.format_string("%.4f", F.col("rrf")), F.lit(" → Final: "), pct(F.col("score")))
+    names = {"score": "final_score", "vector_score": "vector_score", "keyword_score": "keyword_score", "rrf": "rrf_score", "vector_rank": "vector_rank", "keyword_rank": "keyword_rank", "combined_rank": "combined_rank"}
+    return hits.withColumn("explanation", F.struct(*[F.col(c).alias(n) for c, n in names.items()], text.alias("breakdown")))
+
+
+def diversified(hits: DataFrame, threshold: float = 0.85, head: int = HEAD) -> DataFrame:
+    """The first ``head`` hits of each query, in order, without those whose words are more similar than ``threshold`` to ones that stay.  Reads ``content``."""
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    words = F.array_distinct(F.split(F.lower(F.coalesce("content", F.lit(""))), r"\s+", -1))
+    top = hits.withColumn("pos", nth).where(F.col("pos") <= head).select("query_id", F.struct("pos", "id", words.alias("w")).alias("h"))
+    rows = top.groupBy("query_id").agg(F.sort_array(F.collect_list("h")).alias("hs"))  # at most ``head`` of them
+    near = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    none = F.filter("hs", lambda h: F.lit(False))
+    kept = F.aggregate("hs", none, lambda acc, h: F.when(F.exists(acc, lambda x: near(x["w"], h["w"]) > threshold), acc).otherwise(F.array_append(acc, h)))
+    ids = rows.select("query_id", F.explode(F.transform(kept, lambda h: h["id"])).alias("id"))
+    return hits.join(ids, ["query_id", "id"], "left_semi")
+
+
+def task_alignment(content: Column, task: Column, vector: Column | None = None, task_vector: Column | None = None) -> Column:
+    """How near a hit is to the task: half of one plus the cosine where both have vectors, else the share of common words."""
+    shared = jaccard(tokens(content), tokens(task))
+    if vector is None or task_vector is None:
+        return shared
+    return F.when((F.size(vector) > 0) & (F.size(vector) == F.size(task_vector)), (cosine(vector, task_vector) + 1) / 2).otherwise(shared)
 
 
 def file_boost(hits: DataFrame, file: str, boosts: dict[str, float]) -> DataFrame:
@@ -181,13 +209,16 @@ def attention(hits: DataFrame, now: Column, head: int = HEAD, half_life_days: fl
     return out.withColumn("rank", F.row_number().over(order)).drop("pos", "most", "dated")
 
 
-def diversity(hits: DataFrame, threshold: float = 0.85, strength: float = 0.4, same_path: float = 0.15) -> DataFrame:
+def diversity(hits: DataFrame, threshold: float = 0.85, strength: float = 0.4, same_path: float = 0.15, head: int = 4 * HEAD) -> DataFrame:
     """Scores times ``1 - strength * similarity`` for each earlier hit that is more similar than ``threshold``, and times
-    ``1 - same_path`` for each earlier one of the same file.  Reads ``content`` and ``file``."""
+    ``1 - same_path`` for each earlier one of the same file.  Reads ``content`` and ``file``.
+
+    Lists of hits are no longer than ``head``; what follows it in one keeps its score.
+    """
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     out = hits.withColumn("pos", nth).withColumn("toks", tokens(F.col("content")))
-    a = out.select("query_id", "pos", "toks", "file")
-    b = out.select("query_id", F.col("pos").alias("pos2"), F.col("toks").alias("toks2"), F.col("file").alias("file2"))
+    a = out.where(F.col("pos") <= head).select("query_id", "pos", "toks", "file")
+    b = a.select("query_id", F.col("pos").alias("pos2"), F.col("toks").alias("toks2"), F.col("file").alias("file2"))
     sim = jaccard(F.col("toks"), F.col("toks2"))
     pairs = a.join(b, "query_id").where("pos2 < pos").withColumn("sim", sim)
     factor = F.when(F.col("sim") > threshold, 1 - strength * F.col("sim")).otherwise(1.0) * F.when((F.col("file") == F.col("file2")) & (F.col("file") != ""), 1 - same_path).otherwise(1.0)
@@ -223,9 +254,9 @@ SPECIFIC = (
     r"\b[A-Za-z_][\w]*\s*\(", "[\"`'][^\"`']{2,}[\"`']",
 )
 TECHNICAL = (
-    "function class interface type method module import export async await promise callback middleware handler service config schema migration query endpoint "
-    "route controller repository factory provider adapter decorator hook store reducer selector component plugin"
-).split()
+    "function", "class", "interface", "type", "method", "module", "import", "export", "async", "await", "promise", "callback", "middleware", "handler", "service", "config", "schema", "migration", "query", "endpoint",
+    "route", "controller", "repository", "factory", "provider", "adapter", "decorator", "hook", "store", "reducer", "selector", "component", "plugin",
+)
 GATES = {"specific": 0.55, "focused": 0.4, "broad": 0.25}
 
 

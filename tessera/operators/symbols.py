@@ -51,15 +51,18 @@ def resolved(asked: DataFrame, defs: DataFrame) -> DataFrame:
     return out.select("asked", F.coalesce("id", F.when(F.col("n") == 1, F.col("alias"))).alias("id"), state.alias("state"))
 
 
-def import_targets(imports: DataFrame, files: DataFrame, aliases: dict[str, str], extensions: tuple[str, ...] = ("", ".ts", ".tsx", ".js", "/index.ts", "/index.js")) -> DataFrame:
+def import_targets(imports: DataFrame, files: DataFrame, aliases: dict[str, str], packages: dict[str, str] | None = None, extensions: tuple[str, ...] = ("", ".ts", ".tsx", ".js", "/index.ts", "/index.js")) -> DataFrame:
     """``src, specifier, dst``: the first candidate path of an import that is a known file; null for external ones.
 
-    Relative specifiers start at the importing file's folder, others at the alias that they begin with.
+    Relative specifiers start at the importing file's folder, others at the alias that they begin with, or at the folder of the
+    package of the same repository that they name, longer names first.
     """
     folder = F.regexp_replace("src", "(^|/)[^/]*$", "")
     base = F.when(F.col("specifier").startswith("."), F.concat_ws("/", F.when(folder != "", folder), F.col("specifier")))
     for a, target in aliases.items():
         base = base.when(F.col("specifier").startswith(a), F.concat(F.lit(target), F.substring("specifier", len(a) + 1, 1 << 20)))
+    for name, folder_of in sorted((packages or {}).items(), key=lambda x: -len(x[0])):
+        base = base.when(F.col("specifier") == name, F.lit(folder_of)).when(F.col("specifier").startswith(f"{name}/"), F.concat(F.lit(folder_of), F.substring("specifier", len(name) + 1, 1 << 20)))
     clean = F.regexp_replace(F.regexp_replace(base, r"(^|/)(\./)+", "$1"), r"/\./", "/")
     for _ in range(6):  # each pass takes one level of parents away
         clean = F.regexp_replace(clean, r"(^|/)(?!\.\.)[^/]+/\.\./", "$1")
@@ -107,6 +110,30 @@ def soft_deleted(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("deleted_at", F.when(F.col("_gone"), F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at"))).drop("_gone")
 
 
+def patched(memories: DataFrame, patches: DataFrame) -> DataFrame:
+    """Memories with the columns of their patch, one for each ``id``, where those are not null."""
+    fields = [c for c in patches.columns if c != "id"]
+    p = patches.select("id", *[F.col(c).alias(f"_p_{c}") for c in fields])
+    out = memories.join(p, "id", "left")
+    return out.withColumns({c: F.coalesce(f"_p_{c}", c) for c in fields}).select(*memories.columns)
+
+
+def hard_deleted(memories: DataFrame, ids: DataFrame | None = None, project: object | None = None) -> DataFrame:
+    """Memories without those of ``ids`` and of a project."""
+    out = memories if ids is None else memories.join(ids.select("id").distinct(), "id", "left_anti")
+    return out if project is None else out.where(~F.col("project_id").eqNullSafe(F.lit(project)))
+
+
+def imports_of(edges: DataFrame, file: object) -> DataFrame:
+    """What a file imports."""
+    return edges.where(F.col("src") == F.lit(file))
+
+
+def importers_of(edges: DataFrame, file: object) -> DataFrame:
+    """What imports a file."""
+    return edges.where(F.col("dst") == F.lit(file))
+
+
 def counted(items: DataFrame, log: DataFrame) -> DataFrame:
     """Items with the accesses of a log added to their counts, and the time of the last."""
     seen = log.groupBy("id").agg(F.count("*").alias("_n"), F.max("at").alias("_last"))

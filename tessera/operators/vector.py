@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.session import cut
 
 #: Query vectors that are shipped to every task at most.
 MAX_QUERIES = 10_000
@@ -35,11 +36,20 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
 
     Each task multiplies its batches with all query vectors and passes on its own best
     ``k`` alone, so what is shuffled is ``k`` rows a query and task.  Ties go to the smaller id.
-    More than ``MAX_QUERIES`` queries raise: run them in blocks.
+    Queries go through the items in blocks of ``MAX_QUERIES`` or about as many.
     """
-    asked = queries.select(query_id, vector).limit(MAX_QUERIES + 1).toArrow()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries at once")
+    blocks = -(-queries.count() // MAX_QUERIES)
+    if blocks > 1:
+        parts = [_block_knn(queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i), corpus, k, query_id, item_id, vector, digits) for i in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    return _block_knn(queries, corpus, k, query_id, item_id, vector, digits)
+
+
+def _block_knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, item_id: str, vector: str, digits: int) -> DataFrame:
+    asked = queries.select(query_id, vector).toArrow()
     sizes = asked[vector].combine_chunks().value_lengths().to_pylist()
     size = max([n or 0 for n in sizes], default=0)
     q, ids = matrix(asked[vector], size), asked[query_id].to_pylist()
@@ -59,6 +69,50 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
     return found.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
+def nearest(query: Column, corpus: DataFrame, k: int, item_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``item_id, score`` of the ``k`` items nearest to one vector: an expression and a top-k, without Python."""
+    return corpus.select(item_id, F.round(V.clamp01(V.cosine(F.col(vector), query)), 6).alias("score")).orderBy(F.col("score").desc(), item_id).limit(k)
+
+
+#: Vectors that an index is fitted on at most; all of them are indexed.
+FIT_ROWS = 20_000
+
+
+class Index:
+    """An inverted file of vectors: lists around centroids.  A search reads the lists nearest to each query and ranks what is in them exactly."""
+
+    def __init__(self, items: DataFrame, lists: int = 32, seed: int = 42, item_id: str = "vec_id", vector: str = "embedding"):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        self.item_id, self.vector = item_id, vector
+        rows = items.where(F.size(vector) > 0).select(item_id, vector, V.unit(F.col(vector)).alias("_u"))
+        sample = rows.orderBy(F.xxhash64(F.lit(seed), item_id), item_id).limit(FIT_ROWS).select(array_to_vector("_u").alias("features"))
+        model = KMeans(k=lists, seed=seed, maxIter=10).fit(sample)
+        self.centres = [[float(x) for x in c] for c in model.clusterCenters()]
+        self.lists = cut(rows.select(item_id, vector, self._order(F.col("_u"), 1)[0].alias("list")).repartition("list"))
+
+    def _order(self, unit: Column, n: int) -> Column:
+        """Numbers of the ``n`` centroids nearest to a unit vector."""
+        far = [F.struct(V.squared_distance(unit, F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]
+        return F.transform(F.slice(F.array_sort(F.array(*far)), 1, n), lambda s: s["i"])
+
+    def search(self, queries: DataFrame, k: int, probes: int = 8, query_id: str = "query_id") -> DataFrame:
+        """``query_id, item_id, score, rank`` of the best ``k`` in the ``probes`` lists nearest to each query."""
+        asked = queries.select(query_id, F.col(self.vector).alias("_q"), F.explode(self._order(V.unit(F.col(self.vector)), probes)).alias("list"))
+        scored = self.lists.join(asked, "list").select(query_id, self.item_id, F.round(V.clamp01(V.cosine(F.col(self.vector), F.col("_q"))), 6).alias("score"))
+        nth = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), self.item_id))
+        return scored.withColumn("rank", nth).where(F.col("rank") <= k)
+
+
+def collected(items: DataFrame, ids: list[int] | None = None, item_id: str = "vec_id", **where: object) -> DataFrame:
+    """Items of a collection by id and by the values of columns."""
+    out = items if ids is None else items.where(F.col(item_id).isin(ids))
+    for column, value in where.items():
+        out = out.where(F.col(column) == F.lit(value))
+    return out
+
+
 def two_phase(query: Column, corpus: DataFrame, k: int, size: int, item_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The best ``min(20 k, 200)`` items by Hamming distance of sign bits, ranked anew by cosine.  Ties go to the smaller id."""
     bits = corpus.select(item_id, vector, V.hamming(V.sign_words(F.col(vector), size), V.sign_words(query, size)).alias("distance"))
@@ -122,6 +176,17 @@ def evolved(items: DataFrame, samples: DataFrame, item_id: str = "id", min_sampl
     return out.withColumn("evolved", F.coalesce(near, F.lit(False))).withColumn("embedding", F.when(F.col("evolved"), blend).otherwise(V.as_double(F.col("embedding")))).drop("c", "n")
 
 
+def evolved_in_groups(items: DataFrame, group: str, item_id: str = "id", min_samples: int = 5, min_cosine: float = 0.5) -> DataFrame:
+    """:func:`evolved` where each item's samples are the others of its group: the group's sum less its own vector, so that no pairs are made."""
+    dims = items.select(group, F.posexplode(V.as_double(F.col("embedding"))).alias("d", "x")).groupBy(group, "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = dims.groupBy(F.col(group).alias("_g")).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("d", "x"))).alias("s"))
+    own = V.as_double(F.col("embedding"))
+    rows = items.join(sums, F.col(group).eqNullSafe(F.col("_g"))).withColumn("c", F.zip_with(F.col("s.x"), own, lambda a, b: (a - b) / (F.col("n") - 1)))
+    near = (F.col("n") - 1 >= min_samples) & (V.cosine(own, F.col("c")) >= min_cosine)
+    blend = F.zip_with(own, F.col("c"), lambda a, b: 0.7 * a + 0.3 * b)
+    return rows.select(item_id, F.coalesce(near, F.lit(False)).alias("evolved"), F.when(near, blend).otherwise(own).alias("embedding"))
+
+
 def store_stats(items: DataFrame, group: str, text: str) -> DataFrame:
     """Items and characters of each group."""
     return items.groupBy(group).agg(F.count("*").alias("items"), F.sum(F.length(text)).cast("long").alias("chars"))

@@ -31,7 +31,13 @@ def pattern_mining(t: Tables) -> DataFrame:
     return events.patterns(t.conversations.where("role = 'user'"), t.pages.select(F.col("url").alias("path")), fixes)
 
 
-@query()
+TTL_SQL = """WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    k AS (SELECT user_id, n, ts AS kept, event_id, true AS here FROM o WHERE n = 1 UNION ALL
+      SELECT o.user_id, o.n, CASE WHEN o.ts - k.kept >= INTERVAL 3600 SECOND THEN o.ts ELSE k.kept END, o.event_id, o.ts - k.kept >= INTERVAL 3600 SECOND FROM k JOIN o ON o.user_id = k.user_id AND o.n = k.n + 1)
+    SELECT CAST(user_id AS VARCHAR) AS user_id, event_id FROM k WHERE here"""
+
+
+@query(TTL_SQL)
 def ttl_dedup(t: Tables) -> DataFrame:
     return events.ttl_dedup(t.events, "user_id", 3600)
 
@@ -47,12 +53,42 @@ def recent_by_session(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 200), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM l),
-    s AS (SELECT user_id, '## ' || event_type || chr(10) || string_agg('- ' || event_id, chr(10) ORDER BY k) AS section FROM k WHERE k <= 5 GROUP BY user_id, event_type)
-    SELECT user_id, substr(string_agg(section, chr(10) ORDER BY section), 1, 2048) AS snapshot FROM s GROUP BY user_id"""
+    """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 200),
+    k AS (SELECT *, replace(CASE WHEN event_id % 4 = 0 THEN '[' || event_id || ']' ELSE props END, '"', '&quot;') AS token, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM l),
+    s AS (SELECT user_id, event_type, count(*) AS c, '  <' || event_type || ' count="' || count(*) || '">' || chr(10) || '    ' || count(*) || ' event(s)' || string_agg(chr(10) || '      - ' || token, '' ORDER BY k) FILTER (WHERE k <= 5) || chr(10) || '  </' || event_type || '>' AS body FROM k GROUP BY user_id, event_type),
+    p AS (SELECT *, row_number() OVER w AS place, sum(strlen(body) + 1) OVER w AS upto, sum(c) OVER (PARTITION BY user_id) AS n FROM s WINDOW w AS (PARTITION BY user_id ORDER BY c DESC, event_type)),
+    h AS (SELECT *, '<session_resume events="' || n || '" session_id="' || user_id || '">' AS head FROM p)
+    SELECT user_id AS session, CAST(n AS BIGINT) AS events, count(*) AS sections, head || chr(10) || string_agg(body, chr(10) ORDER BY place) || chr(10) || '</session_resume>' AS snapshot FROM h
+    WHERE upto + strlen(head) + 18 <= 600 OR place = 1 GROUP BY user_id, n, head"""
 )
 def compaction_snapshot(t: Tables) -> DataFrame:
-    return events.snapshot(t.events)
+    rows = t.events.select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("category"), F.when(F.col("event_id") % 4 != 0, F.col("props")).alias("token"))
+    return events.snapshot(rows, max_bytes=600).withColumn("sections", F.col("sections").cast("long"))
+
+
+@query(
+    """WITH l AS (SELECT user_id AS session, event_id % 40 AS id, epoch_us(ts) // 1000000 AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER w < 86400 THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY session ORDER BY t, id)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM g), i AS (SELECT session, run, id, count(*) AS n, min(t) AS first, max(t) AS last FROM r GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY session, run ORDER BY last DESC, id DESC) AS nth FROM i)
+    SELECT session, CAST(run AS BIGINT) AS run, min(first) AS created_at, max(last) + 86400 AS expires_at, CAST(sum(n) AS BIGINT) AS accesses, string_agg(id || ':' || n, ',' ORDER BY nth) FILTER (WHERE nth <= 5) AS recent FROM o GROUP BY session, run"""
+)
+def session_registry(t: Tables) -> DataFrame:
+    log = t.events.select(F.col("user_id").alias("session"), (F.col("event_id") % 40).alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    out = events.sessions(log, 86_400, 5)
+    shown = F.array_join(F.transform("recent", lambda x: F.concat_ws(":", x["id"].cast("string"), x["n"].cast("string"))), ",")
+    return out.withColumn("recent", shown).withColumn("run", F.col("run").cast("long"))
+
+
+@query(
+    """WITH k AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}')) AS k FROM conversations), q AS (SELECT conv_id, turn AS last, k AS q FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM k) WHERE n = 1),
+    m AS (SELECT k.conv_id, turn, len(list_intersect(k, q)) AS i, len(k) AS a, len(q) AS b, last FROM k JOIN q ON k.conv_id = q.conv_id WHERE last - turn < 6)
+    SELECT conv_id AS session, last AS query_id, turn AS id, round(least(1, (turn % 10) / 10.0::DOUBLE * 1.3), 6) AS score FROM m WHERE a > 0 AND b > 0 AND i / (a + b - i) >= 0.2"""
+)
+def buffer_hits(t: Tables) -> DataFrame:
+    c = t.conversations.select(F.col("conv_id").alias("session"), "turn", "text")
+    entries = c.select("session", F.col("turn").alias("id"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("query"), F.col("text").alias("content"), ((F.col("turn") % 10) / 10.0).alias("baseline"), F.col("turn").alias("at"))
+    last = c.groupBy("session").agg(F.max("turn").alias("at"), F.max_by("text", "turn").alias("query"))
+    return events.buffer_hits(entries, last.withColumn("query_id", F.col("at")), least=0.2, ttl_seconds=6)
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'view' AND epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts) > 86400000000 * 10")

@@ -55,15 +55,38 @@ def proximity_rerank(t: Tables) -> DataFrame:
     )
 
 
+_INTENT = "the erst tion lines 1"
+
+
 @query(
-    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9_]{1,}')) AS word FROM documents),
-    n AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
-    s AS (SELECT doc_id, coalesce(max(n) FILTER (WHERE word = 'the'), 0) / max(n) + coalesce(max(n) FILTER (WHERE word = 'of'), 0) / max(n) AS f FROM n GROUP BY doc_id)
-    SELECT doc_id AS chunk_id, round(f + 0.5 * (CAST(contains(lower(coalesce(source, '')), 'the') AS INT) + CAST(contains(lower(coalesce(source, '')), 'of') AS INT)), 6) AS score
-    FROM s JOIN documents USING (doc_id) WHERE f > 0 OR contains(lower(source), 'of') ORDER BY score DESC, chunk_id LIMIT 5"""
+    f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE strlen(text) >= 5000), c AS (SELECT doc_id, s, ls[s + 1 : s + 50] AS part, least(s + 50, len(ls)) AS e FROM (SELECT doc_id, ls, unnest(range(0, len(ls), 50)) AS s FROM l)),
+    k AS (SELECT doc_id, s, e, list_filter(regexp_extract_all(lower(array_to_string(part, chr(10))), '[a-z0-9_]{{3,}}'), lambda w: NOT list_contains({list(lexical.INTENT_STOP_WORDS)!r}, w)) AS ws FROM c WHERE trim(regexp_replace(array_to_string(part, ''), '\\s+', '', 'g')) <> ''),
+    f AS (SELECT doc_id, s, e, coalesce(max(n), 1) AS most, coalesce(max(n) FILTER (WHERE w = 'erst'), 0) AS a, coalesce(max(n) FILTER (WHERE w = 'tion'), 0) AS b, coalesce(max(n) FILTER (WHERE w = 'lines'), 0) AS g
+      FROM (SELECT doc_id, s, e, w, count(*) AS n FROM (SELECT doc_id, s, e, unnest(ws) AS w FROM k) GROUP BY ALL) GROUP BY doc_id, s, e),
+    r AS (SELECT k.doc_id, k.s, k.e, coalesce((a + b + g) / greatest(1, most), 0) + 0.5 AS score FROM k LEFT JOIN f ON f.doc_id = k.doc_id AND f.s = k.s)
+    SELECT doc_id AS id, s + 1 AS line_start, e AS line_end, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, s) AS n FROM r) WHERE n <= 5"""
 )
 def intent_search(t: Tables) -> DataFrame:
-    return lexical.intent_search(t.documents.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("label")), ["the", "of"])
+    return lexical.intent_search(t.documents.select(F.col("doc_id").alias("id"), "text"), _INTENT).select("id", "line_start", "line_end", "score")
+
+
+@query(
+    """SELECT doc_id, round(least(1.0::DOUBLE, 0.2::DOUBLE * len(regexp_extract_all(lower(coalesce(text, '')), '(?:^|[^a-z0-9_])(?:the|erst|tion)'))), 6) AS score
+    FROM documents WHERE lang = 'en' AND source = 'src3' AND regexp_matches(lower(coalesce(text, '')), '(?:^|[^a-z0-9_])(?:the|erst|tion)') ORDER BY score DESC, doc_id LIMIT 20"""
+)
+def fts_filtered_search(t: Tables) -> DataFrame:
+    return lexical.index_search(lexical.postings(t.documents), TEXT, 20, t.documents, lang="en", source="src3")
+
+
+@query(
+    f"""WITH v AS ({VOCABULARY_SQL}), t AS (SELECT unnest({[*MISSPELT, "teh other", " thr ", "ab"]!r}) AS query), q AS (SELECT query, list_filter(string_split_regex(lower(trim(query)), '\\s+'), lambda w: w <> '') AS ws FROM t),
+    o AS (SELECT query, ws[1] AS term, CASE WHEN length(ws[1]) <= 4 THEN 1 WHEN length(ws[1]) <= 12 THEN 2 ELSE 3 END AS most FROM q WHERE len(ws) = 1 AND length(ws[1]) >= 3),
+    c AS (SELECT query, word, levenshtein(term, word) AS d, row_number() OVER (PARTITION BY query ORDER BY levenshtein(term, word), word) AS n FROM o JOIN v ON abs(length(word) - length(term)) <= most AND levenshtein(term, word) <= most)
+    SELECT t.query, CASE WHEN d > 0 THEN word ELSE t.query END AS corrected FROM t LEFT JOIN c ON c.query = t.query AND n = 1"""
+)
+def query_correction(t: Tables) -> DataFrame:
+    asked = t.spark.createDataFrame([(w,) for w in [*MISSPELT, "teh other", " thr ", "ab"]], "query string")
+    return lexical.corrected_queries(asked, lexical.vocabulary(t.documents))
 
 
 @query(

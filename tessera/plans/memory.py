@@ -43,9 +43,21 @@ def prune_cold(t: Tables) -> DataFrame:
     return memory.cold(memories(t), now()).select("id")
 
 
-@query(f"WITH {_MEM} SELECT id, CAST(2 AS BIGINT) AS level, round(least(1, importance + 0.08), 6) AS importance FROM m WHERE level = 1 AND access_count >= 3")
+@query(
+    """WITH m AS (SELECT o_custkey AS id, count(*) % 9 AS access_count, min(o_orderdate) AS created_at, (o_custkey % 10) / 10.0::DOUBLE AS importance, o_custkey % 3 + 1 AS level,
+      ['decision', 'pattern', 'critical', 'code', 'conversation'][o_custkey // 7 % 5 + 1] AS type, o_custkey % 13 = 0 AS gone FROM orders GROUP BY o_custkey)
+    SELECT id, CAST(2 AS BIGINT) AS level, round(least(1, importance + 0.08), 6) AS importance FROM m WHERE level = 3 AND type IN ('conversation', 'decision', 'pattern') AND created_at < TIMESTAMP '2000-06-01' AND importance >= 0.7 AND access_count >= 3 AND NOT gone
+    ORDER BY created_at, id LIMIT 120"""
+)
 def promote_session(t: Tables) -> DataFrame:
-    return memory.promoted(memories(t))
+    c = F.col("o_custkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("decision", "pattern", "critical", "code", "conversation")]), (F.floor(c / 7) % 5 + 1).cast("int"))
+    m = t.orders.groupBy("o_custkey").agg((F.count("*") % 9).alias("access_count"), F.min(F.col("o_orderdate").cast("timestamp")).alias("created_at"))
+    m = m.select(
+        c.alias("id"), "access_count", "created_at", ((c % 10) / 10.0).alias("importance"), (c % 3 + 1).alias("level"), kind.alias("type"),
+        F.when(c % 13 == 0, F.col("created_at")).alias("deleted_at"),
+    )
+    return memory.promoted(m, F.lit("2000-06-02").cast("timestamp"))
 
 
 @query(
@@ -71,38 +83,78 @@ def duplicate_keep_rule(t: Tables) -> DataFrame:
     return memory.keep_rule(pairs, m)
 
 
+def _contains(signals: tuple[str, ...]) -> str:
+    return "(" + " OR ".join("contains(lower(text), '" + x.replace("'", "''") + "')" for x in signals) + ")"
+
+
 @query(
-    f"""WITH {_PAIRS}, x AS (SELECT a, b, round(score * 2.5, 6) AS score, CASE WHEN a % 2 = 0 THEN 'code' ELSE 'decision' END AS old_type, CASE WHEN b % 2 = 0 THEN 'code' ELSE 'decision' END AS new_type, text FROM p JOIN documents ON doc_id = b WHERE score >= 0.2),
-    r AS (SELECT *, CASE WHEN new_type = old_type AND score >= 0.92 THEN 'SUPERSEDES' WHEN regexp_matches(text, '(?i)\\b(not|no longer|instead|wrong|incorrect|deprecated|replaced|however|but)\\b') THEN 'CONTRADICTS'
-      WHEN new_type = 'code' AND old_type = 'decision' AND regexp_matches(text, '(?i)\\b(implement|implemented|implements|added|created|built)\\b') THEN 'IMPLEMENTS'
-      WHEN regexp_matches(text, '(?i)\\b(also|additionally|extend|extends|furthermore|plus)\\b') AND score >= 0.7 THEN 'EXTENDS'
-      WHEN new_type = old_type AND score >= 0.8 THEN 'SUPPORTS' WHEN score >= 0.75 THEN 'RELATES_TO' END AS relation FROM x)
-    SELECT a, b, relation, round(CASE relation WHEN 'SUPERSEDES' THEN least(0.95, score) WHEN 'CONTRADICTS' THEN 0.7 + score * 0.2 WHEN 'IMPLEMENTS' THEN 0.65 + score * 0.25 WHEN 'EXTENDS' THEN 0.55 + score * 0.3
-      WHEN 'SUPPORTS' THEN 0.5 + score * 0.3 ELSE score * 0.8 END, 6) AS confidence FROM r WHERE relation IS NOT NULL"""
+    f"""WITH {_PAIRS}, x AS (SELECT a, b, round(score * 2, 6) AS score, ['code', 'decision', 'pattern'][1 + a % 3] AS old_type, ['code', 'decision', 'pattern'][1 + b % 3] AS new_type,
+      coalesce(d.text, '') || CASE b % 7 WHEN 0 THEN ' use x instead of y' WHEN 1 THEN ' Fixed now' WHEN 2 THEN ' based on it' WHEN 3 THEN ' This CONFIRMS it' ELSE '' END AS text FROM p JOIN documents d ON doc_id = b WHERE score >= 0.2),
+    r AS (SELECT *, CASE WHEN new_type = old_type AND score >= 0.92 AND b > a THEN 1 WHEN {_contains(memory.CONTRADICTS)} AND (score >= 0.5 OR a % 10 = b % 10) THEN 2 WHEN {_contains(memory.RESOLVES)} AND old_type IN ('decision', 'pattern') THEN 3
+      WHEN {_contains(memory.DERIVES)} THEN 4 WHEN ((new_type = 'code' AND old_type = 'decision') OR (new_type = 'pattern' AND old_type = 'code')) AND score >= 0.7 THEN 5 WHEN {_contains(memory.SUPPORTS)} THEN 6
+      WHEN new_type = old_type AND score >= 0.8 AND new_type IN ('pattern', 'decision') THEN 7 WHEN score >= 0.75 THEN 8 END AS k FROM x)
+    SELECT a, b, ['SUPERSEDES', 'CONTRADICTS', 'RESOLVES', 'DERIVED_FROM', 'DERIVED_FROM', 'SUPPORTS', 'SUPPORTS', 'RELATES_TO'][k] AS relation,
+      round(CASE k WHEN 1 THEN least(0.95, score) WHEN 2 THEN 0.7 + score * 0.2 WHEN 3 THEN 0.65 + score * 0.25 WHEN 4 THEN 0.6 + score * 0.3 WHEN 5 THEN 0.55 + score * 0.3 WHEN 6 THEN 0.6 + score * 0.3 WHEN 7 THEN 0.5 + score * 0.3 ELSE score * 0.8 END, 4) AS confidence
+    FROM r WHERE k IS NOT NULL"""
 )
 def relation_rules(t: Tables) -> DataFrame:
-    pairs = vector.similar_pairs(t.embeddings, "label", 0.2).join(t.documents.select(F.col("doc_id").alias("b"), F.col("text").alias("new_text")), "b")
-    kind = lambda c: F.when(F.col(c) % 2 == 0, "code").otherwise("decision")
-    rows = pairs.select("a", "b", F.round(F.col("score") * 2.5, 6).alias("similarity"), kind("a").alias("old_type"), kind("b").alias("new_type"), "new_text")
-    return memory.relation(rows).select("a", "b", "relation", "confidence")
+    said = F.element_at(F.array(*map(F.lit, (" use x instead of y", " Fixed now", " based on it", " This CONFIRMS it", "", "", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
+    texts = t.documents.select(F.col("doc_id").alias("b"), F.concat(F.coalesce("text", F.lit("")), said).alias("new_text"))
+    pairs = vector.similar_pairs(t.embeddings, "label", 0.2).join(texts, "b")
+    kind = lambda c: F.element_at(F.array(*map(F.lit, ("code", "decision", "pattern"))), (F.col(c) % 3 + 1).cast("int"))
+    rows = pairs.select(
+        "a", "b", F.round(F.col("score") * 2, 6).alias("similarity"), kind("a").alias("old_type"), kind("b").alias("new_type"), "new_text",
+        (F.col("b") > F.col("a")).alias("newer"), (F.col("a") % 10 == F.col("b") % 10).alias("shared_tags"),
+    )
+    return memory.relation(rows).select("a", "b", "relation", F.round("confidence", 4).alias("confidence"))
 
 
-@query()
+def _window_sql(threshold: float, most: int) -> str:
+    """A recursion that goes through each project's memories in order and takes those that fit all taken."""
+    cosine = "list_dot_product(c, o.v) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(o.v, o.v)))"
+    return f"""WITH RECURSIVE o AS (SELECT label AS project, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings),
+    w AS (SELECT project, n, [id] AS ids, [v] AS vs FROM o WHERE n = 1 UNION ALL
+      SELECT o.project, o.n, CASE WHEN ok THEN list_append(ids, o.id) ELSE ids END, CASE WHEN ok THEN list_append(vs, o.v) ELSE vs END
+      FROM (SELECT w.*, o.id, o.v, o.n AS m, len(ids) < {most} AND len(list_filter(vs, lambda c: {cosine} < {threshold})) = 0 AS ok FROM w JOIN o ON o.project = w.project AND o.n = w.n + 1) x JOIN o ON o.project = x.project AND o.n = x.m),
+    l AS (SELECT project, arg_max(ids, n) AS ids FROM w GROUP BY project)
+    SELECT CAST(project AS BIGINT) AS project, unnest(ids) AS id, unnest(range(len(ids))) AS place FROM l WHERE len(ids) > 1"""
+
+
+@query(_window_sql(0.25, 8))
 def consolidation_window(t: Tables) -> DataFrame:
-    m = t.embeddings.select(F.col("label").cast("long").alias("project"), F.col("vec_id").alias("id"), "embedding", F.col("vec_id").alias("created_at"))
+    m = t.embeddings.select(F.col("label").cast("long").alias("project"), F.col("vec_id").alias("id"), "embedding", F.timestamp_seconds("vec_id").alias("created_at"))
     return memory.consolidation_window(m, 0.25)
 
 
 @query()
 def kmeans_clusters(t: Tables) -> DataFrame:
-    return memory.clusters(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"))
+    found = memory.clusters(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"))
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
+    labels = memory.cluster_labels(found.join(texts, "id", "left")).select(F.col("cluster").alias("_c"), "label")
+    return found.join(labels, F.col("cluster") == F.col("_c"), "left").select("id", "cluster", "label")
+
+
+@query("SELECT doc_id AS id, CASE WHEN quality IS NULL THEN 0.5 ELSE CAST(quality AS DOUBLE) * 0.8 + 0.1 END AS salience FROM documents LEFT JOIN labels USING (doc_id)")
+def salience_scores(t: Tables) -> DataFrame:
+    judged = t.labels.select(F.col("doc_id").alias("id"), (F.col("quality").cast("double") * 0.8 + 0.1).alias("salience"))
+    return memory.salience(t.documents.select(F.col("doc_id").alias("id")), judged)
 
 
 @query(
-    """WITH e AS (SELECT l_suppkey AS f, l_partkey % 50 + 1 AS d, l_returnflag AS k, l_quantity / 50 AS w FROM lineitem WHERE l_suppkey <= 50), x AS (SELECT CASE WHEN f > 0 AND f % 10 = 0 THEN f - 1 ELSE f END AS from_id, CASE WHEN d > 0 AND d % 10 = 0 THEN d - 1 ELSE d END AS to_id, k AS edge_type, w FROM e)
+    """WITH e AS (SELECT l_suppkey AS f, l_partkey AS d, l_returnflag AS k, l_quantity / 50 AS w FROM lineitem), x AS (SELECT CASE WHEN f > 0 AND f % 10 = 0 THEN f - 1 ELSE f END AS from_id, CASE WHEN d > 0 AND d % 10 = 0 THEN d - 1 ELSE d END AS to_id, k AS edge_type, w FROM e)
     SELECT from_id, to_id, edge_type, max(w) AS weight FROM x WHERE from_id <> to_id GROUP BY ALL"""
 )
 def merge_duplicates(t: Tables) -> DataFrame:
-    edges = t.lineitem.where("l_suppkey <= 50").select(F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") % 50 + 1).alias("to_id"), F.col("l_returnflag").alias("edge_type"), (F.col("l_quantity") / 50).alias("weight"))
-    merges = t.spark.range(10, 51, 10).select(F.col("id").alias("remove_id"), (F.col("id") - 1).alias("keep_id"))
-    return memory.merge_map(edges, merges)
+    edges = t.lineitem.select(F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("edge_type"), (F.col("l_quantity") / 50).alias("weight"))
+    ids = edges.select(F.explode(F.array("from_id", "to_id")).alias("remove_id")).distinct().where("remove_id > 0 and remove_id % 10 = 0")
+    return memory.merge_map(edges, ids.withColumn("keep_id", F.col("remove_id") - 1))
+
+
+@query(
+    """WITH m AS (SELECT CASE WHEN c_custkey > 0 AND c_custkey % 10 = 0 THEN c_custkey - 1 ELSE c_custkey END AS id, greatest(0, c_acctbal) / 10000 AS importance, c_nationkey AS uses, c_custkey AS own FROM customer)
+    SELECT id, round(max(importance), 6) AS importance, CAST(sum(uses) AS BIGINT) AS access_count FROM m GROUP BY id HAVING bool_or(own = id)"""
+)
+def merged_memories(t: Tables) -> DataFrame:
+    m = t.customer.select(F.col("c_custkey").alias("id"), (F.greatest(F.lit(0.0), F.col("c_acctbal")) / 10000).alias("importance"), F.col("c_nationkey").cast("long").alias("access_count"))
+    merges = m.where("id > 0 and id % 10 = 0").select(F.col("id").alias("remove_id"), (F.col("id") - 1).alias("keep_id"))
+    return memory.merged(m, merges).select("id", F.round("importance", 6).alias("importance"), "access_count")

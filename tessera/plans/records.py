@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import filters, graph, joins, ranking
-from tessera.plans.graphs import flow
-from tessera.plans.ranking import HITS_SQL, hits
+from tessera.operators import filters, joins, ranking
+from tessera.plans.ranking import FUSED_SQL, HITS_SQL, fused_hits, hits, lexical_hits, vector_hits
+from tessera.plans.events import TTL_SQL
 from tessera.plans.registry import Tables, query
-from tessera.session import shared_folder
+from tessera.session import scratch_path
 from tessera.streaming import operators as stream
 
 
@@ -32,13 +30,6 @@ def compression_candidates(t: Tables) -> DataFrame:
     return filters.compression_candidates(m, F.col("id") % 60).select("id")
 
 
-@query("SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-20' AND event_id <> 7 ORDER BY ts DESC, event_id LIMIT 25")
-def recent_by_tag(t: Tables) -> DataFrame:
-    rows = t.events.withColumn("tags", F.array("event_type", F.lit("all")))
-    found = rows.where(F.array_contains("tags", "click") & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_id") != 7))
-    return found.orderBy(F.col("ts").desc(), "event_id").select("event_id").limit(25)
-
-
 @query(
     "SELECT o_custkey AS task, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1"
 )
@@ -56,45 +47,54 @@ def operation_success(t: Tables) -> DataFrame:
     return t.events.groupBy((F.col("user_id") % 10).alias("operation")).agg(F.round(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)), 6).alias("success_rate"), F.round(F.avg("value"), 6).alias("mean"))
 
 
+_CALLS = ("bus.emit", "bus . on", "axios.get", "fetch", "map.get", "trpc.user.query", "store?.once", "gql", "http.post", "run", "axios.create", "a.b::off")
+
+
 @query(
-    """SELECT a.l_orderkey AS id, count(*) AS contradictions FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'R' AND b.l_returnflag = 'A' GROUP BY 1"""
+    f"""WITH c AS (SELECT page_id, page_id % {len(_CALLS)} AS k, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN '/api/x' WHEN 2 THEN '/apix' WHEN 3 THEN chr(39) || '/api' || chr(39) END AS literal FROM pages)
+    SELECT page_id, CASE WHEN k = 0 THEN 'emit' WHEN k IN (1, 6, 11) THEN 'listen' WHEN k IN (2, 3, 5, 7, 8) THEN 'http_call' WHEN literal LIKE 'http%://%' OR literal IN ('/api/x', chr(39) || '/api' || chr(39)) THEN 'http_call' ELSE 'call' END AS kind FROM c"""
 )
-def contradictions(t: Tables) -> DataFrame:
-    a = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("x"))
-    b = t.lineitem.where("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("y"))
-    return a.join(b, "id").select("id", (F.col("x") * F.col("y")).alias("contradictions"))
+def call_sites(t: Tables) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, _CALLS)), (F.col("page_id") % len(_CALLS) + 1).cast("int"))
+    k = F.col("page_id") % 5
+    literal = F.when(k == 0, F.col("url")).when(k == 1, "/api/x").when(k == 2, "/apix").when(k == 3, "'/api'")
+    return t.pages.select("page_id", text.call_kind(name, literal).alias("kind"))
 
 
-@query()
-def shortest_path(t: Tables) -> DataFrame:
-    e = flow(t)
-    a, b = e.agg(F.min("src"), F.max("dst")).first()
-    path = [] if a is None else graph.shortest_path(e, a, b) or []
-    return t.spark.createDataFrame(list(enumerate(path)), "step int, node long")
+_FILES = ("a.test.ts", "x.md", "README", "a.ts", "db/migrations/1.txt", "x.bin")
 
 
 @query(
-    "SELECT * FROM (VALUES ('bus.emit', 'x', 'emit'), ('bus.on', 'x', 'listen'), ('axios.get', '/api/x', 'http_call'), ('fetch', 'https://a/b', 'http_call'), ('map.get', 'key', 'call'), ('run', NULL, 'call')) v(name, literal, kind)"
+    f"""SELECT page_id, CASE page_id % {len(_FILES)} WHEN 0 THEN 'code-test' WHEN 1 THEN 'documentation' WHEN 2 THEN 'documentation' WHEN 3 THEN 'code' WHEN 4 THEN 'documentation' END AS type FROM pages"""
 )
-def call_sites(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("bus.emit", "x"), ("bus.on", "x"), ("axios.get", "/api/x"), ("fetch", "https://a/b"), ("map.get", "key"), ("run", None)], "name string, literal string")
-    return rows.withColumn("kind", text.call_kind(F.col("name"), F.col("literal")))
+def path_types(t: Tables) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, _FILES)), (F.col("page_id") % len(_FILES) + 1).cast("int"))
+    return t.pages.select("page_id", ranking.type_of_path(F.concat(F.lit("site"), F.col("page_id").cast("string"), F.lit("/"), name)).alias("type"))
 
 
 @query(
-    "SELECT * FROM (VALUES ('src/a.test.ts', 'code-test'), ('docs/x.md', 'documentation'), ('README', 'documentation'), ('src/a.ts', 'code'), ('db/migrations/1.txt', 'documentation'), ('x.bin', NULL)) v(path, type)"
+    FUSED_SQL
+    + """, r AS (SELECT fused.id, fused.score, rrf, fused.vector_score, keyword_score, vs.rank0 + 1 AS vr, ls.rank0 + 1 AS kr, row_number() OVER (ORDER BY rrf DESC, fused.id) AS cr FROM fused LEFT JOIN vs ON vs.id = fused.id LEFT JOIN ls ON ls.id = fused.id)
+    SELECT id, vr AS vector_rank, kr AS keyword_rank, cr AS combined_rank, array_to_string(list_filter([CASE WHEN vr IS NOT NULL THEN printf('Vector: %.1f%% (rank #%d)', 100 * vector_score + 1e-9, vr) END, CASE WHEN kr IS NOT NULL THEN printf('Keyword: %.1f%% (rank #%d)', 100 * keyword_score + 1e-9, kr) END], lambda x: x IS NOT NULL), ' + ')
+      || printf(' → RRF: %.4f → Final: %.1f%%', rrf + 1e-12, 100 * score + 1e-9) AS breakdown FROM r"""
 )
-def path_types(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(x,) for x in ("src/a.test.ts", "docs/x.md", "README", "src/a.ts", "db/migrations/1.txt", "x.bin")], "path string")
-    return rows.withColumn("type", ranking.type_of_path(F.col("path")))
+def score_explanation(t: Tables) -> DataFrame:
+    rank = lambda df, name: ranking.stream(df, "x").select("query_id", "id", (F.col("rank0") + 1).cast("long").alias(name))
+    rows = fused_hits(t).join(rank(vector_hits(t), "vector_rank"), ["query_id", "id"], "left").join(rank(lexical_hits(t), "keyword_rank"), ["query_id", "id"], "left")
+    rows = rows.withColumn("combined_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")).cast("long"))
+    return ranking.explained(rows).select("id", "vector_rank", "keyword_rank", "combined_rank", "explanation.breakdown")
 
 
 @query(
     HITS_SQL
-    + """ SELECT id, 'score ' || round(100 * score, 1) || '%' || ': vector ' || round(100 * coalesce(vector_score, 0), 1) || '%' || ', keyword ' || round(100 * coalesce(keyword_score, 0), 1) || '%' AS explanation FROM hits"""
+.replace("WITH vs", "WITH RECURSIVE vs", 1)
+    + """, w AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS pos, list_distinct(regexp_split_to_array(lower(coalesce(content, '')), '[\t\n\x0b\f\r ]+')) AS k FROM hits), p AS (SELECT * FROM w WHERE pos <= 50),
+    j AS MATERIALIZED (SELECT a.pos AS a, b.pos AS b FROM p a JOIN p b ON b.pos < a.pos WHERE len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) > 0.5),
+    s AS (SELECT 1::BIGINT AS pos, [1::BIGINT] AS kept UNION ALL SELECT s.pos + 1, CASE WHEN EXISTS (SELECT 1 FROM j WHERE j.a = s.pos + 1 AND list_contains(s.kept, j.b)) THEN s.kept ELSE list_append(s.kept, s.pos + 1) END FROM s WHERE s.pos < (SELECT max(pos) FROM p))
+    SELECT id FROM p WHERE list_contains((SELECT arg_max(kept, pos) FROM s), pos)"""
 )
-def score_explanation(t: Tables) -> DataFrame:
-    return ranking.explained(hits(t)).select("id", "explanation")
+def diversify(t: Tables) -> DataFrame:
+    return ranking.diversified(hits(t), 0.5).select("id")
 
 
 @query(HITS_SQL + " SELECT id, round(least(1, score * (1 + 0.2 * (id % 10) / 10)), 6) AS score FROM hits")
@@ -111,19 +111,20 @@ def project_map(t: Tables) -> DataFrame:
 def _drained(t: Tables, make) -> DataFrame:
     """A stream over ``events``, run to its end into the shared folder and read back."""
     schema = t.events.schema
-    folder = f"{shared_folder(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch_path(t.spark, "stream")
     out = make(stream.event_stream(t.spark, f"{t._folder}/events.parquet", schema))
     run = stream.parquet_sink(out, f"{folder}/out", f"{folder}/checkpoint")
     run.awaitTermination()
     return t.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-@query()
+@query("WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) SELECT * FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def streaming_rollup(t: Tables) -> DataFrame:
-    return _drained(t, lambda ev: stream.rollup(ev, "1 day"))
+    out = _drained(t, lambda ev: stream.rollup(ev, "1 day"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(TTL_SQL)
 def streaming_ttl_dedup(t: Tables) -> DataFrame:
     return _drained(t, lambda ev: stream.ttl_dedup(ev.withColumn("user_id", F.col("user_id").cast("string")), "user_id", 3600, "40 days"))
 

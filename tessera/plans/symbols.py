@@ -33,44 +33,59 @@ def typed_edges(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT p_partkey AS id, p_size AS name, p_partkey % 40 AS file FROM part WHERE p_partkey % 10 = 0), r AS (SELECT s_suppkey AS ref_id, s_suppkey % 50 + 1 AS name, s_suppkey % 40 AS file FROM supplier),
-    i AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_orderkey % 50 = 0), c AS (SELECT dst AS file, count(*) / 40 AS rank FROM i GROUP BY dst)
+    """WITH d AS (SELECT p_partkey AS id, p_size AS name, p_partkey % 1000 AS file FROM part), r AS (SELECT s_suppkey AS ref_id, s_suppkey % 50 + 1 AS name, s_suppkey % 1000 AS file FROM supplier),
+    i AS (SELECT DISTINCT l_suppkey % 1000 AS src, l_partkey % 1000 AS dst FROM lineitem), c AS (SELECT dst AS file, count(*) / 40 AS rank FROM i GROUP BY dst)
     SELECT ref_id, id, row_number() OVER (PARTITION BY ref_id ORDER BY CASE WHEN r.file = d.file THEN 2 WHEN i.src IS NOT NULL THEN 1 ELSE 0 END DESC, coalesce(rank, 0) DESC, id) AS place
     FROM r JOIN d ON r.name = d.name LEFT JOIN i ON i.src = r.file AND i.dst = d.file LEFT JOIN c ON c.file = d.file"""
 )
 def go_to_definition(t: Tables) -> DataFrame:
-    d = t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("name"), (F.col("p_partkey") % 40).alias("file"))
-    r = t.supplier.select(F.col("s_suppkey").alias("ref_id"), (F.col("s_suppkey") % 50 + 1).alias("name"), (F.col("s_suppkey") % 40).alias("file"))
-    i = t.lineitem.where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).distinct()
+    d = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("name"), (F.col("p_partkey") % 1000).alias("file"))
+    r = t.supplier.select(F.col("s_suppkey").alias("ref_id"), (F.col("s_suppkey") % 50 + 1).alias("name"), (F.col("s_suppkey") % 1000).alias("file"))
+    i = t.lineitem.select((F.col("l_suppkey") % 1000).alias("src"), (F.col("l_partkey") % 1000).alias("dst")).distinct()
     c = i.groupBy(F.col("dst").alias("file")).agg((F.count("*") / 40).alias("rank"))
     return symbols.go_to_definition(d, r, i, c)
 
 
 @query(
-    """WITH d AS (SELECT p_partkey AS id, p_size + 100000 AS legacy FROM part WHERE p_partkey % 25 = 0), a AS (SELECT DISTINCT l_partkey AS asked FROM lineitem WHERE l_orderkey % 100 = 0 UNION SELECT 100000 + s_suppkey FROM supplier),
+    """WITH d AS (SELECT p_partkey AS id, p_size + 100000 AS legacy FROM part), a AS (SELECT DISTINCT l_partkey + 3 AS asked FROM lineitem UNION SELECT 100000 + s_suppkey FROM supplier),
     n AS (SELECT legacy, min(id) AS alias, count(*) AS n FROM d GROUP BY legacy)
     SELECT asked, coalesce(d.id, CASE WHEN n = 1 THEN alias END) AS id, CASE WHEN d.id IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'legacy' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS state FROM a LEFT JOIN d ON d.id = asked LEFT JOIN n ON n.legacy = asked"""
 )
 def symbol_resolution(t: Tables) -> DataFrame:
-    d = t.part.where("p_partkey % 25 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 100000).cast("long").alias("legacy"))
-    asked = t.lineitem.where("l_orderkey % 100 = 0").select(F.col("l_partkey").alias("asked")).union(t.supplier.select(F.col("s_suppkey") + 100000)).distinct()
+    d = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") + 100000).cast("long").alias("legacy"))
+    asked = t.lineitem.select((F.col("l_partkey") + 3).alias("asked")).union(t.supplier.select(F.col("s_suppkey") + 100000)).distinct()
     return symbols.resolved(asked, d)
 
 
-@query("SELECT 'src/a/x.ts' AS src, s AS specifier, d AS dst FROM (VALUES ('./y', 'src/a/y.ts'), ('../b', 'src/b/index.ts'), ('@/c/z', 'lib/c/z.js'), ('react', NULL), ('../../q/./w', 'q/w.tsx')) v(s, d)")
+_IMPORTS = """f AS (SELECT page_id, 'src/h' || page_id % 7 || '/p' || page_id AS base, CASE page_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.ts' END AS ext FROM pages)"""
+
+
+@query(
+    f"""WITH {_IMPORTS}, i AS (SELECT f.base || f.ext AS src, f.page_id + 7 AS a, f.page_id + 1 AS b, f.ext FROM f),
+    s AS (SELECT src, CASE ext WHEN '/index.ts' THEN '../p' ELSE './p' END || a AS specifier, a AS want FROM i UNION ALL SELECT src, CASE ext WHEN '/index.ts' THEN '../../h' ELSE '../h' END || b % 7 || '/./p' || b, b FROM i
+      UNION ALL SELECT src, '@/h' || b % 7 || '/p' || b, b FROM i UNION ALL SELECT src, '@site/pages/h' || a % 7 || '/p' || a, a FROM i UNION ALL SELECT src, 'react', -1 FROM i)
+    SELECT src, specifier, f.base || f.ext AS dst FROM s LEFT JOIN f ON f.page_id = s.want"""
+)
 def import_targets(t: Tables) -> DataFrame:
-    s = t.spark
-    imports = s.createDataFrame([("src/a/x.ts", x) for x in ("./y", "../b", "@/c/z", "react", "../../q/./w")], "src string, specifier string")
-    files = s.createDataFrame([(x,) for x in ("src/a/y.ts", "src/a/y.js", "src/b/index.ts", "lib/c/z.js", "q/w.tsx")], "path string")
-    return symbols.import_targets(imports, files, {"@/": "lib/"})
+    number = F.col("page_id").cast("string")
+    name = lambda n: F.concat(F.lit("h"), (n % 7).cast("string"), F.lit("/p"), n.cast("string"))
+    ext = F.when(F.col("page_id") % 3 == 0, ".ts").when(F.col("page_id") % 3 == 1, ".js").otherwise("/index.ts")
+    rows = t.pages.select("page_id", F.concat(F.lit("src/"), name(F.col("page_id")), ext).alias("src"), (F.col("page_id") % 3 == 2).alias("deep"))
+    up, a, b = lambda near, far: F.when(F.col("deep"), far).otherwise(near), F.col("page_id") + 7, F.col("page_id") + 1
+    specifiers = F.array(
+        F.concat(up("./p", "../p"), a.cast("string")), F.concat(up("../h", "../../h"), (b % 7).cast("string"), F.lit("/./p"), b.cast("string")),
+        F.concat(F.lit("@/"), name(b)), F.concat(F.lit("@site/pages/"), name(a)), F.lit("react"),
+    )
+    imports = rows.select("src", F.explode(specifiers).alias("specifier"))
+    return symbols.import_targets(imports, rows.select(F.col("src").alias("path")), {"@/": "src/"}, packages={"@site/pages": "src"})
 
 
 @query(
-    """WITH e AS (SELECT l_suppkey % 300 AS src, l_partkey % 500 AS dst FROM lineitem WHERE l_orderkey % 20 = 0), o AS (SELECT src AS node, count(DISTINCT dst) AS fan_out FROM e GROUP BY src), i AS (SELECT dst AS node, count(DISTINCT src) AS fan_in FROM e GROUP BY dst)
+    """WITH e AS (SELECT l_suppkey AS src, l_partkey + 50 AS dst FROM lineitem), o AS (SELECT src AS node, count(DISTINCT dst) AS fan_out FROM e GROUP BY src), i AS (SELECT dst AS node, count(DISTINCT src) AS fan_in FROM e GROUP BY dst)
     SELECT coalesce(o.node, i.node) AS node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, CASE WHEN fan_in IS NULL THEN 'entry' WHEN fan_out IS NULL THEN 'leaf' ELSE 'middle' END AS layer, coalesce(fan_in, 0) * coalesce(fan_out, 0) AS hotspot FROM o FULL JOIN i ON o.node = i.node"""
 )
 def architecture_layers(t: Tables) -> DataFrame:
-    return symbols.layers(t.lineitem.where("l_orderkey % 20 = 0").select((F.col("l_suppkey") % 300).alias("src"), (F.col("l_partkey") % 500).alias("dst")))
+    return symbols.layers(t.lineitem.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 50).alias("dst")))
 
 
 @query(
@@ -124,12 +139,12 @@ def embedding_cache(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT user_id AS key, list(DISTINCT event_type) AS files, max(ts) AS last_accessed FROM events GROUP BY user_id)
-    SELECT key FROM k WHERE NOT list_contains(files, 'error') ORDER BY last_accessed DESC, key LIMIT 10"""
+    """WITH k AS (SELECT o_custkey AS key, list(DISTINCT o_orderpriority) AS files, max(o_orderdate) AS last_accessed FROM orders GROUP BY o_custkey)
+    SELECT key FROM k WHERE NOT list_contains(files, '1-URGENT') AND last_accessed > TIMESTAMP '2001-01-01' ORDER BY last_accessed DESC, key LIMIT 10"""
 )
 def cache_invalidation(t: Tables) -> DataFrame:
-    cache = t.events.groupBy(F.col("user_id").alias("key")).agg(F.collect_set("event_type").alias("files"), F.max("ts").alias("last_accessed"))
-    return joins.evicted(joins.invalidated(cache, ["error"]), 10).select("key")
+    cache = t.orders.groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set("o_orderpriority").alias("files"), F.max("o_orderdate").alias("last_accessed"))
+    return joins.evicted(joins.alive(joins.invalidated(cache, ["URGENT"]), F.lit("2001-01-01").cast("timestamp_ntz")), 10).select("key")
 
 
 @query(
@@ -179,10 +194,17 @@ def agent_affinity(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), F.round(ranking.affinity(F.col("o_custkey") % 50 == 7, F.col("o_orderkey") % 13), 6).alias("affinity"))
 
 
-@query("SELECT 'src/services/UserAccountStore.ts' AS path, 'services,user,account,store' AS topics UNION ALL SELECT 'lib/test/parse-json_lines.py', 'parse,json,lines'")
+@query(
+    """WITH p AS (SELECT p_partkey, regexp_extract_all(p_name || ' ' || p_type, '[A-Za-z]+') AS ws FROM part), c AS (SELECT p_partkey, list_transform(ws, lambda w: upper(w[1]) || lower(w[2:])) AS ws FROM p),
+    u AS (SELECT p_partkey, unnest(list_prepend('services', list_transform(list_concat(ws, ['Deep', 'Index']), lambda w: lower(w)))) AS w, unnest(range(len(ws) + 3)) AS i FROM c),
+    d AS (SELECT p_partkey, w, min(i) AS i FROM u WHERE length(w) >= 3 AND w NOT IN ('src', 'lib', 'test', 'tests', 'spec', 'index', 'main', 'ts', 'tsx', 'js', 'jsx', 'py', 'rs', 'go', 'java', 'dart') GROUP BY p_partkey, w)
+    SELECT p_partkey, string_agg(w, ',' ORDER BY i) AS topics FROM d GROUP BY p_partkey"""
+)
 def prefetch_topics(t: Tables) -> DataFrame:
-    paths = t.spark.createDataFrame([("src/services/UserAccountStore.ts",), ("lib/test/parse-json_lines.py",)], "path string")
-    return paths.select("path", F.array_join(text.topics(F.col("path")), ",").alias("topics"))
+    ws = F.regexp_extract_all(F.concat_ws(" ", "p_name", "p_type"), F.lit("([A-Za-z]+)"), 1)
+    camel = F.array_join(F.transform(ws, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), "")
+    path = F.concat(F.lit("src/services/"), camel, F.lit(".ts"))
+    return t.part.select("p_partkey", F.array_join(text.topics(path, F.array(F.lit("DeepIndex"))), ",").alias("topics"))
 
 
 @query("SELECT l_returnflag AS kind, l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -191,11 +213,15 @@ def references_per_kind(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH x AS (SELECT c_custkey AS id, greatest(0, c_acctbal) / 10000 AS i, CASE c_custkey % 4 WHEN 0 THEN 'session' WHEN 1 THEN 'user' WHEN 2 THEN 'project' ELSE 'none' END AS s FROM customer)
-    SELECT id, CASE WHEN i >= 0.9 THEN 0 WHEN s = 'session' THEN 1 WHEN s = 'user' THEN 2 WHEN s = 'project' THEN 3 ELSE 4 END AS level FROM x"""
+    """WITH x AS (SELECT o_orderkey AS id, ['critical', 'conversation', 'code', 'pattern', 'decision', 'note'][1 + o_orderkey % 6] AS type, CASE WHEN o_orderkey % 7 = 0 THEN 'p' END AS project, CASE WHEN o_orderkey % 5 = 0 THEN 'u' END AS usr,
+      CASE WHEN o_orderkey % 4 = 0 THEN 's' END AS session, ['orchestrator', 'architect', 'optimizer', 'none'][1 + o_custkey % 4] AS agent FROM orders)
+    SELECT id, CAST(CASE WHEN agent = 'orchestrator' AND type IN ('decision', 'critical') THEN 0 WHEN agent = 'architect' AND type IN ('pattern', 'code', 'critical') THEN 1 WHEN agent = 'optimizer' AND type = 'critical' THEN 2
+      WHEN project IS NOT NULL THEN 1 WHEN usr IS NOT NULL AND session IS NULL THEN 2 WHEN session IS NOT NULL THEN 3 WHEN type = 'critical' THEN 2 WHEN type IN ('code', 'pattern') THEN 1 WHEN type = 'decision' THEN 0 ELSE 3 END AS BIGINT) AS level FROM x"""
 )
 def level_assignment(t: Tables) -> DataFrame:
     from tessera.operators.memory import level
 
-    scope = F.element_at(F.array(*[F.lit(x) for x in ("session", "user", "project", "none")]), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return t.customer.select(F.col("c_custkey").alias("id"), level(F.greatest(F.lit(0.0), F.col("c_acctbal")) / 10000, scope).alias("level"))
+    k = F.col("o_orderkey")
+    of = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    kind, agent = of(("critical", "conversation", "code", "pattern", "decision", "note"), k % 6), of(("orchestrator", "architect", "optimizer", "none"), F.col("o_custkey") % 4)
+    return t.orders.select(k.alias("id"), level(kind, F.when(k % 5 == 0, "u"), F.when(k % 4 == 0, "s"), F.when(k % 7 == 0, "p"), agent).cast("long").alias("level"))

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import filters, joins
+from tessera.operators import filters, joins, symbols
 from tessera.plans.registry import Tables, query
 
 
 @query(
-    """WITH r AS (SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS root, page_id % 7 AS project_id FROM pages WHERE page_id % 2 = 0),
+    """WITH r AS (SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS root, page_id % 7 AS project_id FROM pages),
     c AS (SELECT page_id, project_id, length(root) AS n FROM pages JOIN r ON url = root OR starts_with(url, root || '/')),
     b AS (SELECT page_id, n, min(project_id) AS project_id, count(DISTINCT project_id) AS k, row_number() OVER (PARTITION BY page_id ORDER BY n DESC) AS rn FROM c GROUP BY page_id, n)
     SELECT page_id, project_id FROM b WHERE rn = 1 AND k = 1"""
 )
 def longest_prefix_attribution(t: Tables) -> DataFrame:
-    roots = t.pages.where("page_id % 2 = 0").select(F.regexp_replace("url", "/[^/]*$", "").alias("root"), (F.col("page_id") % 7).alias("project_id"))
+    roots = t.pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("root"), (F.col("page_id") % 7).alias("project_id"))
     return joins.longest_prefix(t.pages, "url", "page_id", roots)
 
 
@@ -43,14 +43,14 @@ def co_occurrence_10min(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT doc_id AS id, source, n_chars % 500 AS s, n_chars % 500 + 20 AS e FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS id, source, n_chars % 700 AS s, n_chars % 700 + 5 AS e FROM documents WHERE doc_id % 2 = 1)
-    SELECT a.source, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.source = b.source AND a.s <= b.e + 3 AND b.s - 3 <= a.e"""
+    """WITH a AS (SELECT doc_id AS id, lang, n_chars AS s, n_chars + 20 AS e FROM documents WHERE source < 'src5'), b AS (SELECT doc_id AS id, lang, n_chars + 11 AS s, n_chars + 16 AS e FROM documents WHERE source >= 'src5')
+    SELECT a.lang, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.lang = b.lang AND a.s <= b.e + 3 AND b.s - 3 <= a.e"""
 )
 def range_overlap(t: Tables) -> DataFrame:
-    at = lambda m: F.col("n_chars") % m
-    a = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "source", at(500).alias("line_start"), (at(500) + 20).alias("line_end"))
-    b = t.documents.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), "source", at(700).alias("line_start"), (at(700) + 5).alias("line_end"))
-    return joins.overlapping(a, b, "source", 3)
+    n = F.col("n_chars")
+    a = t.documents.where("source < 'src5'").select(F.col("doc_id").alias("id"), "lang", n.alias("line_start"), (n + 20).alias("line_end"))
+    b = t.documents.where("source >= 'src5'").select(F.col("doc_id").alias("id"), "lang", (n + 11).alias("line_start"), (n + 16).alias("line_end"))
+    return joins.overlapping(a, b, "lang", 3)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -65,9 +65,9 @@ def live_targets_semi(t: Tables) -> DataFrame:
     return t.customer.join(dear, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_nationkey AS project, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders) GROUP BY c_nationkey")
+@query("SELECT source AS project, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) GROUP BY source")
 def orphan_projects(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").groupBy(F.col("c_nationkey").alias("project")).agg(F.count("*").alias("n"))
+    return t.documents.join(t.labels.select("doc_id"), "doc_id", "left_anti").groupBy(F.col("source").alias("project")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -161,9 +161,60 @@ def glob_filter(t: Tables) -> DataFrame:
     return t.pages.where(filters.globbed(F.col("url"), ["**"], ["**7**"])).select("page_id")
 
 
-@query("SELECT page_id, regexp_matches(url, '(^|/)\\.env|secret|credential|id_rsa|\\.pem$|\\.key$') AS secret FROM pages")
+_PATHS = ("pkg/.env.local", "secrets.json", "certs/a.PEM", "k.p12", "id_rsa", "src/x.ts", "store.keystore", "a/secrets.yaml", "sig.asc", "a/node_modules/x.js", "x.d.ts", "lib/a.test.ts", "a/b.min.js", "docs/y.md", "dist/z", ".env", "src/env.ts")
+
+
+def paths(t: Tables) -> DataFrame:
+    """A path for each page: kinds of names in turn, below the page's host but for those that have to stand first."""
+    name = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("page_id") % len(_PATHS) + 1).cast("int"))
+    return t.pages.select("page_id", F.when(F.col("page_id") % 2 == 0, name).otherwise(F.concat(F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("/"), name)).alias("path"))
+
+
+_PATHS_SQL = f"p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE regexp_extract(url, '^https?://([^/]+)', 1) || '/' END || {list(_PATHS)!r}[page_id % {len(_PATHS)} + 1] AS path FROM pages)"
+
+
+@query(f"WITH {_PATHS_SQL} SELECT page_id, regexp_matches(lower(path), '\\.env|\\.(key|pem|p12|pfx|keystore|asc)$|^secrets?\\.|^id_rsa') AS secret FROM p")
 def secret_path_filter(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", filters.is_secret_path(F.col("url")).alias("secret"))
+    return paths(t).select("page_id", filters.is_secret_path(F.col("path")).alias("secret"))
+
+
+@query(
+    f"""WITH {_PATHS_SQL} SELECT page_id, regexp_matches(path, '(^|/)(node_modules|\\.git|dist|build|coverage|generated|__tests__|tests|benchmarks|fixtures)/')
+      OR regexp_matches(path, '(^|/)(\\.env(\\.[^/]*)?|[^/]*\\.(generated|min)\\.[^/]*|[^/]*\\.d\\.ts|[^/]*\\.(test|spec)\\.(ts|tsx|js|jsx)|[^/]*\\.wasm[^/]*|[^/]*\\.map|lock\\.yaml|pnpm-lock\\.yaml|package-lock\\.json|bun\\.lockb|yarn\\.lock)$') AS ignored FROM p"""
+)
+def capture_policy(t: Tables) -> DataFrame:
+    return paths(t).select("page_id", filters.is_ignored(F.col("path")).alias("ignored"))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'click' OR user_id % 3 = 1")
+def tag_containment(t: Tables) -> DataFrame:
+    return filters.tagged(tagged_events(t), ["click", "u1"]).select("id")
+
+
+def tagged_events(t: Tables) -> DataFrame:
+    tags = F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")))
+    return t.events.select(F.col("event_id").alias("id"), tags.alias("tags"), F.col("ts").alias("created_at"), F.col("user_id").alias("session_id"))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' AND event_id <> 7 AND user_id IN (1, 2, 3, 4, 5) ORDER BY ts DESC, event_id LIMIT 25")
+def recent_by_tag(t: Tables) -> DataFrame:
+    return filters.recent_by_tag(tagged_events(t), "click", F.lit("2024-01-10").cast("timestamp_ntz"), 25, exclude=7, session_id=[1, 2, 3, 4, 5])
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+def point_lookup(t: Tables) -> DataFrame:
+    return filters.by_id(t.orders, "o_orderkey", 77).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT * FROM (SELECT 'imports' AS scan, l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey = 3 UNION ALL SELECT 'importers', l_suppkey, l_partkey FROM lineitem WHERE l_partkey = 3)")
+def import_scans(t: Tables) -> DataFrame:
+    e = t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return symbols.imports_of(e, 3).select(F.lit("imports").alias("scan"), "src", "dst").unionByName(symbols.importers_of(e, 3).select(F.lit("importers").alias("scan"), "src", "dst"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS \"props.k\", event_type FROM events")
+def field_projection(t: Tables) -> DataFrame:
+    return filters.projected(t.events, ["event_id", "props.k", "event_type", "nothing", "event_type.x.y"]).select("event_id", "`props.k`", "event_type")
 
 
 @query("SELECT doc_id, n_chars, count(*) OVER () AS total FROM documents WHERE lang = 'fr' ORDER BY n_chars DESC, doc_id LIMIT 15")

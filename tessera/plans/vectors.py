@@ -24,8 +24,7 @@ def _literal(t: Tables) -> F.Column:
 
 @query(f"{_Q} SELECT vec_id, {_COS.format(a='v', b='qv')} AS score FROM e, q ORDER BY score DESC, vec_id LIMIT 10")
 def vector_topk_cosine(t: Tables) -> DataFrame:
-    asked = first_vector(t).select(F.col("vec_id").alias("query_id"), "embedding")
-    return vector.knn(asked, t.embeddings, 10).select("vec_id", "score")
+    return vector.nearest(_literal(t), t.embeddings, 10)
 
 
 @query(
@@ -76,16 +75,25 @@ def label_centroids(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    s AS (SELECT e.vec_id AS id, n.v FROM e JOIN e n ON e.label = n.label AND e.vec_id <> n.vec_id WHERE e.vec_id % 25 = 0),
-    d AS (SELECT id, unnest(range(len(v))) AS d, unnest(v) AS x FROM s), m AS (SELECT id, d, avg(x) AS x, count(*) AS n FROM d GROUP BY id, d),
-    c AS (SELECT id, max(n) AS n, list(x ORDER BY d) AS c FROM m GROUP BY id),
-    j AS (SELECT e.vec_id AS id, v, c, coalesce(n >= 5 AND list_dot_product(v, c) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(c, c))) >= 0.1, false) AS evolved
-      FROM e LEFT JOIN c ON e.vec_id = c.id WHERE e.vec_id % 25 = 0)
-    SELECT id, evolved, round(CASE WHEN evolved THEN 0.7 * v[1] + 0.3 * c[1] ELSE v[1] END, 6) AS x0 FROM j"""
+    """WITH x AS (SELECT vec_id AS id, label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    c AS (SELECT id, dim, x, n, (s - x) / (n - 1) AS c FROM (SELECT *, sum(x) OVER (PARTITION BY label, dim) AS s, count(*) OVER (PARTITION BY label, dim) AS n FROM x)),
+    j AS (SELECT id, max(n) - 1 >= 5 AND sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) >= 0.1 AS evolved FROM c GROUP BY id)
+    SELECT c.id, evolved, dim, round(CASE WHEN evolved THEN 0.7 * x + 0.3 * c ELSE x END, 6) AS x FROM c JOIN j ON c.id = j.id"""
 )
 def embedding_evolution(t: Tables) -> DataFrame:
-    items = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("id"), "label", "embedding")
-    near = t.embeddings.select(F.col("vec_id").alias("other"), F.col("label"), "embedding")
-    samples = items.select("id", "label").join(near, "label").where("id <> other").select("id", "embedding")
-    return vector.evolved(items.drop("label"), samples, min_cosine=0.1).select("id", "evolved", F.round(F.col("embedding")[0], 6).alias("x0"))
+    items = t.embeddings.select(F.col("vec_id").alias("id"), "label", "embedding")
+    out = vector.evolved_in_groups(items, "label", min_cosine=0.1)
+    return out.select("id", "evolved", F.posexplode("embedding").alias("dim", "x")).select("id", "evolved", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query()
+def vector_index_search(t: Tables) -> DataFrame:
+    """Items near every fiftieth one by an index; tests measure its recall."""
+    asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector.Index(t.embeddings).search(asked, 10)
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label = 3 AND vec_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+def collection_get(t: Tables) -> DataFrame:
+    wanted = t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").alias("vec_id"))
+    return vector.collected(t.embeddings, label=3).join(wanted, "vec_id", "left_semi").select("vec_id", "label")

@@ -52,6 +52,14 @@ def release(spark: SparkSession) -> None:
     _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _scratch.get(spark.sparkContext.applicationId, []))
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``df`` was stored as, if it was."""
+    made = _scratch.get(df.sparkSession.sparkContext.applicationId, [])
+    if (path := getattr(df, "scratch", None)) in made:
+        made.remove(path)
+        _delete(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), [path])
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Scratch tables made inside go at the end, but for those that are passed to what this yields.

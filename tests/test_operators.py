@@ -109,11 +109,11 @@ def test_shortest_path(spark):
     assert graph.shortest_path(e, 1, 10) is None and graph.shortest_path(e, 1, 77) is None
 
 
-def test_louvain_two_cliques():
-    edges = [(a + o, b + o, 1.0) for o in (0, 10) for a in range(5) for b in range(a)] + [(0, 10, 1.0)]
-    found = graph.louvain_local(edges)
+def test_louvain_two_cliques(spark):
+    edges = [(a + o, b + o) for o in (0, 10) for a in range(5) for b in range(a)] + [(0, 10)]
+    found = {r.node: r.community for r in graph.communities(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert {found[n] for n in range(5)} == {0} and {found[n] for n in range(10, 15)} == {10}
-    assert graph.louvain_local([]) == {}
+    assert graph.communities(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
 def test_modularity_of_one_group(spark):
@@ -180,9 +180,10 @@ def test_globs():
     for glob, paths in cases.items():
         assert all(re.match(filters.glob_regex(glob), p) for p in paths)
     assert not re.match(filters.glob_regex("*.ts"), "a/b.ts") and not re.match(filters.glob_regex("src/*.ts"), "src/a/b.ts")
-    assert filters.check_patterns(["a"], ["a", "b"]) == ["a"]
-    with pytest.raises(ValueError):
-        filters.check_patterns(["x"] * 33, [])
+    assert filters.checked_patterns(["a"], ["a", "b"]) == (["a"], ["b"], ["a"])
+    for bad in ((["x"] * 33, []), (["a"], [""])):
+        with pytest.raises(ValueError):
+            filters.checked_patterns(*bad)
 
 
 def test_next_run():
@@ -198,12 +199,11 @@ def test_chunkers():
     md = "intro\n# A\none\n```\n# no heading\n```\n## B\ntwo\n# C"
     assert [(a, b, c) for a, b, c, _ in text.markdown_sections(md)] == [(1, 1, ""), (2, 6, "A"), (7, 8, "A > B"), (9, 9, "C")]
     code = "import x\n\nfunction a() {\n}\n\nclass B {\n}\n"
-    assert [(a, b) for a, b, _ in text.code_chunks(code, overlap=1)] == [(1, 2), (2, 5), (5, 8)]
+    assert [(a, b, n) for a, b, n, _ in text.code_chunks(code)] == [(1, 2, "imports"), (3, 5, "a"), (6, 8, "B")]
     assert text.chunk_of("a.json", '{"a":1,"b":2,"c":3,"d":4,"e":{"f":5}}')[4][3] == '{"e": {"f": 5}}'
     assert [c[2] for c in text.chunk_of("a.yaml", "a: 1\n  x: 2\nb: 3")] == ["a", "b"]
     assert text.json_paths('{"a": [1, {"b": "c"}], "d": {}}') == [("a[0]", "1"), ("a[1].b", "c"), ("d", "{}")] and text.json_paths("{") == []
     assert text.html_to_markdown("<h1>T</h1><p>a <b>b</b></p><ul><li>x<li><a href='/y'>y</a></ul><script>z</script>") == "# T\n\na **b**\n\n- x\n- [y](/y)".replace("\n\n- x", "\n- x")
-    assert text.fnv1a("") == 0x811C9DC5 and text.fnv1a("a") == 0xE40C292C
     assert text.html_to_markdown(None) == "" and text.chunk_of("x", None) == [(1, 1, "", "")]
 
 

@@ -27,35 +27,79 @@ def united(pairs):
 
 def test_components_of_all_lines(spark, tmp_path):
     rows = [(i, i % 7 + 1, i % 23 + 100 * (i % 4) + 1, i % 11 + 100 * (i % 4)) for i in range(300)] + [(400, 1, 900, 901), (401, 3, 900, 902)]
-    got = core.queries()["connected_components_all"](spark, lineitem(spark, tmp_path, rows)).collect()
-    want = united((s, -p) for _, _, p, s in rows)
+    got = core.queries()["connected_components"](spark, lineitem(spark, tmp_path, rows)).collect()
+    want = united((s, -1 - p) for _, _, p, s in rows)
     assert {r.node: r.component for r in got} == want and len(got) == len(want) and len(set(want.values())) == 5
 
 
 def test_components_of_the_table(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
-    got = core.queries()["connected_components_all"](spark, sf).collect()
-    assert {r.node: r.component for r in got} == united((s, -p) for s, p in lines)
+    got = core.queries()["connected_components"](spark, sf).collect()
+    assert {r.node: r.component for r in got} == united((s, -1 - p) for s, p in lines)
 
 
-def spread(pairs, rounds=4):
+def test_communities_of_all_lines(spark, tmp_path):
+    rows = [(i, i % 7 + 1, i * 5 % 23 + 100 * (i % 3) + 1, i * 7 % 11 + 100 * (i % 3)) for i in range(1, 97)]
+    folder, parts = lineitem(spark, tmp_path, rows), united((s, -1 - p) for _, _, p, s in rows)
+    assert {r.node: r.community for r in core.queries()["label_propagation"](spark, folder).collect()} == parts
+    group = {r.node: r.community for r in core.queries()["louvain"](spark, folder).collect()}
+    assert set(group) == set(parts) and all(parts[c] == parts[x] for x, c in group.items())
+
+
+def q_of(pairs, group):
+    """Textbook modularity."""
+    m, degree, inside = len(pairs), {}, sum(group[a] == group[b] for a, b in pairs)
+    for a, b in pairs:
+        for x in (group[a], group[b]):
+            degree[x] = degree.get(x, 0) + 1
+    return inside / m - sum(k * k for k in degree.values()) / (4 * m * m)
+
+
+def test_communities_find_cliques(spark):
+    """A ring of cliques falls into its cliques, each connected, whatever the number of partitions."""
+    cliques = [range(10 * i, 10 * i + 6) for i in range(8)]
+    pairs = [(a, b) for c in cliques for a in c for b in c if a < b] + [(10 * i, 10 * ((i + 1) % 8) + 1) for i in range(8)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    group = {r.node: r.community for r in graph.communities(edges).collect()}
+    want = {x: c[0] for c in cliques for x in c}
+    assert q_of(pairs, group) >= 0.95 * q_of(pairs, want)
+    assert group == {r.node: r.community for r in graph.communities(edges.repartition(7)).collect()}
+    inner = united((a, b) for a, b in pairs if group[a] == group[b])
+    assert {x: inner.get(x, x) for x in group} == group
+
+
+def test_label_sweeps(spark):
+    pairs = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)]
+    got = {r.node: r.community for r in graph.label_propagation(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     near = {}
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     label = {x: x for x in near}
-    for _ in range(rounds):
+    for _ in range(4):
         votes = {x: [label[y] for y in near[x]] for x in near}
         label = {x: min(set(v), key=lambda c: (-v.count(c), c)) for x, v in votes.items()}
-    return label
+    assert got == label
 
 
-def test_communities_of_all_lines(spark, tmp_path, monkeypatch):
-    rows = [(i, i % 7 + 1, i * 5 % 23 + 100 * (i % 3) + 1, i * 7 % 11 + 100 * (i % 3)) for i in range(1, 97)]
-    folder, pairs = lineitem(spark, tmp_path, rows), {(s, -p) for _, _, p, s in rows}
-    labels = {r.node: r.community for r in core.queries()["label_propagation"](spark, folder).collect()}
-    assert labels == spread(pairs)
-    group, parts = {r.node: r.community for r in core.queries()["louvain"](spark, folder).collect()}, united(pairs)
-    assert set(group) == set(parts) and all(parts[c] == parts[x] for x, c in group.items())
-    monkeypatch.setattr(graph, "MAX_LOCAL_EDGES", 5)
-    assert {r.node: r.community for r in core.queries()["louvain"](spark, folder).collect()} == spread(pairs)
+def test_strong_components(spark):
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (5, 8)]
+    got = {r.node: r.component for r in graph.strongly_connected(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def test_trace_directions_and_tests(spark):
+    rows = [("a", "b", "call"), ("b", "c", "data_flow"), ("c", "a", "call"), ("x", "a", "call"), ("b", "t", "call"), ("b", "h", "http_call")]
+    edges, seeds = spark.createDataFrame(rows, "src string, dst string, kind string"), spark.createDataFrame([("a",)], "node string")
+
+    def names(**how):
+        return {r.node: r.hop for r in graph.traced(edges, seeds, **how)[0].collect()}
+
+    assert names() == {"a": 0, "b": 1, "t": 2}
+    assert names(mode="data_flow") == {"a": 0, "b": 1, "c": 2, "t": 2}
+    assert names(direction="inbound") == {"a": 0, "c": 1, "x": 1}
+    assert names(direction="both", depth=1) == {"a": 0, "b": 1, "c": 1, "x": 1}
+    assert names(tests=spark.createDataFrame([("t",), ("a",)], "node string")) == {"a": 0, "b": 1}
+    assert names(most=2) == {"a": 0, "b": 1}
+    walked = graph.traced(edges, seeds, "data_flow", tests=spark.createDataFrame([("t",)], "node string"))[1]
+    assert [r.chain for r in graph.chains(walked, seeds).collect()] == ["a → b → c → a↺"]
