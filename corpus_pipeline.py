@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontaminate, mixing, near_copies, quality, tokens
-from tessera.llm.common import scope, stored
+from tessera.llm.common import discard, scope, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         with scope(spark) as keep:
-            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{i + 1}"))
+            kept = keep(stored(stage(spark, docs, sf_dir), f"stage-{i + 1}"))
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
