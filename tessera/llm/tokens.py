@@ -32,8 +32,8 @@ ORC_OPTIONS = {
 }
 #: Encoded units that a Python worker remembers, in each of two generations.
 MEMO = 200_000
-#: Documents that are encoded together.
-BATCH = 3072
+#: Documents that are encoded together at most, and UTF-8 bytes unless one text is longer.
+BATCH, BATCH_BYTES = 3072, 4 << 20
 
 # A single space between two non-spaces starts a token of its own, whatever surrounds it.
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
@@ -94,14 +94,18 @@ class Encoder:
     Byte-level pre-tokenization never joins text across a single space between two
     non-spaces, nor from letters to punctuation, nor over the ends of a line break between non-spaces, so the ids
     of a text are those of its :func:`units`.  A unit of letters alone is one word to the model.
+    The strings of special tokens in a text become these tokens, as is the library's default; with ``plain`` they are ordinary text.
     """
 
-    def __init__(self, file: str, end_id: int = END_ID):
+    def __init__(self, file: str, end_id: int = END_ID, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        # a text that holds the string of an added token goes to the library whole, which cuts it there
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added) if added and not plain else r"(?!)")
         self.little = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.tokenize = self.tokenizer.model.tokenize
         self.end = array("I", [end_id]).tobytes()
@@ -139,7 +143,7 @@ class Encoder:
         odd: dict[str, bytes] = {}
         rows = []
         for n, text in enumerate(texts):
-            if any(m in text for m in _MARKS):  # such a text is one unit, named by its place
+            if any(m in text for m in _MARKS) or self.added.search(text):  # such a text is one unit, named by its place
                 odd[f"{_WHOLE}{n}"] = self._whole(text)
                 rows.append(f"{_WHOLE}{n}{_NEXT}{_END}")
             else:
@@ -162,28 +166,40 @@ def _lists(sizes: np.ndarray, values: bytes | pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(values, np.int32)) if isinstance(values, bytes) else values)
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(file: str, end_id: int) -> Encoder:
+def encoder(file: str, end_id: int, plain: bool = False) -> Encoder:
     """One encoder for each Python worker and file."""
-    if (file, end_id) not in _encoders:
-        _encoders[file, end_id] = Encoder(file, end_id)
-    return _encoders[file, end_id]
+    key = (file, end_id, plain)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
-def write_tokens(docs: DataFrame, path: str, file: str, end_id: int = END_ID) -> None:
+def batched(batch: pa.RecordBatch, rows: int = BATCH, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``rows`` rows and ``size`` bytes of ``text``; a longer text is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        done = ends[at - 1] if at else 0
+        cut = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, "right"))))
+        yield batch.slice(at, cut - at)
+        at = cut
+
+
+def write_tokens(docs: DataFrame, path: str, file: str, end_id: int = END_ID, plain: bool = False) -> None:
     """Write ``shard, doc_id, k, n_tokens, ids`` in ascending order of doc_id, nulls first.
 
     ``shard`` numbers the files by their range.  Rows with one doc_id follow in the order
-    of ``k``, a hash of their texts; null texts are empty.
+    of ``k``, a hash of their texts; null texts are empty, repeated rows are written each, an empty table
+    gives files without rows.  A very long text is encoded on its own; its ids are one list.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), BATCH):
-                b = whole.slice(at, BATCH)
-                ids = encoder(file, end_id).encode([x or "" for x in b.column("text").to_pylist()])
+            for b in batched(whole):
+                ids = encoder(file, end_id, plain).encode([x or "" for x in b.column("text").to_pylist()])
                 yield pa.record_batch([b.column("doc_id"), b.column("k"), ids.value_lengths().cast(pa.int64()), ids], ["doc_id", "k", "n_tokens", "ids"])
 
     rows = docs.select("doc_id", text_key().alias("k"), "text")
@@ -234,7 +250,10 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_tokens(docs: DataFrame, file: str, end_id: int = END_ID) -> DataFrame:
-    """Encode ``docs``, write the files to the shared folder and digest what is read back."""
+    """``doc_id, start, n_tokens, ids_crc32`` of each row: encode, write to the shared folder, and digest what is read back.
+
+    Nulls, repeated rows, long texts and empty tables as in :func:`write_tokens`; other columns are ignored.
+    """
     path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, file, end_id)
     return digests(docs.sparkSession, path)
