@@ -7,7 +7,8 @@ orders them by number, verifies the total length and decodes the framing.
 
 Archives are written by Spark's text sink (one record a line, the line end being that of a
 record) and read as whole files, so any file system that Spark knows holds them, and
-the commit protocol copes with tasks that are run again.
+the commit protocol copes with tasks that are run again.  An archive has at most ``RECORDS`` records of at most a segment
+and its headers, so that a reader holds one archive in memory.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import base64
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,9 @@ from .common import scratch_path, stored
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
+RECORDS = 8192
+#: Bytes of payloads in a batch that a reader gives back.
+PACK = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
@@ -115,7 +120,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     serial = F.substring("digest", 1, 16)
     records = marked.select(F.explode(_records("page_id", "url", "html", "refers_to", serial)).alias("record"))
     lines = records.select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", _END.decode()).option("compression", "gzip").text(path)
+    lines.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 _PARSED = pa.schema(
@@ -160,54 +165,84 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, _PARSED)
 
 
-_DECODED = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("bytes", T.LongType()), T.StructField("sha1", T.StringType())])
-
-
 def decode_block(block: bytes) -> bytes | None:
     """The payload of an HTTP message, out of its framing if it is chunked."""
     head, _, body = block.partition(b"\r\n\r\n")
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-@F.arrow_udf(_DECODED)
-def _decoded(block: pa.Array, numbers: pa.Array, rest: pa.Array, total: pa.Array) -> pa.Array:
-    payloads = []
-    for first, ns, more, whole in zip(block, numbers, rest, total, strict=True):
-        parts = dict(zip(ns.as_py() or (), more.as_py() or (), strict=True))
-        data = first.as_py() + b"".join(parts[n] for n in sorted(parts))
-        gap = sorted(parts) != list(range(2, len(parts) + 2))
-        payloads.append(None if gap or (whole.is_valid and whole.as_py() != len(data)) else decode_block(data))
-    sizes = [None if p is None else len(p) for p in payloads]
-    digests = [None if p is None else payload_digest(p) for p in payloads]
-    return pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], _DECODED.names)
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+_READ = pa.schema(
+    [("name", pa.string()), ("kind", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload", pa.binary()), ("bytes", pa.int64()), ("sha1", pa.string()), ("intact", pa.bool_())]
+)
+_READ_SQL = "name string, kind string, refers_to string, digest string, payload binary, bytes long, sha1 string, intact boolean"
+
+
+def assembled(firsts: Counter, parts: dict[int, bytes], total: int | None, with_payload: bool) -> Iterator[dict]:
+    """A row for each of ``firsts``, which are counted records ``name, kind, refers_to, digest, block`` of one name; ``parts`` go on from them."""
+    for (name, kind, refers_to, digest, block), times in firsts.items():
+        row = {"name": name, "kind": kind, "refers_to": refers_to, "digest": digest, "payload": None, "bytes": None, "sha1": None, "intact": None}
+        if kind == "response":
+            data = block + b"".join(parts[n] for n in sorted(parts))
+            gap = sorted(parts) != list(range(2, len(parts) + 2))
+            payload = None if gap or (total is not None and total != len(data)) else decode_block(data)
+            row["intact"] = False
+            if payload is not None:
+                sha1 = payload_digest(payload)
+                row |= {"payload": payload if with_payload else None, "bytes": len(payload), "sha1": sha1, "intact": sha1 == digest}
+        for _ in range(times):
+            yield row
+
+
+def _assemble(with_payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads records sorted by ``key`` and holds those of one key."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        key, firsts, parts, total = None, Counter(), {}, None
+        for b in batches:
+            for r in b.to_pylist():
+                if r["key"] != key:
+                    yield from assembled(firsts, parts, total, with_payload)
+                    key, firsts, parts, total = r["key"], Counter(), {}, None
+                if r["kind"] == "continuation":
+                    parts[r["number"]] = r["block"]
+                    total = r["total"] if r["total"] is not None else total
+                else:
+                    firsts[r["name"], r["kind"], r["refers_to"], r["digest"], r["block"]] += 1
+        yield from assembled(firsts, parts, total, with_payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for r in rows(batches):
+            held.append(r)
+            size += len(r["payload"] or b"") + 500
+            if size > PACK:
+                yield pa.RecordBatch.from_pylist(held, _READ)
+                held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, _READ)
+
+    return run
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """``name, kind, refers_to, digest, payload, bytes, sha1, intact`` of each response and revisit.
 
+    Files are read once; records meet by the name that they have or go on from, in order of their segment numbers.
     Payload, bytes and sha1 are null for revisits and for records whose segments, length or
     framing are broken; ``intact`` tells whether ``sha1`` is the declared digest.  A
-    record that only has a first segment, and no total length, is read as it is.
+    record that only has a first segment, and no total length, is read as it is.  Without ``with_payload`` payloads
+    are decoded, but not given back.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(_parse, _PARSED_SQL)
-    more = (
-        records.where("kind = 'continuation'").groupBy("origin")
-        .agg(F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("whole"))
-        .select("origin", F.col("parts.number").alias("numbers"), F.col("parts.block").alias("blocks"), "whole")
-        .withColumnRenamed("origin", "_origin")
-    )
-    firsts = records.where("kind = 'response'").join(more, F.col("name") == F.col("_origin"), "left")
-    read = firsts.withColumn("d", _decoded("block", "numbers", "blocks", "whole"))
-    responses = read.select("name", "kind", "refers_to", "digest", "d.*", F.coalesce(F.col("d.sha1") == F.col("digest"), F.lit(False)).alias("intact"))
-    none = {"payload": F.lit(None).cast("binary"), "bytes": F.lit(None).cast("long"), "sha1": F.lit(None).cast("string"), "intact": F.lit(None).cast("boolean")}
-    return responses.unionByName(records.where("kind = 'revisit'").select("name", "kind", "refers_to", "digest").withColumns(none))
+    records = files.mapInArrow(_parse, _PARSED_SQL).where("kind in ('response', 'revisit', 'continuation')")
+    keyed = records.withColumn("key", F.when(F.col("kind") == "continuation", F.col("origin")).otherwise(F.col("name"))).drop("origin")
+    return keyed.repartition("key").sortWithinPartitions("key", "number").mapInArrow(_assemble(with_payload), _READ_SQL)
 
 
 def op3_warc(pages: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each page, from archives that are written and read back.
 
-    A revisit has the size and digest of the response that it refers to.
+    A revisit has the size and digest of the response that it refers to.  A null html is an empty payload; of repeated rows each
+    is a record; pages of any length go in segments; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
@@ -215,7 +250,7 @@ def op3_warc(pages: DataFrame) -> DataFrame:
     page = lambda c: F.substring_index(F.substring(c, len(URN) + 1, 1 << 30), ":", 1).cast("string")
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     rows = stored(
-        read_archives(spark, path).select(number(F.col("name")).alias("page_id"), "kind", number(F.col("refers_to")).alias("refers_to"), "digest", "bytes", "sha1"), "warc-read"
+        read_archives(spark, path, with_payload=False).select(number(F.col("name")).alias("page_id"), "kind", number(F.col("refers_to")).alias("refers_to"), "digest", "bytes", "sha1"), "warc-read"
     )
     responses = rows.where("kind = 'response'")
     known = responses.where("page_id is not null").groupBy("page_id", "sha1").agg(F.max("bytes").alias("_b")).select(F.col("page_id").alias("_p"), F.col("sha1").alias("_s"), "_b")
