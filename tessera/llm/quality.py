@@ -128,7 +128,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``measures`` and a long ``fail_bits``.
 
     Rows are independent: repeated rows each get the same ledger entry, null and
-    empty texts measure as zero and fail ``too_short``.  Other columns pass
+    empty texts measure as zero and fail ``too_short``, texts of any length are measured whole, an empty table stays empty.  Other columns pass
     through, but for columns named ``measures`` or ``fail_bits``, which are replaced.
     """
     out = docs.withColumn("measures", _measure_column(F.col(text)))
@@ -143,8 +143,15 @@ def verdict(policy: Policy | str, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask)) == 0
 
 
+def sole_rule(policy: Policy | str, bits: str = "fail_bits") -> Column:
+    """The rule of a policy without which it would keep a document that it rejects; null where there is none."""
+    policy = POLICIES[policy] if isinstance(policy, str) else policy
+    failed = F.col(bits).bitwiseAND(F.lit(policy.mask))
+    return F.coalesce(*[F.when(failed == 1 << RULES[r], F.lit(r)) for r in policy.rules])
+
+
 def ablations(ledger_df: DataFrame, policy: Policy | str) -> DataFrame:
-    """For each rule of a policy: ``rule, failed, only_this, rejected_without``.
+    """For each rule of a policy: ``rule, failed, only_this``.
 
     ``only_this`` counts the documents that would be kept without the rule.  The
     ledger is first reduced to its distinct bit patterns, at most two to the number
@@ -152,8 +159,8 @@ def ablations(ledger_df: DataFrame, policy: Policy | str) -> DataFrame:
     """
     policy = POLICIES[policy] if isinstance(policy, str) else policy
     patterns = ledger_df.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count("*").alias("n"))
-    spark = ledger_df.sparkSession
-    rules = spark.createDataFrame([(r, 1 << RULES[r]) for r in policy.rules], "rule string, bit long")
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << RULES[r]).cast("long").alias("bit")) for r in policy.rules])
+    rules = ledger_df.sparkSession.range(1).select(F.inline(pairs))
     return (
         rules.hint("broadcast").join(patterns, F.col("bits").bitwiseAND(F.col("bit")) != 0, "left")
         .groupBy("rule")
@@ -165,11 +172,14 @@ def ablations(ledger_df: DataFrame, policy: Policy | str) -> DataFrame:
 
 
 def op4_quality(docs: DataFrame, policy: Policy | str = "v1") -> DataFrame:
-    """The ledger's digest: one row for each row of ``docs``."""
+    """The ledger's digest: one row for each row of ``docs``; nulls, repeats and empty tables as in :func:`ledger`.
+
+    ``sole_rule`` is what an ablation of the policy counts: see :func:`sole_rule`.
+    """
     base = POLICIES["base"]
     return (
         ledger(docs.select("doc_id", "text"))
-        .select("doc_id", "measures.*", "fail_bits", (~verdict(base)).alias("base_failed"), (verdict(base) & verdict(policy)).alias("kept"))
+        .select("doc_id", "measures.*", "fail_bits", (~verdict(base)).alias("base_failed"), (verdict(base) & verdict(policy)).alias("kept"), sole_rule(policy).alias("sole_rule"))
     )
 
 
@@ -183,5 +193,6 @@ m AS (SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
   CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS BIGINT) AS n_letters, CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS n_bangs, CAST(len(list_filter(range(1, len(ws)), lambda k: ws[k] = ws[k + 1])) AS BIGINT) AS n_stutters FROM l LEFT JOIN r ON r.doc_id = l.doc_id),
 b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
   + 32 * (2 * n_upper > n_letters)::INT + 64 * (10 * n_bangs > 3 * n_words)::INT + 128 * (2 * n_stutters > n_words)::INT AS BIGINT) AS fail_bits FROM m)
-SELECT *, fail_bits & 3 > 0 AS base_failed, fail_bits = 0 AS kept FROM b
+SELECT *, fail_bits & 3 > 0 AS base_failed, fail_bits = 0 AS kept,
+  CASE fail_bits WHEN 1 THEN 'too_short' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'word_length' WHEN 32 THEN 'capitals' WHEN 64 THEN 'exclamations' WHEN 128 THEN 'stutters' END AS sole_rule FROM b
 """
