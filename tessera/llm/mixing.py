@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, text_key
+from .common import fresh, scope, stored, text_key
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -94,18 +94,33 @@ def finish_times(docs: DataFrame, **shares) -> DataFrame:
     )
 
 
+#: Ranges of virtual time in a coarse one.
+COARSE = 1_024
+
+
+def _first_over(totals: DataFrame, by: str, ahead: float, budget: float) -> tuple[int, float] | None:
+    """The first value of ``by`` with which the running sum of ``words``, from ``ahead`` on, is over ``budget``, and the sum before it."""
+    upto = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    summed = totals.withColumn("ahead", F.coalesce(F.sum("words").over(upto), F.lit(0)) + ahead)
+    row = summed.where(F.col("ahead") + F.col("words") > F.lit(budget)).orderBy(by).select(by, "ahead").first()
+    return None if row is None else (row[0], row[1])
+
+
 def mix(docs: DataFrame, **shares) -> DataFrame:
     """:func:`finish_times` with ``taken``: words that the mix takes of each document.
 
     The stream is cut at the first entry that would bring it over the budget.  Where
-    that is, is found by the totals of ranges of virtual time, and by the order
+    that is, is found by the totals of coarse ranges of virtual time, of the ranges in one of them, and by the order
     within the one range in which the budget ends.
 
     Null sources are one source; null and empty texts have size 0 and are never
-    taken; repeated rows are taken each on its own; an empty table gives no rows.
+    taken; repeated rows are taken each on its own; an empty table gives no rows; texts of any length count whole.
+    Only the four columns of documents are read, so that others may have any name.
     """
-    spark = docs.sparkSession
-    timed = stored(finish_times(docs, **shares), "mix-timed")
+    with scope(docs.sparkSession) as keep:
+        timed = keep(stored(finish_times(docs, **shares), "mix-timed"))
+        goals = timed.groupBy("source").agg(F.first("target").alias("t"), F.count("*").alias("n")).agg(F.sum("t"), F.sum("n")).first()
+    budget, n = float(goals[0] or 0), goals[1] or 0
     runs = [
         timed.where(F.col("size") > 0).select(
             (F.col("first") + i * F.col("source_size") / F.col("target")).alias("at"), "h", "doc_id", F.lit(i).alias("pass"), "size"
@@ -115,24 +130,19 @@ def mix(docs: DataFrame, **shares) -> DataFrame:
     stream = runs[0]
     for r in runs[1:]:
         stream = stream.unionByName(r)
-    n = timed.count()
-    budget = timed.groupBy("source").agg(F.first("target").alias("t")).agg(F.sum("t")).first()[0] if n else 0.0
     ranges = max(64, -(-n // BUCKET_ROWS))
     stream = stream.withColumn("range", F.least(F.floor(F.col("at") * ranges), F.lit(REPEATS * ranges * 4)).cast("long"))
-    totals = stream.groupBy("range").agg(F.sum("size").alias("words"))
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        totals.withColumn("ahead", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-        .where(F.col("ahead") + F.col("words") > F.lit(float(budget or 0))).orderBy("range").select("range", "ahead").first()
-    )
-    if cut is None:  # no words at all
+    coarse = F.floor(F.col("range") / COARSE)
+    over = _first_over(stream.groupBy(coarse.alias("range")).agg(F.sum("size").alias("words")), "range", 0, budget)
+    if over is None:  # no words at all
         return timed.withColumn("taken", F.when(F.col("target") > 0, F.col("size") * REPEATS).otherwise(0).cast("long"))
-    inside = stream.where(F.col("range") == cut["range"]).withColumn("entry", F.struct("at", "h", F.coalesce("doc_id", F.lit(-1 << 63)), "pass"))
-    over = (
-        inside.withColumn("run", F.sum("size").over(Window.orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)) + cut["ahead"])
-        .where(F.col("run") > F.lit(float(budget))).agg(F.min("entry").alias("e")).select("e.*").first()
+    cut, ahead = _first_over(stream.where(coarse == over[0]).groupBy("range").agg(F.sum("size").alias("words")), "range", over[1], budget)
+    inside = stream.where(F.col("range") == cut).withColumn("entry", F.struct("at", "h", F.coalesce("doc_id", F.lit(-1 << 63)), "pass"))
+    last = (
+        inside.withColumn("run", F.sum("size").over(Window.orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)) + ahead)
+        .where(F.col("run") > F.lit(budget)).agg(F.min("entry").alias("e")).select("e.*").first()
     )
-    stop = F.struct(*[F.lit(v).cast(t) for v, t in zip(over, ("double", "long", "long", "int"), strict=True)])
+    stop = F.struct(*[F.lit(v).cast(t) for v, t in zip(last, ("double", "long", "long", "int"), strict=True)])
     taken = F.lit(0)
     for i in range(REPEATS):
         entry = F.struct(F.col("first") + i * F.col("source_size") / F.col("target"), F.col("h"), F.coalesce("doc_id", F.lit(-1 << 63)), F.lit(i))
@@ -154,22 +164,6 @@ def mixed(docs: DataFrame, **shares) -> DataFrame:
 
 
 def op5_mix(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("first").alias("finish_time"))
-
-
-
-
-OP5_SQL = r"""
-WITH s AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
-), src AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s GROUP BY source
-), lv AS (
-  SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS nth,
-    (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-      / sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM src
-), t AS (
-  SELECT source, source_size, least(2.0 * source_size, coalesce(weight * (SELECT arg_min(level, nth) FROM lv WHERE level * weight < 2 * source_size), 2.0 * source_size)) AS target FROM lv
-)
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
-"""
+    """:func:`mix`, range-sorted by virtual finish time; nulls, repeats, long texts and empty tables as there."""
+    out = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("first").alias("finish_time"))
+    return out.repartitionByRange("finish_time", "doc_id").sortWithinPartitions("finish_time", "doc_id")
