@@ -122,15 +122,17 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _outside(spans: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What is left of ``spans`` where none of ``covered`` lies; both in any order."""
-    out, covered = [], sorted(covered)
+    """What is left of ``spans``, which are in order and apart, where none of ``covered``, in any order, lies."""
+    out, covered, at = [], sorted(covered), 0
     for a, b in spans:
-        for x, y in covered:
-            if y <= a or x >= b:
-                continue
-            if a < x:
-                out.append((a, x))
-            a = max(a, y)
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        i = at
+        while i < len(covered) and covered[i][0] < b:
+            if a < covered[i][0]:
+                out.append((a, covered[i][0]))
+            a = max(a, covered[i][1])
+            i += 1
         if a < b:
             out.append((a, b))
     return out
@@ -171,7 +173,8 @@ def secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``docs`` with a struct ``found``: ``n_assign, n_access, n_hex, base_sha256, spans``.
 
     Spans are in code points, the end exclusive.  What a fixed span covers of an entropy span
-    is left to it; the rest is given.  Rows are independent; null and empty texts have no spans.
+    is left to it; the rest is given.  Rows are independent; null and empty texts have no spans; time and memory follow a
+    text's length; an empty table stays empty.  A column named ``found`` is replaced, others pass through.
     """
     return docs.withColumn("found", scan_column(F.col("text"), allow))
 
@@ -199,4 +202,5 @@ def redacted(docs: DataFrame, allow: tuple[str, ...] = ALLOW, mark: str = "[secr
 
 
 def op8_secrets(docs: DataFrame) -> DataFrame:
+    """The counts, digest and spans of :func:`secrets` for each row."""
     return secrets(docs.select("doc_id", "text")).select("doc_id", "found.*")
