@@ -9,7 +9,7 @@ documents are 2 if they have more different words that mark toxic documents than
 median, else 1.  Labels with more levels are taken as they are.
 
 The vocabulary holds what is likelier in toxic documents by a likelihood ratio of twice the logarithm of
-the number of candidates at least, which chance alone seldom reaches.
+the number of candidates at least, which chance alone seldom reaches; all of it is used, and it is no larger than what the labelled sample holds.
 """
 
 from __future__ import annotations
@@ -23,12 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, stored
+from .common import fresh, scope, stored, text_key
 
 #: Labelled documents that are fitted on, the first by a hash of their ids.
 MAX_LABELLED = 20_000
-#: Words of the vocabulary, those that tell toxic documents best.
-MAX_WORDS = 4096
 MIN_DOCS = 5
 THRESHOLD = 0.5
 
@@ -111,59 +109,63 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     """Fit on at most ``max_labelled`` labelled documents; None if they hold fewer than two labels.
 
     Labels that are null are left out, of several labels of a document the largest counts, and labels without a
-    document or with a null text teach nothing.
+    document or with a null text teach nothing.  Of several texts with one id that with the smallest hash counts.
+    The smallest label is the clean one, and labels count by their order alone.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(stored(sample, "labelled")), "doc_id").dropDuplicates(["doc_id"])
-    seen = stored(texts.select("doc_id", "y", distinct_features("text").alias("words")), "labelled-words")
-    sizes = dict(seen.groupBy("y").agg(F.count("*")).collect())
-    if len(sizes) < 2:
-        return None
-    clean = sizes.get(0, min(sizes.values()))
-    toxic = sum(sizes.values()) - clean
-    per_word = stored(
-        seen.select("y", F.explode("words").alias("word")).groupBy("word")
-        .agg(F.sum((F.col("y") > 0).cast("int")).alias("bad"), F.sum((F.col("y") == 0).cast("int")).alias("good"))
-        .where(F.col("bad") + F.col("good") >= MIN_DOCS),
-        "word-counts",
-    )
-    seen_in = F.col("bad") + F.col("good")
-
-    def part(observed: Column, expected: Column) -> Column:
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    share = toxic / (toxic + clean)
-    without = toxic + clean - seen_in
-    ratio = 2 * (
-        part(F.col("bad"), seen_in * share) + part(F.col("good"), seen_in * (1 - share))
-        + part(toxic - F.col("bad"), without * share) + part(clean - F.col("good"), without * (1 - share))
-    )
-    odds = F.log((F.col("bad") + 0.5) / (toxic + 1.0)) - F.log((F.col("good") + 0.5) / (clean + 1.0))
-    tested = per_word.count()
-    telling = per_word.select("word", ratio.alias("g"), odds.alias("odds")).where((F.col("odds") > 0) & (F.col("g") >= 2 * float(np.log(max(tested, 2)))))
-    vocabulary = telling.orderBy(F.col("g").desc(), "word").limit(MAX_WORDS).toPandas()
-    if not len(vocabulary):
-        return None
-    index = {w: i for i, w in enumerate(vocabulary["word"])}
-    odds_of = vocabulary["odds"].to_numpy()
-    used = set(index)
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def numbered(batch: pa.Array) -> pa.Array:
-        return pa.array([sorted(index[w] for w in used.intersection(x.as_py() or ())) for x in batch], pa.list_(pa.int32()))
-
-    table = seen.select("doc_id", "y", numbered("words").alias("x")).orderBy("doc_id").toArrow()
-    lists = table["x"].combine_chunks()
-    ends = lists.offsets.to_numpy()
-    cols = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    y = table["y"].to_numpy().astype(np.int64)
-    rows = np.repeat(np.arange(len(y)), np.diff(ends))
-    if y.max() == 1:
-        marked = np.bincount(rows, odds_of[cols] > 2, minlength=len(y))
-        y = y + ((y == 1) & (marked > np.median(marked[y == 1])))
-    weights, theta = fit_ordinal(rows, cols, y, len(index), balanced=True, scale=odds_of)
-    return Model({w: float(weights[i]) for w, i in index.items()}, theta.tolist())
+    with scope(docs.sparkSession):
+        known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+        sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+        texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(stored(sample, "labelled")), "doc_id")
+        texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(text_key().alias("k"), "text")).alias("text"))
+        seen = stored(texts.select("doc_id", "y", distinct_features("text").alias("words")), "labelled-words")
+        sizes = dict(seen.groupBy("y").agg(F.count("*")).collect())
+        if len(sizes) < 2:
+            return None
+        lowest = min(sizes)
+        clean = sizes[lowest]
+        toxic = sum(sizes.values()) - clean
+        per_word = stored(
+            seen.select("y", F.explode("words").alias("word")).groupBy("word")
+            .agg(F.sum((F.col("y") > lowest).cast("int")).alias("bad"), F.sum((F.col("y") == lowest).cast("int")).alias("good"))
+            .where(F.col("bad") + F.col("good") >= MIN_DOCS),
+            "word-counts",
+        )
+        seen_in = F.col("bad") + F.col("good")
+
+        def part(observed: Column, expected: Column) -> Column:
+            return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
+
+        share = toxic / (toxic + clean)
+        without = toxic + clean - seen_in
+        ratio = 2 * (
+            part(F.col("bad"), seen_in * share) + part(F.col("good"), seen_in * (1 - share))
+            + part(toxic - F.col("bad"), without * share) + part(clean - F.col("good"), without * (1 - share))
+        )
+        odds = F.log((F.col("bad") + 0.5) / (toxic + 1.0)) - F.log((F.col("good") + 0.5) / (clean + 1.0))
+        tested = per_word.count()
+        telling = per_word.select("word", ratio.alias("g"), odds.alias("odds")).where((F.col("odds") > 0) & (F.col("g") >= 2 * float(np.log(max(tested, 2)))))
+        vocabulary = telling.orderBy(F.col("g").desc(), "word").toPandas()
+        if not len(vocabulary):
+            return None
+        index = {w: i for i, w in enumerate(vocabulary["word"])}
+        odds_of = vocabulary["odds"].to_numpy()
+        used = set(index)
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def numbered(batch: pa.Array) -> pa.Array:
+            return pa.array([sorted(index[w] for w in used.intersection(x.as_py() or ())) for x in batch], pa.list_(pa.int32()))
+
+        table = seen.select("doc_id", "y", numbered("words").alias("x")).orderBy("doc_id").toArrow()
+        lists = table["x"].combine_chunks()
+        ends = lists.offsets.to_numpy()
+        cols = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        y = np.unique(table["y"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+        rows = np.repeat(np.arange(len(y)), np.diff(ends))
+        if y.max() == 1:
+            marked = np.bincount(rows, odds_of[cols] > 2, minlength=len(y))
+            y = y + ((y == 1) & (marked > np.median(marked[y == 1])))
+        weights, theta = fit_ordinal(rows, cols, y, len(index), balanced=True, scale=odds_of)
+        return Model({w: float(weights[i]) for w, i in index.items()}, theta.tolist())
 
 
 _GRADES = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.LongType())])
@@ -192,4 +194,5 @@ def graded(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """:func:`graded` for each row, by a model of :func:`fit`; reruns agree."""
     return graded(docs.select("doc_id", "text"), fit(docs, labels)).drop("text")
