@@ -94,7 +94,7 @@ def deduplicated(docs: DataFrame, **limits) -> DataFrame:
     Null and empty texts are one empty line, which is too short to go.  Repeated rows
     each count as a document if their text or id differs; exact repeats count once and
     are treated alike.  With null ids the largest non-null id keeps a line, and if all are null
-    every one of them does.  Columns named ``n_lines`` or ``n_dropped`` are replaced.
+    every one of them does.  Texts of any length go by lines, and an empty table stays empty.  Columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     id_, key, own, lost, bitmap = fresh(docs, "_id", "_key", "_own", "_lost", "_bitmap")
     maps = keep_bitmaps(docs, **limits).select(F.col("doc_id").alias(id_), F.col("k").alias(key), F.col("n_dropped").alias(lost), F.col("bitmap").alias(bitmap))
@@ -108,20 +108,21 @@ def deduplicated(docs: DataFrame, **limits) -> DataFrame:
 
 
 def op10_lines(docs: DataFrame) -> DataFrame:
+    """The digest of :func:`deduplicated` for each row: a document is a row with an id and a text, and exact repeats are one."""
     return deduplicated(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP10_SQL = r"""
 WITH l AS (
-  SELECT doc_id, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
-  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+  SELECT doc_id, r, u, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+  FROM (SELECT doc_id, r, u, unnest(ls) AS line, unnest(range(len(ls))) AS pos
+        FROM (SELECT doc_id, row_number() OVER () AS r, md5(text) AS u, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
 ), k AS (
-  SELECT doc_id, pos, line, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+  SELECT doc_id, r, u, pos, line, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), c AS (
-  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT (doc_id, u)) >= 5
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper IS NOT NULL AND keeper <> doc_id) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
-FROM k LEFT JOIN c USING (key) GROUP BY doc_id
+FROM k LEFT JOIN c USING (key) GROUP BY doc_id, r
 """
