@@ -4,19 +4,20 @@ Fingerprints of similar texts can differ in many bits, so keys of equal bits wou
 similar enough share one of the first shingles of either, in any order that all texts agree on; so runs of
 equal first shingles hold every pair.  Shingles that a sample of texts finds common come last, which
 keeps runs short; the sample decides about speed alone.  Within a run fingerprints are compared in bit slices, and
-edges between those within the radius make groups that hold every pair.  A group is cut into chunks of bounded size;
-each pair of chunks is compared in bit slices again, and what is within the radius by the shingles themselves.
+edges between those within the radius make groups that hold every pair.  A group is cut into chunks of about one size;
+each pair of chunks whose sizes fit is compared in bit slices again, and what is within the radius by the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ HEAVY = 1 << 9
 ROWS = 1 << 16
 #: Shingles in a chunk of a group, and the least that a text counts for.
 CHUNK, LEAST = 1 << 20, 1 << 9
+#: Chunks of a class of sizes are numbered below this.
+CHUNKS = 1 << 40
 #: Representatives up to this many are broadcast to the texts.
 BROADCAST_ROWS = 500_000
 
@@ -232,14 +235,14 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     groups = components(runs.mapInArrow(_runs, "a long, b long"))
     first = rows.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")).alias("first"), F.first("n").alias("n"))
     members = groups.join(first, F.col("node") == F.col("sig")).select("root", "sig", "n", F.col("first.doc_id").alias("_d"), F.col("first.own").alias("_o"))
-    before = Window.partitionBy("root").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # each text counts where it ends, so that no chunk but that of a single text is over the bound
-    members = members.withColumn("chunk", F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(before) / CHUNK))
-    members = stored(members, "near-members")
-    spans = members.groupBy("root", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = spans.select(F.col("root").alias("_r"), F.col("chunk").alias("_c"), F.col("least").alias("_least"), F.col("most").alias("_most"))
-    # a chunk meets itself and the later ones with sizes that fit
-    meets = spans.join(other, (F.col("root") == F.col("_r")) & (F.col("chunk") <= F.col("_c")) & (WHOLE * F.col("most") >= PART * F.col("_least")))
+    # sizes fall into classes of which similar ones are the same or next to each other, and a class of a group into chunks by a hash
+    members = members.withColumn("class", F.floor(F.log("n") / math.log(WHOLE / PART)))
+    weight = members.groupBy(F.col("root").alias("_r"), F.col("class").alias("_c")).agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / CHUNK).alias("chunks"))
+    dealt = members.join(weight, (F.col("root") == F.col("_r")) & (F.col("class") == F.col("_c")))
+    members = stored(dealt.withColumn("chunk", F.col("class") * CHUNKS + F.pmod(F.xxhash64("sig"), F.col("chunks"))).drop("_r", "_c", "chunks"), "near-members")
+    spans = members.select("root", "class", "chunk").distinct()
+    other = spans.select(F.col("root").alias("_r"), F.col("class").alias("_k"), F.col("chunk").alias("_c"))
+    meets = spans.join(other, (F.col("root") == F.col("_r")) & (F.col("_k") - F.col("class")).between(0, 1) & (F.col("chunk") <= F.col("_c")))
     units = meets.select("root", F.col("chunk").alias("i"), F.col("_c").alias("j"), F.explode(F.array_distinct(F.array("chunk", "_c"))).alias("chunk"))
     sent = members.join(units, ["root", "chunk"]).select("root", "i", "j", "chunk", "sig", "n", "_d", "_o")
     texts = docs.select("doc_id", "text", text_key().alias("own"))
