@@ -81,7 +81,8 @@ def test_decontamination(docs, items, none):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x blue y green"), (2, "red " + "x " * 20 + "blue green"), (3, "green blue red")], "doc_id long, text string")
     terms, lexicon, _ = decontaminate.windows(spark.createDataFrame([(1, "blue green red")], "item_id long, text string"))
-    found = decontaminate.proximity_matches(decontaminate.build_index(docs, lexicon), terms, slack=2)
+    index = decontaminate.build_index(docs, lexicon)
+    found = decontaminate.proximity_matches(index, terms, decontaminate.term_counts(index), slack=2)
     assert sorted(r.doc_id for r in found.collect()) == [1, 3]
 
 
