@@ -211,6 +211,39 @@ def code_chunks(text: str | None, overlap: int = OVERLAP) -> list[tuple[int, int
     return out
 
 
+_IMPORTS = re.compile(r"""^\s*(?:import\s+(?:[^'"]*?\sfrom\s+)?['"]([^'"]+)['"]|(?:const|let|var)\s+[^=]+=\s*require\(\s*['"]([^'"]+)['"]|from\s+([\w.]+)\s+import\b|import\s+([\w.]+)\s*;?$|use\s+([\w:]+))""")
+_CALL = re.compile(r"([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*)\s*\(\s*(?:['\"`]([^'\"`]*)['\"`])?")
+
+
+def structure(text: str | None) -> list[tuple[str, str, int, str | None]]:
+    """``kind, name, line, literal`` of the declarations, imports and calls of a source text, found by patterns and the depth of braces."""
+    lines = (text or "").split("\n")
+    named = dict(declarations(lines))
+    out: list[tuple[str, str, int, str | None]] = []
+    for i, line in enumerate(lines):
+        if i in named:
+            out.append(("declaration", named[i], i + 1, None))
+        found = _IMPORTS.match(line)
+        if found:
+            out.append(("import", next(x for x in found.groups() if x), i + 1, None))
+            continue
+        if line.lstrip().startswith(("//", "*", "#")):
+            continue
+        own = named.get(i, "").rsplit(".", 1)[-1]
+        out += [("call", m[1], i + 1, m[2]) for m in _CALL.finditer(line) if m[1] not in _NO_NAMES and m[1] not in ("function", own)]
+    return out
+
+
+_PARTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("line", T.LongType()), T.StructField("literal", T.StringType())]))
+
+
+@F.arrow_udf(_PARTS)
+def structure_column(text: pa.Array) -> pa.Array:
+    names = ("kind", "name", "line", "literal")
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("line", pa.int64()), ("literal", pa.string())]))
+    return pa.array([[dict(zip(names, x, strict=True)) for x in structure(t.as_py())] for t in text], kind)
+
+
 def chunk_of(path: str, text: str | None) -> list[tuple[int, int, str, str]]:
     """``line_start, line_end, label, content`` by the kind of file."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""

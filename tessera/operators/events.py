@@ -122,6 +122,24 @@ def stale_runs(runs: DataFrame, now: Column, seconds: int) -> DataFrame:
     return runs.where((F.col("status") == "running") & (age > seconds))
 
 
+def due_jobs(jobs: DataFrame, now: Column, tick_seconds: int = 60) -> DataFrame:
+    """Enabled jobs ``id, kind, next_run, interval`` (seconds) with ``state``: waiting, due, or missed by more than a tick, and ``then``, when they run next.
+
+    A missed job gets one run to catch up, whatever it has missed.
+    """
+    late = (F.unix_micros(now) - F.unix_micros(F.col("next_run").cast("timestamp"))) / 1e6
+    state = F.when(late < 0, "waiting").when(late > tick_seconds, "missed").otherwise("due")
+    after = F.timestamp_micros(F.unix_micros(now) + F.col("interval") * 1_000_000)
+    return jobs.where("enabled").withColumn("state", state).withColumn("then", F.when(late < 0, F.col("next_run").cast("timestamp")).otherwise(after))
+
+
+def failures(runs: DataFrame) -> DataFrame:
+    """``kind, runs, failed, in_a_row``: of ``runs(kind, at, ok)``, all, those that failed, and those that failed since the last that did not."""
+    last = F.max(F.when(F.col("ok"), F.col("at"))).over(Window.partitionBy("kind"))
+    rows = runs.withColumn("last", last)
+    return rows.groupBy("kind").agg(F.count("*").alias("runs"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(~F.col("ok") & (F.col("last").isNull() | (F.col("at") > F.col("last")))).alias("in_a_row"))
+
+
 def consolidation_due(state: DataFrame, least_new: int, least_seconds: int) -> DataFrame:
     """Projects of ``new_events, idle_seconds`` for which a throttled consolidation is due."""
     return state.where((F.col("new_events") >= least_new) & (F.col("idle_seconds") >= least_seconds))

@@ -81,6 +81,76 @@ def layers(edges: DataFrame) -> DataFrame:
     return both.withColumn("layer", layer).withColumn("hotspot", F.col("fan_in") * F.col("fan_out"))
 
 
+# Folders that hold packages, names of files that start programs, and names of routes.
+PACKAGES = r"^(?:packages|apps|modules|libs|services)/([^/]+)/"
+STARTS = r"(?i)(^|/)(index|main|server|app|cli|bootstrap|entry)\.[tj]sx?$"
+ROUTE = r"(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/\S+)"
+
+
+def package_of(path: Column) -> Column:
+    """The package folder of a path, or else its first folder; ``<root>`` for a bare name."""
+    held = F.regexp_extract(path, PACKAGES, 1)
+    return F.when(held != "", held).when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1)).otherwise("<root>")
+
+
+def packages(files: DataFrame, edges: DataFrame, limit: int = 15) -> DataFrame:
+    """``name, files, fan_in, fan_out`` of the largest packages of ``files(path)``; the fans count other packages along ``edges(src, dst)``."""
+    sizes = files.select(package_of(F.col("path")).alias("name")).groupBy("name").agg(F.count("*").alias("files"))
+    between = edges.select(package_of(F.col("src")).alias("a"), package_of(F.col("dst")).alias("b")).where("a <> b").distinct()
+    out, into = between.groupBy(F.col("a").alias("name")).agg(F.count("*").alias("fan_out")), between.groupBy(F.col("b").alias("name")).agg(F.count("*").alias("fan_in"))
+    whole = sizes.join(into, "name", "left").join(out, "name", "left").select("name", "files", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
+    return whole.orderBy(F.col("files").desc(), F.col("fan_in").desc(), "name").limit(limit)
+
+
+def entry_points(edges: DataFrame, limit: int = 20, least: int = 1) -> DataFrame:
+    """``file, fan_in, fan_out, starts``: files that are imported and import little, or that are named as what starts a program; these first."""
+    both = layers(edges).withColumn("starts", F.col("node").rlike(STARTS))
+    quiet = (F.col("fan_in") >= least) & (F.col("fan_out") <= F.greatest(F.lit(2), F.col("fan_in")))
+    return both.where(quiet | F.col("starts")).orderBy(F.col("starts").desc(), F.col("fan_in").desc(), "node").limit(limit).select(F.col("node").alias("file"), "fan_in", "fan_out", "starts")
+
+
+def routes(calls: DataFrame, defs: DataFrame, limit: int = 50) -> DataFrame:
+    """``method, path, file, handler``, one for each method and path: of calls first, then of definitions of routes, then of names that look like one.
+
+    ``calls(id, file, route, method, handler)`` and ``defs(id, file, name, kind)``.
+    """
+    named = F.regexp_extract("name", ROUTE, 2) != ""
+    method, path = F.when(named, F.upper(F.regexp_extract("name", ROUTE, 1))).otherwise("ANY"), F.when(named, F.regexp_extract("name", ROUTE, 2)).otherwise(F.col("name"))
+    rows = calls.where(F.coalesce("route", F.lit("")) != "").select(F.lit(1).alias("source"), "id", F.upper(F.coalesce("method", F.lit("ANY"))).alias("method"), F.col("route").alias("path"), "file", "handler")
+    own = defs.where((F.col("kind") == "route") | named).select(F.when(F.col("kind") == "route", 2).otherwise(3).alias("source"), "id", method.alias("method"), path.alias("path"), "file", F.col("name").alias("handler"))
+    first = rows.unionByName(own).groupBy("method", "path").agg(F.min(F.struct("source", "id", "file", "handler")).alias("f"))
+    return first.orderBy("f.source", "f.id", "method", "path").limit(limit).select("method", "path", "f.file", "f.handler")
+
+
+def cohesion(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """``community, inside, touching, cohesion``: edges within a community, those that touch it, and their share."""
+    a, b = groups.select(F.col("node").alias("src"), F.col("community").alias("ca")), groups.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+    ends = edges.join(a, "src").join(b, "dst").select("ca", "cb")
+    touched = ends.select(F.explode(F.array_distinct(F.array("ca", "cb"))).alias("community"), (F.col("ca") == F.col("cb")).alias("inner"))
+    return touched.groupBy("community").agg(F.count_if("inner").alias("inside"), F.count("*").alias("touching")).withColumn("cohesion", F.round(F.col("inside") / F.col("touching"), 6))
+
+
+def seeds(files: DataFrame, readme: DataFrame, limit: int = 10) -> DataFrame:
+    """``place, content``: first memories of a project, by rule: what its description begins with, and its most central files.  ``files(path, rank)``, ``readme(text)``."""
+    intro = readme.select(F.lit(0).alias("place"), F.concat(F.lit("Project: "), F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 200)).alias("content")).limit(1)
+    top = files.orderBy(F.col("rank").desc(), "path").limit(max(0, limit - 1))
+    nth = F.row_number().over(Window.orderBy(F.col("rank").desc(), "path"))  # of a few rows
+    central = top.select(nth.alias("place"), F.concat(F.lit("Central file: "), "path", F.lit(" ("), F.format_string("%.3f", F.col("rank")), F.lit(")")).alias("content"))
+    return intro.unionByName(central)
+
+
+def tree(rows: DataFrame, group: Column, fields: list[str], order: list[Column], groups: int = 20, per_group: int = 10) -> DataFrame:
+    """``place, nth, line``: rows as indented lines below a line for each group, in order of ``place`` and ``nth``; the largest groups and
+    the first rows of each are shown, with how many there are."""
+    keyed = rows.withColumn("_g", group)
+    counts = keyed.groupBy("_g").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "_g").limit(groups)
+    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "_g")))  # of a few rows
+    head = placed.select("place", F.lit(0).alias("nth"), F.concat("_g", F.lit(" ("), F.least("n", F.lit(per_group)).cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" rows)")).alias("line"))
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    shown = keyed.join(placed.select("_g", "place"), "_g").withColumn("nth", nth).where(F.col("nth") <= per_group)
+    return head.unionByName(shown.select("place", "nth", F.concat(F.lit("  "), F.to_json(F.struct(*fields))).alias("line")))
+
+
 def common_prefix(groups: DataFrame, key: str, path: str) -> DataFrame:
     """``key, prefix``: the longest folder that all paths of a group share, from its first and last path in order."""
     ends = groups.groupBy(key).agg(F.min(path).alias("a"), F.max(path).alias("b"))

@@ -111,3 +111,20 @@ def event_rollup(t: Tables) -> DataFrame:
     ev = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = ev.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query(
+    """WITH j AS (SELECT o_orderkey AS id, o_orderdate AS w, 3600 * (1 + o_orderkey % 5) AS i FROM orders WHERE o_orderstatus <> 'F'), l AS (SELECT *, epoch(TIMESTAMP '2001-06-01 00:00:30') - epoch(w) AS late FROM j)
+    SELECT id, CASE WHEN late < 0 THEN 'waiting' WHEN late > 60 THEN 'missed' ELSE 'due' END AS state, CASE WHEN late < 0 THEN w ELSE TIMESTAMP '2001-06-01 00:00:30' + INTERVAL 1 SECOND * i END AS "then" FROM l"""
+)
+def scheduled_jobs(t: Tables) -> DataFrame:
+    jobs = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("next_run"), (3600 * (1 + F.col("o_orderkey") % 5)).alias("interval"), (F.col("o_orderstatus") != "F").alias("enabled"))
+    return events.due_jobs(jobs, F.lit("2001-06-01 00:00:30").cast("timestamp")).select("id", "state", F.col("then").cast("timestamp_ntz").alias("then"))
+
+
+@query(
+    """WITH r AS (SELECT user_id AS kind, ts AS w, event_type NOT IN ('error', 'signup', 'view') AS ok FROM events), l AS (SELECT *, max(w) FILTER (WHERE ok) OVER (PARTITION BY kind) AS last FROM r)
+    SELECT kind, count(*) AS runs, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE NOT ok AND (last IS NULL OR w > last)) AS in_a_row FROM l GROUP BY kind"""
+)
+def job_failures(t: Tables) -> DataFrame:
+    return events.failures(t.events.select(F.col("user_id").alias("kind"), F.col("ts").alias("at"), (~F.col("event_type").isin("error", "signup", "view")).alias("ok")))

@@ -225,3 +225,95 @@ def level_assignment(t: Tables) -> DataFrame:
     of = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
     kind, agent = of(("critical", "conversation", "code", "pattern", "decision", "note"), k % 6), of(("orchestrator", "architect", "optimizer", "none"), F.col("o_custkey") % 4)
     return t.orders.select(k.alias("id"), level(kind, F.when(k % 5 == 0, "u"), F.when(k % 4 == 0, "s"), F.when(k % 7 == 0, "p"), agent).cast("long").alias("level"))
+
+
+_FILES = """f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'packages/h' || page_id % 9 || '/' WHEN 1 THEN 'src/' WHEN 2 THEN 'lib/x/' ELSE '' END || CASE WHEN page_id % 10 = 0 THEN 'main' || '.ts' ELSE 'p' || page_id || '.ts' END AS path FROM pages),
+    e AS (SELECT a.path AS src, b.path AS dst FROM f a JOIN f b ON b.page_id = a.page_id * 3 % 100 OR b.page_id = a.page_id + 1)"""
+
+
+def files(t: Tables) -> DataFrame:
+    p = F.col("page_id")
+    folder = F.when(p % 4 == 0, F.concat(F.lit("packages/h"), (p % 9).cast("string"), F.lit("/"))).when(p % 4 == 1, "src/").when(p % 4 == 2, "lib/x/").otherwise("")
+    return t.pages.select("page_id", F.concat(folder, F.when(p % 10 == 0, "main.ts").otherwise(F.concat(F.lit("p"), p.cast("string"), F.lit(".ts")))).alias("path"))
+
+
+def file_edges(t: Tables) -> DataFrame:
+    to = F.explode(F.array_distinct(F.array(F.col("page_id") * 3 % 100, F.col("page_id") + 1))).alias("to")
+    return files(t).select(F.col("path").alias("src"), to).join(files(t).select(F.col("page_id").alias("to"), F.col("path").alias("dst")), "to").select("src", "dst")
+
+
+_PACKAGE = "CASE WHEN {0} LIKE 'packages/%' THEN split_part({0}, '/', 2) WHEN contains({0}, '/') THEN split_part({0}, '/', 1) ELSE '<root>' END"
+
+
+@query(
+    f"""WITH {_FILES}, s AS (SELECT {_PACKAGE.format("path")} AS name, count(*) AS files FROM f GROUP BY 1), b AS (SELECT DISTINCT {_PACKAGE.format("src")} AS x, {_PACKAGE.format("dst")} AS y FROM e),
+    w AS (SELECT name, files, (SELECT count(*) FROM b WHERE y = name AND x <> y) AS fan_in, (SELECT count(*) FROM b WHERE x = name AND x <> y) AS fan_out FROM s) SELECT * FROM w ORDER BY files DESC, fan_in DESC, name LIMIT 15"""
+)
+def package_map(t: Tables) -> DataFrame:
+    return symbols.packages(files(t).select("path"), file_edges(t))
+
+
+@query(
+    f"""WITH {_FILES}, i AS (SELECT dst AS file, count(DISTINCT src) AS n FROM e GROUP BY dst), o AS (SELECT src AS file, count(DISTINCT dst) AS n FROM e GROUP BY src),
+    w AS (SELECT coalesce(i.file, o.file) AS file, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM i FULL JOIN o ON i.file = o.file), s AS (SELECT *, regexp_matches(file, '(^|/)main\\.ts$') AS starts FROM w)
+    SELECT * FROM s WHERE starts OR (fan_in >= 1 AND fan_out <= greatest(2, fan_in)) ORDER BY starts DESC, fan_in DESC, file LIMIT 20"""
+)
+def entry_points(t: Tables) -> DataFrame:
+    return symbols.entry_points(file_edges(t))
+
+
+@query(
+    """WITH r AS (SELECT 1 AS source, event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'ANY' ELSE upper(event_type) END AS method, '/u/' || user_id % 8 AS path, 'f' || event_id AS file, event_type AS handler FROM events WHERE event_id % 5 <> 0
+      UNION ALL SELECT CASE WHEN page_id % 2 = 0 THEN 2 ELSE 3 END, page_id, CASE WHEN page_id % 4 = 0 THEN 'ANY' ELSE 'GET' END, '/p/' || page_id % 60, url, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'get ' END || '/p/' || page_id % 60 FROM pages),
+    f AS (SELECT method, path, min(row(source, id, file, handler)) AS f FROM r GROUP BY method, path) SELECT method, path, f[3] AS file, f[4] AS handler FROM f ORDER BY f[1], f[2], method, path LIMIT 50"""
+)
+def route_map(t: Tables) -> DataFrame:
+    e, p = F.col("event_id"), F.col("page_id")
+    calls = t.events.select(
+        e.alias("id"), F.concat(F.lit("f"), e.cast("string")).alias("file"), F.when(e % 5 != 0, F.concat(F.lit("/u/"), (F.col("user_id") % 8).cast("string"))).alias("route"),
+        F.when(e % 3 != 0, F.col("event_type")).alias("method"), F.col("event_type").alias("handler"),
+    )
+    defs = t.pages.select(p.alias("id"), F.col("url").alias("file"), F.concat(F.when(p % 4 == 0, "").otherwise("get "), F.lit("/p/"), (p % 60).cast("string")).alias("name"), F.when(p % 2 == 0, "route").otherwise("function").alias("kind"))
+    return symbols.routes(calls, defs)
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem), t AS (SELECT a % 5 AS community, a % 5 = b % 5 AS inner_ FROM e UNION ALL SELECT b % 5, false FROM e WHERE a % 5 <> b % 5)
+    SELECT community, count(*) FILTER (WHERE inner_) AS inside, count(*) AS touching, round(count(*) FILTER (WHERE inner_) / count(*), 6) AS cohesion FROM t GROUP BY community"""
+)
+def community_cohesion(t: Tables) -> DataFrame:
+    e = t.lineitem.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), "l_suppkey", "l_partkey").distinct()
+    groups = e.select(F.col("src").alias("node"), (F.col("l_suppkey") % 5).alias("community")).unionByName(e.select(F.col("dst").alias("node"), (F.col("l_partkey") % 5).alias("community"))).distinct()
+    return symbols.cohesion(e.select("src", "dst"), groups)
+
+
+@query(
+    f"""WITH {_FILES}, r AS (SELECT dst AS path, count(*) / 10 AS rank FROM e GROUP BY dst), n AS (SELECT *, row_number() OVER (ORDER BY rank DESC, path) AS place FROM r)
+    SELECT 0 AS place, 'Project: ' || substr(trim(regexp_replace(text, '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g')), 1, 200) AS content FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)
+    UNION ALL SELECT place, 'Central file: ' || path || ' (' || printf('%.3f', rank) || ')' FROM n WHERE place <= 9"""
+)
+def bootstrap_seeds(t: Tables) -> DataFrame:
+    first = t.documents.orderBy("doc_id").limit(1).select("text")
+    ranks = file_edges(t).groupBy(F.col("dst").alias("path")).agg((F.count("*") / 10).alias("rank"))
+    return symbols.seeds(ranks, first).withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    """WITH k AS (SELECT doc_id, lang, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents), c AS (SELECT g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g) AS place FROM k GROUP BY g)
+    SELECT place, 0 AS nth, g || ' (' || least(n, 3) || '/' || n || ' rows)' AS line FROM c WHERE place <= 4 UNION ALL SELECT place, nth, '  {"doc_id":' || doc_id || ',"lang":"' || lang || '"}' FROM k JOIN c USING (g) WHERE place <= 4 AND nth <= 3"""
+)
+def result_tree(t: Tables) -> DataFrame:
+    out = symbols.tree(t.documents.select("doc_id", "lang", "source"), F.col("source"), ["doc_id", "lang"], [F.col("doc_id")], 4, 3)
+    return out.select(F.col("place").cast("long").alias("place"), F.col("nth").cast("long").alias("nth"), "line")
+
+
+_CODE = "import a from './m%d'\nclass P%d {\n  run(x) {\n    axios.get('/api/%d')\n  }\n}\n"
+
+
+@query(
+    """SELECT p_partkey, unnest(['import', 'declaration', 'declaration', 'call']) AS kind, unnest(['./m' || p_partkey, 'P' || p_partkey, 'P' || p_partkey || '.run', 'axios.get']) AS name, unnest([1, 2, 3, 4]::BIGINT[]) AS line,
+      unnest([NULL, NULL, NULL, '/api/' || p_partkey]) AS literal FROM part"""
+)
+def source_structure(t: Tables) -> DataFrame:
+    k = F.col("p_partkey").cast("long")
+    return t.part.select("p_partkey", F.explode(text.structure_column(F.format_string(_CODE, k, k, k))).alias("x")).select("p_partkey", "x.*")
