@@ -28,7 +28,7 @@ def validated(events: DataFrame, kinds: list[str], max_payload: int = 65_536) ->
 def signature(text: Column) -> Column:
     """The three longest words that are no stop words, sorted; ties of length by place.  A text without such words is cut to 60 characters."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    ws = F.filter(F.split(F.regexp_replace(low, r"[^a-z0-9\s]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
+    ws = F.filter(F.split(F.regexp_replace(low, r"[^a-z0-9\s]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
     keyed = F.transform(ws, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
     top = F.slice(F.array_sort(keyed), 1, 3)
     whole = F.substring(F.trim(F.regexp_replace(low, r"\s+", " ")), 1, 60)
