@@ -84,9 +84,10 @@ def is_secret_path(path: Column) -> Column:
     return any_of([path.rlike(p) for p in SECRET_PATHS])
 
 
-def is_ignored(path: Column, extra: Sequence[str] = ()) -> Column:
-    """Paths that are not captured: a pattern without a slash holds in any folder, as in ignore files."""
-    anywhere = [g if "/" in g else f"**/{g}" for g in (*IGNORED, *extra)]
+def is_ignored(path: Column, extra: Sequence[str] = (), tests: bool = False) -> Column:
+    """Paths that are not captured: a pattern without a slash holds in any folder, as in ignore files.  With ``tests`` those of tests are captured."""
+    built_in = [g for g in IGNORED if not (tests and re.search(r"tests|\.test\.|\.spec\.", g))]
+    anywhere = [g if "/" in g else f"**/{g}" for g in (*built_in, *extra)]
     return any_of([path.rlike(glob_regex(g)) for g in anywhere])
 
 

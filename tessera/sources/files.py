@@ -24,7 +24,7 @@ def source_tree(spark: SparkSession, root: str, extensions: Sequence[str], ignor
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}").load(root)
     base = root.rstrip("/")
     path = F.regexp_replace("path", rf"^.*?\Q{base.split('://')[-1]}\E/", "")
-    rows = files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").where(~filters.is_ignored(F.col("path"), ignore))
+    rows = files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").where(~filters.is_ignored(F.col("path"), ignore, tests))
     if not tests:
         rows = rows.where(~filters.is_test_file(F.col("path")))
     return rows.withColumn("content", F.decode("content", "UTF-8"))
