@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """Element ``floor(n * share)`` of the sorted values, from 0 on and at most the last: no interpolation."""
-    at = F.least(F.floor(F.count(values) * share), F.count(values) - 1)
-    return F.element_at(F.sort_array(F.collect_list(values)), (at + 1).cast("int"))
-
-
 def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact nearest-rank percentiles of each group, with count, mean, least and largest.
 
@@ -32,9 +26,9 @@ def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, f
 def top_and_other(df: DataFrame, group: str, most: int, other: str = "(other)") -> DataFrame:
     """The ``most - 1`` largest groups and all others as one: ``group, n``."""
     counts = df.groupBy(group).agg(F.count("*").alias("n"))
-    nth = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(group).asc_nulls_last()))
-    named = counts.withColumn("nth", nth).select(F.when(F.col("nth") < most, F.col(group)).otherwise(other).alias(group), "n")
-    return named.groupBy(group).agg(F.sum("n").cast("long").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), F.col(group).asc_nulls_last()).limit(most - 1).select(F.col(group).alias("_g"), F.lit(True).alias("_top"))
+    named = counts.join(F.broadcast(top), F.col(group).eqNullSafe(F.col("_g")), "left")  # at most ``most - 1`` rows
+    return named.select(F.when(F.col("_top"), F.col(group)).otherwise(other).alias(group), "n").groupBy(group).agg(F.sum("n").cast("long").alias("n"))
 
 
 def histogram_map(df: DataFrame, group: str, kind: str) -> DataFrame:

@@ -40,16 +40,15 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> Da
 
 
 def co_occurring(rows: DataFrame, key: str, id_: str, at: str, seconds: int, most: int) -> DataFrame:
-    """``id, peer``: up to ``most`` latest earlier rows of the same key within ``seconds``.
+    """``id, peer, n``: up to ``most`` latest earlier rows of the same key within ``seconds``.
 
-    Time is cut into slots of that length, so that a row meets its own slot and the one before alone.
+    These are the rows just before each in order of time and id, so that a window looks back and nothing is joined.
     """
-    slot = F.floor(F.unix_micros(at) / (seconds * 1_000_000))
-    base = rows.select(F.col(key), F.col(id_), F.unix_micros(at).alias("us"), slot.alias("slot"))
-    peers = base.select(F.col(key), F.col(id_).alias("peer"), F.col("us").alias("peer_us"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    near = base.join(peers, [key, "slot"]).where(((F.col("peer_us") < F.col("us")) | ((F.col("peer_us") == F.col("us")) & (F.col("peer") < F.col(id_)))) & (F.col("us") - F.col("peer_us") <= seconds * 1_000_000))
-    nth = F.row_number().over(Window.partitionBy(id_).orderBy(F.col("peer_us").desc(), F.col("peer").desc()))
-    return near.withColumn("n", nth).where(F.col("n") <= most).select(key, id_, "peer", "n")
+    w = Window.partitionBy(key).orderBy("us", id_)
+    base = rows.select(F.col(key), F.col(id_), F.unix_micros(at).alias("us")).where(F.col(key).isNotNull())
+    back = F.array(*[F.struct(F.lag(id_, i).over(w).alias("peer"), F.lag("us", i).over(w).alias("peer_us"), F.lit(i).alias("n")) for i in range(1, most + 1)])
+    near = base.select(key, id_, "us", back.alias("back")).select(key, id_, "us", F.explode("back").alias("b"))
+    return near.where(F.col("us") - F.col("b.peer_us") <= seconds * 1_000_000).select(key, id_, "b.peer", "b.n")
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: str, slack: int, width: int = 64) -> DataFrame:

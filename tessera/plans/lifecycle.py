@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import joins, symbols
+from tessera.operators import events, joins, symbols
 from tessera.plans.registry import Tables, query
 
 #: Lines stand for rows of files (parts) in generations (line numbers) of projects.
@@ -126,3 +126,16 @@ def memory_changes(t: Tables) -> DataFrame:
     m = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("content"), F.col("c_acctbal").alias("importance"), F.col("c_nationkey").alias("project_id"))
     patches = m.where("id % 3 = 0").select("id", F.upper("content").alias("content"), F.when(F.col("id") % 6 == 0, 1.0).alias("importance"))
     return symbols.hard_deleted(symbols.patched(m, patches), m.where("id % 10 = 7").select("id"), 4).select("id", "content", "importance")
+
+
+@query("SELECT vec_id, CASE WHEN l.doc_id IS NULL THEN label ELSE 100 + l.quality END AS label FROM embeddings LEFT JOIN labels l ON l.doc_id = vec_id UNION ALL SELECT doc_id, 100 + quality FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def vector_upsert(t: Tables) -> DataFrame:
+    changes = t.labels.select(F.col("doc_id").alias("vec_id"), (100 + F.col("quality")).alias("label"))
+    return joins.upserted(t.embeddings.select("vec_id", "label"), changes, "vec_id")
+
+
+@query("SELECT user_id FROM (SELECT user_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') AS n, epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)) AS idle FROM events GROUP BY user_id) WHERE n >= 10 AND idle >= 86400")
+def consolidation_due(t: Tables) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    state = t.events.groupBy("user_id").agg(F.count_if(ts >= F.lit("2024-01-25").cast("timestamp")).alias("new_events"), (F.unix_seconds(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.max(ts)) / 1e6).alias("idle_seconds"))
+    return events.consolidation_due(state, 10, 86_400).select("user_id")

@@ -157,3 +157,13 @@ def strengthen(t: Tables) -> DataFrame:
     return ranking.strengthened(
         stats.select("id", "importance", F.coalesce("r", F.lit(0)).alias("recent_access_count"), F.coalesce("n", F.lit(0)).alias("edge_count"), F.coalesce("d", F.lit(False)).alias("referenced_by_decision"))
     )
+
+
+@query(
+    HITS_SQL
+    + """, c AS (SELECT id, vector_score, CASE id % 3 WHEN 0 THEN 'snake_case_name' WHEN 1 THEN 'the service handler' ELSE 'plain words' END AS q FROM hits)
+    SELECT id FROM c WHERE vector_score IS NULL OR vector_score >= CASE q WHEN 'snake_case_name' THEN 0.55 WHEN 'the service handler' THEN 0.4 ELSE 0.25 END"""
+)
+def class_gated_hits(t: Tables) -> DataFrame:
+    q = F.when(F.col("id") % 3 == 0, "snake_case_name").when(F.col("id") % 3 == 1, "the service handler").otherwise("plain words")
+    return ranking.class_gate(hits(t), q).select("id")

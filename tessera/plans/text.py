@@ -155,3 +155,9 @@ def symbol_names(t: Tables) -> DataFrame:
     named = t.part.select("p_partkey", text.fqn(file, name, qualified, kind, signature, own, own).alias("fqn"))
     parts = text.fqn_parts(F.col("fqn"))
     return named.select("p_partkey", "fqn", parts["qualified"].alias("qualified"), parts["kind"].alias("kind"))
+
+
+@query("SELECT p_partkey, 'import a' || chr(10) || 'class P' || p_partkey || chr(10) || '  def run(self):' AS code FROM part")
+def code_compression(t: Tables) -> DataFrame:
+    source = F.concat(F.lit("import a\n\nclass P"), F.col("p_partkey").cast("string"), F.lit(" {\n  def run(self):\n    return "), F.col("p_size").cast("string"), F.lit("\n}\n"))
+    return t.part.select("p_partkey", text.compressed_column(source).alias("code"))
