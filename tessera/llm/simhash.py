@@ -192,33 +192,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(keys, prints)
 
 
-def _key(tag: int, fields: list[tuple[int, int]]) -> Column:
-    """A hash of a table's number and some bit fields ``(shift, width)`` of ``fp``."""
-    return F.xxhash64(F.lit(tag), *[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in fields])
+def _bits(places: list[int]) -> Column:
+    """The bits of ``fp`` at some places, as a number."""
+    out = F.lit(0).cast("long")
+    for n, at in enumerate(places):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(1)), n))
+    return out
+
+
+def _narrowed(keyed: DataFrame, rests: list[list[int]], heavy: int) -> DataFrame | None:
+    """``keyed(fp, rest, key)`` with runs above ``heavy`` keyed anew, or None if there are none.
+
+    ``rests[rest]`` are the bits outside the key, which fall into three parts, one of which is equal in a pair that differs in two bits;
+    the new rest is ``3 * rest`` and the part's number.  Rows of smaller runs get the rest -1 and are left alone.
+    """
+    open_ = keyed.where("rest >= 0")
+    large = open_.groupBy("rest", "key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select(F.col("rest").alias("_r"), F.col("key").alias("_k"))
+    large = stored(large, "heavy-runs")
+    if large.isEmpty():
+        return None
+    marked = keyed.join(large, (F.col("rest") == F.col("_r")) & (F.col("key") == F.col("_k")), "left")
+    parts = F.get(F.array(*[F.array(*[_bits(bits[i::3]) for i in range(3)]) for bits in rests]), F.col("rest"))
+    anew = F.transform(parts, lambda p, i: F.struct((3 * F.col("rest") + i).alias("rest"), F.xxhash64("key", i, p).alias("key")))
+    same = F.array(F.struct(F.lit(-1).alias("rest"), F.col("key").alias("key")))
+    return marked.select("fp", F.explode(F.when(F.col("_k").isNull(), same).otherwise(anew)).alias("x")).select("fp", "x.rest", "x.key")
 
 
 def links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """``a, b``: edges that span each group of linked fingerprints.  ``prints`` has one row ``fp`` for each value.
 
-    Runs with more than ``heavy`` fingerprints are keyed anew: the 32 bits outside
-    their key fall into three parts, one of which is equal in a linked pair.
+    Runs with more than ``heavy`` fingerprints are keyed anew by some more bits, up to three times; then a key is of 55 bits or more, and a run
+    no larger than the different values of the other nine.
     """
     size = 64 // BLOCKS
     tables = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
-    keyed = prints.select(
-        "fp", F.posexplode(F.array(*[_key(t, [(b * size, size) for b in blocks]) for t, blocks in enumerate(tables)])).alias("t", "key")
-    )
-    large = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select(F.col("t").alias("_t"), F.col("key").alias("_key"))
-    again = []
-    for blocks in tables:
-        bits = [b * size + i for b in range(BLOCKS) if b not in blocks for i in range(size)]
-        parts = [bits[i::3] for i in range(3)]
-        again.append(F.array(*[_key(100 + i, [(s, 1) for s in p]) for i, p in enumerate(parts)]))
-    if large.limit(1).count():
-        marked = keyed.join(large, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key")), "left")
-        subs = F.element_at(F.array(*again), F.col("t") + 1)
-        split = F.when(F.col("_t").isNull(), F.array("key")).otherwise(F.transform(subs, lambda s: F.xxhash64("key", s)))
-        keyed = marked.select("fp", "t", F.explode(split).alias("key"))
+    keys = [F.xxhash64(F.lit(t), _bits([b * size + i for b in blocks for i in range(size)])) for t, blocks in enumerate(tables)]
+    rests = [[b * size + i for b in range(BLOCKS) if b not in blocks for i in range(size)] for blocks in tables]
+    keyed = prints.select("fp", F.posexplode(F.array(*keys)).alias("rest", "key"))
+    for _ in range(3):
+        narrower = _narrowed(keyed, rests, heavy)
+        if narrower is None:
+            break
+        keyed = stored(narrower, "keyed")
+        rests = [[b for b in bits if b not in bits[i::3]] for bits in rests for i in range(3)]
     keyed = keyed.select("key", "fp")
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "a long, b long")
 
