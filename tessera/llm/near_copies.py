@@ -41,7 +41,7 @@ CHUNK, LEAST = 1 << 20, 1 << 9
 #: Chunks of a class of sizes are numbered below this.
 CHUNKS = 1 << 40
 #: Representatives up to this many are broadcast to the texts.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = np.uint64(0x9E3779B97F4A7C15)

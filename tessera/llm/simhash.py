@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, fresh, stored, text_key
+from .common import LOWER, UPPER, fresh, scope, stored, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -276,15 +276,18 @@ def classes(docs: DataFrame) -> DataFrame:
 
     ``root`` names the group of linked fingerprints and ``best`` is the group's first
     document in order of id.  Texts without words, null among them, have fingerprint zero and link
-    to each other; repeated rows are in one group; if all ids of a group are null so is its component.
+    to each other; repeated rows are in one group; if all ids of a group are null so is its component.  Texts of any length
+    are read whole, an empty table gives no rows, and other columns are ignored.
     """
-    prints = stored(docs.select("doc_id", text_key().alias("k"), fingerprint_column(F.col("text")).alias("fp")), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min(_order()).alias("first")), "distinct-prints")
-    group = components(links(distinct.select("fp")))
-    joined = distinct.join(group, distinct["fp"] == group["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    best = joined.groupBy("root").agg(F.min("first").alias("best"))
-    named = joined.select("fp", "root").join(best, "root").select(F.col("fp").alias("_fp"), "root", "best")
-    return prints.join(stored(named, "classes"), F.col("fp") == F.col("_fp")).drop("_fp")
+    with scope(docs.sparkSession) as keep:
+        prints = keep(stored(docs.select("doc_id", text_key().alias("k"), fingerprint_column(F.col("text")).alias("fp")), "prints"))
+        distinct = stored(prints.groupBy("fp").agg(F.min(_order()).alias("first")), "distinct-prints")
+        group = components(links(distinct.select("fp")))
+        joined = distinct.join(group, distinct["fp"] == group["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+        best = joined.groupBy("root").agg(F.min("first").alias("best"))
+        named = joined.select("fp", "root").join(best, "root").select(F.col("fp").alias("_fp"), "root", "best")
+        named = keep(stored(named, "classes"))
+    return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -296,4 +299,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:
+    """Fingerprint and component of each row, by :func:`classes`."""
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.doc_id").alias("component_id"))

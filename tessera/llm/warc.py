@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, stored
+from .common import scope, scratch_path, stored
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
@@ -245,13 +245,13 @@ def op3_warc(pages: DataFrame) -> DataFrame:
     is a record; pages of any length go in segments; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    path = scratch_path(spark, "warc")
-    write_archives(pages, path)
     page = lambda c: F.substring_index(F.substring(c, len(URN) + 1, 1 << 30), ":", 1).cast("string")
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    rows = stored(
-        read_archives(spark, path, with_payload=False).select(number(F.col("name")).alias("page_id"), "kind", number(F.col("refers_to")).alias("refers_to"), "digest", "bytes", "sha1"), "warc-read"
-    )
+    with scope(spark) as keep:
+        path = scratch_path(spark, "warc")
+        write_archives(pages, path)
+        read = read_archives(spark, path, with_payload=False)
+        rows = keep(stored(read.select(number(F.col("name")).alias("page_id"), "kind", number(F.col("refers_to")).alias("refers_to"), "digest", "bytes", "sha1"), "warc-read"))
     responses = rows.where("kind = 'response'")
     known = responses.where("page_id is not null").groupBy("page_id", "sha1").agg(F.max("bytes").alias("_b")).select(F.col("page_id").alias("_p"), F.col("sha1").alias("_s"), "_b")
     revisits = rows.where("kind = 'revisit'").join(known, (F.col("refers_to") == F.col("_p")) & (F.col("digest") == F.col("_s")), "left")
