@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import discard, release, scope, scratch_path, stored
+from tessera.session import discard, release, scope, scratch_path, stored, sweep
 
-__all__ = ["ascii_lower", "bounded", "discard", "fresh", "release", "scope", "scratch_path", "stored", "text_key"]
+__all__ = ["ascii_lower", "bounded", "discard", "fresh", "release", "scope", "scratch_path", "stored", "sweep", "text_key"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

@@ -1,11 +1,13 @@
-"""Near copies by the Jaccard similarity of word shingles: SimHash with a wide radius, and an exact check.
+"""Near copies by the Jaccard similarity of word shingles: wide SimHash, and an exact check.
 
 Fingerprints of similar texts can differ in many bits, so keys of equal bits would lose pairs.  Two sets that are
 similar enough share one of the first shingles of either, in any order that all texts agree on; so runs of
 equal first shingles hold every pair.  Shingles that a sample of texts finds common come last, which
-keeps runs short; the sample decides about speed alone.  Within a run fingerprints are compared in bit slices, and
-edges between those within the radius make groups that hold every pair.  A group is cut into chunks of about one size;
-each pair of chunks whose sizes fit is compared in bit slices again, and what is within the radius by the shingles themselves.
+keeps runs short; the sample decides about speed alone.  Most first shingles are those of one text alone and go before
+anything else moves.  Within a run fingerprints are compared in bit slices, what is within the radius by further words of the fingerprint,
+and edges make groups that hold every pair.  The further words tell unrelated texts apart: with 64 bits alone one in twelve
+pairs is joined, and the groups of a large table grow into one.  A group is cut into chunks of about one size;
+each pair of chunks whose sizes fit is compared in the same way again, and what is left by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, bounded, fresh, scope, stored, text_key
+from .common import LOWER, UPPER, bounded, discard, fresh, scope, stored, sweep, text_key
 from .simhash import components, forest
 
 SHINGLE = 5
@@ -30,10 +32,13 @@ PART, WHOLE = 4, 5
 SEED = 42
 #: Sets of similarity 0.8 differ in 9.7 of 64 bits on average; the chance of more than this many is 1.4e-7 there, and less above.
 RADIUS = 26
+#: Further words of a fingerprint, and the bits of all its words in which similar sets differ at most. Sets of four and five shingles differ most, in 48 of
+#: 256 bits on average; unrelated ones in 128.
+WORDS, WIDE = 3, 84
 #: Texts that are sampled for common shingles, the count there that makes one common, and the most that are kept.
 SAMPLE, COMMON, MOST = 20_000, 3, 1 << 18
 #: Runs above this are chained by size, without a comparison.
-HEAVY = 1 << 9
+HEAVY = 1 << 14
 #: Rows of runs that are compared in one go, unless one run is larger.
 ROWS = 1 << 16
 #: Shingles in a chunk of a group, and the least that a text counts for.
@@ -72,6 +77,22 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0])
 
 
+def wide(found: np.ndarray) -> list[int]:
+    """The further words of a fingerprint: SimHashes of other hashes of the shingles."""
+    out = []
+    for i in range(1, WORDS + 1):
+        x = found + _ODD * np.uint64(i)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(fingerprint(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def near(fp: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Where the fingerprints at places ``i`` and ``j``, of first words ``fp`` and further ``words``, differ in ``WIDE`` bits at most."""
+    return np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= WIDE
+
+
 def first_shingles(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """So many shingles that a similar set must hold one of them; ``common`` is sorted and its shingles come last."""
     n = len(found)
@@ -110,22 +131,24 @@ def _common(docs: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast((common[order], counts[order]))
 
 
-_PRINT = T.StructType([T.StructField("sig", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("firsts", T.ArrayType(T.LongType()))])
+_WIDE = [f"w{i}" for i in range(1, WORDS + 1)]
+_PRINT = T.StructType([*(T.StructField(c, T.LongType()) for c in ("sig", "fp", "n", *_WIDE)), T.StructField("firsts", T.ArrayType(T.LongType()))])
 
 
 def prints(text: Column, common: Broadcast) -> Column:
-    """``sig, fp, n, firsts`` of a text: a hash of its set of shingles, its fingerprint, size and first shingles."""
+    """``sig, fp, n, w1..., firsts`` of a text: a hash of its set of shingles, its fingerprint, size, further words of the fingerprint and first shingles."""
 
     @F.arrow_udf(_PRINT)
     def run(batch: pa.Array) -> pa.Array:
-        sig, fp, n, firsts = [], [], [], []
+        sig, fp, n, words, firsts = [], [], [], [], []
         for x in batch:
             found = shingles(x.as_py())
             sig.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
             fp.append(fingerprint(found))
             n.append(len(found))
+            words.append(wide(found))
             firsts.append(first_shingles(found, *common.value).view(np.int64))
-        numbers = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (sig, fp, n)]
+        numbers = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (sig, fp, n, *(zip(*words, strict=True) if words else [[]] * WORDS))]
         return pa.StructArray.from_arrays([*numbers, pa.array(firsts, pa.list_(pa.int64()))], _PRINT.names)
 
     return run.asNondeterministic()(text)
@@ -139,8 +162,23 @@ def _edges(ids: np.ndarray, pairs: list[tuple[int, int]] | np.ndarray) -> pa.Rec
     return pa.record_batch([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], schema=_EDGES)
 
 
-def run_edges(s: np.ndarray, fp: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Places of pairs that join, in each run of equal ``s``, the sets within the radius whose sizes fit.
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows ``s, sig``, sorted by ``s``, whose ``s`` another row has too."""
+    s, sig, same = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    for b in batches:
+        s, sig = np.concatenate([s, b.column("s").to_numpy()]), np.concatenate([sig, b.column("sig").to_numpy()])
+        same = np.concatenate([same, np.zeros(len(s) - len(same), bool)])
+        equal = s[1:] == s[:-1]
+        same[1:] |= equal
+        same[:-1] |= equal
+        out = same[:-1]  # the last row may equal the next
+        yield pa.RecordBatch.from_arrays([pa.array(s[:-1][out]), pa.array(sig[:-1][out])], ["s", "sig"])
+        s, sig, same = s[-1:], sig[-1:], same[-1:]
+    yield pa.RecordBatch.from_arrays([pa.array(s[same]), pa.array(sig[same])], ["s", "sig"])
+
+
+def run_edges(s: np.ndarray, fp: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of pairs that join, in each run of equal ``s``, the sets with near fingerprints whose sizes fit.
 
     Runs are sorted by size.  In a heavy one each set is joined to the next if their sizes fit, which joins at
     least as much.
@@ -151,24 +189,28 @@ def run_edges(s: np.ndarray, fp: np.ndarray, n: np.ndarray) -> np.ndarray:
     heavy = np.flatnonzero((each[:-1] > HEAVY) & (s[1:] == s[:-1]))
     heavy = heavy[sizes_fit(n[heavy], n[heavy + 1])]
     at = np.flatnonzero((each > 1) & (each <= HEAVY))
-    size = n[at]
-    found = forest(s[at], fp[at].view(np.uint64), RADIUS, lambda i, j: sizes_fit(size[i], size[j]))
+    size, first, further = n[at], fp[at].view(np.uint64), words[at].view(np.uint64)
+    found = forest(s[at], first, RADIUS, lambda i, j: sizes_fit(size[i], size[j]), close=lambda i, j: near(first, further, i, j))
     return np.concatenate([np.column_stack([heavy, heavy + 1]), at[np.array(found, np.int64).reshape(-1, 2)]])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("s", "sig", "fp", "n")
-    held = [np.empty(0, np.int64)] * 4
+    names = ("s", "sig", "fp", "n", *_WIDE)
+    held = [np.empty(0, np.int64)] * len(names)
+
+    def done(s: np.ndarray, sig: np.ndarray, fp: np.ndarray, n: np.ndarray, *words: np.ndarray) -> pa.RecordBatch:
+        return _edges(sig, run_edges(s, fp, n, np.column_stack(words)))
+
     for b in batches:
         held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
         s = held[0]
         if len(s) >= ROWS:
             cut = int(np.searchsorted(s, s[-1], "left"))  # the last run may go on
             if cut:
-                yield _edges(held[1][:cut], run_edges(s[:cut], held[2][:cut], held[3][:cut]))
+                yield done(*(h[:cut] for h in held))
                 held = [h[cut:] for h in held]
     if len(held[0]):
-        yield _edges(held[1], run_edges(held[0], held[2], held[3]))
+        yield done(*held)
 
 
 #: Texts that each text of a group is compared with first.
@@ -194,7 +236,7 @@ def unit_edges(sig: list[int], sets: list[np.ndarray], side: list[int]) -> pa.Re
     """Edges between similar sets, sorted by size, of a pair of chunks; ``side`` tells the chunks apart, and is 0 throughout for one with itself."""
     n, sides = np.array([len(x) for x in sets], np.int64), np.array(side, np.int8)
     both = bool(sides.any())
-    fp = np.array([fingerprint(x) for x in sets], np.uint64)
+    fp, words = np.array([fingerprint(x) for x in sets], np.uint64), np.array([wide(x) for x in sets], np.uint64)
 
     def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return sizes_fit(n[i], n[j]) & ((sides[i] != sides[j]) | (not both))
@@ -203,7 +245,7 @@ def unit_edges(sig: list[int], sets: list[np.ndarray], side: list[int]) -> pa.Re
         return bool(sizes_fit(n[i], n[j])) and similar(sets[i], sets[j])
 
     found = _around(fp, check)
-    found += forest(np.zeros(len(n), np.int8), fp, RADIUS, may, check, found)
+    found += forest(np.zeros(len(n), np.int8), fp, RADIUS, may, check, found, lambda i, j: near(fp, words, i, j))
     return _edges(np.array(sig, np.uint64).view(np.int64), found)
 
 
@@ -228,11 +270,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``a, b``: edges between the ``sig`` of similar sets that span each group of near copies.
 
-    ``rows``: ``doc_id, own, sig, fp, n, firsts`` of each row of ``docs``.
+    ``rows``: ``doc_id, own`` and the columns of :func:`prints` of each row of ``docs``.
     """
     nodes = rows.where("n > 0").dropDuplicates(["sig"])
-    runs = nodes.select(F.explode("firsts").alias("s"), "sig", "fp", "n").repartition("s").sortWithinPartitions("s", "n", "sig")
-    groups = components(runs.mapInArrow(_runs, "a long, b long"))
+    shingled = nodes.select(F.explode("firsts").alias("s"), "sig").repartition("s").sortWithinPartitions("s")
+    shared = stored(shingled.mapInArrow(_shared, "s long, sig long"), "near-shared")
+    sweep(docs.sparkSession)
+    runs = shared.join(nodes.drop("doc_id", "own", "firsts"), "sig").repartition("s").sortWithinPartitions("s", "n", "sig")
+    edges = stored(runs.mapInArrow(_runs, "a long, b long"), "near-runs")
+    discard(shared)
+    sweep(docs.sparkSession)
+    groups = components(edges)
     first = rows.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")).alias("first"), F.first("n").alias("n"))
     members = groups.join(first, F.col("node") == F.col("sig")).select("root", "sig", "n", F.col("first.doc_id").alias("_d"), F.col("first.own").alias("_o"))
     # sizes fall into classes of which similar ones are the same or next to each other, and a class of a group into chunks by a hash
@@ -263,9 +311,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         common = _common(light)
         printed = light.select("doc_id", text_key().alias("own"), prints(F.col("text"), common).alias("p"))
         rows = stored(printed.select("doc_id", "own", "p.*"), "near-prints")
-        group = components(stored(links(light, rows), "near-links"))
+        linked = stored(links(light, rows), "near-links")
+        sweep(docs.sparkSession)
+        group = components(linked)
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")
         best = rows.join(group, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min(order).alias("best"))
         best = keep(stored(best.select(F.col("best.doc_id").alias(id_), F.col("best.own").alias(key)), "near-best"))
+        repeated = not rows.groupBy("doc_id", "own").count().where("count > 1").isEmpty()
+    sweep(docs.sparkSession)
     found = docs.withColumn(own, text_key()).join(best, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left_semi")
-    return found.dropDuplicates(["doc_id", own]).drop(own)
+    return (found.dropDuplicates(["doc_id", own]) if repeated else found).drop(own)

@@ -135,12 +135,12 @@ Check = Callable[[int, int], bool]
 
 
 def forest(
-    keys: np.ndarray, prints: np.ndarray, radius: int = RADIUS, may: May | None = None, check: Check | None = None, known: Iterable[tuple[int, int]] = ()
+    keys: np.ndarray, prints: np.ndarray, radius: int = RADIUS, may: May | None = None, check: Check | None = None, known: Iterable[tuple[int, int]] = (), close: May | None = None
 ) -> list[tuple[int, int]]:
     """Edges that join the fingerprints of each run of equal keys that are linked and that ``known`` edges do not join.
 
     ``may`` tells which pairs of places to compare at all; with lags that grow it says no to all from some lag on.
-    ``check`` has the last word on a pair within the radius.
+    ``close`` narrows the pairs within the radius, and ``check`` has the last word on each.
     """
     table, root, edges = planes(prints), np.arange(len(prints)), []
 
@@ -160,7 +160,15 @@ def forest(
             same &= may(everything[:-lag], everything[lag:])
         if not same.any():
             break
+        if close is not None:
+            same &= root[lag:] != root[:-lag]
+            if not same.any():
+                lag += 1
+                continue
         found = within_radius(table, lag, same, radius)
+        if close is not None:
+            found = found[close(found, found + lag)]
+            root[:] = root[root]
         for a in found[root[found] != root[found + lag]].tolist():
             x, y = find(a), find(a + lag)
             if x != y and (check is None or check(a, a + lag)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +98,12 @@ def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let shuffle files go that no plan needs: Spark deletes them when the driver collects its garbage, which a long run may not do for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a table in the shared folder; its plan runs once, where a checkpoint would run it twice."""
     return stored(df, "cut")

@@ -64,3 +64,22 @@ def test_rows_without_words_and_repeated_rows(spark):
     got = near_copies.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "alone"), (1, "one"), (3, " \t"), (7, "a b c"), (7, "x y z")]
     assert near_copies.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_unrelated_texts_that_share_a_passage_form_no_group(spark, monkeypatch):
+    """What is compared text by text are near copies alone: with groups of unrelated texts it grows with the square of the table."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    stored, seen = near_copies.stored, {}
+
+    def counted(df, label, *more):
+        out = stored(df, label, *more)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(12)]
+    rows = [(i, " ".join([*passage, *(f"w{rng.randrange(10_000)}" for _ in range(60))])) for i in range(200)]
+    rows.append((200, rows[7][1] + " more"))
+    got = sorted(r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == list(range(200)) and seen["near-members"] == 2
