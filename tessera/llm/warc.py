@@ -124,9 +124,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 _PARSED = pa.schema(
-    [("name", pa.string()), ("kind", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
+    [("name", pa.string()), ("kind", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("bytes", pa.int64()), ("sha1", pa.string()), ("intact", pa.bool_())]
 )
-_PARSED_SQL = "name string, kind string, refers_to string, digest string, origin string, number int, total long, block binary"
+_PARSED_SQL = "name string, kind string, refers_to string, digest string, origin string, number int, total long, block binary, bytes long, sha1 string, intact boolean"
 
 
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[dict]:
@@ -147,22 +147,30 @@ def parse_archive(stream: io.BufferedIOBase) -> Iterator[dict]:
         bare = lambda k: head[k].strip("<>") if k in head else None
         yield {
             "name": bare("warc-record-id"), "kind": head["warc-type"], "refers_to": bare("warc-refers-to"), "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-            "origin": bare("warc-segment-origin-id"), "number": int(head.get("warc-segment-number", 1)), "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, "block": block,
+            "whole": "warc-segment-number" not in head, "origin": bare("warc-segment-origin-id"), "number": int(head.get("warc-segment-number", 1)), "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, "block": block,
         }
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for content in b.column("content"):
-            raw = io.BytesIO(content.as_buffer())
-            rows, held = [], 0
-            for r in parse_archive(gzip.GzipFile(fileobj=raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw):
-                rows.append(r)
-                held += len(r["block"]) + 500
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, _PARSED)
-                    rows, held = [], 0
-            yield pa.RecordBatch.from_pylist(rows, _PARSED)
+def _parse(with_payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Without ``with_payload`` responses in one segment are decoded here, and give ``bytes, sha1, intact`` for their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column("content"):
+                raw = io.BytesIO(content.as_buffer())
+                rows, held = [], 0
+                for r in parse_archive(gzip.GzipFile(fileobj=raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw):
+                    if r["whole"] and r["kind"] == "response" and not with_payload:
+                        (done,) = assembled(Counter({(r["name"], r["kind"], r["refers_to"], r["digest"], r["block"]): 1}), {}, None, False)
+                        r |= {"block": b"", "bytes": done["bytes"], "sha1": done["sha1"], "intact": done["intact"]}
+                    rows.append(r)
+                    held += len(r["block"]) + 500
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, _PARSED)
+                        rows, held = [], 0
+                yield pa.RecordBatch.from_pylist(rows, _PARSED)
+
+    return run
 
 
 def decode_block(block: bytes) -> bytes | None:
@@ -200,6 +208,9 @@ def _assemble(with_payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         key, firsts, parts, total = None, Counter(), {}, None
         for b in batches:
             for r in b.to_pylist():
+                if r["intact"] is not None:  # decoded when it was parsed
+                    yield {k: r[k] for k in ("name", "kind", "refers_to", "digest", "bytes", "sha1", "intact")} | {"payload": None}
+                    continue
                 if r["key"] != key:
                     yield from assembled(firsts, parts, total, with_payload)
                     key, firsts, parts, total = r["key"], Counter(), {}, None
@@ -230,10 +241,11 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     Payload, bytes and sha1 are null for revisits and for records whose segments, length or
     framing are broken; ``intact`` tells whether ``sha1`` is the declared digest.  A
     record that only has a first segment, and no total length, is read as it is.  Without ``with_payload`` payloads
-    are decoded, but not given back.
+    are decoded, but not given back, and responses without a segment number, which the format demands of a first segment, are decoded where
+    they are read, so that their blocks are not shuffled.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(_parse, _PARSED_SQL).where("kind in ('response', 'revisit', 'continuation')")
+    records = files.mapInArrow(_parse(with_payload), _PARSED_SQL).where("kind in ('response', 'revisit', 'continuation')")
     keyed = records.withColumn("key", F.when(F.col("kind") == "continuation", F.col("origin")).otherwise(F.col("name"))).drop("origin")
     return keyed.repartition("key").sortWithinPartitions("key", "number").mapInArrow(_assemble(with_payload), _READ_SQL)
 

@@ -218,3 +218,14 @@ def test_sole_rules(spark):
     got = {r.doc_id: (r.kept, r.sole_rule) for r in quality.op4_quality(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: (False, "too_short"), 2: (True, None), 3: (False, "capitals")}
 
+
+
+def test_blocks_of_whole_records_are_not_shuffled():
+    import pyarrow as pa
+
+    records = [*warc.page_records(1, "u", "x" * 100, None, "s"), *warc.page_records(2, "u", "y" * 100, None, "s", segment=64)]
+    batch = pa.RecordBatch.from_pydict({"content": [b"\r\n\r\n".join(records) + b"\r\n\r\n"]})
+    rows = [r for b in warc._parse(False)(iter([batch])) for r in b.to_pylist()]
+    assert (rows[0]["block"], rows[0]["bytes"], rows[0]["sha1"], rows[0]["intact"]) == (b"", 100, warc.payload_digest(b"x" * 100), True)
+    assert len(rows) > 2 and all(r["block"] and r["intact"] is None for r in rows[1:])
+    assert all(r["block"] for b in warc._parse(True)(iter([batch])) for r in b.to_pylist())
