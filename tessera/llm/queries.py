@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, codes, decontaminate, line_dedup, mixing, quality, repeats, secrets, simhash, tokens, toxicity, warc
+from . import chat, codes, decontaminate, line_dedup, mixing, phrases, quality, repeats, secrets, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": lambda s, d: secrets.op8_secrets(_table(s, d, "documents")),
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(_table(s, d, "documents"), _table(s, d, "labels")),
         "op10_lines": lambda s, d: line_dedup.op10_lines(_table(s, d, "documents")),
+        "op11_phrases": lambda s, d: phrases.op11_phrases(_table(s, d, "documents")),
         "op12_repeats": lambda s, d: repeats.op12_repeats(_table(s, d, "documents")),
         "op13_codes": lambda s, d: codes.op13_codes(_table(s, d, "embeddings")),
     }
@@ -43,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality": quality.OP4_SQL,
         "op7_chat": chat.OP7_SQL,
         "op10_lines": line_dedup.OP10_SQL,
+        "op11_phrases": phrases.OP11_SQL,
         "op13_codes": codes.OP13_SQL,
     }
