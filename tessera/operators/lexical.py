@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,16 +131,97 @@ def max_edits(length: Column) -> Column:
     return F.when(length <= 4, 1).when(length <= 12, 2).otherwise(3)
 
 
+#: Words with more characters than this may have three edits.
+LONG = 12
+_BASE, _FIRST, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
+
+
+class _Runs:
+    """Hashes of parts of words of one length ``m``, given as a matrix of code points; ``run(i, j)`` is that of the characters from ``i`` to ``j``."""
+
+    def __init__(self, points: np.ndarray):
+        self.m = points.shape[1]
+        self.power = [np.uint64(pow(int(_BASE), i, 1 << 64)) for i in range(self.m + 1)]
+        self.heads = [np.zeros(len(points), np.uint64)]
+        for i in range(self.m):
+            self.heads.append(self.heads[-1] * _BASE + points[:, i] + np.uint64(1))
+
+    def run(self, i: int, j: int) -> np.ndarray:
+        return self.heads[j] - self.heads[i] * self.power[j - i]
+
+    def without(self, i: int, j: int, *gone: int) -> np.ndarray:
+        """The characters from ``i`` to ``j`` but for some places, which are in order."""
+        out = np.zeros_like(self.heads[0])
+        for a, z in zip([i, *(g + 1 for g in gone)], [*gone, j], strict=True):
+            out = out * self.power[z - a] + self.run(a, z)
+        return out
+
+    def deletions(self, most: int) -> list[np.ndarray]:
+        return [self.without(0, self.m, *gone) for k in range(min(most, self.m) + 1) for gone in combinations(range(self.m), k)]
+
+    def end(self, size: int, last: bool) -> list[np.ndarray]:
+        """So many characters of an end, and those without one of them."""
+        i, j = (self.m - size, self.m) if last else (0, size)
+        return [x ^ (_LAST if last else _FIRST) for x in (self.run(i, j), *(self.without(i, j, g) for g in range(i, j)))]
+
+
+def _term_keys(runs: _Runs) -> list[np.ndarray]:
+    if runs.m <= LONG:
+        return runs.deletions(1 if runs.m <= 4 else 2)
+    half = runs.m // 2
+    return runs.end(half, False) + runs.end(runs.m - half, True)
+
+
+def _word_keys(runs: _Runs) -> list[np.ndarray]:
+    out = runs.deletions(2) if runs.m <= LONG + 2 else []
+    if runs.m >= LONG - 2:
+        for size in range(max(1, runs.m // 2 - 4), min(runs.m, runs.m // 2 + 5) + 1):
+            out += runs.end(size, False) + runs.end(size, True)
+    return out
+
+
+def neighbour_keys(word: Column, asked: bool) -> Column:
+    """Hashes, of which those of an asked term and those of each word within :func:`max_edits` have one in common.
+
+    Words within one or two edits have a form in common that lacks as many characters of either.  Of a longer term one half has one edit at most, so that
+    it has a form in common with an end of the word; the keys then grow with the square of the length, not with its cube.
+    """
+    keys = _term_keys if asked else _word_keys
+
+    @F.arrow_udf("array<bigint>")
+    def run(batch: pa.Array) -> pa.Array:
+        words = [w or "" for w in batch.to_pylist()]
+        sizes = np.array([len(w) for w in words])
+        found = {}
+        for m in set(sizes.tolist()):
+            at = np.flatnonzero(sizes == m)
+            points = np.frombuffer("".join(words[i] for i in at.tolist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(at), m).astype(np.uint64)
+            found[m] = (at, np.column_stack(keys(_Runs(points))))
+        each = np.zeros(len(words), np.int64)
+        for at, k in found.values():
+            each[at] = k.shape[1]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = np.empty(ends[-1], np.uint64)
+        for at, k in found.values():
+            flat[ends[at][:, None] + np.arange(k.shape[1])] = k
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
+
+    return run(word)
+
+
 def corrections(terms: DataFrame, known: DataFrame) -> DataFrame:
     """``term, word, distance``: the nearest known word, ties to the first in order; null if the term is known or none is near.
 
-    Candidates meet on their length, so the join is one of equal keys; the edits are counted with a bound.
+    Terms and words meet on equal hashes of what is left of them without a few characters, so that a key is shared by near words alone;
+    then the edits are counted with a bound.
     """
-    asked = terms.select("term", F.length("term").alias("n")).distinct().withColumn("most", max_edits(F.col("n")))
-    lengths = asked.withColumn("len", F.explode(F.sequence(F.col("n") - F.col("most"), F.col("n") + F.col("most"))))
+    asked = terms.select("term").distinct().withColumn("most", max_edits(F.length("term")))
+    longest = asked.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0] + 3
     near = (
-        known.select("word", F.length("word").alias("len")).join(lengths, "len")
-        .withColumn("distance", F.levenshtein("term", "word")).where("distance <= most")
+        known.where(F.length("word") <= longest).select("word", F.explode(neighbour_keys(F.col("word"), asked=False)).alias("key"))
+        .join(asked.select("term", "most", F.explode(neighbour_keys(F.col("term"), asked=True)).alias("key")), "key")
+        .select("term", "word", "most").distinct()
+        .withColumn("distance", F.levenshtein("term", "word", 3)).where("distance between 0 and most")
         .groupBy("term").agg(F.min(F.struct("distance", "word")).alias("best"))
     )
     out = asked.select("term").join(near, "term", "left")

@@ -14,6 +14,11 @@ _BIP = f"e AS (SELECT {_LINES} FROM lineitem)"
 _TRADE = f"e AS (SELECT DISTINCT {_LINES} FROM lineitem)"
 _W = f"e AS (SELECT {_LINES}, max(l_quantity) / 51 AS weight FROM lineitem GROUP BY 1, 2)"
 _SUPPLY = "e AS (SELECT DISTINCT l_suppkey AS src, -1 - l_partkey AS dst FROM lineitem)"
+#: Suppliers and parts of a day, and of two months, are nodes of their own, so that there are many components.
+_DAY = "date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))"
+_DAILY = f"e AS (SELECT DISTINCT l_suppkey * 16384 + {_DAY} AS src, -1 - (l_partkey * 16384 + {_DAY}) AS dst FROM lineitem)"
+_TERM = "((year(l_shipdate) - 1992) * 6 + (month(l_shipdate) - 1) // 2)"
+_TERMS = f"e AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 1 THEN s ELSE p END AS src, CASE WHEN l_linenumber % 2 = 1 THEN p ELSE s END AS dst FROM (SELECT l_linenumber, l_suppkey * 64 + {_TERM} AS s, -1 - (l_partkey * 64 + {_TERM}) AS p FROM lineitem))"
 _LINKS = """n AS (SELECT max(p_partkey) AS n FROM part), e AS (SELECT DISTINCT src, dst, kind FROM (SELECT p_partkey AS src, 1 + (p_partkey * 37 + p_size * 101) % n AS dst, ['call', 'data_flow', 'http_call'][1 + p_size % 3] AS kind FROM part, n
       UNION ALL SELECT p_partkey, 1 + (p_partkey * 11 + 7) % n, 'call' FROM part, n WHERE p_size % 2 = 0))"""
 
@@ -29,6 +34,19 @@ def supply(t: Tables) -> DataFrame:
     return t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
 
 
+def daily(t: Tables) -> DataFrame:
+    """:func:`supply` of each day for itself."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    return t.lineitem.select((F.col("l_suppkey") * 16384 + day).alias("src"), (-1 - (F.col("l_partkey") * 16384 + day)).alias("dst")).distinct()
+
+
+def termly(t: Tables) -> DataFrame:
+    """:func:`trade` of every two months for itself."""
+    term = (F.year("l_shipdate") - 1992) * 6 + F.floor((F.month("l_shipdate") - 1) / 2)
+    odd, s, p = F.col("l_linenumber") % 2 == 1, F.col("l_suppkey") * 64 + term, -1 - (F.col("l_partkey") * 64 + term)
+    return t.lineitem.select(F.when(odd, s).otherwise(p).alias("src"), F.when(odd, p).otherwise(s).alias("dst"))
+
+
 def part_links(t: Tables) -> DataFrame:
     """``src, dst, kind``: one link from each part, and a second from those of even size."""
     n = F.lit(t.part.agg(F.max("p_partkey")).first()[0] or 1)
@@ -57,24 +75,21 @@ def pagerank(t: Tables) -> DataFrame:
 def _components_sql(rounds: int = 12) -> str:
     """Smallest labels that spread for more rounds than any path in the tables' graph takes."""
     steps = "".join(f", l{i + 1} AS MATERIALIZED (SELECT l.node, least(l.label, min(m.label)) AS label FROM l{i} l JOIN b ON b.src = l.node JOIN l{i} m ON m.node = b.dst GROUP BY l.node, l.label)" for i in range(rounds))
-    return f"""WITH {_SUPPLY}, b AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), l0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS label FROM b){steps}
+    return f"""WITH {_DAILY}, b AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), l0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS label FROM b){steps}
     SELECT node, label AS {{name}} FROM l{rounds}"""
 
 
 @query(_components_sql().format(name="component"))
 def connected_components(t: Tables) -> DataFrame:
-    return graph.components(supply(t))
+    return graph.components(daily(t))
 
 
 @query(
-    f"""WITH RECURSIVE {_TRADE}, d AS MATERIALIZED (SELECT src, dst FROM e WHERE src <> dst), p AS (SELECT min(src) AS p FROM d), f AS (SELECT p AS n FROM p UNION SELECT d.dst FROM f JOIN d ON d.src = f.n), b AS (SELECT p AS n FROM p UNION SELECT d.src FROM b JOIN d ON d.dst = b.n),
-    s AS MATERIALIZED (SELECT n FROM f INTERSECT SELECT n FROM b), o AS MATERIALIZED (SELECT src, dst FROM d WHERE src NOT IN (SELECT n FROM s) AND dst NOT IN (SELECT n FROM s)), r AS (SELECT src, dst FROM o UNION SELECT r.src, o.dst FROM r JOIN o ON r.dst = o.src),
-    c AS (SELECT n AS node, (SELECT min(n) FROM s) AS component FROM s WHERE (SELECT count(*) FROM s) > 1 UNION ALL SELECT x.src, min(least(x.src, x.dst)) FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src)
-    SELECT node, component FROM c UNION ALL SELECT DISTINCT src, src FROM e WHERE src = dst AND src NOT IN (SELECT node FROM c)"""
+    f"""WITH RECURSIVE {_TERMS}, r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+    SELECT x.src AS node, min(least(x.src, x.dst)) AS component FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src"""
 )
 def cycles_scc(t: Tables) -> DataFrame:
-    """The SQL takes one node's component out by what it reaches and what reaches it, and the others by the closure of what is left."""
-    return graph.strongly_connected(trade(t).select("src", "dst"))
+    return graph.strongly_connected(termly(t))
 
 
 @query(
@@ -140,7 +155,7 @@ def louvain(t: Tables) -> DataFrame:
 @query(_components_sql().format(name="community"))
 def label_propagation(t: Tables) -> DataFrame:
     """Labels that start at components stay there, so that the components are the answer."""
-    return graph.fallback_communities(supply(t))
+    return graph.fallback_communities(daily(t))
 
 
 @query(

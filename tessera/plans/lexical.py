@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import lexical
+from tessera.operators.text_index import TextIndex
 from tessera.plans.registry import Tables, query
+from tessera.session import once, scratch_path
 
 TEXT = "the erst tion"
 MISSPELT = ["teh", "thr", "onn", "thing", "andd", "fromm", "zzzzzzzzzz", "requestt"]
@@ -14,6 +16,17 @@ _WORDS = r"regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '([a-z])(
 VOCABULARY_SQL = f"SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_WORDS})) AS word FROM documents) GROUP BY word"
 
 
+def indexed(t: Tables) -> TextIndex:
+    """An index of all documents, written once for each application and folder."""
+
+    def write() -> str:
+        path = scratch_path(t.spark, "text-index")
+        TextIndex(t.spark, path, ("lang", "source")).upsert(t.documents)
+        return path
+
+    return TextIndex(t.spark, once(t.spark, f"text-index {t.folder}", write), ("lang", "source"))
+
+
 @query(VOCABULARY_SQL)
 def vocabulary(t: Tables) -> DataFrame:
     return lexical.vocabulary(t.documents)
@@ -24,7 +37,7 @@ def vocabulary(t: Tables) -> DataFrame:
     FROM documents WHERE regexp_matches(lower(coalesce(text, '')), '(?:^|[^a-z0-9_])(?:the|erst|tion)') ORDER BY score DESC, doc_id LIMIT 20"""
 )
 def fts_prefix_search(t: Tables) -> DataFrame:
-    return lexical.prefix_search(t.documents, TEXT, 20)
+    return indexed(t).search(TEXT, 20)
 
 
 COVERAGE_SQL = """SELECT doc_id, round((CAST(contains(lower(text), 'erst') AS INT) + CAST(contains(lower(text), 'tion') AS INT) + CAST(contains(lower(text), 'ouble') AS INT)) / 3.0, 6) AS score
@@ -33,7 +46,7 @@ COVERAGE_SQL = """SELECT doc_id, round((CAST(contains(lower(text), 'erst') AS IN
 
 @query(COVERAGE_SQL + " LIMIT 20")
 def term_coverage_search(t: Tables) -> DataFrame:
-    return lexical.term_coverage(t.documents, "(the) erst tion: ouble Erst", 20)
+    return indexed(t).coverage("(the) erst tion: ouble Erst", 20)
 
 
 @query(
@@ -75,7 +88,42 @@ def intent_search(t: Tables) -> DataFrame:
     FROM documents WHERE lang = 'en' AND source = 'src3' AND regexp_matches(lower(coalesce(text, '')), '(?:^|[^a-z0-9_])(?:the|erst|tion)') ORDER BY score DESC, doc_id LIMIT 20"""
 )
 def fts_filtered_search(t: Tables) -> DataFrame:
-    return lexical.index_search(lexical.postings(t.documents), TEXT, 20, t.documents, lang="en", source="src3")
+    return indexed(t).search(TEXT, 20, lang="en", source="src3")
+
+
+_CHANGED = "(SELECT doc_id, CASE WHEN lang = 'fr' THEN 'the thesis ' || text ELSE text END AS text, lang FROM documents WHERE source <> 'src5')"
+
+
+def changed_index(t: Tables) -> TextIndex:
+    """An index that has taken an upsert of one language, a delete of one source, and a merge."""
+    index = TextIndex(t.spark, scratch_path(t.spark, "changed-index"), ("lang", "source"))
+    index.upsert(t.documents)
+    index.upsert(t.documents.where("lang = 'fr'").withColumn("text", F.concat(F.lit("the thesis "), "text")))
+    index.delete(t.documents.where("source = 'src5'"))
+    index.merge(least=2)
+    return index
+
+
+@query(
+    f"""SELECT doc_id, round(least(1.0::DOUBLE, 0.2::DOUBLE * len(regexp_extract_all(lower(coalesce(text, '')), '(?:^|[^a-z0-9_])(?:thes|erst)'))), 6) AS score
+    FROM {_CHANGED} WHERE regexp_matches(lower(coalesce(text, '')), '(?:^|[^a-z0-9_])(?:thes|erst)') ORDER BY score DESC, doc_id LIMIT 50"""
+)
+def index_after_changes(t: Tables) -> DataFrame:
+    return changed_index(t).search("thes erst", 50)
+
+
+@query(f"SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'))) AS word FROM {_CHANGED}) GROUP BY word")
+def index_words_after_changes(t: Tables) -> DataFrame:
+    return changed_index(t).vocabulary()
+
+
+@query(
+    """SELECT doc_id, round((CAST(lower(text) LIKE '%re_ti%' AS INT) + CAST(contains(lower(text), 'eanau') AS INT)) / 2.0, 6) AS score
+    FROM documents WHERE (lower(text) LIKE '%re_ti%' OR contains(lower(text), 'eanau')) ORDER BY score DESC, doc_id LIMIT 200"""
+)
+def wildcard_search(t: Tables) -> DataFrame:
+    """Terms with wild characters, by the trigrams of their fixed parts."""
+    return indexed(t).coverage("re_ti eanau", 200)
 
 
 @query(

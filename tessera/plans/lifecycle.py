@@ -134,8 +134,8 @@ def vector_upsert(t: Tables) -> DataFrame:
     return joins.upserted(t.embeddings.select("vec_id", "label"), changes, "vec_id")
 
 
-@query("SELECT user_id FROM (SELECT user_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') AS n, epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)) AS idle FROM events GROUP BY user_id) WHERE n >= 10 AND idle >= 86400")
+@query("SELECT user_id FROM (SELECT user_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') AS n, epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)) AS idle FROM events GROUP BY user_id) WHERE n >= 10 AND idle >= 21600")
 def consolidation_due(t: Tables) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     state = t.events.groupBy("user_id").agg(F.count_if(ts >= F.lit("2024-01-25").cast("timestamp")).alias("new_events"), (F.unix_seconds(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.max(ts)) / 1e6).alias("idle_seconds"))
-    return events.consolidation_due(state, 10, 86_400).select("user_id")
+    return events.consolidation_due(state, 10, 21_600).select("user_id")

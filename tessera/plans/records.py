@@ -112,7 +112,7 @@ def _drained(t: Tables, make) -> DataFrame:
     """A stream over ``events``, run to its end into the shared folder and read back."""
     schema = t.events.schema
     folder = scratch_path(t.spark, "stream")
-    out = make(stream.event_stream(t.spark, f"{t._folder}/events.parquet", schema))
+    out = make(stream.event_stream(t.spark, f"{t.folder}/events.parquet", schema))
     run = stream.parquet_sink(out, f"{folder}/out", f"{folder}/checkpoint")
     run.awaitTermination()
     return t.spark.read.schema(out.schema).parquet(f"{folder}/out")

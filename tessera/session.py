@@ -41,6 +41,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Paths that :func:`once` has made, by application and name.
+_made: dict[tuple[str, str], str] = {}
+
+
+def once(spark: SparkSession, name: str, make: Callable[[], str]) -> str:
+    """The scratch path that ``make`` wrote under ``name``; it is called again only if that path has been released."""
+    app = spark.sparkContext.applicationId
+    path = _made.get((app, name))
+    if path is None or path not in _scratch.get(app, []):
+        path = _made[app, name] = make()
+    return path
+
+
 def _delete(jvm, conf, paths: list[str]) -> None:
     """Delete ``paths`` and forget them."""
     while paths:
