@@ -247,7 +247,7 @@ def _cuts(texts: DataFrame, bytes_: dict[str, int], size: int, sample: int) -> d
             cuts = sorted({tuple(runs[i * len(runs) // n]) for i in range(1, n)})
             yield pa.record_batch([pa.array([lang] * len(cuts), pa.string()), pa.array([b" ".join(c) for c in cuts], pa.binary())], names=["lang", "phrase"])
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).dropDuplicates(["lang", "text"]).coalesce(1)
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).dropDuplicates(["lang", "text"]).repartition(1)
     out: dict[str, list[list[bytes]]] = defaultdict(list)
     for lang, phrase in some.mapInArrow(drawn, "lang string, phrase binary").collect():
         out[lang].append(bytes(phrase).split(b" "))
