@@ -13,9 +13,18 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tessera.llm import chat, common, decontaminate, line_dedup, mixing, near_copies, quality, secrets, simhash, toxicity, warc
 
+from tessera.llm.common import stored as _stored
+from tessera.llm.common import text_key as common_key
+
 from .test_corpus_ops import brute_print, brute_quality, water_fill, words
 
 DOCS = "doc_id long, text string"
+
+
+def common_stored(df):
+    return _stored(df, "prints")
+
+
 KNOWN = re.compile("|".join(f"(?:{p})" for p in secrets.ALLOW))
 LONG = " ".join(f"word{i % 977}" for i in range(150_000))
 
@@ -163,16 +172,61 @@ def test_proximity_in_the_result(spark):
     assert got == {i: sum(proximity(t, x) for _, x in items) for i, t in rows} and max(got.values()) > 2
 
 
-@pytest.mark.parametrize("name, value", [("CHUNK", 1 << 9), ("HEAVY", 2), ("ROWS", 64), ("PIVOTS", 0), ("BROADCAST_ROWS", 3)])
-def test_near_copies_in_small_pieces(spark, monkeypatch, name, value):
+@pytest.mark.parametrize("sizes", [{"chunk": 1 << 9, "texts": 4}, {"heavy": 8, "rows": 64}, {"heavy": 2, "rows": 1}, {"pivots": 0, "texts": 7}])
+def test_near_copies_in_small_pieces(spark, sizes):
+    """The bounds are arguments, since workers import the module anew."""
     from .test_near_copies import kept, made
 
-    monkeypatch.setattr(near_copies, name, value)
     rows = made(5, [f"Common{i}" for i in range(20)])
-    got = sorted(r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, DOCS)).collect())
+    got = sorted(r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, DOCS), near_copies.Sizes(**sizes)).collect())
     assert got == kept(rows)
 
 
+def test_heavy_runs_join_nothing_without_a_comparison(spark):
+    rng = random.Random(12)
+    shared = " ".join(f"license{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) + " " + shared) for i in range(150)]
+    copied = rows[3][1].split()
+    rows += [(200 + i, " ".join(w if n != 7 * i + 3 else f"other{i}" for n, w in enumerate(copied))) for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    common = near_copies._common(docs)
+    prints = docs.select("doc_id", common_key().alias("own"), near_copies.prints(F.col("text"), common).alias("p")).select("doc_id", "own", "p.*")
+    stored = common_stored(prints)
+    nodes = stored.where("n > 0").dropDuplicates(["sig"])
+    shared_runs = nodes.select(F.explode("firsts").alias("s"), "sig")
+    for heavy in (50, 10, 3):
+        runs = near_copies._bounded_runs(shared_runs, nodes, heavy)
+        assert runs.groupBy("s").count().agg(F.max("count")).first()[0] <= 3 * heavy  # tiles are dealt by a hash
+        linked = near_copies.links(docs, stored, near_copies.Sizes(heavy=heavy)).collect()
+        near = {r.sig for r in stored.where("doc_id = 3 or doc_id >= 200").collect()}
+        assert {r.a for r in linked} | {r.b for r in linked} <= near
+        assert {r.root for r in simhash.components(spark.createDataFrame(linked)).collect()} == {min(near)} and len(near) == 13
+
+
+def test_runs_over_several_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, (3, 4))
+    rows = sorted((s, 100 + int(rng.integers(0, 3)), i, s * 40 % 3) for i, s in enumerate([*[1] * 200, *[2] * 90, *[3] * 5, 4]))
+    flip = [[int(v) ^ sum(1 << int(b) for b in rng.choice(62, 3, replace=False)) for v in base[k]] for *_, k in rows]
+    cols = {"s": [r[0] for r in rows], "sig": [r[2] for r in rows], "fp": [f[0] for f in flip], "n": [r[1] for r in rows], **{f"w{i}": [f[i] for f in flip] for i in (1, 2, 3)}}
+    batch = pa.RecordBatch.from_pydict(cols)
+    for size, most in ((1000, 1 << 16), (7, 1), (13, 50)):
+        parts = [batch.slice(at, size) for at in range(0, len(batch), size)]
+        edges = [tuple(r.values()) for b in near_copies._runs(iter(parts), most) for r in b.to_pylist()]
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        assert len({find(r[2]) for r in rows}) == 4 and all(find(a) == find(b) for (s, _, a, _), (z, _, b, _) in zip(rows, rows[1:]) if s == z)
+
+
 def test_any_radius():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, dtype=np.uint64)
