@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import vector
+from tessera.operators import neighbours, vector
 from tessera.plans.registry import Tables, query
 
 _COS = "round(greatest(0.0, least(1.0, list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))), 6)"
@@ -93,6 +93,31 @@ def vector_index_search(t: Tables) -> DataFrame:
     return vector.Index(t.embeddings).search(asked, 10)
 
 
+def altered(t: Tables) -> DataFrame:
+    """The vectors, the vectors without every sixteenth component, and, of one label, the vectors again."""
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    thin = e.select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i % 16 == 0, 0.0).otherwise(x)).alias("embedding"), "label")
+    return e.unionByName(thin).unionByName(e.where("label = 3").withColumn("vec_id", F.col("vec_id") + 20_000_000))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id AS id, v FROM e
+      UNION ALL SELECT vec_id + 10000000, list_transform(v, lambda a, i: CASE WHEN (i - 1) % 16 = 0 THEN 0.0 ELSE a END) FROM e UNION ALL SELECT vec_id + 20000000, v FROM e WHERE label = 3),
+    c AS (SELECT v, min(id) AS rep, count(*) AS n, sqrt(list_dot_product(v, v)) AS norm FROM x GROUP BY v), p AS (SELECT a.rep, sum(b.n) AS others FROM c a JOIN c b ON a.rep <> b.rep WHERE round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) >= 0.95 GROUP BY a.rep)
+    SELECT x.id, c.rep, CAST(c.n - 1 + coalesce(p.others, 0) AS BIGINT) AS links FROM x JOIN c ON c.v = x.v LEFT JOIN p ON p.rep = c.rep"""
+)
+def near_vector_links(t: Tables) -> DataFrame:
+    """How many vectors each is near to at 0.95, by bands of hyperplane signatures."""
+    return neighbours.near_pairs(altered(t), 0.95).links()
+
+
+@query()
+def vector_graph_search(t: Tables) -> DataFrame:
+    """Items near every fiftieth one by a graph of neighbours; tests measure its recall and what it compares."""
+    asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return neighbours.Graph(t.embeddings).search(asked, 10)
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE label = 3 AND vec_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def collection_get(t: Tables) -> DataFrame:
     wanted = t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").alias("vec_id"))
