@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import scope, stored
+
 
 def path_prefixes(path: Column) -> Column:
     """The path itself and all its parent folders."""
@@ -24,19 +26,43 @@ def longest_prefix(rows: DataFrame, path: str, key: str, roots: DataFrame) -> Da
     return top.where("b.projects = 1").select(key, F.col("b.project_id").alias("project_id"))
 
 
+def carried(rows: DataFrame, by: str, order: list[str], value: str, first: str = "_before", last: str = "_after") -> DataFrame:
+    """``rows`` with the last ``value`` that is not null at or before each row of its ``by``, and the first at or after it.
+
+    Rows are range-partitioned by ``by`` and ``order`` into pieces, each of which is one window; what a piece has first and last is carried over
+    the pieces, which are few.  So a key with a large part of all rows is spread over many tasks.
+    """
+    pieces = rows.repartitionByRange(by, *order).withColumn("_piece", F.spark_partition_id())
+    with scope(rows.sparkSession) as keep:
+        pieces = keep(stored(pieces, "pieces"))
+        some = F.when(F.col(value).isNotNull(), F.struct(F.col(by).alias("k"), F.col(value).alias("v")))
+        place = F.struct(by, *order)
+        ends = pieces.where(F.col(value).isNotNull()).groupBy("_piece").agg(F.min_by(some, place).alias("head"), F.max_by(some, place).alias("tail"))
+        ends = stored(ends, "piece-ends", 1)
+        whole = stored(pieces.groupBy("_piece").agg(F.lit(1).alias("_one")).join(ends, "_piece", "left"), "piece-ends", 1)
+        over = Window.orderBy("_piece")  # as many rows as there are pieces
+        back = F.last("tail", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+        on = F.first("head", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+        carry = keep(stored(whole.select(F.col("_piece").alias("_p"), back.alias("_back"), on.alias("_on")), "carried", 1))
+    inside = Window.partitionBy("_piece").orderBy(by, *order)
+    before = F.last(some, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(some, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    out = pieces.withColumn("_b", before).withColumn("_a", after).join(F.broadcast(carry), F.col("_piece") == F.col("_p"))
+    mine = lambda c, other: F.when(F.col(f"{c}.k").eqNullSafe(F.col(by)) & F.col(c).isNotNull(), F.col(f"{c}.v")).when(F.col(f"{other}.k").eqNullSafe(F.col(by)) & F.col(other).isNotNull(), F.col(f"{other}.v"))
+    return out.withColumn(first, mine("_b", "_back")).withColumn(last, mine("_a", "_on")).drop("_b", "_a", "_p", "_back", "_on", "_piece")
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """``left`` with ``value`` of the last row of ``right`` at or before it, or else of the first after it.
 
-    Both sides are merged by key and order and the value carried on, so no pairs are made.  ``value`` must not be null.
+    Both sides are merged in order and the value carried on by :func:`carried`, so no pairs are made and no key is one task.  ``value`` must not be null.
+    Of rows of ``right`` with one time the largest value counts before, and the smallest after.
     """
     cols = left.columns
     l_ = left.withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_left", F.lit(1))
     r_ = right.select(by, at, F.col(value).alias("_v")).withColumn("_left", F.lit(0))
-    order = Window.partitionBy(by).orderBy(at, "_left", F.col("_v"))
-    before = F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_v", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = l_.unionByName(r_, allowMissingColumns=True).withColumn("anchor", F.coalesce(before, after))
-    return both.where("_left = 1").select(*cols, "anchor")
+    both = carried(l_.unionByName(r_, allowMissingColumns=True), by, [at, "_left", "_v"], "_v")
+    return both.where("_left = 1").withColumn("anchor", F.coalesce("_before", "_after")).select(*cols, "anchor")
 
 
 def co_occurring(rows: DataFrame, key: str, id_: str, at: str, seconds: int, most: int) -> DataFrame:

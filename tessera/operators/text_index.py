@@ -12,7 +12,6 @@ merged.  Manifests are numbered and put in place by a rename that fails if anoth
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.lexical import query_terms, sanitized, sum_or
 from tessera.session import discard, stored
+from tessera.sources.manifest import Manifest
 
 #: Ids of a block as a power of two, and blocks that are scored in the first round; each round takes twice as many, up to the last number.
 SHIFT, FIRST, MOST = 10, 4, 4096
@@ -54,36 +54,12 @@ class TextIndex:
         self.spark, self.path, self.attributes, self.shift = spark, path.rstrip("/"), attributes, shift
         self.read = Read()
 
-    # manifests
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def _manifest(self) -> tuple[int, list[dict]]:
         """The number of the last manifest and its segments, oldest first."""
-        jvm, root, fs = self._fs()
-        numbers = [int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit()] if fs.exists(root) else []
-        if not numbers:
-            return 0, []
-        with_ = fs.open(jvm.org.apache.hadoop.fs.Path(root, str(max(numbers))))
-        try:
-            text = jvm.org.apache.commons.io.IOUtils.toString(with_, "UTF-8")
-        finally:
-            with_.close()
-        return max(numbers), json.loads(text)
+        return Manifest(self.spark, f"{self.path}/manifest").read([])
 
     def _commit(self, after: int, segments: list[dict]) -> None:
-        jvm, root, fs = self._fs()
-        fs.mkdirs(root)
-        new, place = jvm.org.apache.hadoop.fs.Path(root, f"new-{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(root, str(after + 1))
-        out = fs.create(new, False)
-        out.write(json.dumps(segments).encode())
-        out.close()
-        if fs.exists(place) or not fs.rename(new, place):
-            fs.delete(new, False)
-            raise RuntimeError(f"{self.path}: another writer was first")
+        Manifest(self.spark, f"{self.path}/manifest").commit(after, segments)
 
     def segments(self) -> list[dict]:
         return self._manifest()[1]

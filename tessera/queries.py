@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, events, graphs, lexical, lifecycle, memory, ranking, records, symbols, tables, text, vectors  # noqa: F401
+from tessera.plans import analytics, events, graphs, identity, lexical, lifecycle, memory, ranking, records, symbols, tables, text, vectors  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL, Tables
 
 FLAGSHIP = "hybrid_search"
