@@ -24,7 +24,7 @@ _NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 _ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a shorter run fails whole, so the bound changes no match
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")  # ``LEAST`` or more
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 
 
@@ -47,14 +47,16 @@ CLASSES = (
     CharClass("upper", frozenset(_DIGIT + _UP), 20, 3.7, (_DIGIT, _UP)),
     CharClass("base64", frozenset(_DIGIT + _LOW + _UP + "+/_-="), 24, 4.0, (_DIGIT, _LOW, _UP)),
 )
-#: Candidates that match one of these whole are no secrets.
+#: A candidate, or a part of a path as long as one, that matches one of these whole is no secret.
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-    r"(sha(1|256|384|512)-|sha256:).*",  # integrity hash
+    r"sha(1|256|384|512)-[A-Za-z0-9+/_-]{27,86}={0,2}",  # integrity hash
     r"\d[\d/_=-]*",  # numbers and dates
     r"([A-Za-z]+[/_-])+[A-Za-z]+\d*",  # paths and names in words
-    r".*(EXAMPLE|example|placeholder|xxxx|XXXX).*",
 )
+#: Marks of made-up keys: what lies within ``REACH`` characters of one, in the same part of a path, is no secret.
+MARKS, REACH = re.compile(r"EXAMPLE|example|placeholder|x{4,}|X{4,}"), 64
+LEAST = 20
 
 
 def dense_windows(text: str, width: int, bits: float) -> list[tuple[int, int]]:
@@ -83,12 +85,24 @@ def dense_windows(text: str, width: int, bits: float) -> list[tuple[int, int]]:
     return spans
 
 
+def _allowed(word: str, allow: re.Pattern[str]) -> str:
+    """A candidate with spaces in place of what the allow-list covers: no window reaches over a space."""
+    gone = [m.span() for m in re.finditer("[^/]+", word) if m.end() - m.start() >= LEAST and allow.fullmatch(m.group())]
+    for m in MARKS.finditer(word):
+        end = word.find("/", m.end())
+        gone.append((max(word.rfind("/", 0, m.start()) + 1, m.start() - REACH), min(end if end >= 0 else len(word), m.end() + REACH)))
+    for a, b in gone:
+        word = word[:a] + " " * (b - a) + word[b:]
+    return word
+
+
 def _entropy_spans(text: str, allow: re.Pattern[str]) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     for m in _CANDIDATE.finditer(text):
         word = m.group()
         if word.isalpha() or allow.fullmatch(word):
             continue
+        word = _allowed(word, allow)
         for c in CLASSES:
             at = 0
             while at < len(word):

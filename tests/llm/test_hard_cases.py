@@ -52,9 +52,15 @@ def brute_entropy(text):
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         if m[0].isalpha() or KNOWN.fullmatch(m[0]):
             continue
+        part = [m[0][:i].count("/") for i in range(len(m[0]))]
+        names = m[0].split("/")
+        fine = {i for i in range(len(m[0])) if m[0][i] != "/" and len(names[part[i]]) >= 20 and KNOWN.fullmatch(names[part[i]])}
+        for mark in ("EXAMPLE", "example", "placeholder", "xxxx", "XXXX"):
+            for at in (i for i in range(len(m[0])) if m[0].startswith(mark, i)):
+                fine |= {i for i in range(max(0, at - 64), min(len(m[0]), at + len(mark) + 64)) if part[i] == part[at] and m[0][i] != "/"}
         for c in secrets.CLASSES:
             for run in re.finditer("[" + re.escape("".join(sorted(c.alphabet))) + "]+", m[0]):
-                hot = sorted({i for s in range(len(run[0]) - c.width + 1) if bits(run[0][s : s + c.width]) >= c.bits - 1e-12 for i in range(s, s + c.width)})
+                hot = sorted({i for s in range(len(run[0]) - c.width + 1) if bits(run[0][s : s + c.width]) >= c.bits - 1e-12 and not fine & set(range(run.start() + s, run.start() + s + c.width)) for i in range(s, s + c.width)})
                 while hot:
                     n = next((k for k in range(1, len(hot)) if hot[k] != hot[k - 1] + 1), len(hot))
                     part, hot = hot[:n], hot[n:]
@@ -64,7 +70,7 @@ def brute_entropy(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text("0123456789abcdef", max_size=40), st.text("abcXYZ019+/-_", max_size=40), st.text("qwertyuiop1234567890ASDFGHJKL", min_size=20, max_size=60), st.sampled_from([" ", "token=", ".", "AKIA"])), max_size=6))
+@given(st.lists(st.one_of(st.text("0123456789abcdef", max_size=40), st.text("abcXYZ019+/-_", max_size=40), st.text("qwertyuiop1234567890ASDFGHJKL", min_size=20, max_size=60), st.sampled_from([" ", "token=", ".", "AKIA", "/", "example", "EXAMPLE", "sha256-"])), max_size=8))
 def test_entropy_spans(parts):
     text = "".join(parts)
     spans = [s.split(":") for s in secrets.scan(text, KNOWN)[4].split(",") if s.startswith("entropy")]

@@ -34,3 +34,19 @@ def test_keys_of_one_case(chars):
 
 def test_words_are_no_keys():
     assert not any(map(entropy, ["internationalizationandlocalization", "WITHOUTANYDIGITSATALLINIT", "aaaaaaaaaaaaaaaaaaaaaaaa1111"]))
+
+
+KEY = "Xy7QpL2mZr9Tb4Wc8Kd1Vn5Hs3"
+
+
+def test_the_allow_list_covers_no_key_beside_it():
+    assert entropy(KEY) == [(0, 26)]
+    assert entropy(f"/example/{KEY}") == [(8, 35)]  # the stroke is a character of such keys
+    assert entropy(f"{KEY}/0b5f4c1e-1d2c-4f3a-9b7e-123456789abc") == [(0, 27)]
+    rng = random.Random(1)
+    many = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(800))
+    assert entropy(many + "xxxx") == [(0, 800 - secrets.REACH)]
+
+
+def test_made_up_keys_are_none():
+    assert not any(map(entropy, ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Xy7QpL2mZr9Tb4Wc8Kexample1Vn5Hs3", "sha256-47DEQpj8HBSa/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "0b5f4c1e-1d2c-4f3a-9b7e-123456789abc"]))
