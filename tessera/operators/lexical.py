@@ -275,6 +275,29 @@ def _positions(text: str, term: str) -> list[int]:
     return [m.start() for m in re.finditer(f"(?={re.escape(term)})", text)]
 
 
+def term_spans(docs: DataFrame, terms: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, span``: the smallest distance from a first to a last character place that holds all ``terms``, in any case; documents that lack one are left out."""
+
+    @F.arrow_udf("long")
+    def run(batch: pa.Array) -> pa.Array:
+        out = []
+        for x in batch.to_pylist():
+            low = (x or "").lower()
+            at = [_positions(low, t.lower()) for t in terms] if all(t.lower() in low for t in terms) else []
+            out.append(int(min_span(at)) if at else None)
+        return pa.array(out, pa.int64())
+
+    return docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("span")).where("span is not null")
+
+
+def phrase_search(docs: DataFrame, query: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, phrases``: how many of the quoted phrases of an OR ``query``, as :func:`phrase_query` writes it, a document holds, in any case; most first."""
+    phrases = list(dict.fromkeys(p.lower() for p in re.findall('"([^"]+)"', query)))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = sum((F.contains(low, F.lit(p)).cast("long") for p in phrases), F.lit(0).cast("long"))
+    return docs.select(F.col(doc_id).alias("doc_id"), found.alias("phrases")).where("phrases > 0").orderBy(F.desc("phrases"), "doc_id").limit(limit)
+
+
 def proximity_boost(content: str, title: str, is_code: bool, terms: list[str]) -> float:
     hits = sum(t in title.lower() for t in terms)
     boost = (0.6 if is_code else 0.3) * hits / len(terms) if hits else 0.0

@@ -157,3 +157,21 @@ def memory_text_search(t: Tables) -> DataFrame:
     later = c.select(F.col("conv_id"), (F.col("turn") - 2).alias("turn"), "role")
     found = c.where(lexical.contains_any(F.col("text"), ["erst", "ouble"])).join(later, ["conv_id", "turn", "role"], "left_anti")
     return found.select("conv_id", "turn", F.length("text").cast("long").alias("importance")).orderBy(F.col("importance").desc(), "conv_id", "turn").limit(30)
+
+
+@query(
+    """WITH k AS (SELECT doc_id, term, string_split(lower(text), term) AS parts FROM documents, (VALUES ('erst'), ('ouble')) AS v(term) WHERE contains(lower(text), 'erst') AND contains(lower(text), 'ouble')),
+    p AS (SELECT doc_id, term, i, n, sum(length(part)) OVER (PARTITION BY doc_id, term ORDER BY i) + (i - 1) * length(term) AS pos FROM (SELECT doc_id, term, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i, len(parts) AS n FROM k))
+    SELECT a.doc_id, CAST(min(abs(a.pos - b.pos)) AS BIGINT) AS span FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'erst' AND b.term = 'ouble' AND a.i < a.n AND b.i < b.n GROUP BY a.doc_id"""
+)
+def term_spans(t: Tables) -> DataFrame:
+    return lexical.term_spans(t.documents, ["Erst", "ouble"])
+
+
+@query(
+    """SELECT doc_id, CAST(contains(lower(text), 'of the') AS BIGINT) + CAST(contains(lower(text), 'and the') AS BIGINT) + CAST(contains(lower(text), 'is that') AS BIGINT) AS phrases FROM documents
+    WHERE contains(lower(text), 'of the') OR contains(lower(text), 'and the') OR contains(lower(text), 'is that') ORDER BY phrases DESC, doc_id LIMIT 100"""
+)
+def expanded_phrase_search(t: Tables) -> DataFrame:
+    """A query and its expansions as one OR of phrases."""
+    return lexical.phrase_search(t.documents, lexical.phrase_query("Of the", ['and "the"', "is that", "Of the"]), 100)

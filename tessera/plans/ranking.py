@@ -167,3 +167,25 @@ def strengthen(t: Tables) -> DataFrame:
 def class_gated_hits(t: Tables) -> DataFrame:
     q = F.when(F.col("id") % 3 == 0, "snake_case_name").when(F.col("id") % 3 == 1, "the service handler").otherwise("plain words")
     return ranking.class_gate(hits(t), q).select("id")
+
+
+@query(
+    f"""WITH v AS (SELECT e.vec_id, e.label, {_COS.format(a='CAST(e.embedding AS DOUBLE[])', b='q.qv')} AS score FROM embeddings e, (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings ORDER BY vec_id LIMIT 1) AS q),
+    f AS (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 100) SELECT vec_id, score FROM f WHERE label IN (1, 3, 5) ORDER BY score DESC, vec_id LIMIT 20"""
+)
+def overfetched_search(t: Tables) -> DataFrame:
+    """The first 20 of some labels among as many more as a filtered search fetches."""
+    asked = t.embeddings.orderBy("vec_id").limit(1).select(F.lit(0).cast("long").alias("query_id"), "embedding")
+    found = vector.knn(asked, t.embeddings, ranking.overfetch(20, filtered=True)).join(t.embeddings.select("vec_id", "label"), "vec_id")
+    return found.where(F.col("label").isin(1, 3, 5)).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(20)
+
+
+_TASK = "erst the tion of ouble and is in that"
+
+
+@query(
+    f"""WITH k AS (SELECT list_distinct(regexp_extract_all('{_TASK}', '[a-z0-9_]{{2,}}')) AS b), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{2,}}')) AS a FROM documents)
+    SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS alignment FROM d, k"""
+)
+def task_alignment(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.round(ranking.task_alignment(F.col("text"), F.lit(_TASK)), 6).alias("alignment"))

@@ -161,3 +161,13 @@ def symbol_names(t: Tables) -> DataFrame:
 def code_compression(t: Tables) -> DataFrame:
     source = F.concat(F.lit("import a\n\nclass P"), F.col("p_partkey").cast("string"), F.lit(" {\n  def run(self):\n    return "), F.col("p_size").cast("string"), F.lit("\n}\n"))
     return t.part.select("p_partkey", text.compressed_column(source).alias("code"))
+
+
+@query(
+    """SELECT p_partkey, 1::BIGINT AS line_start, 'p_partkey' AS label, concat_ws(chr(10), '// File: data/part.json', '// Section: p_partkey', '// p_partkey', '// p_partkey', '{"p_partkey": ' || p_partkey || '}', '{"p_name": "' || p_name || '"}',
+    '{"p_brand": "' || p_brand || '"}', '{"p_type": "' || p_type || '"}', '{"p_size": ' || p_size || '}') AS content FROM part"""
+)
+def json_chunks(t: Tables) -> DataFrame:
+    """Chunks of JSON objects by their keys, short ones together."""
+    made = t.part.select("p_partkey", F.lit("data/part.json").alias("path"), F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_type", "p_size")).alias("body"))
+    return text.smart_chunks(made, "p_partkey", "path", "body").select("p_partkey", "line_start", "label", "content")
