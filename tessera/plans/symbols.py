@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import code, text
 from tessera.operators import joins, ranking, symbols
 from tessera.plans.ranking import HITS_SQL, hits
 from tessera.plans.registry import Tables, query
@@ -307,13 +307,43 @@ def result_tree(t: Tables) -> DataFrame:
     return out.select(F.col("place").cast("long").alias("place"), F.col("nth").cast("long").alias("nth"), "line")
 
 
-_CODE = "import a from './m%d'\nclass P%d {\n  run(x) {\n    axios.get('/api/%d')\n  }\n}\n"
+_CODE = (
+    "import a from './m%d'\nclass P%d {\n  run(x) {\n    axios.get('/api/%d')\n  }\n}\n",
+    "// load(%d)\nexport function f%d(x) {\n  return helper(x, 'b%d')\n}\n",
+    "const fs = require('f%d')\n\nfunction g%d() {}\nfs.open('p%d')\n",
+)
+
+
+def varied(t: Tables) -> DataFrame:
+    """A source text for each part, of one of three shapes by its size."""
+    k = F.col("p_partkey").cast("long")
+    shapes = [F.format_string(c, k, k, k) for c in _CODE]
+    return t.part.select("p_partkey", F.element_at(F.array(*shapes), F.col("p_size") % 3 + 1).alias("source"))
 
 
 @query(
-    """SELECT p_partkey, unnest(['import', 'declaration', 'declaration', 'call']) AS kind, unnest(['./m' || p_partkey, 'P' || p_partkey, 'P' || p_partkey || '.run', 'axios.get']) AS name, unnest([1, 2, 3, 4]::BIGINT[]) AS line,
-      unnest([NULL, NULL, NULL, '/api/' || p_partkey]) AS literal FROM part"""
+    """WITH r AS (SELECT p_partkey, p_size % 3 AS shape, CAST(p_partkey AS VARCHAR) AS k FROM part)
+    SELECT p_partkey, unnest(['import', 'declaration', 'declaration', 'call']) AS kind, unnest(['./m' || k, 'P' || k, 'P' || k || '.run', 'axios.get']) AS name, unnest([1, 2, 3, 4]::BIGINT[]) AS line, unnest([NULL, NULL, NULL, '/api/' || k]) AS literal FROM r WHERE shape = 0
+    UNION ALL SELECT p_partkey, unnest(['declaration', 'call']), unnest(['f' || k, 'helper']), unnest([2, 3]::BIGINT[]), NULL FROM r WHERE shape = 1
+    UNION ALL SELECT p_partkey, unnest(['declaration', 'import', 'declaration', 'call']), unnest(['fs', 'f' || k, 'g' || k, 'fs.open']), unnest([1, 1, 3, 4]::BIGINT[]), unnest([NULL, NULL, NULL, 'p' || k]) FROM r WHERE shape = 2"""
 )
 def source_structure(t: Tables) -> DataFrame:
+    return varied(t).select("p_partkey", F.explode(text.structure_column("source")).alias("x")).select("p_partkey", "x.*")
+
+
+_FLOW = "const size = %d\nfunction outer(name) {\n%s  send(name, size)\n}\nbus.emit('e%d', size)\n"
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, p_size % 4 AS n, p_partkey % 3 = 0 AS shadow FROM part), x AS (SELECT *, n + shadow::INT AS more FROM r)
+    SELECT p_partkey, 'call' AS kind, 'wrap' AS target, '' AS qualifier, CAST(3 + shadow::INT + i AS BIGINT) AS line, NULL::BIGINT AS param_index, NULL AS argument, NULL::BIGINT AS defined FROM x, range(4) AS t(i) WHERE i < n
+    UNION ALL SELECT p_partkey, 'data_flow', 'wrap', '', 3 + shadow::INT + i, 0, 'name', 2 FROM x, range(4) AS t(i) WHERE i < n
+    UNION ALL SELECT p_partkey, 'call', 'send', '', 3 + more, NULL, NULL, NULL FROM x UNION ALL SELECT p_partkey, 'data_flow', 'send', '', 3 + more, 0, 'name', 2 FROM x
+    UNION ALL SELECT p_partkey, 'data_flow', 'send', '', 3 + more, 1, 'size', CASE WHEN shadow THEN 3 ELSE 1 END FROM x
+    UNION ALL SELECT p_partkey, 'emit', 'e' || p_partkey, 'bus', 5 + more, NULL, NULL, NULL FROM x UNION ALL SELECT p_partkey, 'data_flow', 'emit', 'bus', 5 + more, 1, 'size', 1 FROM x"""
+)
+def data_flow_edges(t: Tables) -> DataFrame:
+    """Calls and data flow of sources with up to three more calls and, in a third of them, a name that is defined again."""
     k = F.col("p_partkey").cast("long")
-    return t.part.select("p_partkey", F.explode(text.structure_column(F.format_string(_CODE, k, k, k))).alias("x")).select("p_partkey", "x.*")
+    inner = F.concat(F.when(F.col("p_partkey") % 3 == 0, "  let size = 5 // wrap(size)\n").otherwise(""), F.repeat(F.lit("  wrap(name)\n"), (F.col("p_size") % 4).cast("int")))
+    return code.edges(t.part.select("p_partkey", F.format_string(_FLOW, k, inner, k).alias("source")), "p_partkey", F.col("source"))

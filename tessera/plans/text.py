@@ -157,10 +157,17 @@ def symbol_names(t: Tables) -> DataFrame:
     return named.select("p_partkey", "fqn", parts["qualified"].alias("qualified"), parts["kind"].alias("kind"))
 
 
-@query("SELECT p_partkey, 'import a' || chr(10) || 'class P' || p_partkey || chr(10) || '  def run(self):' AS code FROM part")
+@query(
+    """SELECT p_partkey, concat_ws(chr(10), CASE WHEN p_size % 2 = 0 THEN 'import a' END, 'class P' || p_partkey, array_to_string(list_transform(range(p_size % 4), lambda i: '  def run_' || i || '(self):'), chr(10))) || CASE WHEN p_size % 3 = 0 THEN chr(10) || 'export function f' || p_size || '()' ELSE '' END AS code
+    FROM part WHERE p_size % 4 > 0"""
+)
 def code_compression(t: Tables) -> DataFrame:
-    source = F.concat(F.lit("import a\n\nclass P"), F.col("p_partkey").cast("string"), F.lit(" {\n  def run(self):\n    return "), F.col("p_size").cast("string"), F.lit("\n}\n"))
-    return t.part.select("p_partkey", text.compressed_column(source).alias("code"))
+    """What is left of classes with one to three methods, of which some have an import before them and a function behind."""
+    size = F.col("p_size")
+    methods = F.array_join(F.transform(F.sequence(F.lit(0), size % 4 - 1), lambda i: F.concat(F.lit("  def run_"), i.cast("string"), F.lit("(self):\n    return 1\n"))), "\n")
+    head, tail = F.when(size % 2 == 0, "import a\n\n").otherwise("# no import\n"), F.when(size % 3 == 0, F.concat(F.lit("export function f"), size.cast("string"), F.lit("() {\n  g()\n}\n"))).otherwise("x = 1\n")
+    source = F.concat(head, F.lit("class P"), F.col("p_partkey").cast("string"), F.lit(" {\n"), methods, F.lit("}\n"), tail)
+    return t.part.where(size % 4 > 0).select("p_partkey", text.compressed_column(source).alias("code"))
 
 
 @query(
