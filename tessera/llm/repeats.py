@@ -28,7 +28,7 @@ PIECE = 1 << 21
 #: Blocks that are passed on in one go.
 ROWS = 1 << 15
 #: Blocks of a bucket above this are refined before they meet in a task, and bytes that a task refines in one go.
-HEAVY, BYTES = 1 << 12, 1 << 21
+HEAVY, BYTES = 1 << 10, 1 << 21
 #: Documents up to this many are broadcast.
 BROADCAST_ROWS = 200_000
 
