@@ -32,7 +32,7 @@ SHARD, RANGE, NODES = 1 << 20, 1 << 22, 1 << 21
 #: Bytes of text from which the cuts are drawn; they decide on balance alone.
 SAMPLE = 1 << 22
 #: Phrases up to this many are broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 _BREAK = b"\xff"  # in no UTF-8 text, and after all words in order
 _FOLD = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + _BREAK * 10 + b" ")
@@ -82,11 +82,10 @@ def built(tokens: list[bytes], depth: int = DEPTH) -> Trie:
     return Trie(names.slice(0, last), levels)
 
 
-def places(trie: Trie, phrase: list[bytes]) -> list[tuple[int, bool]]:
-    """For each level, the nodes before ``phrase`` and whether the last of them is its ancestor."""
+def places(trie: Trie, keys: list[np.ndarray], phrase: list[bytes]) -> list[tuple[int, bool]]:
+    """For each level, the nodes before ``phrase`` and whether the last of them is its ancestor; ``keys`` joins parents and words of the levels."""
     out, above, on = [], 0, True
-    for d, (parent, word, *_) in enumerate(trie.levels):
-        key = (parent << 32) | word
+    for d, key in enumerate(keys):
         found = False
         if on and d < len(phrase):
             name = _rank(trie.names, phrase[d])
@@ -114,21 +113,21 @@ def _rank(names: pa.Array, word: bytes) -> int:
 def cut(trie: Trie, phrases: list[list[bytes]]) -> Iterator[tuple[int, Trie]]:
     """The pieces of a trie between sorted ``phrases``, by number, that hold a node; the ancestors of a piece's first phrase come with it, marked."""
     ends = [len(x[0]) for x in trie.levels]
-    cuts = [[(0, False)] * len(ends), *(places(trie, p) for p in phrases), [(n, False) for n in ends]]
+    keys = [(parent << 32) | word for parent, word, *_ in trie.levels]
+    cuts = [[(0, False)] * len(ends), *(places(trie, keys, p) for p in phrases), [(n, False) for n in ends]]
     for number, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
         start = [n - mark for n, mark in a]
         if all(s >= e for s, (e, _) in zip(start, z, strict=True)):
             continue
-        levels, used = [], np.zeros(len(trie.names), bool)
+        levels = []
         for d, (parent, word, count, _) in enumerate(trie.levels):
             part = slice(start[d], max(start[d], z[d][0]))
             mark = np.zeros(part.stop - part.start, bool)
             mark[: int(a[d][1])] = True
-            used[word[part]] = True
             levels.append((parent[part] - (start[d - 1] if d else 0), word[part], count[part], mark))
-        rank = np.cumsum(used) - 1
-        names = trie.names.filter(pa.array(used))
-        yield number, Trie(names, [(p, rank[w], c, m) for p, w, c, m in levels])
+        used, rank = np.unique(np.concatenate([w for _, w, *_ in levels]), return_inverse=True)
+        ranks = np.split(rank, np.cumsum([len(w) for _, w, *_ in levels])[:-1])
+        yield number, Trie(trie.names.take(pa.array(used)), [(p, r, c, m) for (p, _, c, m), r in zip(levels, ranks, strict=True)])
 
 
 def _planes(x: np.ndarray) -> bytes:
