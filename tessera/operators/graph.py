@@ -78,16 +78,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _reach(edges: DataFrame, start: DataFrame, within: DataFrame) -> DataFrame:
-    """Pairs ``node, colour`` reached from ``start(node, colour)`` along edges that stay in the colour; each hop adds a table."""
+    """Pairs ``node, colour`` reached from ``start(node, colour)`` along edges that stay in the colour; every two hops add a table."""
     front = seen = cut(start)
-    hop = 0
+
+    def hop(of: DataFrame) -> DataFrame:
+        step = of.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "colour").join(within, ["node", "colour"], "left_semi")
+        return step.distinct().join(seen, ["node", "colour"], "left_anti")
+
+    hops = 0
     while True:
-        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "colour").join(within, ["node", "colour"], "left_semi")
-        front = cut(step.distinct().join(seen, ["node", "colour"], "left_anti"))
+        one = hop(front)
+        two = hop(one).join(one, ["node", "colour"], "left_anti")
+        new = cut(one.withColumn("last", F.lit(False)).unionByName(two.withColumn("last", F.lit(True))))
+        front = new.where("last").drop("last")
+        hops += 1
+        seen = seen.unionByName(new.drop("last")) if hops % CUT_ROUNDS else cut(seen.unionByName(new.drop("last")))
         if front.isEmpty():
             return seen
-        hop += 1
-        seen = seen.unionByName(front) if hop % CUT_ROUNDS else cut(seen.unionByName(front))
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -101,24 +108,35 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     kind = dict(e.dtypes)["src"]
     found = spark.createDataFrame([], f"node {kind}, component {kind}")
+
+    def trimmed(e: DataFrame) -> DataFrame:
+        into = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        return into.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+    def spread(colours: DataFrame) -> DataFrame:
+        near = e.join(colours, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("near"))
+        return colours.join(near, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", F.coalesce("near", "colour")).alias("colour"))
+
+    def mark(colours: DataFrame) -> int | None:
+        return colours.agg(F.bit_xor(F.xxhash64("node", "colour"))).first()[0]
+
     n = e.count()
     while n:
         while n:
-            inner = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            left, n = n, inner.count()
-            e = inner
+            e = cut(trimmed(trimmed(e)))  # two rounds a table
+            left, n = n, e.count()
             if left == n:
                 break
         if not n:
             break
         colours = cut(nodes(e).withColumn("colour", F.col("node")))
+        before = mark(colours)
         while True:
-            near = e.join(colours, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("near"))
-            step = cut(colours.join(near, F.col("node") == F.col("dst"), "left").select("node", "colour", F.least("colour", F.coalesce("near", "colour")).alias("new")))
-            changed = step.where("new <> colour").limit(1).count()
-            colours = step.select("node", F.col("new").alias("colour"))
-            if not changed:
+            colours = cut(spread(spread(colours)))
+            after = mark(colours)
+            if after == before:
                 break
+            before = after
         roots = colours.where("node = colour")
         back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         scc = cut(_reach(back, roots, colours))

@@ -14,11 +14,11 @@ _BIP = f"e AS (SELECT {_LINES} FROM lineitem)"
 _TRADE = f"e AS (SELECT DISTINCT {_LINES} FROM lineitem)"
 _W = f"e AS (SELECT {_LINES}, max(l_quantity) / 51 AS weight FROM lineitem GROUP BY 1, 2)"
 _SUPPLY = "e AS (SELECT DISTINCT l_suppkey AS src, -1 - l_partkey AS dst FROM lineitem)"
-#: Suppliers and parts of a day, and of two months, are nodes of their own, so that there are many components.
+#: Suppliers and parts of a day, and of a month, are nodes of their own, so that there are many components.
 _DAY = "date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))"
 _DAILY = f"e AS (SELECT DISTINCT l_suppkey * 16384 + {_DAY} AS src, -1 - (l_partkey * 16384 + {_DAY}) AS dst FROM lineitem)"
-_TERM = "((year(l_shipdate) - 1992) * 6 + (month(l_shipdate) - 1) // 2)"
-_TERMS = f"e AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 1 THEN s ELSE p END AS src, CASE WHEN l_linenumber % 2 = 1 THEN p ELSE s END AS dst FROM (SELECT l_linenumber, l_suppkey * 64 + {_TERM} AS s, -1 - (l_partkey * 64 + {_TERM}) AS p FROM lineitem))"
+_TERM = "((year(l_shipdate) - 1992) * 12 + month(l_shipdate))"
+_TERMS = f"e AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 1 THEN s ELSE p END AS src, CASE WHEN l_linenumber % 2 = 1 THEN p ELSE s END AS dst FROM (SELECT l_linenumber, l_suppkey * 128 + {_TERM} AS s, -1 - (l_partkey * 128 + {_TERM}) AS p FROM lineitem))"
 _LINKS = """n AS (SELECT max(p_partkey) AS n FROM part), e AS (SELECT DISTINCT src, dst, kind FROM (SELECT p_partkey AS src, 1 + (p_partkey * 37 + p_size * 101) % n AS dst, ['call', 'data_flow', 'http_call'][1 + p_size % 3] AS kind FROM part, n
       UNION ALL SELECT p_partkey, 1 + (p_partkey * 11 + 7) % n, 'call' FROM part, n WHERE p_size % 2 = 0))"""
 
@@ -40,10 +40,10 @@ def daily(t: Tables) -> DataFrame:
     return t.lineitem.select((F.col("l_suppkey") * 16384 + day).alias("src"), (-1 - (F.col("l_partkey") * 16384 + day)).alias("dst")).distinct()
 
 
-def termly(t: Tables) -> DataFrame:
-    """:func:`trade` of every two months for itself."""
-    term = (F.year("l_shipdate") - 1992) * 6 + F.floor((F.month("l_shipdate") - 1) / 2)
-    odd, s, p = F.col("l_linenumber") % 2 == 1, F.col("l_suppkey") * 64 + term, -1 - (F.col("l_partkey") * 64 + term)
+def monthly(t: Tables) -> DataFrame:
+    """:func:`trade` of every month for itself."""
+    term = (F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate")
+    odd, s, p = F.col("l_linenumber") % 2 == 1, F.col("l_suppkey") * 128 + term, -1 - (F.col("l_partkey") * 128 + term)
     return t.lineitem.select(F.when(odd, s).otherwise(p).alias("src"), F.when(odd, p).otherwise(s).alias("dst"))
 
 
@@ -89,7 +89,7 @@ def connected_components(t: Tables) -> DataFrame:
     SELECT x.src AS node, min(least(x.src, x.dst)) AS component FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src"""
 )
 def cycles_scc(t: Tables) -> DataFrame:
-    return graph.strongly_connected(termly(t))
+    return graph.strongly_connected(monthly(t))
 
 
 @query(

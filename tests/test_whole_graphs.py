@@ -1,5 +1,8 @@
 """Graph queries over all of lineitem, against plain Python."""
 
+from datetime import date
+
+import pytest
 from tessera import queries as core
 from tessera.operators import graph
 
@@ -11,6 +14,14 @@ def lineitem(spark, folder, rows):
     return str(folder)
 
 
+DAY = (date(1998, 5, 1) - date(1992, 1, 1)).days
+
+
+def daily(s, p, day=DAY):
+    """A supplier and a part of one day."""
+    return s * 16384 + day, -1 - (p * 16384 + day)
+
+
 def united(pairs):
     root = {}
 
@@ -28,20 +39,27 @@ def united(pairs):
 def test_components_of_all_lines(spark, tmp_path):
     rows = [(i, i % 7 + 1, i % 23 + 100 * (i % 4) + 1, i % 11 + 100 * (i % 4)) for i in range(300)] + [(400, 1, 900, 901), (401, 3, 900, 902)]
     got = core.queries()["connected_components"](spark, lineitem(spark, tmp_path, rows)).collect()
-    want = united((s, -1 - p) for _, _, p, s in rows)
+    want = united(daily(s, p) for _, _, p, s in rows)
     assert {r.node: r.component for r in got} == want and len(got) == len(want) and len(set(want.values())) == 5
 
 
 def test_components_of_the_table(spark, sf):
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_shipdate").collect()
     got = core.queries()["connected_components"](spark, sf).collect()
-    assert {r.node: r.component for r in got} == united((s, -1 - p) for s, p in lines)
+    want = united(daily(s, p, (at.date() - date(1992, 1, 1)).days) for s, p, at in lines)
+    assert {r.node: r.component for r in got} == want and len(set(want.values())) > 1000
+
+
+@pytest.mark.parametrize("name, column", [("connected_components", "component"), ("cycles_scc", "component"), ("label_propagation", "community")])
+def test_no_label_covers_all(spark, sf, name, column):
+    sizes = [r["count"] for r in core.queries()[name](spark, sf).groupBy(column).count().collect()]
+    assert len(sizes) > 20 and len(set(sizes)) > 2
 
 
 def test_communities_of_all_lines(spark, tmp_path):
     rows = [(i, i % 7 + 1, i * 5 % 23 + 100 * (i % 3) + 1, i * 7 % 11 + 100 * (i % 3)) for i in range(1, 97)]
     folder, parts = lineitem(spark, tmp_path, rows), united((s, -1 - p) for _, _, p, s in rows)
-    assert {r.node: r.community for r in core.queries()["label_propagation"](spark, folder).collect()} == parts
+    assert {r.node: r.community for r in core.queries()["label_propagation"](spark, folder).collect()} == united(daily(s, p) for _, _, p, s in rows)
     group = {r.node: r.community for r in core.queries()["louvain"](spark, folder).collect()}
     assert set(group) == set(parts) and all(parts[c] == parts[x] for x, c in group.items())
 
