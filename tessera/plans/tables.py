@@ -244,7 +244,7 @@ def ranged_read(t: Tables) -> DataFrame:
     return filters.line_range(t.documents, "doc_id", "text", 2, 4)
 
 
-_PATHS = "(SELECT doc_id, source || '/' || lang || CASE WHEN doc_id % 7 = 0 THEN '/__tests__/' WHEN doc_id % 7 = 1 THEN '/Spec/' ELSE '/src/' END || 'f' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.test.ts' ELSE '.ts' END AS path FROM documents)"
+_FILES = "(SELECT doc_id, source || '/' || lang || CASE WHEN doc_id % 7 = 0 THEN '/__tests__/' WHEN doc_id % 7 = 1 THEN '/Spec/' ELSE '/src/' END || 'f' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.test.ts' ELSE '.ts' END AS path FROM documents)"
 
 
 def source_paths(t: Tables) -> DataFrame:
@@ -253,12 +253,12 @@ def source_paths(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat("source", F.lit("/"), "lang", folder, F.lit("f"), n.cast("string"), F.when(n % 5 == 0, ".test.ts").otherwise(".ts")).alias("path"))
 
 
-@query(f"SELECT doc_id, path FROM {_PATHS} WHERE regexp_matches(path, '(?i)(?:^|/)(?:__tests__|tests?|spec)/|[.](?:test|spec)[.][a-z]+$')")
+@query(f"SELECT doc_id, path FROM {_FILES} WHERE regexp_matches(path, '(?i)(?:^|/)(?:__tests__|tests?|spec)/|[.](?:test|spec)[.][a-z]+$')")
 def test_files(t: Tables) -> DataFrame:
     return source_paths(t).where(filters.is_test_file(F.col("path")))
 
 
-@query(f"SELECT doc_id, path, 1::BIGINT AS downgraded FROM {_PATHS} WHERE path LIKE '%/en/%' OR path LIKE '%/de/%'")
+@query(f"SELECT doc_id, path, 1::BIGINT AS downgraded FROM {_FILES} WHERE path LIKE '%/en/%' OR path LIKE '%/de/%'")
 def checked_globs(t: Tables) -> DataFrame:
     """Paths by patterns that were checked first: one is in both lists and counts as included."""
     include, exclude, both = filters.checked_patterns(["**/en/**", "**/de/**"], ["**/de/**", "**/fr/**"])
