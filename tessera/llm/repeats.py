@@ -28,7 +28,7 @@ PIECE = 1 << 21
 #: Blocks that are passed on in one go.
 ROWS = 1 << 15
 #: Blocks of a bucket above this are refined before they meet in a task, and bytes that a task refines in one go.
-HEAVY, BYTES = 1 << 10, 1 << 21
+HEAVY, BYTES = 1 << 12, 1 << 21
 #: Documents up to this many are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -237,16 +237,18 @@ def _refined(batches: Iterator[pa.RecordBatch], most: int = BYTES) -> Iterator[p
         yield done(rows)
 
 
-def _split(rows: DataFrame, heavy: int) -> DataFrame | None:
-    """``rows`` with the buckets of more than ``heavy`` blocks split, or None if there are none.
+def _split(rows: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame | None]:
+    """The ``rows`` of buckets of ``heavy`` blocks at most, and those of the others in split buckets, None if there are none.
 
     The windows of a bucket begin ``u`` to ``v`` bytes before its q-gram.  The nearer and the farther half of them each have more bytes in
     common, which make the new key, and a block goes with its windows to either.
     """
     large = stored(rows.where("v > u").groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > heavy).select(F.col("g").alias("_g")), "heavy-buckets")
     if large.isEmpty():
-        discard(large)
-        return None
+        return rows, None
+    keys = bounded(large, BROADCAST_ROWS)
+    light = rows.join(keys, F.col("g") == F.col("_g"), "left_anti")
+    rows = rows.join(keys, F.col("g") == F.col("_g"), "left_semi")
     m = F.floor((F.col("u") + F.col("v") + 1) / 2).cast("int")
     low = F.col("off") - F.col("n") + 1  # its last window begins so far before the q-gram
     far_n = F.col("off") - F.greatest(m, low) + 1
@@ -260,10 +262,8 @@ def _split(rows: DataFrame, heavy: int) -> DataFrame | None:
 
     far = F.when(F.col("off") >= m, piece(0, m, F.col("v"), F.col("off"), far_n, F.lit(0), F.col("off") - m, DEPTH - F.col("v") + m))
     near = F.when(low < m, piece(1, F.col("u"), m - 1, near_off, near_n, skip, near_off - F.col("u"), DEPTH - m + 1 + F.col("u")))
-    same = F.struct("g", "u", "v", "lo", "n", "off", "bytes")
-    marked = rows.join(bounded(large, BROADCAST_ROWS), F.col("g") == F.col("_g"), "left")
-    pieces = F.when(F.col("_g").isNull(), F.array(same)).otherwise(F.array_compact(F.array(far, near)))
-    return marked.select("doc_id", "k", F.explode(pieces).alias("x")).select("doc_id", "k", "x.*")
+    pieces = F.array_compact(F.array(far, near))
+    return light, rows.select("doc_id", "k", F.explode(pieces).alias("x")).select("doc_id", "k", "x.*")
 
 
 def _order() -> list[Column]:
@@ -299,10 +299,10 @@ def removed(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
         whole = texts.join(open_, mine(texts, open_))
         cut = F.transform("found", lambda x: F.struct(x["b"].alias("g"), F.lit(0).alias("u"), F.lit(DEPTH - GRAM).alias("v"), x["lo"].alias("lo"), x["n"].alias("n"), x["off"].alias("off"), F.substring(F.col("text"), (x["lo"] + 1).cast("int"), x["n"] + DEPTH - 1).alias("bytes")))
         strings = stored(whole.select("doc_id", "k", F.explode(cut).alias("x")).select("doc_id", "k", "x.*"), "strings")
-        while (split := _split(strings, heavy)) is not None:
-            finer = stored(split, "strings")
-            discard(strings)
-            strings = finer
+        strings, large = _split(strings, heavy)
+        while large is not None:  # rows of light buckets are not looked at again
+            light, large = _split(stored(large, "strings"), heavy)
+            strings = strings.unionByName(light)
         dealt = strings.select("g", (F.col("u") == F.col("v")).alias("one"), "doc_id", "k", "lo", "bytes").repartition("g").sortWithinPartitions("g", *_order())
         runs = judged.where("b is null").select("doc_id", "k", "lo", "n").unionByName(dealt.mapInArrow(_refined, _RUNS))
         found = runs.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "n")).alias("runs")).select("doc_id", "k", F.lit(False).alias("copy"), "runs")
