@@ -42,11 +42,11 @@ def carried(rows: DataFrame, by: str, order: list[str], value: str, first: str =
         whole = stored(pieces.groupBy("_piece").agg(F.lit(1).alias("_one")).join(ends, "_piece", "left"), "piece-ends", 1)
         over = Window.orderBy("_piece")  # as many rows as there are pieces
         back = F.last("tail", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-        on = F.first("head", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+        on = F.last("head", ignorenulls=True).over(Window.orderBy(F.desc("_piece")).rowsBetween(Window.unboundedPreceding, -1))
         carry = keep(stored(whole.select(F.col("_piece").alias("_p"), back.alias("_back"), on.alias("_on")), "carried", 1))
-    inside = Window.partitionBy("_piece").orderBy(by, *order)
-    before = F.last(some, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(some, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    # both look back, from either end: a frame that ends with the piece is gone through anew for each row
+    inside, turned = (Window.partitionBy("_piece").orderBy(*[c(x) for x in (by, *order)]).rowsBetween(Window.unboundedPreceding, 0) for c in (F.asc, F.desc))
+    before, after = F.last(some, ignorenulls=True).over(inside), F.last(some, ignorenulls=True).over(turned)
     out = pieces.withColumn("_b", before).withColumn("_a", after).join(F.broadcast(carry), F.col("_piece") == F.col("_p"))
     mine = lambda c, other: F.when(F.col(f"{c}.k").eqNullSafe(F.col(by)) & F.col(c).isNotNull(), F.col(f"{c}.v")).when(F.col(f"{other}.k").eqNullSafe(F.col(by)) & F.col(other).isNotNull(), F.col(f"{other}.v"))
     return out.withColumn(first, mine("_b", "_back")).withColumn(last, mine("_a", "_on")).drop("_b", "_a", "_p", "_back", "_on", "_piece")

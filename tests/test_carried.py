@@ -38,3 +38,12 @@ def test_no_rows(spark):
     empty = spark.createDataFrame([], "k long, at long, v long")
     assert joins.as_of(spark.createDataFrame([(1, 2)], "k long, at long"), empty, "k", "at", "v").collect()[0].anchor is None
     assert joins.as_of(empty.select("k", "at"), empty, "k", "at", "v").collect() == []
+
+
+def test_no_frame_reaches_to_the_end_of_a_piece(spark):
+    """Such a frame is gone through anew for each row: the square of a piece."""
+    rows = spark.createDataFrame([(1, i, None if i % 9 else i) for i in range(100)], "k long, at long, v long")
+    out = joins.carried(rows, "k", ["at"], "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    assert {(r["at"], r["_before"], r["_after"]) for r in out.collect()} == {(i, i - i % 9, -(-i // 9) * 9 if i else 0) for i in range(100)}
