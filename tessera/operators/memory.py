@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import clamp01, cosine
-from tessera.session import cut
+from tessera.session import cut, discard, stored
 
 SALIENCE_RATE, ACCESS_WEIGHT, ACCESS_RATE, COLD = 0.02, 0.6, 0.04, 0.2
 PERSISTENT, PROJECT, USER, SESSION = 0, 1, 2, 3
@@ -89,25 +89,35 @@ def keep_rule(pairs: DataFrame, memories: DataFrame) -> DataFrame:
     """``block, keep_id, remove_id, score``: of each pair ``block, a, b, score`` in order of ``a`` and ``b``, the less important goes, or else the less used;
     a memory that is gone takes no further part.
 
-    A pair is decided once it comes first among the pairs left of both its memories, so that each round decides many
-    and the outcome is that of one walk in order; no block is gathered.
+    A memory goes in the first pair that it would lose and whose other memory is still there. Each round narrows that pair down for all memories at once: it is
+    not before the first that may still count, and not after the first that does for sure. What is settled early settles others, so the rounds are few unless the
+    outcome is one long chain; it is that of one walk in order, and no block is gathered.
     """
     m = memories.select("id", "importance", F.col("access_count").cast("long").alias("uses"))
     left = m.select(F.col("id").alias("a"), F.col("importance").alias("ia"), F.col("uses").alias("ca"))
     right = m.select(F.col("id").alias("b"), F.col("importance").alias("ib"), F.col("uses").alias("cb"))
-    first = F.when(F.col("ia") != F.col("ib"), F.col("ia") > F.col("ib")).otherwise(F.col("ca") >= F.col("cb"))
+    first = F.coalesce(F.when(F.col("ia") != F.col("ib"), F.col("ia") > F.col("ib")).otherwise(F.col("ca") >= F.col("cb")), F.lit(False))
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    open_ = cut(pairs.join(left, "a").join(right, "b").select("block", "a", "b", "score", pick("a", "b").alias("keep_id"), pick("b", "a").alias("remove_id")))
-    done = open_.where("false").select("block", "keep_id", "remove_id", "score")
+    whole = stored(pairs.join(left, "a").join(right, "b").select("block", "a", "b", "score", pick("a", "b").alias("keep_id"), pick("b", "a").alias("remove_id")), "keep-pairs")
+    # each memory's pairs that it may go in, and the bounds of the pair that it goes in; no upper bound: it may stay
+    open_ = stored(whole.select("block", F.col("remove_id").alias("id"), F.col("keep_id").alias("by"), F.struct("a", "b").alias("p")), "keep-open")
+    bounds = stored(open_.groupBy("block", "id").agg(F.min("p").alias("lo")).select("block", "id", "lo", F.lit(None).cast(open_.schema["p"].dataType).alias("hi")), "keep-bounds")
     while not open_.isEmpty():
-        ends = open_.select("block", F.explode(F.array("a", "b")).alias("id"), F.struct("a", "b").alias("p")).groupBy("block", "id").agg(F.min("p").alias("p"))
-        ready = ends.groupBy("block", "p").agg(F.count("*").alias("n")).where("n = 2").select("block", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-        now = cut(open_.join(ready, ["block", "a", "b"], "left_semi"))
-        done = done.unionByName(now.select("block", "keep_id", "remove_id", "score"))
-        gone = now.select("block", F.col("remove_id").alias("g"))
-        rest = open_.join(now, ["block", "a", "b"], "left_anti").join(gone.withColumnRenamed("g", "a"), ["block", "a"], "left_anti").join(gone.withColumnRenamed("g", "b"), ["block", "b"], "left_anti")
-        open_ = cut(rest.select("block", "a", "b", "score", "keep_id", "remove_id"))
-    return done
+        other = bounds.select("block", F.col("id").alias("by"), F.lit(True).alias("_known"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        there = F.col("_known").isNull() | F.coalesce(F.col("_lo") >= F.col("p"), F.lit(True))
+        maybe = open_.join(other, ["block", "by"], "left").where(F.col("_known").isNull() | F.col("_hi").isNull() | (F.col("_hi") >= F.col("p")))
+        met = stored(maybe.select("block", "id", "by", "p", there.alias("sure")), "keep-met")
+        found = met.groupBy("block", "id").agg(F.min("p").alias("_l"), F.min(F.when(F.col("sure"), F.col("p"))).alias("_h"))
+        asked = open_.select("block", "id").distinct().withColumn("_asked", F.lit(True))
+        new = bounds.join(asked, ["block", "id"], "left").join(found, ["block", "id"], "left")
+        new = stored(new.select("block", "id", *[F.when(F.col("_asked"), F.col(f"_{c[0]}")).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")]), "keep-bounds")
+        wide = new.where("lo is not null and not (lo <=> hi)").select("block", "id", "hi")
+        rest = stored(met.join(wide, ["block", "id"]).where(F.col("hi").isNull() | (F.col("p") <= F.col("hi"))).select("block", "id", "by", "p"), "keep-open")
+        for t in (open_, bounds, met):
+            discard(t)
+        open_, bounds = rest, new
+    gone = bounds.where("hi is not null").select("block", F.col("hi.a").alias("a"), F.col("hi.b").alias("b"))
+    return whole.join(gone, ["block", "a", "b"], "left_semi").select("block", "keep_id", "remove_id", "score")
 
 
 def merged(memories: DataFrame, merges: DataFrame) -> DataFrame:

@@ -124,6 +124,21 @@ def test_keep_rule_is_one_walk_in_order(spark):
     assert got == {(1, *x) for x in walk(pairs, rank)} | {(2, *x) for x in walk([p for p in pairs if sum(p) % 2], rank)}
 
 
+def test_keep_rule_settles_many_pairs_of_a_memory_in_a_round(spark):
+    """A memory that outlives all of its many others took a round for each."""
+    rng = random.Random(2)
+    rank = {i: (0.9 if i == 1 else rng.randrange(10) / 10, rng.randrange(7)) for i in range(1, 61)}
+    pairs = {(1, b) for b in range(2, 61)} | {(a, b) for a in range(30, 61) for b in range(a + 1, 61) if (a + b) % 3}
+    m = spark.createDataFrame([(i, *r) for i, r in rank.items()], "id long, importance double, access_count long")
+    df = spark.createDataFrame([(1, *p, 0.9) for p in pairs], "block long, a long, b long, score double")
+    spark.sparkContext.setJobGroup("keep-rule", "")
+    got = {(r.keep_id, r.remove_id) for r in memory.keep_rule(df, m).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("keep-rule"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == walk(pairs, rank)
+    assert 0 < jobs < 150
+
+
 def test_consolidation_windows(spark):
     rng = np.random.default_rng(4)
     rows = [(["a", "b", None][n % 3], n, [float(x) for x in rng.normal(size=3)] if n % 7 else None, n // 2) for n in range(60)]
