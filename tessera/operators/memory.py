@@ -202,20 +202,28 @@ def _says(text: Column, signals: tuple[str, ...]) -> Column:
     return out
 
 
+def signals(text: Column) -> Column:
+    """What a text says of earlier memories, four booleans: a memory's are the same in all its pairs, so texts need not go with pairs."""
+    named = (("contradicts", CONTRADICTS), ("resolves", RESOLVES), ("derives", DERIVES), ("supports", SUPPORTS))
+    return F.struct(*[_says(text, words).alias(name) for name, words in named])
+
+
 def relation(pairs: DataFrame) -> DataFrame:
     """``relation, confidence`` for pairs of a newer and an older memory: the first rule that holds; pairs without a relation go.
 
-    Reads ``similarity, new_type, old_type, new_text, newer`` (whether the new one was made later) and ``shared_tags``.
+    Reads ``similarity, new_type, old_type, newer`` (whether the new one was made later), ``shared_tags``, and ``says``, the :func:`signals` of the new
+    one's text, or else ``new_text``.
     """
-    s, new, old, text = F.col("similarity"), F.col("new_type"), F.col("old_type"), F.col("new_text")
+    s, new, old = F.col("similarity"), F.col("new_type"), F.col("old_type")
+    says = F.col("says") if "says" in pairs.columns else signals(F.col("new_text"))
     same = new == old
     rules = [
         ("SUPERSEDES", same & (s >= 0.92) & F.col("newer"), F.least(F.lit(0.95), s)),
-        ("CONTRADICTS", _says(text, CONTRADICTS) & ((s >= 0.5) | F.col("shared_tags")), 0.7 + s * 0.2),
-        ("RESOLVES", _says(text, RESOLVES) & old.isin("decision", "pattern"), 0.65 + s * 0.25),
-        ("DERIVED_FROM", _says(text, DERIVES), 0.6 + s * 0.3),
+        ("CONTRADICTS", says["contradicts"] & ((s >= 0.5) | F.col("shared_tags")), 0.7 + s * 0.2),
+        ("RESOLVES", says["resolves"] & old.isin("decision", "pattern"), 0.65 + s * 0.25),
+        ("DERIVED_FROM", says["derives"], 0.6 + s * 0.3),
         ("DERIVED_FROM", (((new == "code") & (old == "decision")) | ((new == "pattern") & (old == "code"))) & (s >= 0.7), 0.55 + s * 0.3),
-        ("SUPPORTS", _says(text, SUPPORTS), 0.6 + s * 0.3),
+        ("SUPPORTS", says["supports"], 0.6 + s * 0.3),
         ("SUPPORTS", same & (s >= 0.8) & new.isin("pattern", "decision"), 0.5 + s * 0.3),
         ("RELATES_TO", s >= 0.75, s * 0.8),
     ]

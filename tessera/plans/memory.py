@@ -99,11 +99,11 @@ def _contains(signals: tuple[str, ...]) -> str:
 )
 def relation_rules(t: Tables) -> DataFrame:
     said = F.element_at(F.array(*map(F.lit, (" use x instead of y", " Fixed now", " based on it", " This CONFIRMS it", "", "", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
-    texts = t.documents.select(F.col("doc_id").alias("b"), F.concat(F.coalesce("text", F.lit("")), said).alias("new_text"))
+    texts = t.documents.select(F.col("doc_id").alias("b"), memory.signals(F.concat(F.coalesce("text", F.lit("")), said)).alias("says"))
     pairs = vector.similar_pairs(t.embeddings, "label", 0.2).join(texts, "b")
     kind = lambda c: F.element_at(F.array(*map(F.lit, ("code", "decision", "pattern"))), (F.col(c) % 3 + 1).cast("int"))
     rows = pairs.select(
-        "a", "b", F.round(F.col("score") * 2, 6).alias("similarity"), kind("a").alias("old_type"), kind("b").alias("new_type"), "new_text",
+        "a", "b", F.round(F.col("score") * 2, 6).alias("similarity"), kind("a").alias("old_type"), kind("b").alias("new_type"), "says",
         (F.col("b") > F.col("a")).alias("newer"), (F.col("a") % 10 == F.col("b") % 10).alias("shared_tags"),
     )
     return memory.relation(rows).select("a", "b", "relation", F.round("confidence", 4).alias("confidence"))

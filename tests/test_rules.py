@@ -124,6 +124,15 @@ def test_keep_rule_is_one_walk_in_order(spark):
     assert got == {(1, *x) for x in walk(pairs, rank)} | {(2, *x) for x in walk([p for p in pairs if sum(p) % 2], rank)}
 
 
+def test_no_text_goes_with_pairs(spark, sf):
+    """What a text says is told once a document, not once a pair."""
+    from tessera import queries
+
+    plan = queries.queries()["relation_rules"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("FlatMapGroupsInArrow")]  # all that stands over the pairs, up to their making
+    assert "Join" in above and "contains(" not in above.lower()
+
+
 def test_keep_rule_settles_many_pairs_of_a_memory_in_a_round(spark):
     """A memory that outlives all of its many others took a round for each."""
     rng = random.Random(2)
