@@ -31,15 +31,18 @@ def typed_edges(edges: DataFrame, node: object, kinds: list[str], direction: str
 def go_to_definition(defs: DataFrame, refs: DataFrame, imports: DataFrame, centrality: DataFrame) -> DataFrame:
     """``ref_id, id, place``: candidates for each reference: in the same file, then imported directly, then central, then by id.
 
-    ``defs(id, name, file)``, ``refs(ref_id, name, file)``, ``imports(src, dst)`` and ``centrality(file, rank)``.
+    ``defs(id, name, file)``, ``refs(ref_id, name, file)``, ``imports(src, dst)`` and ``centrality(file, rank)``; a ``ref_id`` is one reference.
+    References of one file to one name have the same candidates, which are ranked once.
     """
+    asked = refs.select("name", "file").distinct()
     d = defs.select("id", "name", F.col("file").alias("def_file"))
-    found = refs.join(d, "name")
+    found = asked.join(d, "name")
     direct = imports.select(F.col("src").alias("file"), F.col("dst").alias("def_file"), F.lit(1).alias("direct")).distinct()
     near = F.when(F.col("file") == F.col("def_file"), 2).when(F.col("direct") == 1, 1).otherwise(0)
     rows = found.join(direct, ["file", "def_file"], "left").join(centrality.select(F.col("file").alias("def_file"), "rank"), "def_file", "left").withColumn("near", near)
-    order = Window.partitionBy("ref_id").orderBy(F.col("near").desc(), F.coalesce("rank", F.lit(0.0)).desc(), "id")
-    return rows.select("ref_id", "id", F.row_number().over(order).cast("long").alias("place"))
+    order = Window.partitionBy("name", "file").orderBy(F.col("near").desc(), F.coalesce("rank", F.lit(0.0)).desc(), "id")
+    ranked = rows.select("name", F.col("file").alias("_f"), "id", F.row_number().over(order).cast("long").alias("place"))
+    return refs.join(ranked, (refs["name"] == ranked["name"]) & refs["file"].eqNullSafe(F.col("_f"))).select("ref_id", "id", "place")
 
 
 def resolved(asked: DataFrame, defs: DataFrame) -> DataFrame:

@@ -161,6 +161,26 @@ def test_keep_rule(spark):
     assert [(r.keep_id, r.remove_id) for r in memory.keep_rule(pairs, m).orderBy("remove_id").collect()] == [(2, 1), (3, 2), (3, 4)]
 
 
+def test_definitions_are_ranked_once_a_file_and_name(spark):
+    """References of one file share their candidates; before, each candidate was sorted once for each reference."""
+    from tessera.operators import symbols
+
+    rng = random.Random(6)
+    defs = [(i, rng.randrange(4), rng.randrange(6)) for i in range(60)]
+    refs = [(i, rng.randrange(5), rng.choice([0, 1, 2, None])) for i in range(80)]
+    imports = [(rng.randrange(3), rng.randrange(6)) for _ in range(6)]
+    rank = {f: rng.randrange(3) / 2 for f in range(5)}
+    make = lambda rows, cols: spark.createDataFrame(rows, cols)
+    out = symbols.go_to_definition(make(defs, "id long, name long, file long"), make(refs, "ref_id long, name long, file long"), make(imports, "src long, dst long"), make(list(rank.items()), "file long, rank double"))
+    want = set()
+    for r, name, file in refs:
+        mine = [(-(2 if f == file else 1 if (file, f) in imports else 0), -rank.get(f, 0.0), i) for i, n, f in defs if n == name]
+        want |= {(r, x[-1], n + 1) for n, x in enumerate(sorted(mine))}
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "windowspecdefinition(ref_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_decay_edges(spark):
     now = F.lit("2024-02-01").cast("timestamp")
     rows = [(1, None, None, None, False), (2, 2.0, 3, "2024-03-01", False), (3, 0.7, 0, "2023-01-01", True), (4, float("nan"), -5, "2024-01-31", None)]
