@@ -14,8 +14,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,12 @@ RAREST = 3
 BY_ID = 1000
 #: Segments up to this many stay as they are.
 SEGMENTS = 4
+#: Blocks that a task indexes, where there are many.
+BLOCKS = 8
+#: Posting rows; those of trigrams have no counts.
+LISTS = "kind string, key string, block long, most long, ids array<long>, counts array<long>"
+
+_WORD = re.compile("[a-z0-9_]+")
 
 
 @dataclass
@@ -71,23 +81,25 @@ class TextIndex:
         rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *self.attributes)
         return rows.withColumn("block", F.shiftright("doc_id", self.shift))
 
-    def _write(self, name: str, docs: DataFrame, words: DataFrame | None, grams: DataFrame | None) -> None:
+    def _write(self, name: str, docs: DataFrame, texts: DataFrame | None) -> None:
         folder = f"{self.path}/{name}"
         docs.repartitionByRange("block", "doc_id").sortWithinPartitions("block", "doc_id").write.parquet(f"{folder}/docs")
-        for kind, key, rows in (("words", "word", words), ("grams", "gram", grams)):
-            if rows is not None:
-                rows.repartitionByRange(key, "block").sortWithinPartitions(key, "block").write.parquet(f"{folder}/{kind}")
+        if texts is not None:
+            lists = stored(self._lists(texts), "posting-lists")  # a range partitioning reads its rows twice
+            lists.repartitionByRange("kind", "key", "block").sortWithinPartitions("kind", "key", "block").write.partitionBy("kind").parquet(f"{folder}/lists")
+            discard(lists)
+
+    def _lists(self, texts: DataFrame) -> DataFrame:
+        """The posting rows of ``block, doc_id, text``.  A block is one task's, so that its lists need no further shuffle; a task has a few blocks, whatever their size in bytes."""
+        blocks, cores = texts.select("block").distinct().count(), self.spark.sparkContext.defaultParallelism
+        low = texts.select("block", "doc_id", F.lower("text").alias("low")).repartition(max(1, min(blocks, 4 * cores), blocks // BLOCKS), "block")
+        return low.sortWithinPartitions("block", "doc_id").mapInArrow(_postings, LISTS)
 
     def upsert(self, docs: DataFrame) -> None:
         """Add documents, or put them in place of those with their ids; ids are unique in ``docs``."""
         number, segments = self._manifest()
         placed = self._placed(docs)
-        # a block is one task's, so that its lists need no further shuffle
-        low = placed.select("doc_id", "block", F.lower("text").alias("low")).repartition("block")
-        words = low.select("block", "doc_id", F.explode(F.regexp_extract_all("low", F.lit("([a-z0-9_]+)"), 1)).alias("word"))
-        words = words.groupBy("block", "word", "doc_id").agg(F.count("*").alias("n"))
-        grams = low.select("block", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), 1))).alias("gram"))
-        self._add(number, segments, placed.withColumn("deleted", F.lit(False)), _listed(words), _gram_lists(grams))
+        self._add(number, segments, placed.withColumn("deleted", F.lit(False)), placed)
 
     def delete(self, ids: DataFrame) -> None:
         """Leave out the documents whose ``doc_id`` is in ``ids``."""
@@ -97,19 +109,19 @@ class TextIndex:
         kinds = dict(self._docs(segments).dtypes)
         rows = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
         rows = rows.select("doc_id", F.lit("").alias("text"), *[F.lit(None).cast(kinds[a]).alias(a) for a in self.attributes], F.shiftright("doc_id", self.shift).alias("block"), F.lit(True).alias("deleted"))
-        self._add(number, segments, rows, None, None)
+        self._add(number, segments, rows, None)
 
-    def _add(self, number: int, segments: list[dict], docs: DataFrame, words: DataFrame | None, grams: DataFrame | None) -> None:
+    def _add(self, number: int, segments: list[dict], docs: DataFrame, texts: DataFrame | None) -> None:
         name = f"segment-{uuid.uuid4().hex}"
-        self._write(name, docs, words, grams)
+        self._write(name, docs, texts)
         count = self.spark.read.parquet(f"{self.path}/{name}/docs").count()
-        new = {"name": name, "number": max((s["number"] for s in segments), default=0) + 1, "docs": count, "postings": words is not None}
+        new = {"name": name, "number": max((s["number"] for s in segments), default=0) + 1, "docs": count, "postings": texts is not None}
         self._commit(number, [*segments, new])
 
     def merge(self, least: int = SEGMENTS) -> bool:
         """If there are more than ``least`` segments, make one of the newest and all before them that are not larger than those after them together; whether it did.
 
-        Deletes are kept as long as there is an older segment.
+        Deletes are kept as long as there is an older segment.  What is left is indexed anew from its texts.
         """
         number, segments = self._manifest()
         if len(segments) <= least:
@@ -119,13 +131,11 @@ class TextIndex:
             start -= 1
             total += segments[start]["docs"]
         run = segments[start:]
-        last = self._last(self._docs(run))
-        docs = (last if start else last.where("not deleted")).drop("number")
-        live = last.where("not deleted").select("doc_id", "number")
-        words = self._rows(run, "words").select("number", "block", "word", F.explode(F.arrays_zip("ids", "counts")).alias("p")).select("number", "block", "word", F.col("p.ids").alias("doc_id"), F.col("p.counts").alias("n"))
-        grams = self._rows(run, "grams").select("number", "block", "gram", F.explode("ids").alias("doc_id"))
+        last = stored(self._last(self._docs(run)).drop("number"), "merged-docs")
+        live = last.where("not deleted")
         name = f"segment-{uuid.uuid4().hex}"
-        self._write(name, docs, _listed(words.join(live, ["doc_id", "number"])), _gram_lists(grams.join(live, ["doc_id", "number"])))
+        self._write(name, last if start else live, live)
+        discard(last)
         count = self.spark.read.parquet(f"{self.path}/{name}/docs").count()
         self._commit(number, [*segments[:start], {"name": name, "number": run[-1]["number"], "docs": count, "postings": True}])
         return True
@@ -133,7 +143,13 @@ class TextIndex:
     # reading
 
     def _rows(self, segments: list[dict], kind: str) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.path}/{s['name']}/{kind}").withColumn("number", F.lit(s["number"])) for s in segments if kind == "docs" or s["postings"]]
+        def rows(name: str) -> DataFrame:
+            if kind == "docs":
+                return self.spark.read.parquet(f"{self.path}/{name}/docs")
+            lists = self.spark.read.schema(LISTS).parquet(f"{self.path}/{name}/lists").where(F.col("kind") == kind)
+            return lists.select(F.col("key").alias("word"), "block", "most", "ids", "counts") if kind == "words" else lists.select(F.col("key").alias("gram"), "block", "ids")
+
+        parts = [rows(s["name"]).withColumn("number", F.lit(s["number"])) for s in segments if kind == "docs" or s["postings"]]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -259,11 +275,39 @@ class TextIndex:
         return each.groupBy("word").agg(F.count("*").alias("df"))
 
 
-def _listed(words: DataFrame) -> DataFrame:
-    """``word, block, most, ids, counts`` of ``block, word, doc_id, n``."""
-    lists = words.groupBy("block", "word").agg(F.max("n").alias("most"), F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("p"))
-    return lists.select("word", "block", "most", F.col("p.doc_id").alias("ids"), F.col("p.n").alias("counts"))
-
-
-def _gram_lists(grams: DataFrame) -> DataFrame:
-    return grams.groupBy("block", "gram").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).select("gram", "block", "ids")
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :data:`LISTS` for ``block, doc_id, low`` in order: each word of a block with its documents and how often they have it, and each trigram with its documents."""
+    block, words, ids, grams = None, {}, [], []
+
+    def lists(kind: str, keys: list[str], sizes: np.ndarray, docs: np.ndarray, counts: np.ndarray | None) -> pa.RecordBatch:
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        most = pa.nulls(len(keys), pa.int64()) if counts is None else pa.array(np.maximum.reduceat(counts, ends.to_numpy()[:-1]))
+        n = pa.nulls(len(keys), pa.list_(pa.int64())) if counts is None else pa.ListArray.from_arrays(ends, pa.array(counts))
+        columns = [pa.array([kind] * len(keys)), pa.array(keys), pa.array(np.full(len(keys), block)), most, pa.ListArray.from_arrays(ends, pa.array(docs)), n]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "block", "most", "ids", "counts"])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if words:
+            sizes = np.array([len(x) // 2 for x in words.values()])
+            flat = np.array([v for x in words.values() for v in x], np.int64).reshape(-1, 2)
+            yield lists("words", list(words), sizes, flat[:, 0].copy(), flat[:, 1].copy())
+        keys = np.concatenate(grams) if grams else np.empty(0, np.int64)
+        if len(keys):
+            order = np.argsort(keys, kind="stable")
+            docs, keys = np.repeat(np.array(ids, np.int64), [len(g) for g in grams])[order], keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            points = np.column_stack([keys[first] >> 42, keys[first] >> 21 & 0x1FFFFF, keys[first] & 0x1FFFFF]).astype("<u4")
+            text = points.tobytes().decode("utf-32-le")
+            yield lists("grams", [text[i : i + 3] for i in range(0, len(text), 3)], np.diff(np.append(first, len(keys))), docs, None)
+
+    for batch in batches:
+        for b, i, low in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "low")), strict=True):
+            if b != block:
+                yield from done()
+                block, words, ids, grams = b, {}, [], []
+            for word, n in Counter(_WORD.findall(low)).items():
+                words.setdefault(word, []).extend((i, n))
+            x = np.frombuffer(low.encode("utf-32-le"), "<u4").astype(np.int64)
+            ids.append(i)
+            grams.append(np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:]))
+    yield from done()

@@ -159,3 +159,24 @@ def test_a_key_is_shared_by_near_words_alone(spark):
     words = spark.createDataFrame([(f"{a}{b}{c}word",) for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"], "word string")
     keys = words.select("word", F.explode(lexical.neighbour_keys(F.col("word"), asked=False)).alias("k")).groupBy("k").agg(F.count_distinct("word").alias("n"))
     assert keys.agg(F.max("n")).first()[0] <= 64  # of 512 words of one length
+
+
+def test_blocks_are_not_gathered_in_one_task(spark):
+    """Small shuffles are put together by size, and one task indexed all blocks: what it made of the texts is many times as large."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} and other text \U0001f600\U0001f601\U0001f602 {i}", "en") for i in range(256)], SCHEMA)
+    index = TextIndex(spark, path(spark), ("lang",), shift=3)
+    spark.sparkContext.setJobGroup("index", "")
+    index.upsert(docs)
+    stages = [s for j in spark.sparkContext.statusTracker().getJobIdsForGroup("index") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    tasks = [i.numTasks for s in set(stages) if (i := spark.sparkContext.statusTracker().getStageInfo(s))]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) >= 16
+    assert rows(index.search("word3 word5", 300)) == rows(lexical.prefix_search(docs, "word3 word5", 300))
+    assert rows(index.coverage("d5 \U0001f600\U0001f601\U0001f602", 300)) == rows(lexical.term_coverage(docs, "d5 \U0001f600\U0001f601\U0001f602", 300))
+
+
+def test_an_index_of_nothing(spark):
+    index = TextIndex(spark, path(spark), ("lang",))
+    index.upsert(spark.createDataFrame([(1, "", "en"), (2, None, "en")], SCHEMA))
+    assert rows(index.search("a", 5)) == [] and rows(index.coverage("abc", 5)) == [] and rows(index.vocabulary()) == []
+    assert index.documents().count() == 2
