@@ -14,6 +14,8 @@ from tessera.session import cut
 
 #: Query vectors that are shipped to every task at most.
 MAX_QUERIES = 10_000
+#: Query vectors that meet a batch of items at once.
+MET = 512
 #: Rows of a block that are compared in one task, with as many others.
 TILE = 4096
 
@@ -31,6 +33,38 @@ def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
+def _first(x: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows ``query, id, score`` the first ``k`` of each query."""
+    order = np.lexsort((i, -s, x))
+    x, i, s = x[order], i[order], s[order]
+    near = np.arange(len(x)) - np.searchsorted(x, x) < k
+    return x[near], i[near], s[near]
+
+
+class _Best:
+    """The best ``k`` items of each query so far; no more than ``MET`` queries meet a batch at once, so that memory does not grow with the queries."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, {}
+
+    def meet(self, asked: np.ndarray, q: np.ndarray, items: np.ndarray, unit: np.ndarray, digits: int, key: int = 0) -> None:
+        """Rows ``asked`` of ``q``, at most ``MET``, meet ``items``.  ``key`` tells apart what is asked of different lists."""
+        s = np.round(np.clip(q[asked] @ unit.T, 0, 1), digits)
+        cut_at = s.shape[1] - self.k
+        x, y = np.nonzero(s >= np.partition(s, cut_at, axis=1)[:, cut_at, None]) if cut_at > 0 else np.nonzero(np.ones(s.shape, bool))
+        new = (asked[x], items[y].astype(np.int64), s[x, y])
+        if len(asked):
+            place = (key, int(asked[0]))
+            old = self.rows.get(place)
+            self.rows[place] = _first(*(new if old is None else map(np.concatenate, zip(old, new, strict=True))), self.k)
+
+    def named(self, ids: list, query_id: str, item_id: str) -> pa.RecordBatch:
+        parts = self.rows.values()
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        x, i, s = _first(*map(np.concatenate, zip(empty, *parts, strict=True)), self.k)
+        return pa.record_batch([pa.array(np.array(ids, np.int64)[x]), pa.array(i), pa.array(s)], [query_id, item_id, "score"])
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """``query_id, item_id, score`` of the ``k`` items with the largest cosine, in [0, 1], for each query.
 
@@ -55,14 +89,12 @@ def _block_knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, ite
     q, ids = matrix(asked[vector], size), asked[query_id].to_pylist()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_s, top_i = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        top = _Best(k)
         for b in batches:
-            s = np.round(np.clip(q @ matrix(b.column(1), size).T, 0, 1), digits)
-            s, i = np.hstack([top_s, s]), np.hstack([top_i, np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False), s.shape)])
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        n = top_s.shape[1]
-        yield pa.record_batch([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(top_i.ravel()), pa.array(top_s.ravel())], [query_id, item_id, "score"])
+            unit, items = matrix(b.column(1), size), b.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(ids), MET):
+                top.meet(np.arange(at, min(at + MET, len(ids))), q, items, unit, digits)
+        yield top.named(ids, query_id, item_id)
 
     found = corpus.select(F.col(item_id).cast("long"), vector).where(F.col(item_id).isNotNull()).mapInArrow(best, f"{query_id} long, {item_id} long, score double")
     nth = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), item_id))
@@ -102,11 +134,34 @@ class Index:
 
         Vectors without clusters, as random ones, need most lists for a recall of nine tenths; clustered ones need few.
         """
-        asked = queries.select(query_id, F.col(self.vector).alias("_q"), F.explode(self._order(V.unit(F.col(self.vector)), probes)).alias("list"))
-        scored = self.lists.join(asked, "list").select(query_id, self.item_id, F.round(V.clamp01(V.cosine(F.col(self.vector), F.col("_q"))), 6).alias("score"))
+        blocks = max(1, -(-queries.count() // MAX_QUERIES))
+        parts = [self._found(queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n) if blocks > 1 else queries, k, probes, query_id) for n in range(blocks)]
+        scored = parts[0]
+        for p in parts[1:]:
+            scored = scored.unionByName(p)
         nth = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), self.item_id))
         return scored.withColumn("rank", nth).where(F.col("rank") <= k)
 
+    def _found(self, queries: DataFrame, k: int, probes: int, query_id: str) -> DataFrame:
+        """The best of each task: batches of items are multiplied with the queries that ask for their lists, and no pairs are joined."""
+        asked = queries.select(query_id, self.vector, self._order(V.unit(F.col(self.vector)), probes).alias("lists")).toArrow()
+        size, item_id, ids = len(self.centres[0]), self.item_id, asked[query_id].to_pylist()
+        q, lists = matrix(asked[self.vector], size), asked["lists"].to_pylist()
+        want = {n: np.array([i for i, x in enumerate(lists) if n in (x or ())], np.int64) for n in range(len(self.centres))}
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = _Best(k)
+            for b in batches:
+                of = b.column(2).to_numpy(zero_copy_only=False)
+                items, unit = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), size)
+                for n in np.unique(of).tolist():
+                    here = of == n
+                    for at in range(0, len(want[n]), MET):
+                        top.meet(want[n][at : at + MET], q, items[here], unit[here], 6, n)
+            yield top.named(ids, query_id, item_id)
+
+        return self.lists.select(F.col(item_id).cast("long"), self.vector, "list").where(F.col(item_id).isNotNull()).mapInArrow(best, f"{query_id} long, {item_id} long, score double")
+
 
 def collected(items: DataFrame, ids: list[int] | None = None, item_id: str = "vec_id", **where: object) -> DataFrame:
     """Items of a collection by id and by the values of columns."""

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from datetime import UTC, datetime
 from itertools import product
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -181,6 +182,24 @@ def test_definitions_are_ranked_once_a_file_and_name(spark):
     assert "windowspecdefinition(ref_id" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_queries_meet_items_in_bounded_pieces(monkeypatch, spark):
+    """All queries met a batch at once, and an executor's memory grew with them; ties at the edge still go to the smaller id."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 3)))
+    x[0] = 1.0
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    norm = np.linalg.norm(x, axis=1)
+    unit = x / np.where(norm > 0, norm, 1)[:, None]
+    score = np.round(np.clip(unit @ unit.T, 0, 1), 6)
+    want = {(i, j, n + 1) for i in range(0, 300, 5) for n, j in enumerate(sorted(range(300), key=lambda j: (-score[i, j], j))[:4])}
+    monkeypatch.setattr(vector, "MET", 7)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in vector.knn(asked, frame, 4).collect()} == want
+    found = vector.Index(frame, lists=4).search(asked, 4, probes=4)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in found.collect() if norm[r.query_id]} == {w for w in want if norm[w[0]]}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_decay_edges(spark):
     now = F.lit("2024-02-01").cast("timestamp")
     rows = [(1, None, None, None, False), (2, 2.0, 3, "2024-03-01", False), (3, 0.7, 0, "2023-01-01", True), (4, float("nan"), -5, "2024-01-31", None)]
