@@ -126,8 +126,15 @@ class Index:
 
     def _order(self, unit: Column, n: int) -> Column:
         """Numbers of the ``n`` centroids nearest to a unit vector."""
-        far = [F.struct(V.squared_distance(unit, F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]
-        return F.transform(F.slice(F.array_sort(F.array(*far)), 1, n), lambda s: s["i"])
+        centres = np.array(self.centres)
+
+        @F.arrow_udf("array<int>")
+        def run(batch: pa.Array) -> pa.Array:
+            far = (centres * centres).sum(axis=1) - 2 * matrix(batch, centres.shape[1]) @ centres.T
+            near = np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+
+        return run(unit)
 
     def search(self, queries: DataFrame, k: int, probes: int = 20, query_id: str = "query_id") -> DataFrame:
         """``query_id, item_id, score, rank`` of the best ``k`` in the ``probes`` lists nearest to each query.
