@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, discard
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
 #: Rounds of an iteration between stored tables.
@@ -61,20 +61,41 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, t
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node that each reaches, whatever the direction."""
-    both = cut(both_ways(edges.select("src", "dst")).distinct())
-    labels = cut(nodes(edges).withColumn("label", F.col("node")))
-    while True:
-        seen = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("near"))
-        step = labels.join(seen, F.col("node") == F.col("src"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        # jump to the label of the label, which halves long chains
-        to = step.select(F.col("node").alias("at"), F.col("new").alias("then"))
-        jumped = step.join(to, F.col("new") == F.col("at"), "left").select("node", "label", F.least("new", F.coalesce("then", "new")).alias("new"))
-        jumped = cut(jumped)
-        changed = jumped.where("new <> label").limit(1).count()
-        labels = jumped.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+    """``node, component``: the smallest node that each reaches, whatever the direction.
+
+    Each node first hangs on its smallest smaller neighbour, which leaves edges between what others hang on.  These are contracted in rounds: a node goes
+    to that of itself and its neighbours which comes first by a hash, another one in each round, so that every round takes a share of the nodes away
+    whatever the shape of the graph.  A round reads only what is left; the places of nodes are read back once.
+    """
+    e = cut(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a is not null"))
+    under = cut(e.where("a > b").groupBy("a").agg(F.min("b").alias("to")))
+    ends = e.select(F.col("b").alias("node"), F.lit(None).alias("to"), F.lit(True).alias("held")).unionByName(under.select(F.col("a").alias("node"), "to", F.lit(False).alias("held")))
+    known = cut(ends.groupBy("node").agg(F.max("to").alias("to"), F.max("held").alias("held")))
+    moved = e.where("a > b").join(under, "a").where("b <> to").select(F.col("b").alias("a"), F.col("to").alias("b"))
+    left = cut(moved.unionByName(known.where("held and to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))).distinct())
+    discard(e)
+    discard(under)
+    steps = []
+    while not left.isEmpty():
+        met = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select("b", "a").toDF("node", "other"))
+        place = lambda c: F.xxhash64(c, F.lit(len(steps)))  # noqa: B023, E731
+        first = met.withColumn("h", place("other")).groupBy("node").agg(F.min_by("other", "h").alias("to"), F.min("h").alias("h"))
+        steps.append(cut(first.select("node", F.when(place("node") <= F.col("h"), F.col("node")).otherwise(F.col("to")).alias("to"))))
+        x, y = steps[-1].toDF("a", "x"), steps[-1].toDF("b", "y")
+        after = cut(left.join(x, "a").join(y, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        discard(left)
+        left = after
+    own = known.select("node", F.coalesce("to", "node").alias("to"))
+    if not steps:
+        return own.withColumnRenamed("to", "component")
+    roots = steps.pop()
+    while steps:
+        to = steps.pop()
+        roots = to.join(roots.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
+        if len(steps) % CUT_ROUNDS == 0:
+            roots = cut(roots)
+    names = roots.join(roots.groupBy("to").agg(F.min("node").alias("component")), "to").select(F.col("node").alias("to"), "component")
+    return own.join(names, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
 
 
 def _reach(edges: DataFrame, start: DataFrame, within: DataFrame) -> DataFrame:
@@ -358,7 +379,7 @@ def communities(edges: DataFrame, levels: int = LEVELS, rounds: int = MOVES) ->
         graph = cut(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
     x, y = member.select(F.col("node").alias("a"), F.col("c").alias("ca")), member.select(F.col("node").alias("b"), F.col("c").alias("cb"))
     inner = base.join(x, "a").join(y, "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = components(inner)
+    parts = cut(components(inner))
     alone = member.join(parts, "node", "left_anti").select("node", F.col("node").alias("community"))
     return parts.select("node", F.col("component").alias("community")).unionByName(alone)
 

@@ -1,5 +1,6 @@
 """Graph queries over all of lineitem, against plain Python."""
 
+import random
 from datetime import date
 
 import pytest
@@ -64,6 +65,36 @@ def test_communities_of_all_lines(spark, tmp_path):
     assert set(group) == set(parts) and all(parts[c] == parts[x] for x, c in group.items())
 
 
+def tables_of(monkeypatch):
+    """Rows of each table that a graph operator stores from here on."""
+    rows, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    return rows
+
+
+def test_components_store_finished_ones_once(spark, monkeypatch):
+    pairs = [(2 * i, 2 * i + 1) for i in range(500)] + [(2000 + i, 2001 + i) for i in range(64)]
+    rows = tables_of(monkeypatch)
+    assert {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "src long, dst long")).collect()} == united(pairs)
+    assert sum(rows) < 4 * 1065
+
+
+def test_components_of_any_shape(spark):
+    rng = random.Random(3)
+    shapes = [[(i, rng.randrange(i)) for i in range(1, 80)], [(99, i) for i in range(50)], [(rng.randrange(90), rng.randrange(90)) for _ in range(60)], [(i, (i + 1) % 40) for i in range(40)], [(5, 5), (7, 5), (9, 9)]]
+    pairs = [(1000 * i + a, 1000 * i + b) for i, s in enumerate(shapes) for a, b in s]
+    got = graph.components(spark.createDataFrame([*pairs, *pairs[:9], (9000, None), (None, None)], "src long, dst long")).collect()
+    assert {r.node: r.component for r in got} == {**united(pairs), 9000: 9000} and len(got) == len({r.node for r in got})
+    words = [(f"n{a}", f"n{b}") for a, b in pairs]
+    assert {r.node: r.component for r in graph.components(spark.createDataFrame(words, "src string, dst string")).collect()} == united(words)
+
+
 def q_of(pairs, group):
     """Textbook modularity."""
     m, degree, inside = len(pairs), {}, sum(group[a] == group[b] for a, b in pairs)
