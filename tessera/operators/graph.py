@@ -406,9 +406,11 @@ def label_propagation(edges: DataFrame, labels: DataFrame | None = None, rounds:
 
 
 def fallback_communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """``node, community``: components, and labels that spread from there, which stay within them."""
-    parts = components(edges).withColumnRenamed("component", "label")
-    return label_propagation(edges, parts, rounds)
+    """``node, community``: components, and labels that spread from there.
+
+    All neighbours of a node have its component as their label, so that no number of ``rounds`` changes one: none is run.
+    """
+    return components(edges).withColumnRenamed("component", "community")
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -85,6 +85,17 @@ def test_components_store_finished_ones_once(spark, monkeypatch):
     assert sum(rows) < 4 * 1065
 
 
+def test_settled_labels_are_not_stored_again(spark, monkeypatch):
+    pairs = [(2 * i, 2 * i + 1) for i in range(50)] + [(200 + i, 201 + i) for i in range(9)] + [(7, 7)]
+    edges, rows = spark.createDataFrame(pairs, "src long, dst long"), tables_of(monkeypatch)
+    parts = {r.node: r.component for r in graph.components(edges).collect()}
+    alone = len(rows)
+    assert {r.node: r.community for r in graph.fallback_communities(edges).collect()} == parts == united(pairs)
+    assert len(rows) == 2 * alone
+    start = spark.createDataFrame(list(parts.items()), "node long, label long")
+    assert {r.node: r.community for r in graph.label_propagation(edges, start).collect()} == parts
+
+
 def test_components_of_any_shape(spark):
     rng = random.Random(3)
     shapes = [[(i, rng.randrange(i)) for i in range(1, 80)], [(99, i) for i in range(50)], [(rng.randrange(90), rng.randrange(90)) for _ in range(60)], [(i, (i + 1) % 40) for i in range(40)], [(5, 5), (7, 5), (9, 9)]]
