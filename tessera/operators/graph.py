@@ -6,6 +6,8 @@ state is a checkpointed table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from tessera.session import cut, discard
 DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
 #: Rounds of an iteration between stored tables.
 CUT_ROUNDS = 5
+#: Edges that a task sorts or groups at once.
+TASK_ROWS = 1 << 19
 #: Levels of contraction, and rounds of moves in each.
 LEVELS, MOVES = 64, 8
 #: Modes of a trace and the kinds of edges that each follows.
@@ -29,6 +33,11 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
 
 
+def tasks(df: DataFrame) -> int:
+    """Over how many tasks ``df``, a table, is spread so that none holds more than about ``TASK_ROWS`` of its rows."""
+    return max(1, math.ceil(df.count() / TASK_ROWS))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     back = edges.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in edges.columns])
     return edges.unionByName(back)
@@ -215,7 +224,9 @@ def shortest_path(edges: DataFrame, a: object, b: object, depth: int = 5, per_no
     Of each node its first ``per_node`` neighbours are followed.
     """
     nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    e = cut(both_ways(edges.select("src", "dst")).where("src <> dst").distinct().withColumn("n", nth).where(F.col("n") <= per_node).drop("n"))
+    once = cut(edges.where("src <> dst").select("src", "dst"))
+    both = both_ways(once).repartition(2 * tasks(once), "src").groupBy("src", "dst").agg(F.count("*").alias("_n"))
+    e = cut(both.select("src", "dst").withColumn("n", nth).where(F.col("n") <= per_node).drop("n"))
     seen = cut(e.sparkSession.createDataFrame([(a, None)], f"node {dict(e.dtypes)['src']}, parent {dict(e.dtypes)['src']}").withColumn("hop", F.lit(0)))
     front = seen
     if a == b:
@@ -285,7 +296,8 @@ def related(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0
     """``node, hop, weight`` near the seeds, whatever the direction: along the ``per_node`` heaviest edges of each node that weigh
     at least ``least``; the first ``limit``, near ones first, then heavy ones.  ``kinds`` keeps edges of these kinds alone."""
     some = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
-    both = both_ways(some.where(F.col("weight") >= least).select("src", "dst", "weight")).where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    once = cut(some.where((F.col("weight") >= least) & (F.col("src") != F.col("dst"))).select("src", "dst", "weight"))
+    both = both_ways(once).repartition(2 * tasks(once), "src").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     nth = F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))
     e = cut(both.withColumn("n", nth).where(F.col("n") <= per_node).select("src", "dst", "weight"))
     front = cut(seeds.select("node").distinct())
@@ -396,10 +408,12 @@ def _weighted_modularity(graph: DataFrame, home: DataFrame) -> float:
 
 def label_propagation(edges: DataFrame, labels: DataFrame | None = None, rounds: int = 4) -> DataFrame:
     """``node, community``: labels, at first each node's own or ``labels(node, label)``, that spread to the heaviest among a node's neighbours, ties to the smallest."""
-    both = cut(both_ways(edges.where("src <> dst").select("src", "dst")).groupBy("src", "dst").agg(F.count("*").alias("w")))
+    once = cut(edges.where("src <> dst").select("src", "dst"))
+    n = 2 * tasks(once)
+    both = cut(both_ways(once).repartition(n, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("w")))
     labels = cut(nodes(edges).withColumn("label", F.col("node")) if labels is None else labels.select("node", "label"))
     for _ in range(rounds):
-        votes = both.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("w").alias("n"))
+        votes = both.repartition(n, "dst").join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("w").alias("n"))
         won = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m"))
         labels = cut(labels.join(won.select("src", F.col("m.label").alias("new")), F.col("node") == F.col("src"), "left").select("node", F.coalesce("new", "label").alias("label")))
     return labels.withColumnRenamed("label", "community")
@@ -415,11 +429,12 @@ def fallback_communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """One row with ``modularity``, and ``modularity_half``: the same sums over twice the total degree, as some tools report it."""
-    e = edges.where("src <> dst").select("src", "dst")
+    e = cut(edges.where("src <> dst").select("src", "dst"))
+    n = tasks(e)
     a, b = groups.select(F.col("node").alias("src"), F.col("community").alias("ca")), groups.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
-    ends = e.join(a, "src").join(b, "dst")
-    m = ends.agg(F.count("*").alias("m"), F.count_if(F.col("ca") == F.col("cb")).alias("inside"))
-    degree = ends.select(F.col("ca").alias("c")).unionAll(ends.select("cb")).groupBy("c").agg(F.count("*").alias("k"))
+    ends = cut(e.repartition(n, "src").join(a, "src").select("dst", "ca").repartition(n, "dst").join(b, "dst").groupBy("ca", "cb").agg(F.count("*").alias("n")))
+    m = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("m"), F.coalesce(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("n"))), F.lit(0)).alias("inside"))
+    degree = ends.select(F.col("ca").alias("c"), "n").unionAll(ends.select("cb", "n")).groupBy("c").agg(F.sum("n").alias("k"))
     squares = degree.agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
     two = 2 * F.col("m")
     inside, expected = 2 * F.col("inside"), F.col("k2") / two

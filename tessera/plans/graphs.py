@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.plans.registry import Tables, query
+from tessera.session import cut
 
 #: Suppliers have ids from 0 on and parts below zero; odd lines lead from suppliers to parts, even ones back.
 _LINES = "CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey ELSE -1 - l_partkey END AS src, CASE WHEN l_linenumber % 2 = 1 THEN -1 - l_partkey ELSE l_suppkey END AS dst"
@@ -31,7 +32,8 @@ def trade(t: Tables) -> DataFrame:
 
 def supply(t: Tables) -> DataFrame:
     """Every line's supplier and part: real ids, suppliers from 0 on and parts below zero."""
-    return t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
+    lines = t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
+    return cut(lines.repartition(graph.tasks(lines), "src", "dst").distinct())
 
 
 def daily(t: Tables) -> DataFrame:
@@ -114,7 +116,8 @@ def impact_bfs(t: Tables) -> DataFrame:
 
 
 def weighted(t: Tables) -> DataFrame:
-    return trade(t).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    lines = trade(t)
+    return lines.repartition(graph.tasks(lines), "src", "dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
 @query(

@@ -1,9 +1,11 @@
 """Graph queries over all of lineitem, against plain Python."""
 
 import random
+import re
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from tessera import queries as core
 from tessera.operators import graph
 
@@ -106,6 +108,33 @@ def test_components_of_any_shape(spark):
     assert {r.node: r.component for r in graph.components(spark.createDataFrame(words, "src string, dst string")).collect()} == united(words)
 
 
+WIDE = {
+    "label_sweeps": lambda e: graph.label_propagation(e, rounds=2),
+    "shortest_path": lambda e: graph.shortest_path(e, 1, 39),
+    "related_memories": lambda e: graph.related(e, e.where("src = 1").select(F.col("src").alias("node"))),
+    "modularity": lambda e: graph.modularity(e, graph.nodes(e).withColumn("community", F.col("node") % 3)),
+}
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_wide_steps_take_tasks_by_their_edges(spark, monkeypatch, name):
+    """Four times the edges make more tasks, and the same results."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(a, b, rng.random()) for a in range(40) for b in rng.sample(range(40), 10)], "src long, dst long, weight double")
+    run, plans, cut = WIDE[name], [], graph.cut
+    results = lambda x: x if isinstance(x, list) else sorted(map(tuple, x.collect()))
+    whole = results(run(edges))
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", seen)
+    monkeypatch.setattr(graph, "TASK_ROWS", 40, raising=False)
+    assert results(run(edges)) == whole
+    assert any(int(n) > 8 for p in plans for n in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", p))
+
+
 def q_of(pairs, group):
     """Textbook modularity."""
     m, degree, inside = len(pairs), {}, sum(group[a] == group[b] for a, b in pairs)
