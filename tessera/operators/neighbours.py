@@ -152,59 +152,92 @@ def near_pairs(items: DataFrame, threshold: float, block: str | None = None, ite
 DEGREE, ROUNDS, STILL = 24, 8, 0.01
 #: Tables of random buckets that the graph begins with, and vectors of a bucket.
 TABLES, BUCKET = 6, 64
+#: Cells that groups are dealt to, at least, and groups of a cell, about: a vector goes to a cell once, however many of its groups are there.
+CELLS, CELL = 32, 1 << 14
 #: Vectors at which every search begins, candidates that it keeps, and how many of them each round expands.
 STARTS, BEAM, EXPAND = 64, 96, 8
 
 
-def _group_best(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Of the rows ``g, id, v`` in order of ``g``, the ``k`` nearest of its group for each row, as ``src, dst, score``."""
-    g, ids, vectors = None, [], []
-
-    def done() -> pa.RecordBatch:
-        at = np.array(ids)
-        at, first = np.unique(at, return_index=True)
-        unit = matrix(pa.array(vectors, pa.list_(pa.float64())).take(pa.array(first)), size)
-        score = unit @ unit.T
-        np.fill_diagonal(score, -2)
-        most = min(k, len(at) - 1)
-        near = np.argpartition(-score, most - 1, axis=1)[:, :most]
-        src = np.repeat(np.arange(len(at)), most)
-        return pa.record_batch([pa.array(at[src]), pa.array(at[near.ravel()]), pa.array(score[src, near.ravel()])], names=["src", "dst", "score"])
+def _cell_best(batches: Iterator[pa.RecordBatch], size: int, k: int, held: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Of one cell's rows, vectors ``id, v, low`` and groups ``ids``: for each vector the ``k`` nearest of all groups that it is in, as ``src, dst, score``.
 
+    A score below ``low``, that of a vector's ``k``-th neighbour so far, can't enter its list and is left out.
+    """
+    vectors, groups = [], []
     for b in batches:
-        for key, i, v in zip(b.column("g").to_pylist(), b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
-            if key != g:
-                if len(set(ids)) > 1:
-                    yield done()
-                g, ids, vectors = key, [], []
-            ids.append(i)
-            vectors.append(v)
-    if len(set(ids)) > 1:
-        yield done()
+        whole = b.column("ids").is_null().to_numpy(zero_copy_only=False)
+        vectors.append(b.select(["id", "v", "low"]).filter(pa.array(whole)))
+        groups.append(b.column("ids").filter(pa.array(~whole)))
+    if not vectors:
+        return
+    table = pa.Table.from_batches(vectors).sort_by("id")
+    known, low = table.column("id").to_numpy(), table.column("low").fill_null(-2.0).to_numpy().copy()
+    unit = matrix(table.column("v"), size)
+    del vectors, table
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-score, b, a))
+        a, b, score = a[order], b[order], score[order]
+        once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        a, b, score = a[once], b[once], score[once]
+        order = np.lexsort((b, -score, a))
+        a, b, score = a[order], b[order], score[order]
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        nth = np.arange(len(a)) - np.repeat(start, np.diff([*start, len(a)]))
+        last = nth == k - 1
+        low[a[last]] = np.maximum(low[a[last]], score[last])
+        return a[nth < k], b[nth < k], score[nth < k]
+
+    count = 0
+    for part in groups:
+        ends, flat = part.offsets.to_numpy(), np.searchsorted(known, part.values.to_numpy())
+        for x, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            at = flat[x:z]
+            score = unit[at] @ unit[at].T
+            np.fill_diagonal(score, -3)
+            i, j = np.nonzero(score >= low[at][:, None])
+            found.append((at[i], at[j], score[i, j]))
+            count += len(i)
+            if count >= held:
+                found[:] = [best()]
+                count = min(len(found[0][0]), held // 2)
+    if found and sum(len(x[0]) for x in found):
+        a, b, score = best()
+        for at in range(0, len(a), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.record_batch([pa.array(known[a[part]]), pa.array(known[b[part]]), pa.array(score[part])], names=["src", "dst", "score"])
 
 
 class Graph:
     """A graph of near neighbours over all vectors, improved in rounds: neighbours of a vector are likely neighbours of each other.
 
     It begins with random buckets.  A round brings each vector's neighbours, in both directions, together and keeps the best for each; a group has at most
-    twice ``degree`` members.  A search goes from fixed starts to the neighbours of its best candidates, all queries at once, and scores
+    twice ``degree`` members, and groups are dealt to cells, so that a cell gets a vector once and returns its best once.  A search goes from fixed starts to the neighbours of its best candidates, all queries at once, and scores
     only what it meets: :attr:`compared` counts that.
     """
 
     def __init__(self, items: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = SEED, item_id: str = "vec_id", vector: str = "embedding"):
         self.spark, self.item_id, self.vector, self.degree = items.sparkSession, item_id, vector, degree
         self.size = items.agg(F.coalesce(F.max(F.size(vector)), F.lit(0))).first()[0]
-        rows = items.select(F.col(item_id).cast("long").alias("id"), V.unit(F.col(vector)).alias("v")).where((F.size("v") == self.size) & F.col("id").isNotNull())
+        rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(vector).alias("v")).where((F.size("v") == self.size) & F.col("id").isNotNull())
         self.vectors = stored(rows.dropDuplicates(["id"]), "graph-vectors")
         self.count = self.vectors.count()
         self.compared: DataFrame | None = None
         self.edges = self._improved(self._begun(seed), rounds)
 
-    def _grouped(self, members: DataFrame) -> DataFrame:
-        """The best of each group ``g, id`` for each of its members."""
-        size, k = self.size, self.degree
-        shipped = members.join(self.vectors, "id").repartition("g").sortWithinPartitions("g")
-        return shipped.mapInArrow(lambda batches: _group_best(batches, size, k), "src long, dst long, score double")
+    def _grouped(self, members: DataFrame, low: DataFrame | None = None) -> DataFrame:
+        """The best of the groups ``g, id`` for each of their members; scores under ``low(id, low)`` may be left out."""
+        size, k, cells = self.size, self.degree, max(CELLS, math.ceil(self.count / CELL))
+        cell = F.pmod(F.xxhash64("g"), F.lit(cells)).cast("int").alias("cell")
+        groups = stored(members.groupBy("g").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1).select(cell, "ids"), "graph-groups")
+        vectors = self.vectors.withColumn("low", F.lit(None).cast("double")) if low is None else self.vectors.join(low, "id", "left")
+        sent = groups.select("cell", F.explode("ids").alias("id")).distinct().join(vectors, "id").select("cell", "id", "v", "low")
+        dealt = sent.unionByName(groups, allowMissingColumns=True).repartitionById(cells, "cell")
+        found = dealt.mapInArrow(lambda batches: _cell_best(batches, size, k), "src long, dst long, score double")
+        found.groups = groups
+        return found
 
     def _top(self, edges: DataFrame, by: str = "src", k: int | None = None) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "dst" if by == "src" else "src"))
@@ -217,23 +250,29 @@ class Graph:
         # a bucket that holds more is cut by chance: the first edges decide on speed alone
         sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / (2 * BUCKET)).alias("cuts"))
         members = keys.join(sizes, "key").select("id", F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.col("cuts"))).alias("g"))
-        return stored(self._top(self._grouped(members).groupBy("src", "dst").agg(F.max("score").alias("score"))), "graph-edges")
+        found = self._grouped(members)
+        edges = stored(self._top(found.repartition("src").groupBy("src", "dst").agg(F.max("score").alias("score"))), "graph-edges")
+        discard(found.groups)
+        return edges
 
     def _improved(self, edges: DataFrame, rounds: int) -> DataFrame:
         for _ in range(rounds):
             back = self._top(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
             members = edges.select(F.col("src").alias("g"), F.col("dst").alias("id")).unionByName(back.select(F.col("src").alias("g"), F.col("dst").alias("id")))
-            members = members.unionByName(self.vectors.select(F.col("id").alias("g"), "id")).distinct()
-            found = self._grouped(members).unionByName(edges).groupBy("src", "dst").agg(F.max("score").alias("score"))
-            better = stored(self._top(found), "graph-edges")
-            changed = better.join(edges, ["src", "dst"], "left_anti").count()
+            members = members.unionByName(self.vectors.select(F.col("id").alias("g"), "id"))
+            low = edges.groupBy(F.col("src").alias("id")).agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= self.degree).drop("n")
+            met = self._grouped(members, low)
+            both = met.withColumn("new", F.lit(True)).unionByName(edges.select("src", "dst", "score", F.lit(False).alias("new")))
+            better = stored(self._top(both.repartition("src").groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("new").alias("new"))), "graph-edges")
+            changed = better.where("new").count()
+            discard(met.groups)
             discard(edges)
             edges = better
             if changed <= STILL * self.degree * self.count:
                 break
         # both directions, so that a search can leave any vector it reaches
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")
-        both = edges.unionByName(self._top(back)).groupBy("src", "dst").agg(F.max("score").alias("score"))
+        both = edges.select("src", "dst", "score").unionByName(self._top(back)).groupBy("src", "dst").agg(F.max("score").alias("score"))
         whole = stored(both.select("src", "dst"), "graph")
         discard(edges)
         return whole
@@ -244,7 +283,7 @@ class Graph:
         starts = self.vectors.orderBy(F.xxhash64("id"), "id").limit(STARTS).select("id")
 
         def scored(pairs: DataFrame) -> DataFrame:
-            return pairs.join(self.vectors, "id").join(q, "q").select("q", "id", V.dot(F.col("v"), F.col("u")).alias("score"))
+            return pairs.join(self.vectors, "id").join(q, "q").select("q", "id", V.dot(V.unit(F.col("v")), F.col("u")).alias("score"))
 
         seen = stored(q.select("q").crossJoin(F.broadcast(starts)), "graph-seen")  # so many starts a query
         pool = stored(scored(seen).withColumn("open", F.lit(True)), "graph-pool")

@@ -1,6 +1,7 @@
 """Near pairs and the graph of neighbours against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tessera.operators import neighbours, vector
 
@@ -89,3 +90,20 @@ def test_a_graph_of_few_or_odd_vectors(spark):
     assert got == [(1, 1, 1), (1, 2, 2)]
     exact = vector.knn(asked, frame.where("vec_id < 3"), 5)
     assert exact.count() >= 2
+
+
+def test_a_cell_gets_a_vector_once_and_returns_its_best_once():
+    """Groups that share members: the best of all of them, each once, and none below what a vector has."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 8)).astype(np.float32)
+    groups = [rng.choice(40, 12, replace=False).tolist() for _ in range(30)]
+    low = [None] * 39 + [0.9999]
+    fields = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float32())), ("low", pa.float64()), ("ids", pa.list_(pa.int64()))])
+    rows = [{"id": i, "v": v.tolist(), "low": low[i]} for i, v in enumerate(x)] + [{"ids": g} for g in groups]
+    sent = [pa.RecordBatch.from_pylist(rows[at : at + 7], fields) for at in range(0, len(rows), 7)]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = {i: {j for g in groups if i in g for j in g} - {i} for i in range(39)}
+    want = sorted((i, j) for i, js in near.items() for j in sorted(js, key=lambda j: (-(u[i] @ u[j]), j))[:5])
+    for held in (100, 1 << 21):
+        got = [(r["src"], r["dst"]) for b in neighbours._cell_best(iter(sent), 8, 5, held) for r in b.to_pylist()]
+        assert sorted(got) == want
