@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut, discard
+from tessera.session import cut, dealt, discard
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
 #: Rounds of an iteration between stored tables.
@@ -337,72 +337,85 @@ def neighbourhood_summary(edges: DataFrame, node: object, texts: DataFrame, leas
     return rows.select(F.when(F.size("lines") == 0, "").otherwise(F.concat_ws("\n", F.lit("Related memories:"), F.array_join(F.col("lines.line"), "\n"))).alias("summary"))
 
 
-def _moved(adj: DataFrame, size: DataFrame, rounds: int) -> DataFrame:
+def _moved(adj: DataFrame, size: DataFrame, rounds: int, n: int) -> DataFrame:
     """``node, c``: communities by rounds of moves to the neighbouring one with the largest gain of modularity.
 
-    ``adj(src, dst, w)`` goes both ways without loops and ``size(node, k)`` holds weighted degrees.  Half of the nodes, by a hash,
-    may move in a round, so that neighbours don't swap places.
+    ``adj(src, dst, w)`` goes both ways without loops and lies in ``n`` buckets by ``dst``; ``size(node, k)`` holds weighted degrees.  Half of the nodes, by a hash,
+    may move in a round, so that neighbours don't swap places.  Only their edges are shuffled, once, with the mass of the community at the other end.
     """
-    total = size.agg(F.sum("k").alias("total"))
+    total = F.lit(size.agg(F.sum("k")).first()[0] or 1.0)
     state = cut(size.select("node", "k", F.col("node").alias("c")))
     still = 0
     for r in range(rounds):
-        at = state.select(F.col("node").alias("dst"), "c")
-        into = adj.join(at, "dst").groupBy("src", "c").agg(F.sum("w").alias("links"))
-        mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
-        mine = state.select("node", "k", F.col("c").alias("own"))
-        tried = into.join(mine, F.col("src") == F.col("node")).select("node", "k", "own", "c", "links")
-        tried = tried.unionByName(mine.select("node", "k", "own", F.col("own").alias("c"), F.lit(0.0).alias("links"))).groupBy("node", "k", "own", "c").agg(F.sum("links").alias("links"))
-        gain = F.col("links") - (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / F.col("total")
-        scored = tried.join(mass, "c").crossJoin(total).withColumn("gain", gain)  # the total is one row
-        best = scored.groupBy("node", "k", "own").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-        go = (-F.col("best.g") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2)
-        state = cut(best.select("node", "k", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), go.alias("moved")))
-        still = 0 if not state.where("moved").isEmpty() else still + 1
-        state = state.drop("moved")
+        turn = lambda x: F.pmod(F.xxhash64(x, F.lit(r // 2)), F.lit(2)) == r % 2  # noqa: B023, E731
+        placed = state.join(state.groupBy("c").agg(F.sum("k").alias("mass")), "c")
+        at = placed.select(F.col("node").alias("dst"), "c", "mass")
+        votes = adj.where(turn("src")).join(at.hint("shuffle_hash"), "dst").select("src", "c", "mass", "w").repartition(n, "src").groupBy("src", "c").agg(F.sum("w").alias("links"), F.max("mass").alias("mass"))
+        mine = placed.where(turn("node")).select(F.col("node").alias("src"), "k", F.col("c").alias("own"), F.col("mass").alias("held"))
+        gain = F.col("links") - (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / total
+        alone = 0.0 - (F.col("held") - F.col("k")) * F.col("k") / total
+        scored = votes.join(mine.hint("shuffle_hash"), "src").withColumn("gain", gain).withColumn("alone", alone)
+        best = scored.groupBy("src").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("c"))).alias("best"), F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))), F.max("alone")).alias("stay"))
+        gone = best.where(-F.col("best.g") > F.col("stay") + 1e-12).select(F.col("src").alias("node"), F.col("best.c").alias("to"))
+        after = cut(state.join(gone, "node", "left").select("node", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+        discard(state)
+        still = 0 if not after.where("moved").isEmpty() else still + 1
+        state = after.drop("moved")
+        state.scratch = after.scratch
         if still == 2:  # neither half has moved
             break
-    return state.select("node", "c")
+    return state
 
 
 def communities(edges: DataFrame, levels: int = LEVELS, rounds: int = MOVES) -> DataFrame:
     """``node, community`` by rounds of greedy modularity moves and contraction, at any size; then each community
     is cut into its connected parts, which are named by their smallest node.
 
-    A level counts only if it makes modularity larger.
+    A level counts only if it makes modularity larger.  Edges lie in buckets by one end, so that a step shuffles them once at most.
     """
     simple = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
-    graph = base = cut(simple)
-    member = cut(nodes(base.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("c", F.col("node")))
-    before = None
+    graph, base, member, before = cut(simple), None, None, None
     for _ in range(levels):
-        adj = cut(graph.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(graph.where("a <> b").select("b", "a", "w").toDF("src", "dst", "w")))
-        size = cut(graph.select(F.col("a").alias("node"), "w").unionByName(graph.select(F.col("b").alias("node"), "w")).groupBy("node").agg(F.sum("w").alias("k")))
-        if before is None:
-            before = _weighted_modularity(graph, size.select("node", F.col("node").alias("c")))
-        home = _moved(adj, size, rounds)
-        after = _weighted_modularity(graph, home)
+        n = max(2 * tasks(graph), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        open_, loops = graph.where("a <> b"), graph.where("a = b").select(F.col("a").alias("node"), "w")
+        adj = dealt(open_.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(open_.select("b", "a", "w").toDF("src", "dst", "w")), "dst", n)
+        ends = adj.groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("k")).unionByName(loops.select("node", (2 * F.col("w")).alias("k")))
+        size = cut(ends.groupBy("node").agg(F.sum("k").alias("k")))
+        if base is None:
+            base, member, before = adj, size.select("node", F.col("node").alias("c")), _singles(graph, size)
+        home = _moved(adj, size, rounds, n)
+        to = home.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
+        across = _at_both(adj, to, n).unionByName(loops.join(to, F.col("node") == F.col("_n")).select(F.col("_c").alias("ca"), F.col("_c").alias("cb"), "w"))
+        joined = cut(across.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
+        after = _singles(joined, joined.select(F.col("a").alias("node"), "w").unionByName(joined.select(F.col("b").alias("node"), "w")).groupBy("node").agg(F.sum("w").alias("k")))
+        if adj is not base:
+            discard(adj)
         if after <= before + 1e-9:
             break
         before = after
-        to = home.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
         member = cut(member.join(to, F.col("c") == F.col("_n")).select("node", F.col("_c").alias("c")))
-        joined = graph.join(to, F.col("a") == F.col("_n")).select(F.col("_c").alias("a"), "b", "w").join(to, F.col("b") == F.col("_n")).select("a", F.col("_c").alias("b"), "w")
-        graph = cut(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
-    x, y = member.select(F.col("node").alias("a"), F.col("c").alias("ca")), member.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-    inner = base.join(x, "a").join(y, "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        discard(home)
+        discard(graph)
+        graph = joined
+    own = member.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
+    n = max(tasks(base), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    inner = _at_both(base, own, n, "src", "dst").where("ca = cb").select("src", "dst")
     parts = cut(components(inner))
     alone = member.join(parts, "node", "left_anti").select("node", F.col("node").alias("community"))
     return parts.select("node", F.col("component").alias("community")).unionByName(alone)
 
 
-def _weighted_modularity(graph: DataFrame, home: DataFrame) -> float:
-    """Modularity of ``graph(a, b, w)``, loops included, under ``home(node, c)``."""
-    x, y = home.select(F.col("node").alias("a"), F.col("c").alias("ca")), home.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-    ends = graph.join(x, "a").join(y, "b").select("ca", "cb", "w")
-    inside, all_ = ends.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w"))), F.sum("w")).first()
-    mass = ends.select(F.col("ca").alias("c"), "w").unionByName(ends.select(F.col("cb").alias("c"), "w")).groupBy("c").agg(F.sum("w").alias("k"))
-    squares = mass.agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+def _at_both(adj: DataFrame, home: DataFrame, n: int, *more: str) -> DataFrame:
+    """``ca, cb, w``, and ``more`` columns, of each edge of ``adj``, taken once: its ends' communities in ``home(_n, _c)``."""
+    x, y = home.select(F.col("_n").alias("src"), F.col("_c").alias("ca")), home.select(F.col("_n").alias("dst"), F.col("_c").alias("cb"))
+    one = adj.where("src < dst").join(y.hint("shuffle_hash"), "dst").select("src", "cb", "w", *[c for c in more if c != "src"])
+    return one.repartition(n, "src").join(x.hint("shuffle_hash"), "src").select("ca", "cb", "w", *more)
+
+
+def _singles(graph: DataFrame, size: DataFrame) -> float:
+    """Modularity of ``graph(a, b, w)``, loops included, when each node of ``size(node, k)`` is a community."""
+    inside, all_ = graph.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.sum("w")).first()
+    squares = size.agg(F.sum(F.col("k") * F.col("k"))).first()[0]
     return 0.0 if not all_ else (inside or 0.0) / all_ - squares / (4 * all_ * all_)
 
 

@@ -120,3 +120,17 @@ def sweep(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a table in the shared folder; its plan runs once, where a checkpoint would run it twice."""
     return stored(df, "cut")
+
+
+def dealt(df: DataFrame, by: str, n: int) -> DataFrame:
+    """``df`` from a table in the shared folder that is bucketed by a column, so that joins and groups on it shuffle no row of it.
+
+    The catalog's entry goes at once; the plan keeps the folder and the buckets.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "dealt")
+    name = "tessera_" + uuid.uuid4().hex
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    out.scratch = path
+    return out

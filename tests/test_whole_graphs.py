@@ -192,3 +192,23 @@ def test_trace_directions_and_tests(spark):
     assert names(most=2) == {"a": 0, "b": 1}
     walked = graph.traced(edges, seeds, "data_flow", tests=spark.createDataFrame([("t",)], "node string"))[1]
     assert [r.chain for r in graph.chains(walked, seeds).collect()] == ["a → b → c → a↺"]
+
+
+def test_rounds_of_moves_shuffle_edges_once(spark, monkeypatch):
+    """Edges lie in buckets, so that of the two joins and the groups of a round one alone deals rows of edges."""
+    plans, cut = [], graph.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", seen)
+    pairs = [(10 * i + a, 10 * i + b) for i in range(6) for a in range(5) for b in range(a)] + [(10 * i, 10 * i + 11) for i in range(5)]
+    group = {r.node: r.community for r in graph.communities(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert group == {10 * i + a: 10 * i for i in range(6) for a in range(5)} | {10 * i + 11: 10 * (i + 1) for i in range(5)}
+    rounds = [p for p in plans if "Bucketed: true" in p and "links" in p]
+    assert rounds
+    for p in rounds:
+        edge = [x for x in p.splitlines() if "Exchange" in x and re.search(r"hashpartitioning\((src|dst)#\d+L?, \d+\), REPARTITION_BY_NUM", x)]
+        assert len(edge) == 1
+    assert not spark.catalog.listTables()
