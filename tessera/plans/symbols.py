@@ -9,6 +9,7 @@ from tessera.functions import code, text
 from tessera.operators import joins, ranking, symbols
 from tessera.plans.ranking import HITS_SQL, hits
 from tessera.plans.registry import Tables, query
+from tessera.session import spread
 
 
 def definitions(t: Tables) -> DataFrame:
@@ -318,7 +319,7 @@ def varied(t: Tables) -> DataFrame:
     """A source text for each part, of one of three shapes by its size."""
     k = F.col("p_partkey").cast("long")
     shapes = [F.format_string(c, k, k, k) for c in _CODE]
-    return t.part.select("p_partkey", F.element_at(F.array(*shapes), F.col("p_size") % 3 + 1).alias("source"))
+    return spread(t.part.select("p_partkey", "p_size")).select("p_partkey", F.element_at(F.array(*shapes), F.col("p_size") % 3 + 1).alias("source"))
 
 
 @query(
@@ -346,4 +347,4 @@ def data_flow_edges(t: Tables) -> DataFrame:
     """Calls and data flow of sources with up to three more calls and, in a third of them, a name that is defined again."""
     k = F.col("p_partkey").cast("long")
     inner = F.concat(F.when(F.col("p_partkey") % 3 == 0, "  let size = 5 // wrap(size)\n").otherwise(""), F.repeat(F.lit("  wrap(name)\n"), (F.col("p_size") % 4).cast("int")))
-    return code.edges(t.part.select("p_partkey", F.format_string(_FLOW, k, inner, k).alias("source")), "p_partkey", F.col("source"))
+    return code.edges(spread(t.part.select("p_partkey", "p_size")).select("p_partkey", F.format_string(_FLOW, k, inner, k).alias("source")), "p_partkey", F.col("source"))

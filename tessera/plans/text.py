@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.plans.registry import Tables, query
+from tessera.session import spread
 
 
 @query(
@@ -167,7 +168,7 @@ def code_compression(t: Tables) -> DataFrame:
     methods = F.array_join(F.transform(F.sequence(F.lit(0), size % 4 - 1), lambda i: F.concat(F.lit("  def run_"), i.cast("string"), F.lit("(self):\n    return 1\n"))), "\n")
     head, tail = F.when(size % 2 == 0, "import a\n\n").otherwise("# no import\n"), F.when(size % 3 == 0, F.concat(F.lit("export function f"), size.cast("string"), F.lit("() {\n  g()\n}\n"))).otherwise("x = 1\n")
     source = F.concat(head, F.lit("class P"), F.col("p_partkey").cast("string"), F.lit(" {\n"), methods, F.lit("}\n"), tail)
-    return t.part.where(size % 4 > 0).select("p_partkey", text.compressed_column(source).alias("code"))
+    return spread(t.part.where(size % 4 > 0).select("p_partkey", "p_size")).select("p_partkey", text.compressed_column(source).alias("code"))
 
 
 @query(
@@ -176,5 +177,5 @@ def code_compression(t: Tables) -> DataFrame:
 )
 def json_chunks(t: Tables) -> DataFrame:
     """Chunks of JSON objects by their keys, short ones together."""
-    made = t.part.select("p_partkey", F.lit("data/part.json").alias("path"), F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_type", "p_size")).alias("body"))
+    made = spread(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select("p_partkey", F.lit("data/part.json").alias("path"), F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_type", "p_size")).alias("body"))
     return text.smart_chunks(made, "p_partkey", "path", "body").select("p_partkey", "line_start", "label", "content")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -122,6 +123,15 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "cut")
 
 
+#: Rows of a table that one task hands to a Python function, about.
+PYTHON_ROWS = 1 << 14
+
+
+def spread(df: DataFrame, rows: int = PYTHON_ROWS) -> DataFrame:
+    """``df``, a table of small rows, over tasks by their number: a few files, or one row group, would be a few tasks, however slow what follows is."""
+    return df.repartition(max(1, math.ceil(df.count() / rows)))
+
+
 def dealt(df: DataFrame, by: str, n: int) -> DataFrame:
     """``df`` from a table in the shared folder that is bucketed by a column, so that joins and groups on it shuffle no row of it.
 

@@ -1,5 +1,7 @@
 """Masked sources and data flow, with edges worked out by hand."""
 
+import pytest
+from tessera import queries as core
 from tessera.functions import code
 
 SOURCE = """import x from 'a(b)'  // call(me)
@@ -63,3 +65,11 @@ def test_kinds_of_edges(spark):
     rows = spark.createDataFrame([(1, "bus.emit('saved', doc)\nbus.on('saved', run)\nfetch(url)\naxios.post('/x')\nload('/api/y')\nplain(1)"), (2, None)], "id long, text string")
     got = [(r.kind, r.target, r.line, r.param_index) for r in code.edges(rows, "id", rows["text"]).collect()]
     assert got == [("emit", "saved", 1, None), ("data_flow", "emit", 1, 1), ("listen", "saved", 2, None), ("data_flow", "on", 2, 1), ("http_call", "fetch", 3, None), ("data_flow", "fetch", 3, 0), ("http_call", "post", 4, None), ("http_call", "load", 5, None), ("call", "plain", 6, None)]
+
+
+@pytest.mark.parametrize("name", ["data_flow_edges", "source_structure", "code_compression", "json_chunks"])
+def test_parts_of_one_file_are_many_tasks(spark, tmp_path, name):
+    """Small rows in one file and row group: tasks go by their number."""
+    rows = spark.range(40_000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS int) p_size", "'a' p_name", "'b' p_brand", "'c' p_type")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert core.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 2
