@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from html.parser import HTMLParser
 
@@ -92,6 +93,17 @@ def json_paths(text: str | None) -> list[tuple[str, str]]:
     return out
 
 
+#: Rows of a batch that are Python objects at once.
+SLICE = 128
+
+
+def by_slices(one: Callable[..., object], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``one`` of each row, as Arrow; a batch has thousands of rows, and as Python objects they take many times their size."""
+    n = len(columns[0])
+    parts = [pa.array([one(*row) for row in zip(*(c.slice(at, SLICE).to_pylist() for c in columns), strict=True)], kind) for at in range(0, n, SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 class _Markdown(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -241,7 +253,7 @@ _PARTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 def structure_column(text: pa.Array) -> pa.Array:
     names = ("kind", "name", "line", "literal")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("line", pa.int64()), ("literal", pa.string())]))
-    return pa.array([[dict(zip(names, x, strict=True)) for x in structure(t.as_py())] for t in text], kind)
+    return by_slices(lambda t: [dict(zip(names, x, strict=True)) for x in structure(t)], kind, text)
 
 
 def chunk_of(path: str, text: str | None) -> list[tuple[int, int, str, str]]:
@@ -279,9 +291,8 @@ _CHUNKS = T.ArrayType(T.StructType([T.StructField("line_start", T.LongType()), T
 @F.arrow_udf(_CHUNKS)
 def chunks_column(path: pa.Array, text: pa.Array) -> pa.Array:
     names = ("line_start", "line_end", "label", "content")
-    rows = [[dict(zip(names, c, strict=True)) for c in finished_chunks(p.as_py() or "", t.as_py())] for p, t in zip(path, text, strict=True)]
     kind = pa.list_(pa.struct([("line_start", pa.int64()), ("line_end", pa.int64()), ("label", pa.string()), ("content", pa.string())]))
-    return pa.array(rows, kind)
+    return by_slices(lambda p, t: [dict(zip(names, c, strict=True)) for c in finished_chunks(p or "", t)], kind, path, text)
 
 
 def smart_chunks(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
@@ -291,13 +302,13 @@ def smart_chunks(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
 
 @F.arrow_udf(T.StringType())
 def markdown_column(html: pa.Array) -> pa.Array:
-    return pa.array([html_to_markdown(x.as_py()) for x in html], pa.string())
+    return by_slices(html_to_markdown, pa.string(), html)
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
 def json_paths_column(text: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
-    return pa.array([[{"path": p, "value": v} for p, v in json_paths(x.as_py())] for x in text], kind)
+    return by_slices(lambda x: [{"path": p, "value": v} for p, v in json_paths(x)], kind, text)
 
 
 def fnv1a(text: Column) -> Column:

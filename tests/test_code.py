@@ -1,8 +1,11 @@
 """Masked sources and data flow, with edges worked out by hand."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from tessera import queries as core
-from tessera.functions import code
+from tessera.functions import code, text
 
 SOURCE = """import x from 'a(b)'  // call(me)
 const base = '/api', limit = 3
@@ -73,3 +76,17 @@ def test_parts_of_one_file_are_many_tasks(spark, tmp_path, name):
     rows = spark.range(40_000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS int) p_size", "'a' p_name", "'b' p_brand", "'c' p_type")
     rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert core.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 2
+
+
+def test_a_batch_is_python_objects_by_slices():
+    """Texts of a whole batch are not held as Python objects at once."""
+    pages = pa.array([f"<h1>p{i}</h1>" + "<p>word word</p>" * 80 for i in range(1200)])
+    text.markdown_column.func(pages[:1])
+    tracemalloc.start()
+    md = text.markdown_column.func(pages)
+    chunks = text.chunks_column.func(pa.array(["page.md"] * len(md)), md)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert md.to_pylist() == [text.html_to_markdown(x) for x in pages.to_pylist()] and len(chunks) == len(pages)
+    assert peak < pages.nbytes / 2
+    assert len(text.markdown_column.func(pages[:0])) == 0
