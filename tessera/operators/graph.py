@@ -46,17 +46,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``node, rank`` over the largest rank.  Loops are left out, parallel edges count each, and what ends in a sink is lost.
 
-    Edges are summed up to weights once; each round joins them with the ranks by source and sums by target.  Ranks are stored
-    every fifth round, where their movement is tested too, so that the rounds between are one plan.
+    Edges are summed up to weights once and lie in buckets by source; each round joins them there with the ranks and sums by target, so that it shuffles what
+    goes to targets alone.  Ranks are stored every fifth round, where their movement is tested too, so that the rounds between are one plan.
     """
-    e = edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
-    out = e.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share")
-    out, all_nodes = cut(out), cut(nodes(edges))
-    n = all_nodes.count()
-    ranks = cut(all_nodes.withColumn("rank", F.lit(1.0 / max(n, 1))))
+    lines = edges.where("src <> dst").select("src", "dst")
+    n = max(tasks(lines), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    e = lines.repartition(n, "src").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    out = dealt(e.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share"), "src", n)
+    all_nodes = cut(nodes(edges))
+    count = all_nodes.count()
+    ranks = cut(all_nodes.withColumn("rank", F.lit(1.0 / max(count, 1))))
     for r in range(1, rounds + 1):
-        got = out.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        new = all_nodes.join(got, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        got = out.join(ranks.hint("shuffle_hash"), F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        new = all_nodes.join(got, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / max(count, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if r % CUT_ROUNDS and r < rounds:
             ranks = cut(new) if (r + 1) % CUT_ROUNDS == 0 else new
             continue

@@ -212,3 +212,18 @@ def test_rounds_of_moves_shuffle_edges_once(spark, monkeypatch):
         edge = [x for x in p.splitlines() if "Exchange" in x and re.search(r"hashpartitioning\((src|dst)#\d+L?, \d+\), REPARTITION_BY_NUM", x)]
         assert len(edge) == 1
     assert not spark.catalog.listTables()
+
+
+def test_ranks_are_joined_where_edges_lie(spark, monkeypatch):
+    """A round of PageRank deals sums by target alone: edges lie in buckets by source."""
+    plans, cut = [], graph.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", seen)
+    got = {r.node: r["rank"] for r in graph.pagerank(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 2), (3, 3), (4, 2)], "src long, dst long")).collect()}
+    assert set(got) == {1, 2, 3, 4} and max(got.values()) == 1.0 and got[4] == min(got.values())
+    rounds = [p for p in plans if "Bucketed: true" in p]
+    assert rounds and not any(re.search(r"hashpartitioning\(src#", p) for p in rounds)
