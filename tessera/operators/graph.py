@@ -220,15 +220,13 @@ def weighted_paths(edges: DataFrame, start: Column, depth: int = 3, limit: int =
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("weight", 6).alias("weight")).orderBy(F.col("weight").desc(), "path").limit(limit)
 
 
-def shortest_path(edges: DataFrame, a: object, b: object, depth: int = 5, per_node: int = 30) -> list | None:
-    """A shortest path between two nodes, whatever the direction, by parents: the smallest parent of each.
+def shortest_path(edges: DataFrame, a: object, b: object, depth: int = 5) -> list | None:
+    """A shortest path of at most ``depth`` edges between two nodes, whatever the direction, by parents: the smallest parent of each.
 
-    Of each node its first ``per_node`` neighbours are followed.
+    All neighbours of a node are followed.
     """
-    nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
     once = cut(edges.where("src <> dst").select("src", "dst"))
-    both = both_ways(once).repartition(2 * tasks(once), "src").groupBy("src", "dst").agg(F.count("*").alias("_n"))
-    e = cut(both.select("src", "dst").withColumn("n", nth).where(F.col("n") <= per_node).drop("n"))
+    e = cut(both_ways(once).repartition(2 * tasks(once), "src").groupBy("src", "dst").agg(F.count("*").alias("_n")).select("src", "dst"))
     seen = cut(e.sparkSession.createDataFrame([(a, None)], f"node {dict(e.dtypes)['src']}, parent {dict(e.dtypes)['src']}").withColumn("hop", F.lit(0)))
     front = seen
     if a == b:

@@ -232,7 +232,7 @@ def neighbourhood_summary(t: Tables) -> DataFrame:
     return graph.neighbourhood_summary(memory_edges(t), 3, texts)
 
 
-_PATH = f"""{_TRADE}, k AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) WHERE src <> dst) WHERE n <= 30),
+_PATH = f"""{_TRADE}, k AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) WHERE src <> dst),
     z AS (SELECT (SELECT min(src) FROM e WHERE src > 0) AS a, (SELECT max(src) FROM e) AS b)"""
 
 

@@ -108,6 +108,15 @@ def test_components_of_any_shape(spark):
     assert {r.node: r.component for r in graph.components(spark.createDataFrame(words, "src string, dst string")).collect()} == united(words)
 
 
+def test_a_path_takes_any_neighbour(spark, tmp_path):
+    """The one way from supplier 1 to supplier 99 is by the last of its 40 parts; all others end there."""
+    rows = [(i, 1, i, 1) for i in range(2, 42)] + [(50, 1, 1, 99), (51, 3, 1, 1)]
+    got = core.queries()["shortest_path"](spark, lineitem(spark, tmp_path, rows)).collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (1, -2), (2, 99)]
+    hub = spark.createDataFrame([(0, i) for i in range(1, 101)] + [(100, 200)], "src long, dst long")
+    assert graph.shortest_path(hub, 0, 200) == [0, 100, 200] and graph.shortest_path(hub, 200, 0) == [200, 100, 0]
+
+
 WIDE = {
     "label_sweeps": lambda e: graph.label_propagation(e, rounds=2),
     "shortest_path": lambda e: graph.shortest_path(e, 1, 39),
