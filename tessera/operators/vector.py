@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ MAX_QUERIES = 10_000
 MET = 512
 #: Rows of a block that are compared in one task, with as many others.
 TILE = 4096
+#: Components of a tile of queries or items of a large exact join, about, and the fewest pairs of tiles that it is made of.
+HELD, CELLS = 1 << 21, 32
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
@@ -70,16 +74,13 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
 
     Each task multiplies its batches with all query vectors and passes on its own best
     ``k`` alone, so what is shuffled is ``k`` rows a query and task.  Ties go to the smaller id.
-    Queries go through the items in blocks of ``MAX_QUERIES`` or about as many.
+    More than ``MAX_QUERIES`` queries are not shipped: queries and items fall into tiles of which every two meet.
     """
-    blocks = -(-queries.count() // MAX_QUERIES)
-    if blocks > 1:
-        parts = [_block_knn(queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i), corpus, k, query_id, item_id, vector, digits) for i in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    return _block_knn(queries, corpus, k, query_id, item_id, vector, digits)
+    queries = queries.where(F.col(query_id).isNotNull())
+    count = queries.count()
+    found = (_block_knn if count <= MAX_QUERIES else _tiled_knn)(queries, corpus, k, query_id, item_id, vector, digits)
+    nth = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), item_id))
+    return found.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
 def _block_knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, item_id: str, vector: str, digits: int) -> DataFrame:
@@ -96,9 +97,60 @@ def _block_knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, ite
                 top.meet(np.arange(at, min(at + MET, len(ids))), q, items, unit, digits)
         yield top.named(ids, query_id, item_id)
 
-    found = corpus.select(F.col(item_id).cast("long"), vector).where(F.col(item_id).isNotNull()).mapInArrow(best, f"{query_id} long, {item_id} long, score double")
-    nth = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), item_id))
-    return found.withColumn("rank", nth).where(F.col("rank") <= k)
+    return corpus.select(F.col(item_id).cast("long"), vector).where(F.col(item_id).isNotNull()).mapInArrow(best, f"{query_id} long, {item_id} long, score double")
+
+
+def _tile_best(q: np.ndarray, unit: np.ndarray, k: int, digits: int, chunk: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``q``, row of ``unit`` and score of the first ``k`` for each of the few queries ``q``.
+
+    Items come in the order of their ids, so that a later one has to be above the ``k``-th score so far.
+    """
+    best, low = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), np.full(len(q), -1.0)
+    for at in range(0, len(unit), chunk):
+        s = q @ unit[at : at + chunk].T
+        if at == 0 and s.shape[1] > k:
+            s = np.round(np.clip(s, 0, 1), digits)
+            x, y = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+        else:
+            x, y = np.nonzero(s > (low + 0.49 * 10.0**-digits)[:, None])  # what is less can't be above when it is rounded
+        if len(x):
+            best = _first(*map(np.concatenate, zip(best, (x, y + at, np.round(np.clip(s[x, y], 0, 1), digits)), strict=True)), k)
+            last = np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1
+            low[best[0][last]] = best[2][last]
+    return best
+
+
+def _tiled_knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, item_id: str, vector: str, digits: int) -> DataFrame:
+    """As :func:`_block_knn` for any number of queries: a task holds one tile of them and one of items, and passes on the tile's best ``k``.
+
+    The comparisons are all there are; the driver holds counts only.
+    """
+    size, n = queries.agg(F.coalesce(F.max(F.size(vector)), F.lit(0)), F.count("*")).first()
+    rows = max(1, HELD // max(1, size))
+    tiles = max(1, math.ceil(corpus.count() / rows))
+    parts = max(math.ceil(n / rows), math.ceil(CELLS / tiles))
+    numbers = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
+
+    def side(df: DataFrame, name: str, count: int, asked: bool) -> DataFrame:
+        own = F.pmod(F.xxhash64(F.col(name)), F.lit(count)).cast("int")
+        cells = F.transform(numbers(tiles), lambda j: own * tiles + j) if asked else F.transform(numbers(parts), lambda i: i * tiles + own)
+        return df.where(F.col(name).isNotNull()).select(F.explode(cells).alias("cell"), F.lit(asked).alias("asked"), F.col(name).cast("long").alias("id"), F.col(vector).alias("v"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).select(["asked", "id", "v"])
+        sides = [table.filter(table["asked"]).sort_by("id"), table.filter(pa.compute.invert(table["asked"])).sort_by("id")]
+        del held, table
+        (ids, q), (items, unit) = ((t["id"].to_numpy(), matrix(t["v"], size)) for t in sides)
+        del sides
+        for at in range(0, len(ids) if len(items) else 0, MET):
+            x, y, s = _tile_best(q[at : at + MET], unit, k, digits)
+            yield pa.record_batch([pa.array(ids[x + at]), pa.array(items[y]), pa.array(s)], [query_id, item_id, "score"])
+
+    met = side(queries, query_id, parts, True).unionByName(side(corpus, item_id, tiles, False))
+    return met.repartitionById(parts * tiles, "cell").mapInArrow(best, f"{query_id} long, {item_id} long, score double")
 
 
 def nearest(query: Column, corpus: DataFrame, k: int, item_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tessera import queries as core
 from tessera.functions import text
 from tessera.operators import events, filters, joins, lexical, memory, ranking, symbols, vector
 
@@ -280,6 +281,38 @@ def test_queries_in_blocks(spark, sf, monkeypatch):
     assert sorted(map(tuple, vector.knn(asked, items, 3).collect())) == whole
 
 
+def test_knn_join_asks_for_every_vector(spark, sf):
+    """The five nearest of all vectors by plain products, and not of every fiftieth alone."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(np.clip(u @ u.T, 0, 1), 6)
+    want = {(rows[i].vec_id, rows[int(j)].vec_id, n + 1) for i in range(len(rows)) for n, j in enumerate(np.lexsort((np.arange(len(rows)), -s[i]))[:5])}
+    got = core.queries()["knn_join"](spark, sf).collect()
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want and len(got) == 5 * len(rows)
+
+
+def test_tiles_of_queries_and_items(spark, monkeypatch):
+    """Copies, zero, opposite, null and short vectors, null and equal ids: tiles find what all queries at once find, and no task holds more than two."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((90, 8))
+    x[20:50], x[50:55], x[55:60] = x[0], 0, -x[0]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 8), (200, None), (201, [1.0]), (7, [0.5] * 8)]
+    items = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    asked = items.withColumnRenamed("vec_id", "query_id")
+    whole = sorted(map(tuple, vector.knn(asked, items, 4).collect()))
+    monkeypatch.setattr(vector, "MAX_QUERIES", 7)
+    monkeypatch.setattr(vector, "HELD", 8 * 20)
+    found = vector.knn(asked, items, 4)
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) == 4 * 92
+    assert vector._tiled_knn(asked, items, 4, "query_id", "vec_id", "embedding", 6).rdd.getNumPartitions() == 35  # 5 tiles of items with 7 of queries
+    s = np.round(np.clip((u := x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]) @ u.T, 0, 1), 6)
+    for chunk in (3, 11, 4096):
+        a, b, score = vector._tile_best(u, u, 4, 6, chunk)
+        assert [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)] == [(i, int(j)) for i in range(90) for j in np.lexsort((np.arange(90), -s[i]))[:4]]
+        assert np.array_equal(score, s[a, b])
+
+
 def test_wild_terms(spark):
     df = spark.createDataFrame([(1, "snake_case"), (2, "snakeXcase"), (3, "snake case here")], "doc_id long, text string")
     assert {r.doc_id for r in lexical.term_coverage(df, "snake_case", 9).collect()} == {1, 2, 3}
