@@ -1,4 +1,4 @@
-"""Near pairs of vectors by banded hyperplane signatures, and a navigable graph of neighbours."""
+"""Near pairs of vectors by banded hyperplane signatures, and navigable graphs of neighbours."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators.vector import matrix
-from tessera.session import discard, scope, stored
+from tessera.operators.vector import MET, _first, _tile_best, matrix
+from tessera.session import scope, stored
 
 SEED = 42
 #: The chance that a pair right at the threshold is in no band.
@@ -148,13 +149,13 @@ def near_pairs(items: DataFrame, threshold: float, block: str | None = None, ite
     return NearPairs(pairs, known.select(F.explode("ids").alias("id"), "rep"), sent)
 
 
-#: Neighbours of a vector in the graph, rounds of improvement, and the share of changed neighbours below which they end.
-DEGREE, ROUNDS, STILL = 24, 8, 0.01
-#: Tables of random buckets that the graph begins with, and vectors of a bucket.
-TABLES, BUCKET = 6, 64
-#: Cells that groups are dealt to, at least, and groups of a cell, about: a vector goes to a cell once, however many of its groups are there.
-CELLS, CELL = 32, 1 << 14
-#: Vectors at which every search begins, candidates that it keeps, and how many of them each round expands.
+#: Neighbours of a vector in the graph, each way.
+DEGREE = 24
+#: Vectors of a shard, and their components, at most.  A larger shard is compared less and found less of by queries that are not in it.
+SHARD, COMPONENTS = 1 << 13, 1 << 24
+#: Pairs of a shard and a part of the queries, at least if there are enough of them, and the fewest and most queries of a part.
+CELLS, FEW, MANY = 32, 128, 1 << 13
+#: Vectors of a shard at which every search begins, candidates that it keeps, and how many of them each round expands.
 STARTS, BEAM, EXPAND = 64, 96, 8
 
 
@@ -210,114 +211,137 @@ def _cell_best(batches: Iterator[pa.RecordBatch], size: int, k: int, held: int =
             yield pa.record_batch([pa.array(known[a[part]]), pa.array(known[b[part]]), pa.array(score[part])], names=["src", "dst", "score"])
 
 
+def _linked(unit: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``a, b`` of each row of ``unit`` to its ``degree`` nearest, and back to the nearest of those that have it as theirs; in order."""
+    n, found = len(unit), []
+    for at in range(0, n, MET):
+        x, y, s = _tile_best(unit[at : at + MET], unit, degree + 1, 12)
+        other = x + at != y
+        x, y, s = x[other], y[other], s[other]
+        near = np.arange(len(x)) - np.searchsorted(x, x) < degree
+        found.append((x[near] + at, y[near], s[near]))
+    a, b, _ = ahead = [np.concatenate(c) for c in zip(*found, strict=True)]
+    back, to, _ = _first(ahead[1], ahead[0], ahead[2], degree)
+    return np.divmod(np.unique(np.concatenate([a * n + b, back * n + to])), n)
+
+
+def _shard(batches: Iterator[pa.RecordBatch], size: int, degree: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``shard, id, v`` of one shard become ``shard, at, ids, v, near``: different vectors by their number, the ids that have them, and the numbers that each is linked with."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held).sort_by("id")
+    del held
+    shard, ids, unit = table["shard"][0].as_py(), table["id"].to_numpy(), matrix(table["v"], size)
+    if not size:
+        return
+    whole = np.ascontiguousarray(unit + 0.0).view(np.dtype((np.void, unit.shape[1] * 8))).ravel()  # no minus zero
+    _, rep, of = np.unique(whole, return_index=True, return_inverse=True)
+    place = np.empty(len(rep), np.int64)
+    place[np.argsort(rep)] = np.arange(len(rep))  # numbers go by the smallest id
+    rep, of = np.sort(rep), place[of.ravel()]
+    copies, ends = ids[np.argsort(of, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(of))])
+    a, b = _linked(unit[rep], degree)
+    links = np.searchsorted(a, np.arange(len(rep) + 1))
+    lists = lambda flat, offsets, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+    made = pa.table({"shard": pa.repeat(pa.scalar(shard, pa.int32()), len(rep)), "at": pa.array(np.arange(len(rep)), pa.int32()), "ids": lists(copies, ends, pa.int64()), "v": table["v"].take(pa.array(rep)), "near": lists(b, links, pa.int32())})
+    yield from made.to_batches(4096)
+
+
+def _walked(unit: np.ndarray, near: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``query, vector, score`` of the ``beam`` best that searches from ``starts`` along ``near`` find, and how many vectors each has met.
+
+    Every round goes on from the ``EXPAND`` best of a query that it hasn't gone on from; the search ends when its beam has none.
+    """
+    n, step = len(unit), max(1, (1 << 21) // unit.shape[1])
+    seen = np.zeros((len(q), n), bool)
+    seen[:, starts] = True
+    row, at, score = np.repeat(np.arange(len(q)), len(starts)), np.tile(starts, len(q)), (q @ unit[starts].T).ravel()
+    fresh = np.ones(len(row), bool)
+    while True:
+        order = np.lexsort((at, -score, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < beam]
+        row, at, score, fresh = row[order], at[order], score[order], fresh[order]
+        front = np.flatnonzero(fresh)
+        front = front[np.arange(len(front)) - np.searchsorted(row[front], row[front]) < EXPAND]
+        if not len(front):
+            return row, at, score, seen.sum(axis=1)
+        fresh[front] = False
+        to = near[at[front]]
+        who, to = np.repeat(row[front], to.shape[1]), to.ravel()
+        who, to = np.divmod(np.unique(who[to >= 0] * n + to[to >= 0]), n)
+        new = ~seen[who, to]
+        who, to = who[new], to[new]
+        seen[who, to] = True
+        met = [np.einsum("ij,ij->i", unit[to[i : i + step]], q[who[i : i + step]]) for i in range(0, len(to), step)]
+        row, at, score, fresh = (np.concatenate(x) for x in ((row, who), (at, to), (score, *met), (fresh, np.ones(len(to), bool))))
+
+
+def _searched(batches: Iterator[pa.RecordBatch], size: int, k: int, beam: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Of one shard's rows and rows ``q, v``: ``q, id, score`` of the best ``k`` for each query, and a row ``q, compared``."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    del held
+    asks = table["q"].is_valid()
+    asked, table = table.filter(asks).select(["q", "v"]), table.filter(pa.compute.invert(asks)).sort_by("at")
+    if not len(table) or not len(asked):
+        return
+    unit, (ids, links) = matrix(table["v"], size), (table[c].combine_chunks() for c in ("ids", "near"))
+    ends, ids, degree = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]), ids.flatten().to_numpy(), links.value_lengths().to_numpy()
+    near = np.full((len(unit), max(1, degree.max())), -1, np.int64)
+    near[np.arange(near.shape[1]) < degree[:, None]] = links.flatten().to_numpy()
+    names, q = asked["q"].to_numpy(), matrix(asked["v"], size)
+    del table, asked
+    starts = np.random.RandomState(seed).permutation(len(unit))[:STARTS]
+    for begin in range(0, len(q), FEW):
+        x, at, s, compared = _walked(unit, near, starts, q[begin : begin + FEW], beam)
+        copies = np.minimum(ends[at + 1] - ends[at], k)
+        nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        x, i, s = _first(np.repeat(x, copies), ids[np.repeat(ends[at], copies) + nth], np.repeat(np.round(np.clip(s, 0, 1), 6), copies), k)
+        part = names[begin : begin + FEW]
+        none = lambda count, kind: pa.nulls(count, kind)
+        columns = ([part[x], part], [i, none(len(part), pa.int64())], [s, none(len(part), pa.float64())], [none(len(x), pa.int64()), compared.astype(np.int64)])
+        yield pa.record_batch([pa.concat_arrays([y if isinstance(y, pa.Array) else pa.array(y) for y in c]) for c in columns], names=["q", "id", "score", "compared"])
+
+
 class Graph:
-    """A graph of near neighbours over all vectors, improved in rounds: neighbours of a vector are likely neighbours of each other.
+    """Graphs of near neighbours over all vectors, one a shard: each vector is linked with its exact nearest of the shard, both ways.
 
-    It begins with random buckets.  A round brings each vector's neighbours, in both directions, together and keeps the best for each; a group has at most
-    twice ``degree`` members, and groups are dealt to cells, so that a cell gets a vector once and returns its best once.  A search goes from fixed starts to the neighbours of its best candidates, all queries at once, and scores
-    only what it meets: :attr:`compared` counts that.
+    Vectors are dealt once, by a hash of their ids, to shards that a task can hold, so that the graphs are made where they are, in time that grows with the
+    vectors alone.  A search walks the graph of every shard best first from fixed starts, many queries at once, and compares only what it meets:
+    :attr:`compared` counts that.  It grows less than the vectors within a shard, and with the number of shards beyond.
+    Equal vectors of a shard are one, which stands for all their ids.
     """
 
-    def __init__(self, items: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = SEED, item_id: str = "vec_id", vector: str = "embedding"):
-        self.spark, self.item_id, self.vector, self.degree = items.sparkSession, item_id, vector, degree
-        self.size = items.agg(F.coalesce(F.max(F.size(vector)), F.lit(0))).first()[0]
-        rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(vector).alias("v")).where((F.size("v") == self.size) & F.col("id").isNotNull())
-        self.vectors = stored(rows.dropDuplicates(["id"]), "graph-vectors")
-        self.count = self.vectors.count()
+    def __init__(self, items: DataFrame, degree: int = DEGREE, seed: int = SEED, item_id: str = "vec_id", vector: str = "embedding"):
+        self.spark, self.item_id, self.vector, self.seed = items.sparkSession, item_id, vector, seed
+        self.size = size = items.agg(F.coalesce(F.max(F.size(vector)), F.lit(0))).first()[0]
+        rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(vector).alias("v")).where((F.size("v") == size) & F.col("id").isNotNull())
+        with scope(self.spark) as keep:
+            vectors = stored(rows.dropDuplicates(["id"]), "graph-vectors")
+            self.count = vectors.count()
+            self.shards = max(1, math.ceil(self.count / max(1, min(SHARD, COMPONENTS // max(1, size)))))
+            dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int").alias("shard"), "id", "v").repartitionById(self.shards, "shard")
+            kind = dict(vectors.dtypes)["v"]
+            self.graph = keep(stored(dealt.mapInArrow(lambda batches: _shard(batches, size, degree), f"shard int, at int, ids array<long>, v {kind}, near array<int>"), "graph"))
         self.compared: DataFrame | None = None
-        self.edges = self._improved(self._begun(seed), rounds)
-
-    def _grouped(self, members: DataFrame, low: DataFrame | None = None) -> DataFrame:
-        """The best of the groups ``g, id`` for each of their members; scores under ``low(id, low)`` may be left out."""
-        size, k, cells = self.size, self.degree, max(CELLS, math.ceil(self.count / CELL))
-        cell = F.pmod(F.xxhash64("g"), F.lit(cells)).cast("int").alias("cell")
-        groups = stored(members.groupBy("g").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1).select(cell, "ids"), "graph-groups")
-        vectors = self.vectors.withColumn("low", F.lit(None).cast("double")) if low is None else self.vectors.join(low, "id", "left")
-        sent = groups.select("cell", F.explode("ids").alias("id")).distinct().join(vectors, "id").select("cell", "id", "v", "low")
-        dealt = sent.unionByName(groups, allowMissingColumns=True).repartitionById(cells, "cell")
-        found = dealt.mapInArrow(lambda batches: _cell_best(batches, size, k), "src long, dst long, score double")
-        found.groups = groups
-        return found
-
-    def _top(self, edges: DataFrame, by: str = "src", k: int | None = None) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "dst" if by == "src" else "src"))
-        return edges.withColumn("nth", nth).where(F.col("nth") <= (k or self.degree)).drop("nth")
-
-    def _begun(self, seed: int) -> DataFrame:
-        bits = max(1, math.ceil(math.log2(max(2, self.count / BUCKET))))
-        bands = Bands(bits, TABLES, 0)
-        keys = self.vectors.select("id", F.explode(signatures(F.col("v"), self.size, bands, seed)["keys"]).alias("key"))
-        # a bucket that holds more is cut by chance: the first edges decide on speed alone
-        sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / (2 * BUCKET)).alias("cuts"))
-        members = keys.join(sizes, "key").select("id", F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.col("cuts"))).alias("g"))
-        found = self._grouped(members)
-        edges = stored(self._top(found.repartition("src").groupBy("src", "dst").agg(F.max("score").alias("score"))), "graph-edges")
-        discard(found.groups)
-        return edges
-
-    def _improved(self, edges: DataFrame, rounds: int) -> DataFrame:
-        for _ in range(rounds):
-            back = self._top(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
-            members = edges.select(F.col("src").alias("g"), F.col("dst").alias("id")).unionByName(back.select(F.col("src").alias("g"), F.col("dst").alias("id")))
-            members = members.unionByName(self.vectors.select(F.col("id").alias("g"), "id"))
-            low = edges.groupBy(F.col("src").alias("id")).agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= self.degree).drop("n")
-            met = self._grouped(members, low)
-            both = met.withColumn("new", F.lit(True)).unionByName(edges.select("src", "dst", "score", F.lit(False).alias("new")))
-            better = stored(self._top(both.repartition("src").groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("new").alias("new"))), "graph-edges")
-            changed = better.where("new").count()
-            discard(met.groups)
-            discard(edges)
-            edges = better
-            if changed <= STILL * self.degree * self.count:
-                break
-        # both directions, so that a search can leave any vector it reaches
-        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")
-        both = edges.select("src", "dst", "score").unionByName(self._top(back)).groupBy("src", "dst").agg(F.max("score").alias("score"))
-        whole = stored(both.select("src", "dst"), "graph")
-        discard(edges)
-        return whole
-
-    def search(self, queries: DataFrame, k: int, beam: int = BEAM, query_id: str = "query_id", most_rounds: int = 40) -> DataFrame:
-        """``query_id, item_id, score, rank`` of the best ``k`` that a best-first search finds; ends when no query has a candidate left among its ``beam`` best."""
-        q = stored(queries.select(F.col(query_id).alias("q"), V.unit(F.col(self.vector)).alias("u")).where(F.size("u") == self.size), "graph-queries")
-        starts = self.vectors.orderBy(F.xxhash64("id"), "id").limit(STARTS).select("id")
-
-        def scored(pairs: DataFrame) -> DataFrame:
-            return pairs.join(self.vectors, "id").join(q, "q").select("q", "id", V.dot(V.unit(F.col("v")), F.col("u")).alias("score"))
-
-        seen = stored(q.select("q").crossJoin(F.broadcast(starts)), "graph-seen")  # so many starts a query
-        pool = stored(scored(seen).withColumn("open", F.lit(True)), "graph-pool")
-        tables = [seen]
-        best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-        for _ in range(most_rounds):
-            ranked = pool.withColumn("at", F.row_number().over(best)).where(F.col("at") <= beam)
-            front = ranked.where("open").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= EXPAND).select("q", F.col("id").alias("src"))
-            front = stored(front, "graph-front")
-            if front.isEmpty():
-                discard(front)
-                break
-            met = front.join(self.edges, "src").select("q", F.col("dst").alias("id")).distinct()
-            for t in tables:
-                met = met.join(t, ["q", "id"], "left_anti")
-            met = stored(met, "graph-met")
-            tables.append(met)
-            marked = ranked.drop("at").join(front.withColumnRenamed("src", "id").withColumn("_f", F.lit(True)), ["q", "id"], "left").select("q", "id", "score", (F.col("open") & F.col("_f").isNull()).alias("open"))
-            after = stored(marked.unionByName(scored(met).withColumn("open", F.lit(True))), "graph-pool")
-            discard(pool)
-            discard(front)
-            pool = after
-            if len(tables) > 8:
-                whole = tables[0]
-                for t in tables[1:]:
-                    whole = whole.unionByName(t)
-                one = stored(whole, "graph-seen")
-                for t in tables:
-                    discard(t)
-                tables = [one]
-        whole = tables[0]
-        for t in tables[1:]:
-            whole = whole.unionByName(t)
-        self.compared = whole.groupBy(F.col("q").alias(query_id)).agg(F.count("*").alias("compared"))
-        out = pool.select(F.col("q").alias(query_id), F.col("id").alias(self.item_id), F.round(V.clamp01(F.col("score")), 6).alias("score"))
+
+    def search(self, queries: DataFrame, k: int, beam: int = BEAM, query_id: str = "query_id") -> DataFrame:
+        """``query_id, item_id, score, rank`` of the best ``k`` that a best-first search of every shard finds; one ends when a query has no candidate left among its ``beam`` best."""
+        size, seed, shards = self.size, self.seed, self.shards
+        q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(self.vector).cast(self.graph.schema["v"].dataType).alias("v")).where((F.size("v") == size) & F.col("q").isNotNull())
+        n = q.count()
+        parts = max(1, math.ceil(n / MANY), min(math.ceil(CELLS / shards), math.ceil(n / FEW)))
+        every = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
+        part = F.pmod(F.xxhash64("q", F.lit(seed)), F.lit(parts)).cast("int")
+        asked = q.select(F.explode(F.transform(every(shards), lambda i: i * parts + part)).alias("cell"), "q", "v")
+        cells = F.transform(every(parts), lambda j: F.col("shard") * parts + j)
+        met = self.graph.select(F.explode(cells).alias("cell"), "at", "ids", "v", "near").unionByName(asked, allowMissingColumns=True)
+        found = met.repartitionById(shards * parts, "cell").mapInArrow(lambda batches: _searched(batches, size, k, max(beam, k), seed), "q long, id long, score double, compared long")
+        found = stored(found, "graph-found")
+        self.compared = found.where("compared is not null").groupBy(F.col("q").alias(query_id)).agg(F.sum("compared").alias("compared"))
+        out = found.where("id is not null").select(F.col("q").alias(query_id), F.col("id").alias(self.item_id), "score")
         nth = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), self.item_id))
         return out.withColumn("rank", nth).where(F.col("rank") <= k)

@@ -92,6 +92,36 @@ def test_a_graph_of_few_or_odd_vectors(spark):
     assert exact.count() >= 2
 
 
+def test_shards_are_made_and_searched_in_few_tables(spark, monkeypatch):
+    """Every vector is in one shard, copies are ranked by their ids, and neither making the graph nor a search stores a table a round."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1200, 12))
+    x[900:950], x[950:953], x[953] = x[3], 0, -0.0
+    tables, stored = [], neighbours.stored
+
+    def counted(df, label, *more):
+        tables.append(label)
+        return stored(df, label, *more)
+
+    monkeypatch.setattr(neighbours, "stored", counted)
+    monkeypatch.setattr(neighbours, "SHARD", 250, raising=False)
+    frame = spark.createDataFrame(rows(x), SCHEMA)
+    graph = neighbours.Graph(frame)
+    got = {}
+    for r in graph.search(frame.where("vec_id < 900 and vec_id % 9 = 3").selectExpr("vec_id as query_id", "embedding"), 10).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert len(tables) < 10
+    held = [(r.shard, i) for r in graph.graph.collect() for i in r.ids]
+    assert sorted(i for _, i in held) == list(range(1200)) and len({s for s, _ in held}) == graph.shards == 5
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    s = np.round(np.clip(u @ u.T, 0, 1), 6)
+    want = {q: [int(i) for i in np.lexsort((np.arange(1200), -s[q]))[:10]] for q in range(3, 900, 9)}
+    assert got[3] == {n + 1: (i, 1.0) for n, i in enumerate([3, *range(900, 909)])}
+    assert set(got) == set(want) and all(sorted(g) == list(range(1, 11)) for g in got.values())
+    assert sum(len({i for i, _ in got[q].values()} & set(want[q])) for q in want) >= 0.95 * 10 * len(want)
+    assert {r.query_id for r in graph.compared.collect()} == set(want)
+
+
 def test_a_cell_gets_a_vector_once_and_returns_its_best_once():
     """Groups that share members: the best of all of them, each once, and none below what a vector has."""
     rng = np.random.default_rng(4)
